@@ -3,8 +3,8 @@
 A piece of length n belongs to class k = capacity // n, the reciprocal-capacity class (capacity / (k + 1), capacity / k], and
 a bin of class k takes exactly k pieces of that class, whatever they are. So a worker fills its bins without knowing of others.
 Documents may be cut: a remainder that would leave more than `slack` of its class's bin empty gives up its largest reciprocal
-part capacity // (k + 1) and goes on with what is left. Bins that a worker can't fill hand their pieces to a second round
-over groups of 256 partitions, and what is left then, less than one bin a class and group, is packed by decreasing length in one task;
+part capacity // (k + 1) and goes on with what is left. Bins that a worker can't fill hand their pieces to further rounds
+over groups of 64 partitions and of 4096, and what is left then, less than one bin a class and group, is packed by decreasing length in one task;
 its size depends on the number of classes and groups, not on the documents.
 """
 
@@ -80,17 +80,17 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 8, schema=_SCHEMA)
 
 
-def _rounds(level: int, capacity: int, group_bits: int = 8):
-    """Of the second (1) and last (2) round: the rows of one group in, packed rows out."""
+def _rounds(level: int, bits: int | None, capacity: int):
+    """Of a later round: the rows of one group in, packed rows out. bits: of the partition's number that a group leaves out; None in the last."""
 
     def pack(table: pa.Table) -> pa.Table:
         rows = sorted(zip(*(c.to_pylist() for c in table.select(_SCHEMA.names).columns)), key=lambda r: tuple((x is not None, x) for x in r))
-        group = (rows[0][7] or 0) >> group_bits if level == 1 else 0
+        group = rows[0][7] >> bits if bits else 0
         bins = _Bins(capacity, level << 60 | group << 32)
         for r in rows:
             bins.add(r)
         rest = bins.rest()
-        if level == 1:
+        if bits:
             bins.rows += rest
         else:
             # best fit by decreasing length; room: (free, bin) in ascending order
@@ -140,7 +140,10 @@ def pack(docs: DataFrame, capacity: int = 4096, end_id: int = 2, slack: float =
         yield from bins.flush(0)
 
     first = materialize(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(local, _COLUMNS), "packing")
-    second = materialize(first.where("sequence_id is null").groupBy(F.expr("shiftright(part, 8)").alias("g")).applyInArrow(_rounds(1, capacity), _COLUMNS), "packing2")
-    last = second.where("sequence_id is null").groupBy(F.lit(0).alias("g")).applyInArrow(_rounds(2, capacity), _COLUMNS)
-    full = "sequence_id is not null"
-    return first.where(full).unionAll(second.where(full)).unionAll(last).drop("part")
+    rounds, rest = [first], first
+    for level, bits in ((1, 6), (2, 12), (3, None)):
+        group = F.shiftright("part", bits) if bits else F.lit(0)
+        rest = rest.where("sequence_id is null").groupBy(group.alias("g")).applyInArrow(_rounds(level, bits, capacity), _COLUMNS)
+        rest = materialize(rest, "packing") if bits else rest
+        rounds.append(rest)
+    return functools.reduce(DataFrame.unionAll, [r.where("sequence_id is not null") for r in rounds]).drop("part")

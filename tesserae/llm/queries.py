@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tesserae.llm import packing, pfor
+from tesserae.llm import langid, licenses, line_dedup, mixing, ngram_join, packing, pfor, quality_classifier, quality_rules, simhash
 from tesserae.llm.common import documents
 
 
@@ -14,5 +14,38 @@ def op2_token_files(spark, sf_dir):
     return pfor.round_trip(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_token_files)}
-SQL: dict[str, str] = {}
+def op3_license_scan(spark, sf_dir):
+    got = licenses.scan(documents(spark, sf_dir))
+    return got.selectExpr("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "size(spans) AS n_spans")
+
+
+def op4_ngram_join(spark, sf_dir):
+    return ngram_join.join(documents(spark, sf_dir))
+
+
+def op5_quality_rules(spark, sf_dir):
+    return quality_rules.score(documents(spark, sf_dir))
+
+
+def op6_fingerprints(spark, sf_dir):
+    return simhash.report(documents(spark, sf_dir))
+
+
+def op7_quality_classifier(spark, sf_dir):
+    return quality_classifier.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op8_language(spark, sf_dir):
+    return langid.identify(documents(spark, sf_dir))
+
+
+def op9_line_dedup(spark, sf_dir):
+    return line_dedup.digest(documents(spark, sf_dir))
+
+
+def op10_mixing(spark, sf_dir):
+    return mixing.mix(documents(spark, sf_dir).select("doc_id", "source"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_token_files, op3_license_scan, op4_ngram_join, op5_quality_rules, op6_fingerprints, op7_quality_classifier, op8_language, op9_line_dedup, op10_mixing)}
+SQL: dict[str, str] = {"op9_line_dedup": line_dedup.SQL}
