@@ -245,6 +245,7 @@ def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     pairs = materialize(pairs, "pairs")
     ids = pairs.select(F.col("u").alias("doc_id")).unionAll(pairs.select(F.col("v").alias("doc_id"))).distinct()
     sets = materialize(docs.join(ids, "doc_id", "left_semi").mapInArrow(_tokens, "id long, tokens binary"), "sets")
+    release(docs.sparkSession)
     left = pairs.join(sets.withColumnsRenamed({"id": "u", "tokens": "a"}), "u")
     both = left.join(sets.withColumnsRenamed({"id": "v", "tokens": "b"}), "v").select("u", "v", "a", "b")
     found = materialize(both.mapInArrow(_linked, "u long, v long").distinct(), "links")
@@ -257,6 +258,12 @@ def _near(a: str, b: str):
     return (F.col(a) * DEN >= F.col(b) * NUM) & (F.col(b) * DEN >= F.col(a) * NUM)
 
 
+def _possible(a: str, b: str):
+    """Whether `shared` prefix tokens and what may be common after the prefixes reach the overlap that the threshold asks for."""
+    after = F.greatest(*(F.ceil(F.col(c) * NUM / DEN) - 1 for c in (a, b)))
+    return F.col("shared") + after >= F.ceil((F.col(a) + F.col(b)) * NUM / (NUM + DEN))
+
+
 def join(docs: DataFrame, often: float = 1 / 2000, least_often: int = 16, per_part: int = 1_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach) and n_copies (documents of the same set) of every document.
 
@@ -278,7 +285,9 @@ def join(docs: DataFrame, often: float = 1 / 2000, least_often: int = 16, per_pa
     buckets = materialize(postings.groupBy("part").applyInArrow(_buckets, _BUCKETS), "buckets")
     release(spark)
 
-    star = buckets.where(F.col("node") != F.col("hub")).where(_near("n", "hub_n")).select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v")).distinct()
+    # what a star can't promise by the tokens shared in its buckets is left to the second part
+    star = buckets.where(F.col("node") != F.col("hub")).where(_near("n", "hub_n")).groupBy("node", "hub", "n", "hub_n", "paired").agg(F.sum("times").alias("shared"))
+    star = star.where(F.col("paired") | _possible("n", "hub_n")).select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v")).distinct()
     links = _verify(star, docs)
     own = rows.where("holder is not null")
     groups = own.groupBy("digest").agg(F.min("holder").alias("first"), F.count("*").alias("n_copies"))
@@ -294,10 +303,7 @@ def join(docs: DataFrame, often: float = 1 / 2000, least_often: int = 16, per_pa
     b = member.select("bucket", *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "paired", "component")))
     pairs = a.join(b, "bucket").where((F.col("component_a") < F.col("component_b")) & _near("n_a", "n_b"))
     pairs = pairs.groupBy("node_a", "node_b", "n_a", "n_b").agg(F.sum("times").alias("shared"), F.max(F.col("paired_a") & F.col("paired_b")).alias("paired"))
-    # tokens after the prefixes that both may share, and the overlap that the threshold asks for
-    after = F.greatest(*(F.ceil(F.col(c) * NUM / DEN) - 1 for c in ("n_a", "n_b")))
-    overlap = F.ceil((F.col("n_a") + F.col("n_b")) * NUM / (NUM + DEN))
-    pairs = pairs.where(F.col("paired") | (F.col("shared") + after >= overlap)).select(F.col("node_a").alias("u"), F.col("node_b").alias("v"))
+    pairs = pairs.where(F.col("paired") | _possible("n_a", "n_b")).select(F.col("node_a").alias("u"), F.col("node_b").alias("v"))
     more = _verify(pairs, docs)
     label = first
     if not more.isEmpty():
