@@ -47,21 +47,20 @@ def pagerank(edges: DataFrame, **options) -> DataFrame:
     return edges.select("repo_name", "source", "target").groupBy("repo_name").applyInPandas(rank, f"repo_name {kind}, node string, centrality_score double")
 
 
-def pagerank_global(edges: DataFrame, steps: int = 20, damping: float = 0.85, cut: int = 5) -> DataFrame:
-    """(node, rank) after a fixed number of steps over all edges, by joins; made durable every `cut` steps."""
+def pagerank_global(edges: DataFrame, steps: int = 20, damping: float = 0.85) -> DataFrame:
+    """(node, rank) after a fixed number of steps over all edges, by joins; each is made durable, as the next reads it twice."""
     pairs = edges.select("source", "target").distinct()
     out = pairs.groupBy("source").agg(F.count("*").alias("out"))
     nodes = pairs.select(F.col("source").alias("node")).union(pairs.select(F.col("target").alias("node"))).distinct()
     n = nodes.count()
     ranks = nodes.join(out, nodes["node"] == out["source"], "left").select("node", "out", F.lit(1.0 / max(n, 1)).alias("rank"))
     links = pairs.join(out, "source").withColumnRenamed("source", "node")
-    for step in range(steps):
+    for _ in range(steps):
         loose = ranks.where("out is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("_loose"))
         sent = links.join(ranks.select("node", "rank"), "node").groupBy("target").agg(F.sum(F.col("rank") / F.col("out")).alias("_in"))
         new = damping * (F.coalesce("_in", F.lit(0.0)) + F.col("_loose") / n) + (1 - damping) / n
         ranks = ranks.join(sent, ranks["node"] == sent["target"], "left").join(F.broadcast(loose)).select("node", "out", new.alias("rank"))
-        if step % cut == cut - 1:
-            ranks = checkpoint(ranks)
+        ranks = checkpoint(ranks)
     return ranks.select("node", "rank")
 
 

@@ -687,7 +687,7 @@ def t8_selected_code(t):
     return t.sources().select("path", code.selected_code(F.col("content")).alias("selected_code"))
 
 
-@query(f"WITH {_S} SELECT r AS repo_name, p AS path, CASE i WHEN 0 THEN 'run' WHEN 1 THEN 'f' || n ELSE 'class C' || k || '(Base):' END AS function_name FROM s, range(3) t(i) WHERE i < 3")
+@query(f"WITH {_S} SELECT r AS repo_name, p AS path, unnest(['run', 'f' || n]) AS function_name FROM s")
 @tables
 def t11_signature_table(t):
     return code.signature_table(t.sources()).select("repo_name", "path", "function_name")

@@ -67,7 +67,7 @@ def python_directory(spark: SparkSession, root: str) -> DataFrame:
     root = root.rstrip("/")
     files = spark.read.format("binaryFile").options(pathGlobFilter="*.py", recursiveFileLookup=True).load(root)
     text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
-    inner = F.regexp_extract("path", "^.*?" + _quoted(root.split(":", 1)[-1]) + "/(.*)$", 1)
+    inner = F.regexp_extract("path", "^.*?" + _quoted("/" + root.split(":", 1)[-1].lstrip("/")) + "/(.*)$", 1)
     rows = files.select(inner.alias("path"), text.alias("content")).where("content <> ''")
     return rows.select("path", "content", repo_of_path(F.split_part("path", F.lit("/"), F.lit(1))).alias("repo_name"))
 
