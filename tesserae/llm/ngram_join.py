@@ -8,8 +8,8 @@ dealt to classes by hash, in number by the size of the documents, so that pairs
 whose prefixes hold no class, are indexed singly. Sizes fall into regimes; near a border a document is indexed in both.
 
 Candidates are not all pairs of a bucket. First each bucket's members are tried against one of them (a star), and what links is joined to
-components. Then only members of different components are paired, and only if their shared prefix tokens leave a similarity
-of the threshold possible; those are verified too. So a group of copies costs its members, and no link between different texts is missed.
+components. Then only members of different components are paired, and only if their shared prefix tokens and their bitmaps (parities of hashed
+tokens, of which sets that differ in d tokens differ in d bits at most) leave a similarity of the threshold possible; those are verified too. So a group of copies costs its members, and no link between different texts is missed.
 """
 
 from __future__ import annotations
@@ -92,7 +92,18 @@ class _Seen:
         return digest, self._first.setdefault(digest, doc)
 
 
-_PROFILE = "doc_id long, n long, digest binary, holder long, token long, times long"
+#: Longs of a document's bitmap.
+WORDS = 16
+
+
+def bitmaps(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Rows of WORDS longs: each bit is the parity of a set's tokens that fall on it. Sets that differ in d tokens differ in at most d bits."""
+    docs = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    count = np.bincount(docs * 64 * WORDS + (h & np.uint64(64 * WORDS - 1)).astype(np.int64), minlength=(len(at) - 1) * 64 * WORDS)
+    return np.packbits((count & 1).astype(np.uint8).reshape(-1, 64 * WORDS), axis=1).view(np.int64)
+
+
+_PROFILE = "doc_id long, n long, digest binary, holder long, token long, times long, bits array<long>"
 
 
 def _profile(often: float, flush: int = 1 << 22):
@@ -100,7 +111,7 @@ def _profile(often: float, flush: int = 1 << 22):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, held, size, docs = _Seen(), [], 0, 0
-        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("holder", pa.int64()), ("token", pa.int64()), ("times", pa.int64())])
+        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("holder", pa.int64()), ("token", pa.int64()), ("times", pa.int64()), ("bits", pa.list_(pa.int64()))])
 
         def tokens() -> Iterator[pa.RecordBatch]:
             if held:
@@ -108,10 +119,10 @@ def _profile(often: float, flush: int = 1 << 22):
                 keep = times >= max(2, often * docs)
                 t, times = t[keep].view(np.int64), times[keep]
                 none = [pa.nulls(len(t), f.type) for f in list(schema)[:4]]
-                yield pa.RecordBatch.from_arrays([*none, pa.array(t), pa.array(times)], schema=schema)
+                yield pa.RecordBatch.from_arrays([*none, pa.array(t), pa.array(times), pa.nulls(len(t), pa.list_(pa.int64()))], schema=schema)
 
         for ids, h, at in _sets(batches):
-            rows = []
+            rows, bits = [], pa.ListArray.from_arrays(np.arange(0, len(at) * WORDS, WORDS, dtype=np.int32), bitmaps(h, at).reshape(-1))
             for doc, a, b in zip(ids.to_pylist(), at[:-1].tolist(), at[1:].tolist()):
                 if doc is None or a == b:
                     rows.append((doc, b - a, None, None))
@@ -122,7 +133,7 @@ def _profile(often: float, flush: int = 1 << 22):
                     held.append(h[a:b])
                     size, docs = size + b - a, docs + 1
             columns = [pa.array(c, f.type) for c, f in zip(zip(*rows), schema)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.int64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.int64()), bits], schema=schema)
             if size >= flush:
                 yield from tokens()
                 held, size, docs = [], 0, 0
@@ -258,13 +269,20 @@ def _near(a: str, b: str):
     return (F.col(a) * DEN >= F.col(b) * NUM) & (F.col(b) * DEN >= F.col(a) * NUM)
 
 
+def _alike(n_a: str, bits_a: str, n_b: str, bits_b: str):
+    """Whether the bitmaps leave the overlap possible that the threshold asks for: n_a + n_b - 2 * overlap tokens may differ."""
+    apart = sum((F.bit_count(F.col(bits_a)[i].bitwiseXOR(F.col(bits_b)[i])) for i in range(WORDS)), F.lit(0))
+    size = F.col(n_a) + F.col(n_b)
+    return apart <= size - 2 * F.ceil(size * NUM / (NUM + DEN))
+
+
 def _possible(a: str, b: str):
     """Whether `shared` prefix tokens and what may be common after the prefixes reach the overlap that the threshold asks for."""
     after = F.greatest(*(F.ceil(F.col(c) * NUM / DEN) - 1 for c in (a, b)))
     return F.col("shared") + after >= F.ceil((F.col(a) + F.col(b)) * NUM / (NUM + DEN))
 
 
-def join(docs: DataFrame, often: float = 1 / 2000, least_often: int = 16, per_part: int = 1_000_000) -> DataFrame:
+def join(docs: DataFrame, often: float = 1 / 8000, least_often: int = 16, per_part: int = 1_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach) and n_copies (documents of the same set) of every document.
 
     docs: doc_id and text; other columns are ignored. Null or wordless texts have an empty set and link with nothing; a text of one to four words is one
@@ -287,7 +305,10 @@ def join(docs: DataFrame, often: float = 1 / 2000, least_often: int = 16, per_pa
 
     # what a star can't promise by the tokens shared in its buckets is left to the second part
     star = buckets.where(F.col("node") != F.col("hub")).where(_near("n", "hub_n")).groupBy("node", "hub", "n", "hub_n", "paired").agg(F.sum("times").alias("shared"))
-    star = star.where(F.col("paired") | _possible("n", "hub_n")).select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v")).distinct()
+    bits = profile.where("holder = doc_id").select("doc_id", "bits", "n")
+    star = star.where(F.col("paired") | _possible("n", "hub_n"))
+    star = star.join(bits.select(F.col("doc_id").alias("node"), F.col("n").alias("n_x"), F.col("bits").alias("x")), "node").join(bits.select(F.col("doc_id").alias("hub"), F.col("n").alias("n_y"), F.col("bits").alias("y")), "hub")
+    star = star.where(_alike("n_x", "x", "n_y", "y")).select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v")).distinct()
     links = _verify(star, docs)
     own = rows.where("holder is not null")
     groups = own.groupBy("digest").agg(F.min("holder").alias("first"), F.count("*").alias("n_copies"))
@@ -298,10 +319,11 @@ def join(docs: DataFrame, often: float = 1 / 2000, least_often: int = 16, per_pa
     # members of one bucket in different components
     member = buckets.select("bucket", "times", "node", "n", "paired").join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = member.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    member = materialize(member.join(mixed, "bucket", "left_semi").groupBy("bucket", "node", "n", "paired", "component").agg(F.sum("times").alias("times")), "mixed")
-    a = member.select("bucket", "times", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "paired", "component")))
-    b = member.select("bucket", *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "paired", "component")))
-    pairs = a.join(b, "bucket").where((F.col("component_a") < F.col("component_b")) & _near("n_a", "n_b"))
+    member = member.join(mixed, "bucket", "left_semi").groupBy("bucket", "node", "n", "paired", "component").agg(F.sum("times").alias("times"))
+    member = materialize(member.join(bits.withColumnRenamed("doc_id", "node"), ["node", "n"]), "mixed")
+    a = member.select("bucket", "times", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "paired", "component", "bits")))
+    b = member.select(F.col("bucket").alias("_bucket"), *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "paired", "component", "bits")))
+    pairs = a.join(b, (F.col("bucket") == F.col("_bucket")) & (F.col("component_a") < F.col("component_b")) & _near("n_a", "n_b") & _alike("n_a", "bits_a", "n_b", "bits_b"))
     pairs = pairs.groupBy("node_a", "node_b", "n_a", "n_b").agg(F.sum("times").alias("shared"), F.max(F.col("paired_a") & F.col("paired_b")).alias("paired"))
     pairs = pairs.where(F.col("paired") | _possible("n_a", "n_b")).select(F.col("node_a").alias("u"), F.col("node_b").alias("v"))
     more = _verify(pairs, docs)
