@@ -232,9 +232,36 @@ def _buckets(table: pa.Table) -> pa.Table:
     })
 
 
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, h, at in _sets(batches):
-        yield pa.RecordBatch.from_arrays([ids, pa.array([h[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary())], names=["id", "tokens"])
+#: Slots of the bitmap of wanted documents.
+SLOTS = 1 << 25
+
+
+def _marks(ids: DataFrame) -> np.ndarray:
+    """Bytes of a bitmap with a bit for each id modulo SLOTS: 4 MB at most, whatever the ids' number; where slots are shared it lets more through."""
+    slot = F.pmod("doc_id", F.lit(SLOTS)) + 1
+    parts = ids.groupBy(F.bitmap_bucket_number(slot).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect()
+    out = np.zeros(SLOTS // 8, np.uint8)
+    for r in parts:
+        out[(r.part - 1) * 4096 :][: len(r.bits)] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def _tokens(shared):
+    """Sets of the documents whose slot is marked: texts are read where they lie and not shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = shared.value
+
+        def wanted() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                slot = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False) % SLOTS
+                hit = (marks[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1
+                yield batch.filter(pa.array(hit.astype(bool)).cast(pa.bool_()))
+
+        for ids, h, at in _sets(wanted()):
+            yield pa.RecordBatch.from_arrays([ids, pa.array([h[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary())], names=["id", "tokens"])
+
+    return run
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +282,8 @@ def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """(u, v) of the pairs that link."""
     pairs = materialize(pairs, "pairs")
     ids = pairs.select(F.col("u").alias("doc_id")).unionAll(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    sets = materialize(docs.join(ids, "doc_id", "left_semi").mapInArrow(_tokens, "id long, tokens binary"), "sets")
+    shared = docs.sparkSession.sparkContext.broadcast(_marks(ids))
+    sets = materialize(docs.mapInArrow(_tokens(shared), "id long, tokens binary"), "sets")
     release(docs.sparkSession)
     left = pairs.join(sets.withColumnsRenamed({"id": "u", "tokens": "a"}), "u")
     both = left.join(sets.withColumnsRenamed({"id": "v", "tokens": "b"}), "v").select("u", "v", "a", "b")
