@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import gc
+import math
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,3 +43,10 @@ def release(spark: SparkSession) -> None:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def about(key: str, wanted: int, total: int) -> Column:
+    """Whether a row is among about three times `wanted` of `total`, by a hash of its key: rows to take the first `wanted` from, so that no more
+    than these reach the driver from all tasks together."""
+    million = 1_000_000
+    return F.pmod(F.xxhash64(F.lit(11), F.col(key)), F.lit(million)) < math.ceil(million * min(1.0, 3 * wanted / max(total, 1)))

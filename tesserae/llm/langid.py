@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.llm.common import about
+
 LONGEST = 24
 UNKNOWN = "und"
 
@@ -188,10 +190,11 @@ def fit(docs: DataFrame, rows_per_lang: int = 300, words_per_text: int = 200, ma
     spread over the text, are taken of each.
     """
     rows = docs.select(F.col("doc_id").cast("long"), "lang", "text").where(F.col("doc_id").isNotNull() & ~held_out("doc_id") & F.col("lang").isNotNull() & F.length("text").between(1, max_chars))
-    langs = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()]
+    found = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()}
+    langs = list(found)
     words, y = [], []
     for i, lang in enumerate(langs):
-        for r in rows.where(F.col("lang") == lang).select("text", F.md5(F.col("doc_id").cast("string")).alias("o")).orderBy("o").limit(rows_per_lang).collect():
+        for r in rows.where((F.col("lang") == lang) & about("doc_id", rows_per_lang, found[lang])).select("text", F.md5(F.col("doc_id").cast("string")).alias("o")).orderBy("o").limit(rows_per_lang).collect():
             some = r.text.split()
             for w in some[:: max(1, len(some) // words_per_text)]:
                 for p in pieces(w):

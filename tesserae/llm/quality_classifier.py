@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tesserae.llm.common import about, materialize
+
 
 @dataclass(frozen=True)
 class Model:
@@ -99,7 +101,9 @@ def sample(docs: DataFrame, labels: DataFrame, rows_per_class: int = 1500, max_c
     marked = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int").alias("y")).where(F.col("y").isin(0, 1) & ~held_out("doc_id"))
     known = docs.select(F.col("doc_id").cast("long"), "text").where(F.col("text").isNotNull() & (F.length("text") <= max_chars)).select("doc_id")
     marked = marked.groupBy("doc_id").agg(F.min("y").alias("y")).join(known, "doc_id", "left_semi").withColumn("o", F.md5(F.col("doc_id").cast("string")))
-    chosen = [r for y in (0, 1) for r in marked.where(F.col("y") == y).orderBy("o").limit(rows_per_class).collect()]
+    marked = materialize(marked, "labels")
+    found = {r.y: r["count"] for r in marked.groupBy("y").count().collect()}
+    chosen = [r for y in found for r in marked.where((F.col("y") == y) & about("doc_id", rows_per_class, found[y])).orderBy("o").limit(rows_per_class).collect()]
     if not chosen:
         return []
     few = F.broadcast(spark.createDataFrame([(r.doc_id, r.y, r.o) for r in chosen], "doc_id long, y int, o string"))
