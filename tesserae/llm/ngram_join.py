@@ -9,12 +9,16 @@ whose prefixes hold no class, are indexed singly. Sizes fall into regimes; near
 
 Candidates are not all pairs of a bucket. First each bucket's members are tried against one of them (a star), and what links is joined to
 components. Then only members of different components are paired, and only if their shared prefix tokens and their bitmaps (parities of hashed
-tokens, of which sets that differ in d tokens differ in d bits at most) leave a similarity of the threshold possible; those are verified too. So a group of copies costs its members, and no link between different texts is missed.
+tokens, of which sets that differ in d tokens differ in d bits at most) leave a similarity of the threshold possible; those are verified too. So components cost no more than their members.
+
+Every link lies within a component, so the links are counted there: the different sets of a component form blocks of bounded size, each pair of blocks whose sizes
+can link is one unit of work, and in it all overlaps are found as products of 0/1 matrices. Numbers leave it, not pairs; the work grows with the square of a component, as its links do.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -88,7 +92,7 @@ class _Seen:
         self._first: dict[bytes, int] = {}
 
     def __call__(self, h: np.ndarray, doc: int) -> tuple[bytes, int]:
-        digest = hashlib.blake2b(h.tobytes(), digest_size=16).digest()
+        digest = _digest(h)
         return digest, self._first.setdefault(digest, doc)
 
 
@@ -246,8 +250,12 @@ def _marks(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def _tokens(shared):
-    """Sets of the documents whose slot is marked: texts are read where they lie and not shuffled."""
+def _digest(h: np.ndarray) -> bytes:
+    return hashlib.blake2b(h.tobytes(), digest_size=16).digest()
+
+
+def _tokens(shared, *more):
+    """Sets of the documents whose slot is marked: texts are read where they lie and not shuffled. more: functions of a set whose results follow it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = shared.value
@@ -259,7 +267,9 @@ def _tokens(shared):
                 yield batch.filter(pa.array(hit.astype(bool)).cast(pa.bool_()))
 
         for ids, h, at in _sets(wanted()):
-            yield pa.RecordBatch.from_arrays([ids, pa.array([h[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary())], names=["id", "tokens"])
+            sets = [h[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+            columns = [pa.array([f(x) for x in sets], pa.binary()) for f in (np.ndarray.tobytes, *more)]
+            yield pa.RecordBatch.from_arrays([ids, *columns], names=["id", "tokens", *(f.__name__.strip("_") for f in more)])
 
     return run
 
@@ -310,15 +320,95 @@ def _possible(a: str, b: str):
     return F.col("shared") + after >= F.ceil((F.col(a) + F.col(b)) * NUM / (NUM + DEN))
 
 
-def join(docs: DataFrame, often: float = 1 / 8000, least_often: int = 16, per_part: int = 1_000_000) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id that links reach) and n_copies (documents of the same set) of every document.
+#: Sets and tokens of a block, and the columns of a matrix.
+BLOCK, BLOCK_TOKENS, WIDTH = 512, 1 << 20, 4096
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Tokens that each set of the left shares with each of the right."""
+    tokens = [np.concatenate(x) for x in (left, right)]
+    common = np.intersect1d(*tokens)
+    out = np.zeros((len(left), len(right)))
+    hits = []
+    for side, t in zip((left, right), tokens):
+        of, at = np.repeat(np.arange(len(side)), [len(x) for x in side]), np.searchsorted(common, t)
+        hit = common[np.minimum(at, len(common) - 1)] == t if len(common) else np.zeros(len(t), bool)
+        order = np.argsort(at[hit], kind="stable")
+        hits.append((of[hit][order], at[hit][order]))
+    for lo in range(0, len(common), WIDTH):
+        width, tiles = min(WIDTH, len(common) - lo), []
+        for side, (of, at) in zip((left, right), hits):
+            a, b = np.searchsorted(at, [lo, lo + width])
+            tiles.append(np.zeros((len(side), width), np.float32))
+            tiles[-1][of[a:b], at[a:b] - lo] = 1
+        out += tiles[0] @ tiles[1].T
+    return out.astype(np.int64)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (cell, right, digest, n_copies, tokens) ordered by cell: of each set how many documents across the cell link with it; a cell of one side is compared with itself."""
+
+    def cell(rows: list[tuple]) -> Iterator[tuple[bytes, int]]:
+        sides = [[r for r in rows if r[1] == side] for side in (False, True)]
+        own = not sides[1]
+        left, right = sides[0], sides[0] if own else sides[1]
+        if not left or len(rows) < 2:
+            return
+        sets = [[np.frombuffer(r[4], "<u8") for r in x] for x in ((left,) if own else (left, right))]
+        shared = overlaps(sets[0], sets[-1])
+        size = np.array([len(x) for x in sets[0]])[:, None] + np.array([len(x) for x in sets[-1]])
+        linked = DEN * shared >= NUM * (size - shared)
+        if own:
+            np.fill_diagonal(linked, False)
+        for x, times in ((left, linked @ np.array([r[3] for r in right], np.int64)), *(() if own else ((right, linked.T @ np.array([r[3] for r in left], np.int64)),))):
+            yield from ((r[2], n) for r, n in zip(x, times.tolist()) if n)
+
+    def batch(out: list[tuple[bytes, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.binary()), pa.array([r[1] for r in out], pa.int64())], names=["digest", "linked"])
+
+    held: list[tuple] = []
+    for b in batches:
+        out: list[tuple[bytes, int]] = []
+        for row in zip(*(c.to_pylist() for c in b.columns)):
+            if held and held[0][0] != row[0]:
+                out += cell(held)
+                held = []
+            held.append(row)
+        if out:
+            yield batch(out)
+    if held:
+        yield batch(list(cell(held)))
+
+
+def _links(groups: DataFrame, label: DataFrame, docs: DataFrame) -> DataFrame:
+    """(digest, linked): documents of other sets that link with each set. groups: digest, first, n, n_copies; label: node, component; sets that nothing links with are left out."""
+    own = groups.join(label, F.col("first") == F.col("node"), "left").select("digest", "first", "n", "n_copies", F.coalesce("component", "first").alias("component"))
+    whole = own.groupBy("component").agg(F.count("*").alias("sets"), F.sum("n").alias("all")).where("sets > 1")
+    # sizes that link differ by a factor of DEN / NUM at most: by less than one kind
+    kind = F.when((F.col("sets") <= BLOCK) & (F.col("all") <= BLOCK_TOKENS), 0).otherwise(F.floor(F.ln("n") / math.log(1.04 * DEN / NUM)) + 1).cast("int")
+    own = materialize(own.join(whole, "component").withColumn("kind", kind).drop("sets", "all"), "members")
+    blocks = own.groupBy("component", "kind").agg(F.count("*").alias("sets"), F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks"))
+    at = own.join(blocks.drop("sets"), ["component", "kind"]).withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")).drop("blocks")
+    at = at.withColumn("step", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn("other", F.col("kind") + F.col("step"))
+    at = at.join(blocks.withColumnRenamed("kind", "other"), ["component", "other"]).where("step <> 0 or sets > 1")
+    at = at.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    right = (F.col("step") < 0) | ((F.col("step") == 0) & (F.col("block") > F.col("to")))
+    ends = [F.when(right, F.col(b)).otherwise(F.col(a)) for a, b in (("kind", "other"), ("block", "to"), ("other", "kind"), ("to", "block"))]
+    cells = at.select(F.concat_ws("-", "component", *ends).alias("cell"), right.alias("right"), "digest", "n_copies")
+    shared = docs.sparkSession.sparkContext.broadcast(_marks(own.select(F.col("first").alias("doc_id"))))
+    # a document may have several texts, and a digest several documents
+    sets = docs.mapInArrow(_tokens(shared, _digest), "id long, tokens binary, digest binary")
+    sets = materialize(sets.join(own.select(F.col("first").alias("id"), "digest"), ["id", "digest"], "left_semi").drop("id").dropDuplicates(["digest"]), "sets")
+    release(docs.sparkSession)
+    work = cells.join(sets, "digest").select("cell", "right", "digest", "n_copies", "tokens").repartition("cell").sortWithinPartitions("cell")
+    found = materialize(work.mapInArrow(_counted, "digest binary, linked long").groupBy("digest").agg(F.sum("linked").alias("linked")), "counts")
+    release(docs.sparkSession)
+    return found
 
-    docs: doc_id and text; other columns are ignored. Null or wordless texts have an empty set and link with nothing; a text of one to four words is one
-    shingle. Rows of one doc_id are one node, of the links of all their texts. A null doc_id has a size but no component.
-    often: the share of documents from which a token is frequent. There are at most mean set size / often of these, and only they are broadcast.
-    """
+
+def _labelled(docs: DataFrame, often: float = 1 / 8000, least_often: int = 16, per_part: int = 1_000_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """doc_id, n, digest, holder of every document; node and component of those that link; digest, first document, n, n_copies of every set."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     profile = materialize(docs.mapInArrow(_profile(often), _PROFILE), "profile")
     rows = profile.where("times is null").select("doc_id", "n", "digest", "holder")
     total = rows.where("holder = doc_id").agg(F.count("*").alias("docs"), F.sum("n").alias("tokens")).first()
@@ -339,9 +429,9 @@ def join(docs: DataFrame, often: float = 1 / 8000, least_often: int = 16, per_pa
     star = star.where(_alike("n_x", "x", "n_y", "y")).select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v")).distinct()
     links = _verify(star, docs)
     own = rows.where("holder is not null")
-    groups = own.groupBy("digest").agg(F.min("holder").alias("first"), F.count("*").alias("n_copies"))
+    groups = own.groupBy("digest").agg(F.min("holder").alias("first"), F.max("n").alias("n"), F.count("*").alias("n_copies"))
     same = own.where("doc_id <> holder").select(F.col("doc_id").alias("u"), F.col("holder").alias("v"))
-    apart = own.where("doc_id = holder").join(groups, "digest").where("holder <> first").select(F.col("holder").alias("u"), F.col("first").alias("v"))
+    apart = own.where("doc_id = holder").join(groups.drop("n"), "digest").where("holder <> first").select(F.col("holder").alias("u"), F.col("first").alias("v"))
     first = components(links.unionAll(same).unionAll(apart))
 
     # members of one bucket in different components
@@ -363,11 +453,37 @@ def join(docs: DataFrame, often: float = 1 / 8000, least_often: int = 16, per_pa
         second = components(ends)
         known = first.unionAll(second.select("node", F.col("node").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
         label = known.join(second.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left").select("node", F.coalesce("top", "component").alias("component"))
-    out = rows.join(label, F.col("doc_id") == F.col("node"), "left").join(groups.select("digest", "n_copies"), "digest", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
+    return rows, label, groups
+
+
+def _component():
+    return F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")
+
+
+def _narrow(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
+def join(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id that links reach), n_copies (documents of the same set) and n_links (other documents whose set
+    links with its own, equal ones included; the sum over all documents is twice the number of links) of every document.
+
+    docs: doc_id and text; other columns are ignored. Null or wordless texts have an empty set and link with nothing; a text of one to four words is one
+    shingle. Rows of one doc_id are one node, of the links of all their texts; n_copies and n_links are of the row's own text, and count rows. A null doc_id has a size
+    but no component and no links.
+    often=1 / 8000: the share of documents from which a token is frequent. There are at most mean set size / often of these, and only they are broadcast.
+    """
+    docs = _narrow(docs)
+    rows, label, groups = _labelled(docs, **options)
+    groups = materialize(groups, "groups")
+    label = materialize(label, "label")
+    links = groups.join(_links(groups, label, docs), "digest", "left").select("digest", "n_copies", (F.coalesce("linked", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"))
+    out = rows.join(label, F.col("doc_id") == F.col("node"), "left").join(links, "digest", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), _component(), F.coalesce("n_copies", F.lit(1)).alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """docs without the documents whose component has a smaller doc_id; rows with a null doc_id stay."""
-    gone = join(docs, **options).where("component_id <> doc_id").select("doc_id").distinct()
+    rows, label, _ = _labelled(_narrow(docs), **options)
+    gone = rows.join(label, F.col("doc_id") == F.col("node"), "left").select("doc_id", _component()).where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -109,3 +109,34 @@ def test_components(spark):
     got = {x.node: x.component for x in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {x: find(x) for x in up if any(x in e for e in edges if e[0] != e[1])}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+@pytest.mark.parametrize("block", [512, 7])
+def test_every_link_is_counted(spark, monkeypatch, block):
+    """Dense groups, chains and copies: links within a component too, in one block and over many."""
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rows = corpus(11)
+    r = random.Random(4)
+    base = [f"d{i}" for i in range(200)]
+    for _ in range(40):  # near copies, each with a word of its own
+        t = list(base)
+        t[r.randrange(200)] = f"y{r.randint(0, 10**6)}"
+        rows.append((len(rows), " ".join(t)))
+    sets = {d: shingles(t) for d, t in rows}
+
+    def link(x, y):
+        both = len(x & y)
+        return both > 0 and 100 * both >= 80 * (len(x) + len(y) - both)
+
+    want = {d: sum(link(x, y) for e, y in sets.items() if e != d) for d, x in sets.items()}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {g.doc_id: g for g in ngram_join.join(df, least_often=2, per_part=2000).collect()}
+    assert {d: (got[d].n_links, n) for d, n in want.items() if got[d].n_links != n} == {}
+    assert {d: got[d].component_id for d in got} == {d: c for d, (_, c) in brute(rows).items()}
+    assert max(want.values()) >= 39 and sum(want.values()) > 40 * 39
+
+
+def test_links_of_null_and_repeated_ids(spark):
+    t = " ".join(f"w{i}" for i in range(30))
+    df = spark.createDataFrame([(None, t), (5, t), (5, t), (5, "other words"), (9, t + " x"), (7, None)], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.n_shingles, r.n_links) for r in ngram_join.join(df).collect()) == [(0, 26, 0), (5, 1, 0), (5, 26, 2), (5, 26, 2), (7, 0, 0), (9, 27, 2)]
