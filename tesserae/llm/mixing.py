@@ -1,53 +1,87 @@
 """Mixing sources to target weights by Pfair scheduling. DataFrame functions only.
 
-The documents of a source, in an order by digest, form blocks. With weight w = c / D, block j (from 1) of a source is released at slot floor((j - 1) / w), is due by slot
+The documents of a source, in an order by digest, form blocks. With weight w, its share of the sum, block j (from 1) of a source is released at slot floor((j - 1) / w), is due by slot
 ceil(j / w), and the earliest deadline among the released blocks takes each slot; then after any number of slots each source has had its weighted share to less than one
-block, as long as none is used up. The schedule repeats after D slots, where every source has had c whole blocks. So one period, whose size
-follows the number of sources and not the documents, is planned on the driver as part of the query plan; each block finds its slot by a join with it.
-A source that is used up leaves its slots empty, and the others close up in their order.
+block, as long as none is used up. Weights are exact fractions, so this holds for the given weights over any number of slots. Only inside the first period of
+slots_per_source slots a source is the order that of the whole blocks that the exact plan gives it, to less than two blocks; at its end the exact state is reached, and no error is carried on.
+The blocks that exist are planned on the driver as part of the query plan, in time by their number (a block is some documents) and in
+memory by the number of sources and CHUNK slots; each block finds its slot by a join with the plan. A source that is used up leaves its slots empty, and the others close up in their order.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
+from fractions import Fraction
+from math import lcm
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tesserae.llm.common import shared_path
+
+CHUNK = 1 << 20  # blocks of the plan that the driver holds at once
 DIGITS = 3  # of the digest that deal a source's documents to 16 ** DIGITS runs, of which each is sorted by itself
 
 
+def _parts(weights: dict) -> dict:
+    """The weights as whole numbers, in exact proportion."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    if any(w <= 0 for w in exact.values()):
+        raise ValueError("weights must be above 0")
+    scale = lcm(*(w.denominator for w in exact.values()))
+    return {s: int(w * scale) for s, w in exact.items()}
+
+
+class _Earliest:
+    """Earliest deadline first; the state between slots."""
+
+    def __init__(self, part: dict):
+        self._part, self._total, self.slot = part, sum(part.values()), 0
+        self.pending, self.ready = [(0, -(-self._total // c), str(s), 0, s) for s, c in part.items()], []
+        heapq.heapify(self.pending)
+
+    def run(self, blocks: dict | None = None, slots: int | None = None) -> Iterator[tuple]:
+        """Until the blocks, if given, or so many slots are used up."""
+        if blocks is not None:
+            self.pending, self.ready = [x for x in self.pending if x[3] < blocks[x[4]]], [x for x in self.ready if x[2] < blocks[x[4]]]
+            heapq.heapify(self.pending)
+            heapq.heapify(self.ready)
+        while (self.pending or self.ready) and (slots is None or self.slot < slots):
+            if not self.ready:
+                self.slot = max(self.slot, self.pending[0][0])
+            while self.pending and self.pending[0][0] <= self.slot:
+                release, deadline, name, j, s = heapq.heappop(self.pending)
+                heapq.heappush(self.ready, (deadline, name, j, release, s))
+            deadline, name, j, release, s = heapq.heappop(self.ready)
+            if blocks is None or j + 1 < blocks[s]:
+                k = j + 1
+                heapq.heappush(self.pending, (k * self._total // self._part[s], -(-(k + 1) * self._total // self._part[s]), name, k, s))
+            yield s, j, self.slot, release, deadline
+            self.slot += 1
+
+
 def shares(weights: dict, period: int) -> dict:
-    """Whole blocks of each source in a period, one at least, in sum the period: largest remainders first."""
-    total = sum(weights.values())
-    exact = {s: w * period / total for s, w in weights.items()}
-    out = {s: max(1, int(x)) for s, x in exact.items()}
-    order = sorted(exact, key=lambda s: (out[s] - exact[s], str(s)))
-    while (d := period - sum(out.values())) != 0:
-        for s in order if d > 0 else [s for s in reversed(order) if out[s] > 1]:
-            if d == 0:
-                break
-            out[s] += 1 if d > 0 else -1
-            d -= 1 if d > 0 else -1
+    """Whole blocks of each source in the first period, in sum the period: those that the exact weights give it, rounded up or down."""
+    out = dict.fromkeys(weights, 0)
+    for s, *_ in _Earliest(_parts(weights)).run(slots=period):
+        out[s] += 1
     return out
 
 
 def schedule(blocks: dict) -> list[tuple]:
     """(source, block of the period from 0, slot, release, deadline) of one period, by earliest deadline first; blocks: source -> number of them."""
-    period = sum(blocks.values())
-    pending = [(0, -(-period // c), str(s), 0, s) for s, c in blocks.items()]
-    heapq.heapify(pending)
-    ready: list[tuple] = []
-    out = []
-    for slot in range(period):
-        while pending and pending[0][0] <= slot:
-            release, deadline, name, j, s = heapq.heappop(pending)
-            heapq.heappush(ready, (deadline, name, j, release, s))
-        deadline, name, j, release, s = heapq.heappop(ready)
-        out.append((s, j, slot, release, deadline))
-        if (k := j + 1) < blocks[s]:
-            heapq.heappush(pending, (k * period // blocks[s], -(-(k + 1) * period // blocks[s]), name, k, s))
-    return out
+    return list(_Earliest({s: c for s, c in blocks.items() if c}).run(blocks))
+
+
+def plan(weights: dict, blocks: dict, period: int) -> Iterator[tuple]:
+    """(source, its block from 0, slot, release, deadline) of all blocks in the order of slots; blocks: source -> number of them."""
+    exact, first = _Earliest(_parts({s: weights[s] for s in blocks})), dict.fromkeys(blocks, 0)
+    for s, *_ in exact.run(slots=period):
+        first[s] += 1
+    yield from (x for x in schedule(first) if x[1] < blocks[x[0]])
+    yield from exact.run(blocks)
 
 
 def temperature(counts: dict, power: float = 0.5) -> dict:
@@ -63,9 +97,30 @@ def _named(docs: DataFrame) -> DataFrame:
     return docs.drop(*_OWN).withColumn("_src", F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")))
 
 
-def _place(docs: DataFrame, weights: dict | None, block: int, power: float, slots_per_source: int) -> tuple[DataFrame, list[tuple], dict, int]:
-    """docs with _rank in the source, block, slot, release, deadline; the plan of a period as rows; documents by source; the period."""
-    spark = docs.sparkSession
+_PLAN = "_src string, block long, slot long, release long, deadline long, _start long"
+
+
+def _planned(spark: SparkSession, weights: dict, counts: dict, block: int, period: int) -> DataFrame:
+    """plan() as rows, with the documents of the blocks before each."""
+    schema = pa.schema([(c.split()[0], pa.string() if c.endswith("string") else pa.int64()) for c in _PLAN.split(", ")])
+    rows, start, path = [], 0, None
+
+    def frame() -> DataFrame:
+        return spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema), _PLAN) if rows else spark.createDataFrame([], _PLAN)
+
+    for s, j, *when in plan(weights, {s: -(-n // block) for s, n in counts.items()}, period):
+        if len(rows) == CHUNK:
+            path = path or shared_path(spark, "mixing")
+            frame().write.mode("append").parquet(path)
+            rows = []
+        rows.append((s, j, *when, start))
+        start += min(block, counts[s] - block * j)
+    last = frame()
+    return spark.read.schema(_PLAN).parquet(path).unionAll(last) if path else F.broadcast(last)
+
+
+def _place(docs: DataFrame, weights: dict | None, block: int, power: float, slots_per_source: int) -> DataFrame:
+    """docs with _rank in the source, block, slot, release, deadline, and _start, the place of the block's first document."""
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     docs = _named(docs).withColumn("_digest", digest).withColumn("_run", F.conv(F.substring("_digest", 1, DIGITS), 16, 10).cast("int"))
     runs = docs.groupBy("_src", "_run").agg(F.count("*").alias("_n"))
@@ -75,24 +130,14 @@ def _place(docs: DataFrame, weights: dict | None, block: int, power: float, slot
     else:
         given = {"n" if s is None else f"s{s}": w for s, w in weights.items()}
         weights = {s: given.get(s, min(given.values())) for s in counts}
-    period = slots_per_source * max(1, len(counts))
-    part = shares(weights, period) if counts else {}
-    plan = [(s, j, slot, release, deadline, part[s], counts[s]) for s, j, slot, release, deadline in (schedule(part) if counts else [])]
     # rank within a run, plus the documents of the runs before: no task sees a whole source
     before = Window.partitionBy("_src").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
     offsets = runs.select("_src", "_run", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     own = Window.partitionBy("_src", "_run").orderBy("_digest", "doc_id")
     ranked = docs.withColumn("_rank", F.row_number().over(own) - 1).join(offsets, ["_src", "_run"])
     ranked = ranked.withColumn("_rank", F.col("_rank") + F.col("_before")).withColumn("block", F.floor(F.col("_rank") / block))
-    share = F.create_map(*(x for s, c in part.items() for x in (F.lit(s), F.lit(c)))) if part else F.create_map(F.lit(""), F.lit(1))
-    ranked = ranked.withColumn("_share", share[F.col("_src")]).withColumn("_cycle", F.floor(F.col("block") / F.col("_share")))
-    ranked = ranked.withColumn("_j", (F.col("block") - F.col("_cycle") * F.col("_share")).cast("int"))
-    slots = spark.createDataFrame([r[:5] for r in plan], "_src string, _j int, _slot long, _release long, _deadline long")
-    # as many rows as slots in a period: bounded by the sources
-    placed = ranked.join(F.broadcast(slots) if len(plan) <= 1_000_000 else slots, ["_src", "_j"])
-    at = F.col("_cycle") * period
-    placed = placed.withColumns({"slot": at + F.col("_slot"), "release": at + F.col("_release"), "deadline": at + F.col("_deadline")})
-    return placed, plan, counts, period
+    # a plan of more than a chunk is in the shared folder and isn't broadcast
+    return ranked.join(_planned(docs.sparkSession, weights, counts, block, slots_per_source * len(counts)), ["_src", "block"])
 
 
 def mix(docs: DataFrame, weights: dict | None = None, block: int = 16, power: float = 0.5, slots_per_source: int = 64) -> DataFrame:
@@ -100,25 +145,13 @@ def mix(docs: DataFrame, weights: dict | None = None, block: int = 16, power: fl
 
     docs: doc_id, source and any columns but those five, which are replaced. A null source is a source of its own; a null doc_id counts as
     the empty string in the digest; ties in the digest are ordered by doc_id, and rows that tie in both take neighbouring places in any order.
-    weights: of the sources, by default by temperature(); sources without one are given the least weight. The number of
-    sources, not of documents, bounds what the driver holds. No documents: no rows.
+    weights: of the sources, above 0, by default by temperature(); sources without one are given the least weight. No documents: no rows.
     """
-    spark = docs.sparkSession
-    placed, plan, counts, period = _place(docs, weights, block, power, slots_per_source)
-    # a row for each block that exists, its documents, and those of the blocks before it
-    slots = spark.createDataFrame(plan, "_src string, _j int, _slot long, _release long, _deadline long, _share long, _count long")
-    blocks = slots.withColumn("_last", F.floor((F.ceil(F.col("_count") / block) - 1 - F.col("_j")) / F.col("_share"))).where("_last >= 0")
-    blocks = blocks.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))).alias("_c"))
-    blocks = blocks.withColumn("_size", F.least(F.lit(block), F.col("_count") - block * (F.col("_c") * F.col("_share") + F.col("_j"))))
-    cycles = blocks.groupBy("_c").agg(F.sum("_size").alias("_all"))
-    cycles = cycles.select("_c", F.coalesce(F.sum("_all").over(Window.orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    inside = F.sum("_size").over(Window.partitionBy("_c").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1))
-    starts = blocks.withColumn("_inside", F.coalesce(inside, F.lit(0))).join(cycles, "_c").select((F.col("_c") * period + F.col("_slot")).alias("slot"), (F.col("_base") + F.col("_inside")).alias("_start"))
-    out = placed.join(starts, "slot").withColumn("position", F.col("_start") + F.col("_rank") - F.col("block") * block)
+    out = _place(docs, weights, block, power, slots_per_source).withColumn("position", F.col("_start") + F.col("_rank") - F.col("block") * block)
     return out.select(*[c for c in docs.columns if c not in _OWN], *_OWN)
 
 
 def ordered(docs: DataFrame, **options) -> DataFrame:
     """docs, the same columns, in mixed order."""
     options = {"weights": None, "block": 16, "power": 0.5, "slots_per_source": 64} | options
-    return _place(docs, **options)[0].orderBy("slot", "_rank").select(*docs.columns)
+    return _place(docs, **options).orderBy("slot", "_rank").select(*docs.columns)

@@ -2,6 +2,7 @@ import hashlib
 import random
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -122,6 +123,27 @@ def test_mix(spark):
     assert Counter(g.source for g in given) == counts and Counter(g.source for g in given[:64])["b"] > 16
 
 
+def test_plan_keeps_the_given_weights_over_many_periods():
+    r = random.Random(6)
+    for w in ({"a": 1e6, "b": 1}, {"hot": 50.0, **{f"t{i}": 0.01 for i in range(30)}}, *({f"s{i}": r.random() + 0.01 for i in range(7)} for _ in range(5))):
+        total, done, n = sum(map(Fraction, w.values())), Counter(), 20_000
+        for i, (s, j, slot, release, deadline) in zip(range(n), mixing.plan(w, {s: n for s in w}, 64 * len(w))):
+            assert slot == i and j == done[s] and (release <= slot < deadline)
+            done[s] += 1
+            if i % 7 == 0 or i > n - 50:
+                assert all(abs(done[x] - Fraction(w[x]) * (slot + 1) / total) < (1 if slot + 1 >= 64 * len(w) else 2) for x in w)
+
+
+def test_mix_keeps_weights_and_long_plans(spark, monkeypatch):
+    df = spark.range(6000).selectExpr("id doc_id", "if(id % 2 = 0, 'a', 'b') source").repartition(3)
+    w = {"a": 1000, "b": 1}
+    want = mixing.mix(df, weights=w, block=1).orderBy("position").collect()
+    assert 2 <= sum(g.source == "b" for g in want[:2900]) <= 3  # 2.9 by weight; over 20 by whole blocks of a period
+    assert [g.position for g in want] == list(range(6000))
+    monkeypatch.setattr(mixing, "CHUNK", 1000)
+    assert mixing.mix(df, weights=w, block=1).orderBy("position").collect() == want
+
+
 # quality
 
 
