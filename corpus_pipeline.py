@@ -10,6 +10,10 @@ from tesserae.llm import line_dedup, mixing, ngram_join, packing, quality_classi
 from tesserae.llm.common import materialize
 
 
+#: Documents that are packed together: after each so many, sequences have the shares of the mixture.
+WINDOW = 2048
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, learnt from these documents' labels, scores 0.5 or more."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -33,8 +37,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences."""
-    return packing.pack(docs)
+    """Pieces of the documents in sequences that follow the mixture by sequence_id. The order of rows doesn't outlast Parquet, so places are found again: they depend on the documents only."""
+    return packing.pack_in_order(mixing.mix(packing.pieces(docs)), window=WINDOW)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -6,6 +6,8 @@ Documents may be cut: a remainder that would leave more than `slack` of its clas
 part capacity // (k + 1) and goes on with what is left. Bins that a worker can't fill hand their pieces to further rounds
 over groups of 64 partitions and of 4096, and what is left then, less than one bin a class and group, is packed by decreasing length in one task;
 its size depends on the number of classes and groups, not on the documents.
+
+pack_in_order() keeps an order: consecutive places form windows, each packed by itself, and sequences are numbered by window and within it by their first piece.
 """
 
 from __future__ import annotations
@@ -80,6 +82,21 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 8, schema=_SCHEMA)
 
 
+def _best_fit(rest: list[tuple], capacity: int) -> list[list[tuple]]:
+    """Pieces in bins by decreasing length. room: (free, bin) in ascending order."""
+    room: list[tuple[int, int]] = []
+    packed: list[list[tuple]] = []
+    for p in sorted(rest, key=lambda p: -p[2]):
+        i = bisect.bisect_left(room, (p[2], -1))
+        free, b = room.pop(i) if i < len(room) else (capacity, len(packed))
+        if b == len(packed):
+            packed.append([])
+        packed[b].append(p)
+        if free > p[2]:
+            bisect.insort(room, (free - p[2], b))
+    return packed
+
+
 def _rounds(level: int, bits: int | None, capacity: int):
     """Of a later round: the rows of one group in, packed rows out. bits: of the partition's number that a group leaves out; None in the last."""
 
@@ -93,18 +110,7 @@ def _rounds(level: int, bits: int | None, capacity: int):
         if bits:
             bins.rows += rest
         else:
-            # best fit by decreasing length; room: (free, bin) in ascending order
-            room: list[tuple[int, int]] = []
-            packed: list[list[tuple]] = []
-            for p in sorted(rest, key=lambda p: -p[2]):
-                i = bisect.bisect_left(room, (p[2], -1))
-                free, b = room.pop(i) if i < len(room) else (capacity, len(packed))
-                if b == len(packed):
-                    packed.append([])
-                packed[b].append(p)
-                if free > p[2]:
-                    bisect.insort(room, (free - p[2], b))
-            for pieces in packed:
+            for pieces in _best_fit(rest, capacity):
                 bins.close(pieces)
         return pa.Table.from_batches([_batch(bins.rows)])
 
@@ -147,3 +153,54 @@ def pack(docs: DataFrame, capacity: int = 4096, end_id: int = 2, slack: float =
         rest = materialize(rest, "packing") if bits else rest
         rounds.append(rest)
     return functools.reduce(DataFrame.unionAll, [r.where("sequence_id is not null") for r in rounds]).drop("part")
+
+
+_CUT = "array<struct<start: long, length: long, crc: long, tokens: long>>"
+
+
+def pieces(docs: DataFrame, capacity: int = 4096, end_id: int = 2, slack: float = 0.01, tokenizer: str | None = None) -> DataFrame:
+    """Of each row of docs (doc_id, source, text) its doc_id, source and `pieces`, as pack() cuts them; no text or ids, so that it can be put in order at little cost."""
+    path = tokenizer or default_path()
+    kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("start", "length", "crc", "tokens")]))
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tok = encoder(path)
+        for batch in batches:
+            for lo, _, flat, offs in tok.encode_column(batch.column(2), end_id):
+                flat = np.ascontiguousarray(flat, "<u4")
+                bounds, out = offs.tolist(), []
+                for a, b in zip(bounds[:-1], bounds[1:]):
+                    start, own = 0, []
+                    for size in cut(b - a, capacity, slack):
+                        own.append({"start": start, "length": size, "crc": zlib.crc32(flat[a + start : a + start + size]), "tokens": b - a})
+                        start += size
+                    out.append(own)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(out)), batch.column(1).slice(lo, len(out)), pa.array(out, kind)], names=["doc_id", "source", "pieces"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))
+    return materialize(rows.mapInArrow(local, f"doc_id long, source string, pieces {_CUT}"), "packing")
+
+
+def pack_in_order(placed: DataFrame, capacity: int = 4096, window: int = 2048) -> DataFrame:
+    """pack()'s columns, with sequences that follow an order. placed: pieces() with `position`, places from 0 without gaps.
+
+    Of the documents at places w * window and on, `window` in number, the sequences are w << 32 and on, in the order of their first pieces: those below
+    w << 32 hold the documents before place w * window, and no others. A window's last sequences are filled from it alone.
+    """
+
+    def fill(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(c.to_pylist() for c in table.select(["position", "start", "doc_id", "length", "crc", "tokens"]).columns)), key=lambda r: r[:2])
+        bins = _Bins(capacity, 0)
+        for position, start, doc, length, crc, tokens in rows:
+            bins.add((doc, start, length, crc, tokens, None, None, position))
+        for group in _best_fit(bins.rest(), capacity):
+            bins.close(group)
+        first: dict[int, tuple] = {}
+        for r in bins.rows:
+            first[r[5]] = min(first.get(r[5], (r[7], r[1])), (r[7], r[1]))
+        number = {s: i for i, s in enumerate(sorted(first, key=first.get))}
+        base = rows[0][0] // window << 32
+        return pa.Table.from_batches([_batch([(*r[:5], base + number[r[5]], *r[6:]) for r in bins.rows])])
+
+    flat = placed.select("doc_id", "position", F.inline("pieces"))
+    return flat.groupBy(F.floor(F.col("position") / window).alias("g")).applyInArrow(fill, _COLUMNS).drop("part")

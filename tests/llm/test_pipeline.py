@@ -101,6 +101,28 @@ def test_pipeline(spark, tmp_path):
         assert at == len(ids)
 
 
+def test_sequences_follow_the_mixture(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "WINDOW", 32)
+    docs, labels = fixture()
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = sorted(corpus_pipeline.run(spark, str(tmp_path)).collect(), key=lambda r: (r.sequence_id, r.offset))
+    source = {d[0]: d[3] for d in docs}
+    rows = spark.createDataFrame([(d, source[d]) for d in {r.doc_id for r in got}], "doc_id long, source string")
+    order = [r.doc_id for r in mixing.mix(rows).orderBy("position").collect()]
+    for w in range(len(order) // 32 + 1):
+        assert {r.doc_id for r in got if r.sequence_id < (w + 1) << 32} == set(order[: 32 * (w + 1)])
+    weights = mixing.temperature(Counter(source[d] for d in order))
+    for w in range(1, 5):  # before a source is used up, all but a block of each share, and the open block
+        done = Counter(source[r.doc_id] for r in got if r.sequence_id < w << 32 and r.start == 0)
+        assert all(abs(done[s] - 32 * w * weights[s] / sum(weights.values())) <= 2 * 16 for s in weights)
+    ends = Counter()
+    for r in got:
+        assert r.offset == ends[r.sequence_id]
+        ends[r.sequence_id] += r.length
+    assert max(ends.values()) <= 4096
+
+
 def test_stages_on_no_documents(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
