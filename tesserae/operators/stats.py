@@ -43,24 +43,66 @@ def correlation_table(df: DataFrame, left: list[str], right: list[str], method:
     return got.unpivot([], got.columns, "pair", "value").select(F.split_part("pair", F.lit("|"), F.lit(1)).alias("left"), F.split_part("pair", F.lit("|"), F.lit(2)).alias("right"), "value")
 
 
+def _concordance(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> int:
+    """Sum of sign(a - a') * sign(b - b') * c * c' over all pairs: by each bit of a's rank, halves that differ in it are counted against each other in the order of b."""
+    rank, level = np.unique(a, return_inverse=True)[1], np.unique(b, return_inverse=True)[1]
+    order = np.argsort(level, kind="stable")
+    rank, level, c, total = rank[order], level[order], c[order].astype(np.int64), 0
+    for bit in range(int(rank.max()).bit_length()):
+        by = np.argsort(rank >> (bit + 1), kind="stable")
+        node, y, w, high = (rank >> (bit + 1))[by], level[by], c[by], (rank[by] >> bit & 1).astype(bool)
+        run = np.concatenate([[0], np.cumsum(np.where(high, 0, w))])
+        key = node * (int(level.max()) + 1) + y
+        at = key[high]
+        begin, end = np.searchsorted(node, node[high], "left"), np.searchsorted(node, node[high], "right")
+        less, upto = np.searchsorted(key, at, "left"), np.searchsorted(key, at, "right")
+        total += sum(((run[less] - run[begin] - run[end] + run[upto]).astype(object) * w[high]).tolist())
+    return total
+
+
 def kendall(df: DataFrame, x: str, y: str, by: list[str] | None = None, most: int = 100_000) -> DataFrame:
-    """tau-b by group from all pairs of a group's rows; for groups of at most `most` rows (queries of an experiment), beyond it ValueError."""
+    """tau-b by group, exact for any number of rows. Values fall into ranges of about `most` rows of a group: pairs within a range of x or of y are counted
+    in a task for each range, all other pairs from the numbers of rows in the ranges' cells."""
     by = by or []
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).alias("x"), F.col(y).alias("y"))
-
-    def tau(f: pd.DataFrame) -> pd.DataFrame:
-        if len(f) > most:
-            raise ValueError(f"a group of {len(f)} rows; tau compares all pairs")
-        a, b, s = f["x"].to_numpy(float), f["y"].to_numpy(float), 0.0
-        for i in range(len(a) - 1):
-            s += float((np.sign(a[i + 1 :] - a[i]) * np.sign(b[i + 1 :] - b[i])).sum())
-        n = len(a) * (len(a) - 1) / 2
-        ties = [float(sum(c * (c - 1) / 2 for c in np.unique(v, return_counts=True)[1])) for v in (a, b)]
-        base = math.sqrt((n - ties[0]) * (n - ties[1]))
-        return pd.DataFrame([[*[f[c].iloc[0] for c in by], s / base if base else float("nan"), len(a)]], columns=[*by, "tau", "n"])
+    cells = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    cells = cells.groupBy(*by, "_x", "_y").agg(F.count("*").alias("_c"))
+    size = cells.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    parts = -(-size // most)
+    cells = cells.withColumns({"_p": F.lit(0), "_q": F.lit(0)})
+    if parts > 1:
+        at = [i / parts for i in range(1, parts)]
+        bounds = cells.groupBy(*by).agg(*(F.array_distinct(F.percentile_approx(c, at, 10 * parts)).alias(f"{c}b") for c in ("_x", "_y")))
+        bounds = bounds.withColumnsRenamed({c: f"{c}_of" for c in by})
+        cells = cells.join(F.broadcast(bounds) if not by else bounds, [F.col(c).eqNullSafe(F.col(f"{c}_of")) for c in by] or F.lit(True))
+        # a bound is a range by itself, in which all pairs tie, so a frequent value is never counted against itself
+        cells = cells.withColumns({p: F.expr(f"2 * size(filter({c}b, v -> v < {c})) + cast(array_contains({c}b, {c}) as int)") for p, c in (("_p", "_x"), ("_q", "_y"))})
+
+    def unit(kind: int, part, a: str, b: str, rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*by, F.lit(kind).alias("_k"), part.cast("int").alias("_r"), F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b")).agg(F.sum("_c").alias("_c"))
+
+    work = unit(0, F.col("_p"), "_x", "_y", cells.where("_p % 2 = 0"))
+    if parts > 1:
+        work = work.unionAll(unit(1, F.col("_q"), "_p", "_y", cells.where("_q % 2 = 0"))).unionAll(unit(2, F.lit(0), "_p", "_q", cells))
+
+    def count(f: pd.DataFrame) -> pd.DataFrame:
+        s = _concordance(f["_a"].to_numpy(), f["_b"].to_numpy(), f["_c"].to_numpy())
+        return pd.DataFrame([[*[f[c].iloc[0] for c in by], str(s)]], columns=[*by, "_s"])
 
     kinds = "".join(f"{c} {df.schema[c].dataType.simpleString()}, " for c in by)
-    return (rows if by else rows.withColumn("_g", F.lit(0))).groupBy(*(by or ["_g"])).applyInPandas(tau, kinds + "tau double, n long")
+    wide, names, zero = "decimal(38,0)", ("_s", "_n", "_t", "_u"), F.lit(0).cast("decimal(38,0)")
+    c = F.col("_c").cast("decimal(19,0)")
+
+    def part(rows: DataFrame, name: str, value) -> DataFrame:
+        return rows.select(*by, *((value.cast(wide) if n == name else zero).alias(n) for n in names))
+
+    found = part(work.groupBy(*by, "_k", "_r").applyInPandas(count, kinds + "_s string"), "_s", F.col("_s"))
+    found = found.unionAll(part(cells.groupBy(*by).agg(F.sum("_c").alias("_c")), "_n", c))
+    for column, name in (("_x", "_t"), ("_y", "_u")):
+        found = found.unionAll(part(cells.groupBy(*by, column).agg(F.sum("_c").alias("_c")), name, c * (c - 1) / 2))
+    got = found.groupBy(*by).agg(*(F.sum(n).cast("double" if n != "_n" else "long").alias(n) for n in names)).where("_n > 0")
+    pairs = F.col("_n").cast("double") * (F.col("_n") - 1) / 2
+    base = F.sqrt((pairs - F.col("_t")) * (pairs - F.col("_u")))
+    return got.select(*by, F.when(base > 0, F.col("_s") / base).otherwise(F.lit(float("nan"))).alias("tau"), F.col("_n").alias("n"))
 
 
 def mann_whitney(df: DataFrame, value: str, group: str, first, second, by: list[str] | None = None) -> DataFrame:
