@@ -28,7 +28,7 @@ def op5_quality_rules(spark, sf_dir):
 
 
 def op6_fingerprints(spark, sf_dir):
-    return simhash.report(documents(spark, sf_dir))
+    return simhash.report(documents(spark, sf_dir), radius=simhash.RADIUS)
 
 
 def op7_quality_classifier(spark, sf_dir):

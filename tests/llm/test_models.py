@@ -42,6 +42,22 @@ def test_fingerprints(spark):
     assert got[10].fingerprint == got[12].fingerprint
 
 
+def test_edited_copies_are_found(spark):
+    r = random.Random(9)
+    base = [[f"w{r.randint(0, 9000)}" for _ in range(n)] for n in (60, 100, 200, 400) for _ in range(5)]
+    copies = [[w if i not in at else f"x{i}" for i, w in enumerate(t)] for t in base for at in [set(r.sample(range(len(t)), len(t) // 50))]]  # 5-shingle similarity over 0.8
+    fp = prints([" ".join(t) for t in base + copies])
+    df = spark.createDataFrame([(f,) for f in fp], "fingerprint string")
+    for radius in (3, 9, simhash.RADIUS):
+        want = {(a, b, d) for a in fp for b in fp if (d := (int(a, 16) ^ int(b, 16)).bit_count()) <= radius}
+        assert {tuple(x) for x in simhash.within(df, df, radius).collect()} == want
+    found = {(a, b) for a, b, _ in want}
+    assert sum((a, b) in found for a, b in zip(fp, fp[len(base) :])) >= 19
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(base + copies)], "doc_id long, text string")
+    got = simhash.report(docs, radius=simhash.RADIUS, every=1).collect()
+    assert sum(g.n_within >= 1 for g in got) >= 38
+
+
 def test_fingerprints_odd(spark):
     assert simhash.report(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     (r,) = simhash.compare(spark.createDataFrame([(5, "abcd efgh")], "doc_id long, text string")).collect()
