@@ -172,17 +172,17 @@ def prune(edges: DataFrame, least: int = 2) -> DataFrame:
 
 
 def shortest_paths(edges: DataFrame, sources: DataFrame, limit: int = 20) -> DataFrame:
-    """(source, node, distance) of the undirected graph from each of the sources, breadth first, a join for each step."""
+    """(source, node, distance) of the undirected graph from each of the sources, breadth first, a join for each step, until none is new; ArithmeticError if `limit` steps don't get there."""
     both = edges.select(F.col("source").alias("a"), F.col("target").alias("b")).union(edges.select("target", "source")).distinct()
     reached = sources.select(F.col("node").alias("source"), "node", F.lit(0).alias("distance")).distinct()
     front = reached
-    for step in range(1, limit + 1):
+    for step in range(1, limit + 2):
         new = front.join(both, F.col("node") == F.col("a")).select("source", F.col("b").alias("node")).distinct().join(reached.select("source", "node"), ["source", "node"], "left_anti")
         front = checkpoint(new.withColumn("distance", F.lit(step)))
         if front.isEmpty():
-            break
+            return reached
         reached = reached.unionAll(front)
-    return reached
+    raise ArithmeticError(f"nodes more than {limit} steps from a source")
 
 
 def typed_histogram(edges: DataFrame) -> DataFrame:
