@@ -6,6 +6,8 @@ import gc
 import math
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,10 +16,12 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and every executor can read: spark.checkpoint.dir.
 
-    Only where it is unset (local tests) a temporary folder is made and set.
+    Only where it is unset and the master is local, as in tests, a temporary folder is made and set; on a cluster that raises, as executors wouldn't see it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tesserae-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -27,12 +31,48 @@ def shared_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/tesserae/{tag}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = shared_path(spark, tag)
+def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def materialize(df: DataFrame, tag: str) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: cuts lineage, survives lost executors. The table stays, as the result may be read at any time."""
+    return _written(df, shared_path(df.sparkSession, tag))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+class Steps:
+    """Durable tables of one run that go when they aren't needed any more."""
+
+    def __init__(self, spark: SparkSession):
+        self._spark, self._paths = spark, {}
+
+    def __call__(self, df: DataFrame, tag: str) -> DataFrame:
+        """materialize(), until drop()."""
+        path = shared_path(self._spark, tag)
+        out = _written(df, path)
+        self._paths[id(out)] = (out, path)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete these tables, or all; none may be read after."""
+        for key in [id(t) for t in tables] or list(self._paths):
+            remove(self._spark, self._paths.pop(key)[1])
+
+
+@contextmanager
+def steps(spark: SparkSession) -> Iterator[Steps]:
+    """Steps whose tables are all gone afterwards: what is to outlast them is materialized inside."""
+    out = Steps(spark)
+    try:
+        yield out
+    finally:
+        out.drop()
 
 
 def release(spark: SparkSession) -> None:

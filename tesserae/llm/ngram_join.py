@@ -1,15 +1,15 @@
 """Self-join of documents on the Jaccard similarity of their word shingles, exact, by token-combination prefixes.
 
-Tokens are 64-bit hashes of shingles. Frequent tokens come last in the global order (first the others by hash, then they by hash). If two sets share at
-least o tokens, the prefix of either must hold a shared one for as long as it has more than |x| - o tokens; where a class of tokens is indexed by
-pairs, it takes one token more of that class. So a document's prefix is extended until what its classes give, its rare tokens plus
-each frequent class's tokens less one, exceeds |x| - o; rare tokens are indexed singly and frequent ones as pairs within their class. Frequent tokens are
-dealt to classes by hash, in number by the size of the documents, so that pairs stay in proportion to tokens; documents of fewer than `short` tokens,
-whose prefixes hold no class, are indexed singly. Sizes fall into regimes; near a border a document is indexed in both.
+Tokens are 64-bit hashes of shingles, in three tiers by the documents that have them: rare ones are indexed singly, frequent ones as pairs, and very frequent ones as triples. Frequent
+tokens are dealt to classes by hash, and combinations are formed within a class, so that they stay in proportion to tokens. The global order has the rare tokens first, each
+tier by hash. If two sets share at least o tokens, the prefix of either must hold a shared one for as long as it has more than |x| - o tokens; where a class is indexed
+by k-combinations it takes k - 1 tokens more of that class. So a document's prefix is extended until what its classes give, rare tokens plus each class's tokens less k - 1,
+exceeds |x| - o. Documents of fewer than `short` tokens, whose prefixes hold no class, are indexed singly. Sizes fall into regimes; near a border a document is indexed in both.
 
-Candidates are not all pairs of a bucket. First each bucket's members are tried against one of them (a star), and what links is joined to
-components. Then only members of different components are paired, and only if their shared prefix tokens and their bitmaps (parities of hashed
-tokens, of which sets that differ in d tokens differ in d bits at most) leave a similarity of the threshold possible; those are verified too. So components cost no more than their members.
+Candidates are not all pairs of a bucket. Each bucket has a few hubs, members that share the most signatures with others; each other member is tried against the hub that its
+bitmap (parities of hashed tokens, of which sets that differ in d tokens differ in d bits at most) is nearest to, and what links is joined to
+components. Then only members of different components are paired, and only if their shared prefix tokens and their bitmaps leave a similarity of the threshold possible;
+those are verified too. So components cost no more than their members.
 
 Every link lies within a component, so the links are counted there: the different sets of a component form blocks of bounded size, each pair of blocks whose sizes
 can link is one unit of work, and in it all overlaps are found as products of 0/1 matrices. Numbers leave it, not pairs; the work grows with the square of a component, as its links do.
@@ -17,7 +17,9 @@ can link is one unit of work, and in it all overlaps are found as products of 0/
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -27,13 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm import textvec
-from tesserae.llm.common import materialize, release
+from tesserae.llm.common import Steps, materialize, release, steps
 from tesserae.llm.components import components
 
 #: Similarity NUM / DEN.
 NUM, DEN = 80, 100
 SHINGLE = 5
-SHORT, CLASSES = 128, 16
+#: Tokens of the smallest sets that are indexed by combinations, and classes of a tier at that size.
+SHORT, CLASSES = 16, 2
 
 
 def least_overlap(n: int) -> int:
@@ -49,33 +52,45 @@ def regimes(n: int) -> list[int]:
     return [r - 1, r] if r and NUM * n < DEN * SHORT * 4 ** (r - 1) else [r]
 
 
-def signatures(h: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, bool]:
-    """Hashes under which a set is indexed, and whether pairs are among them. h: ascending; frequent: by token."""
+@functools.lru_cache(maxsize=1 << 10)
+def _combinations(size: int, k: int) -> np.ndarray:
+    return np.array(list(itertools.combinations(range(size), k)), np.int64).reshape(-1, k)
+
+
+def signatures(h: np.ndarray, frequent: np.ndarray, very: np.ndarray | None = None) -> tuple[np.ndarray, bool]:
+    """Hashes under which a set is indexed, and whether combinations are among them. h: ascending; frequent, very: by token, very frequent ones being frequent."""
     n = len(h)
     need = n - least_overlap(n) + 1
-    rare, often = h[~frequent], h[frequent]
-    out, paired = [], False
+    very = np.zeros(n, bool) if very is None else very
+    rare, often = h[~frequent], np.concatenate([h[frequent & ~very], h[very]])
+    k = np.repeat([2, 3], [int((frequent & ~very).sum()), int(very.sum())])
+    out, combined = [], False
     for r in regimes(n):
         salt = textvec.mix(np.array([r + 1], np.uint64))
         single = rare[:need]
         if r == 0:
             single = np.concatenate([rare, often])[:need]
         elif len(rare) < need:
-            paired = True
-            of = (often >> np.uint64(7)) % np.uint64(CLASSES * 4 ** (r - 1))
-            gain = np.ones(len(often), np.int64)
-            gain[np.unique(of, return_index=True)[1]] = 0
-            last = int(np.searchsorted(np.cumsum(gain), need - len(rare))) + 1
-            part, of = often[:last], of[:last]
+            combined = True
+            classes = CLASSES * 4 ** (r - 1)
+            of = ((often >> np.uint64(7)) % np.uint64(classes)).astype(np.int64) + (k - 2) * classes
             order = np.argsort(of, kind="stable")
-            part, of = part[order], of[order]
+            begin = np.flatnonzero(np.concatenate([[True], of[order][1:] != of[order][:-1]]))
+            place = np.empty(len(often), np.int64)
+            place[order] = np.arange(len(often)) - np.repeat(begin, np.diff(np.append(begin, len(often))))
+            last = int(np.searchsorted(np.cumsum(place >= k - 1), need - len(rare))) + 1
+            order = order[order < last]
+            part, of = often[order], of[order]
             begin = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-            for size in np.unique(np.diff(np.append(begin, len(of)))).tolist():
-                rows = part[begin[np.diff(np.append(begin, len(of))) == size][:, None] + np.arange(size)]
-                i, j = np.triu_indices(size, 1)
-                out.append(textvec.mix(rows[:, i] * np.uint64(0xC2B2AE3D27D4EB4F) + rows[:, j]).reshape(-1) ^ salt)
+            count = np.diff(np.append(begin, len(of)))
+            for size, times in np.unique(np.stack([count, of[begin] // classes + 2]), axis=1).T.tolist():
+                rows = part[begin[(count == size) & (of[begin] // classes + 2 == times)][:, None] + np.arange(size)]
+                some, value = _combinations(size, times), np.uint64(0)
+                for j in range(times):
+                    value = value * np.uint64(0xC2B2AE3D27D4EB4F) + rows[:, some[:, j]]
+                out.append(textvec.mix(value).reshape(-1) ^ salt)
         out.append(single ^ salt)
-    return textvec.mix(np.concatenate(out)), paired
+    return textvec.mix(np.concatenate(out)), combined
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
@@ -85,17 +100,6 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndar
             yield batch.column(0).slice(lo, hi - lo), *textvec.shingle_sets(buf, offs, SHINGLE)
 
 
-class _Seen:
-    """Which document of this task first had a set."""
-
-    def __init__(self) -> None:
-        self._first: dict[bytes, int] = {}
-
-    def __call__(self, h: np.ndarray, doc: int) -> tuple[bytes, int]:
-        digest = _digest(h)
-        return digest, self._first.setdefault(digest, doc)
-
-
 #: Longs of a document's bitmap.
 WORDS = 16
 
@@ -107,33 +111,34 @@ def bitmaps(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.packbits((count & 1).astype(np.uint8).reshape(-1, 64 * WORDS), axis=1).view(np.int64)
 
 
-_PROFILE = "doc_id long, n long, digest binary, holder long, token long, times long, bits array<long>"
+_PROFILE = "doc_id long, n long, digest binary, token long, times long, bits array<long>"
 
 
 def _profile(often: float, flush: int = 1 << 22):
-    """Rows of documents (size, digest, first document of the task with this set) and rows of tokens that may be frequent, with their counts."""
+    """Rows of documents (size, digest, bitmap) and rows of tokens that may be frequent, with the numbers of different sets of the task that have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, held, size, docs = _Seen(), [], 0, 0
-        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("holder", pa.int64()), ("token", pa.int64()), ("times", pa.int64()), ("bits", pa.list_(pa.int64()))])
+        seen, held, size, docs = set(), [], 0, 0
+        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("token", pa.int64()), ("times", pa.int64()), ("bits", pa.list_(pa.int64()))])
 
         def tokens() -> Iterator[pa.RecordBatch]:
             if held:
                 t, times = np.unique(np.concatenate(held), return_counts=True)
                 keep = times >= max(2, often * docs)
                 t, times = t[keep].view(np.int64), times[keep]
-                none = [pa.nulls(len(t), f.type) for f in list(schema)[:4]]
+                none = [pa.nulls(len(t), f.type) for f in list(schema)[:3]]
                 yield pa.RecordBatch.from_arrays([*none, pa.array(t), pa.array(times), pa.nulls(len(t), pa.list_(pa.int64()))], schema=schema)
 
         for ids, h, at in _sets(batches):
             rows, bits = [], pa.ListArray.from_arrays(np.arange(0, len(at) * WORDS, WORDS, dtype=np.int32), bitmaps(h, at).reshape(-1))
             for doc, a, b in zip(ids.to_pylist(), at[:-1].tolist(), at[1:].tolist()):
                 if doc is None or a == b:
-                    rows.append((doc, b - a, None, None))
+                    rows.append((doc, b - a, None))
                     continue
-                digest, holder = seen(h[a:b], doc)
-                rows.append((doc, b - a, digest, holder))
-                if holder == doc:
+                digest = _digest(h[a:b])
+                rows.append((doc, b - a, digest))
+                if digest not in seen:
+                    seen.add(digest)
                     held.append(h[a:b])
                     size, docs = size + b - a, docs + 1
             columns = [pa.array(c, f.type) for c, f in zip(zip(*rows), schema)]
@@ -150,10 +155,11 @@ _POSTINGS = "part int, nodes binary, sizes binary, counts binary, signatures bin
 
 
 def _postings(shared, parts: int, flush: int = 1 << 20):
-    """Signatures of each different set of the task, by part of the hash range: documents, their sizes (negative if pairs are among them), signatures of each."""
+    """Signatures of the marked documents, by part of the hash range: documents, their sizes (negative if combinations are among them), signatures of each. shared: frequent tokens,
+    whether they are very frequent, marks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, seen = shared.value, _Seen()
+        frequent, often, marks = shared.value
         sieve = np.zeros(1 << 22, bool)
         sieve[frequent >> np.uint64(42)] = True
         held: list[tuple[int, int, np.ndarray]] = []
@@ -178,17 +184,20 @@ def _postings(shared, parts: int, flush: int = 1 << 20):
             for lo in range(0, len(out), 64):
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i else pa.int32()) for i, c in enumerate(zip(*out[lo : lo + 64]))], names=["part", "nodes", "sizes", "counts", "signatures"])
 
-        for ids, h, at in _sets(batches):
+        for ids, h, at in _sets(_marked(batches, marks)):
             hit = sieve[h >> np.uint64(42)]
+            very = np.zeros(len(h), bool)
             if hit.any():
                 t = h[hit]
                 i = np.minimum(np.searchsorted(frequent, t), len(frequent) - 1)
-                hit[np.flatnonzero(hit)] = frequent[i] == t
+                found = frequent[i] == t
+                very[hit] = found & often[i]
+                hit[hit] = found
             for doc, a, b in zip(ids.to_pylist(), at[:-1].tolist(), at[1:].tolist()):
-                if doc is None or a == b or seen(h[a:b], doc)[1] != doc:
+                if doc is None or a == b:
                     continue
-                sig, paired = signatures(h[a:b], hit[a:b])
-                held.append((doc, a - b if paired else b - a, sig))
+                sig, combined = signatures(h[a:b], hit[a:b], very[a:b])
+                held.append((doc, a - b if combined else b - a, sig))
                 size += len(sig)
             if size >= flush:
                 yield from rows()
@@ -198,12 +207,11 @@ def _postings(shared, parts: int, flush: int = 1 << 20):
     return run
 
 
-_BUCKETS = "bucket long, times int, node long, n long, paired boolean, hub long, hub_n long"
+_BUCKETS = "bucket long, times int, node long, n long, combined boolean"
 
 
 def _buckets(table: pa.Table) -> pa.Table:
-    """Of one part of the hash range the signatures that several documents have. Signatures with the same documents count as one bucket, `times` over.
-    hub: a member by a digest of the ids, so that overlapping buckets mostly have the same."""
+    """Of one part of the hash range the signatures that several documents have. Signatures with the same documents count as one bucket, `times` over."""
     read = {c: [np.frombuffer(x, t) for x in table.column(c).to_pylist()] for c, t in (("nodes", "<i8"), ("sizes", "<i8"), ("counts", "<u4"), ("signatures", "<u8"))}
     cat = {c: np.concatenate(v) if v else np.zeros(0, np.int64) for c, v in read.items()}
     sig = cat["signatures"].astype(np.uint64)
@@ -217,23 +225,15 @@ def _buckets(table: pa.Table) -> pa.Table:
     sig, node, size = sig[many], node[many], size[many]
     names = _BUCKETS.replace(",", "").split()[::2]
     if not len(sig):
-        return pa.table({n: pa.array([], t) for n, t in zip(names, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()))})
+        return pa.table({n: pa.array([], t) for n, t in zip(names, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()))})
     begin = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
     count = np.diff(np.append(begin, len(sig)))
-    digest = textvec.mix(node.astype(np.uint64))
-    whole = textvec.mix(np.add.reduceat(digest, begin) ^ count.astype(np.uint64))
+    whole = textvec.mix(np.add.reduceat(textvec.mix(node.astype(np.uint64)), begin) ^ count.astype(np.uint64))
     whole, first, times = np.unique(whole, return_index=True, return_counts=True)
     count = count[first]
     rows = np.repeat(begin[first] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-    node, size, digest = node[rows], size[rows], digest[rows]
-    at = np.cumsum(count) - count
-    least = np.minimum.reduceat(digest, at)
-    hub = np.flatnonzero(digest == np.repeat(least, count))
-    hub = hub[np.unique(np.searchsorted(at, hub, "right"), return_index=True)[1]]
-    return pa.table({
-        "bucket": np.repeat(whole, count).view(np.int64), "times": np.repeat(times, count).astype(np.int32), "node": node, "n": np.abs(size), "paired": size < 0,
-        "hub": np.repeat(node[hub], count), "hub_n": np.repeat(np.abs(size[hub]), count),
-    })
+    node, size = node[rows], size[rows]
+    return pa.table({"bucket": np.repeat(whole, count).view(np.int64), "times": np.repeat(times, count).astype(np.int32), "node": node, "n": np.abs(size), "combined": size < 0})
 
 
 #: Slots of the bitmap of wanted documents.
@@ -250,26 +250,26 @@ def _marks(ids: DataFrame) -> np.ndarray:
     return out
 
 
+def _marked(batches: Iterator[pa.RecordBatch], marks: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows whose first column's slot is marked."""
+    for batch in batches:
+        slot = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False) % SLOTS
+        hit = (marks[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1
+        yield batch.filter(pa.array(hit.astype(bool)).cast(pa.bool_()))
+
+
 def _digest(h: np.ndarray) -> bytes:
     return hashlib.blake2b(h.tobytes(), digest_size=16).digest()
 
 
-def _tokens(shared, *more):
-    """Sets of the documents whose slot is marked: texts are read where they lie and not shuffled. more: functions of a set whose results follow it."""
+def _tokens(shared):
+    """Sets of the documents whose slot is marked, and their digests: texts are read where they lie and not shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = shared.value
-
-        def wanted() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                slot = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False) % SLOTS
-                hit = (marks[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1
-                yield batch.filter(pa.array(hit.astype(bool)).cast(pa.bool_()))
-
-        for ids, h, at in _sets(wanted()):
+        for ids, h, at in _sets(_marked(batches, shared.value)):
             sets = [h[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-            columns = [pa.array([f(x) for x in sets], pa.binary()) for f in (np.ndarray.tobytes, *more)]
-            yield pa.RecordBatch.from_arrays([ids, *columns], names=["id", "tokens", *(f.__name__.strip("_") for f in more)])
+            columns = [pa.array([f(x) for x in sets], pa.binary()) for f in (np.ndarray.tobytes, _digest)]
+            yield pa.RecordBatch.from_arrays([ids, *columns], names=["id", "tokens", "digest"])
 
     return run
 
@@ -288,17 +288,26 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([c[i] for i in keep], pa.int64()) for c in (u, v)], names=["u", "v"])
 
 
-def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(u, v) of the pairs that link."""
-    pairs = materialize(pairs, "pairs")
-    ids = pairs.select(F.col("u").alias("doc_id")).unionAll(pairs.select(F.col("v").alias("doc_id"))).distinct()
+def _sets_of(ids: DataFrame, docs: DataFrame, known: DataFrame | None, step: Steps) -> DataFrame:
+    """(id, tokens, digest) of the documents of these ids, and by chance of a few more; known: sets that needn't be read again."""
+    if known is not None:
+        ids = ids.join(known.select(F.col("id").alias("doc_id")), "doc_id", "left_anti")
+        if ids.isEmpty():
+            return known
     shared = docs.sparkSession.sparkContext.broadcast(_marks(ids))
-    sets = materialize(docs.mapInArrow(_tokens(shared), "id long, tokens binary"), "sets")
-    release(docs.sparkSession)
-    left = pairs.join(sets.withColumnsRenamed({"id": "u", "tokens": "a"}), "u")
-    both = left.join(sets.withColumnsRenamed({"id": "v", "tokens": "b"}), "v").select("u", "v", "a", "b")
-    found = materialize(both.mapInArrow(_linked, "u long, v long").distinct(), "links")
-    release(docs.sparkSession)
+    # a document may have several texts
+    new = docs.mapInArrow(_tokens(shared), "id long, tokens binary, digest binary")
+    new = step(new if known is None else new.join(known.select("id").distinct(), "id", "left_anti"), "sets")
+    return new if known is None else known.unionAll(new)
+
+
+def _verify(pairs: DataFrame, sets: DataFrame, step: Steps) -> DataFrame:
+    """(u, v) of the pairs that link. v: the side of fewer documents."""
+    few = sets.join(pairs.select(F.col("v").alias("id")).distinct(), "id", "left_semi")
+    left = pairs.join(sets.select(F.col("id").alias("u"), F.col("tokens").alias("a")), "u")
+    both = left.join(few.select(F.col("id").alias("v"), F.col("tokens").alias("b")), "v").select("u", "v", "a", "b")
+    found = step(both.mapInArrow(_linked, "u long, v long").distinct(), "links")
+    release(pairs.sparkSession)
     return found
 
 
@@ -307,11 +316,15 @@ def _near(a: str, b: str):
     return (F.col(a) * DEN >= F.col(b) * NUM) & (F.col(b) * DEN >= F.col(a) * NUM)
 
 
+def _apart(a: str, b: str):
+    """Bits in which bitmaps differ."""
+    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(WORDS)), F.lit(0))
+
+
 def _alike(n_a: str, bits_a: str, n_b: str, bits_b: str):
     """Whether the bitmaps leave the overlap possible that the threshold asks for: n_a + n_b - 2 * overlap tokens may differ."""
-    apart = sum((F.bit_count(F.col(bits_a)[i].bitwiseXOR(F.col(bits_b)[i])) for i in range(WORDS)), F.lit(0))
     size = F.col(n_a) + F.col(n_b)
-    return apart <= size - 2 * F.ceil(size * NUM / (NUM + DEN))
+    return _apart(bits_a, bits_b) <= size - 2 * F.ceil(size * NUM / (NUM + DEN))
 
 
 def _possible(a: str, b: str):
@@ -380,13 +393,13 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch(list(cell(held)))
 
 
-def _links(groups: DataFrame, label: DataFrame, docs: DataFrame) -> DataFrame:
-    """(digest, linked): documents of other sets that link with each set. groups: digest, first, n, n_copies; label: node, component; sets that nothing links with are left out."""
+def _links(groups: DataFrame, label: DataFrame, docs: DataFrame, known: DataFrame, step: Steps) -> DataFrame:
+    """(digest, linked): documents of other sets that link with each set. groups: digest, first, n, n_copies; label: node, component; known: sets; sets that nothing links with are left out."""
     own = groups.join(label, F.col("first") == F.col("node"), "left").select("digest", "first", "n", "n_copies", F.coalesce("component", "first").alias("component"))
     whole = own.groupBy("component").agg(F.count("*").alias("sets"), F.sum("n").alias("all")).where("sets > 1")
     # sizes that link differ by a factor of DEN / NUM at most: by less than one kind
     kind = F.when((F.col("sets") <= BLOCK) & (F.col("all") <= BLOCK_TOKENS), 0).otherwise(F.floor(F.ln("n") / math.log(1.04 * DEN / NUM)) + 1).cast("int")
-    own = materialize(own.join(whole, "component").withColumn("kind", kind).drop("sets", "all"), "members")
+    own = step(own.join(whole, "component").withColumn("kind", kind).drop("sets", "all"), "members")
     blocks = own.groupBy("component", "kind").agg(F.count("*").alias("sets"), F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks"))
     at = own.join(blocks.drop("sets"), ["component", "kind"]).withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")).drop("blocks")
     at = at.withColumn("step", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn("other", F.col("kind") + F.col("step"))
@@ -395,65 +408,86 @@ def _links(groups: DataFrame, label: DataFrame, docs: DataFrame) -> DataFrame:
     right = (F.col("step") < 0) | ((F.col("step") == 0) & (F.col("block") > F.col("to")))
     ends = [F.when(right, F.col(b)).otherwise(F.col(a)) for a, b in (("kind", "other"), ("block", "to"), ("other", "kind"), ("to", "block"))]
     cells = at.select(F.concat_ws("-", "component", *ends).alias("cell"), right.alias("right"), "digest", "n_copies")
-    shared = docs.sparkSession.sparkContext.broadcast(_marks(own.select(F.col("first").alias("doc_id"))))
-    # a document may have several texts, and a digest several documents
-    sets = docs.mapInArrow(_tokens(shared, _digest), "id long, tokens binary, digest binary")
-    sets = materialize(sets.join(own.select(F.col("first").alias("id"), "digest"), ["id", "digest"], "left_semi").drop("id").dropDuplicates(["digest"]), "sets")
-    release(docs.sparkSession)
+    sets = _sets_of(own.select(F.col("first").alias("doc_id")), docs, known, step)
+    sets = sets.join(own.select(F.col("first").alias("id"), "digest"), ["id", "digest"], "left_semi").drop("id").dropDuplicates(["digest"])
     work = cells.join(sets, "digest").select("cell", "right", "digest", "n_copies", "tokens").repartition("cell").sortWithinPartitions("cell")
-    found = materialize(work.mapInArrow(_counted, "digest binary, linked long").groupBy("digest").agg(F.sum("linked").alias("linked")), "counts")
+    found = step(work.mapInArrow(_counted, "digest binary, linked long").groupBy("digest").agg(F.sum("linked").alias("linked")), "counts")
     release(docs.sparkSession)
     return found
 
 
-def _labelled(docs: DataFrame, often: float = 1 / 8000, least_often: int = 16, per_part: int = 1_000_000) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """doc_id, n, digest, holder of every document; node and component of those that link; digest, first document, n, n_copies of every set."""
+#: Hubs of a bucket.
+HUBS = 3
+
+
+def _stars(buckets: DataFrame, bits: DataFrame) -> DataFrame:
+    """(u, v): each member of a bucket with the likeliest of its hubs, and hubs with each other. Hubs are those that share the most signatures, and two drawn from those that
+    share nearly as many; in overlapping buckets they are mostly the same. bits: node, bits."""
+    weight = buckets.groupBy("node").agg(F.sum("times").alias("weight"))
+    member = buckets.join(weight, "node")
+    nearly = F.floor(F.log2("weight") * 4)
+    best = [F.max(F.struct(F.when(F.lit(i == 0), F.col("weight")).otherwise(nearly).alias("w"), F.xxhash64(F.lit(i), "node").alias("h"), F.col("node").alias("hub"), F.col("n").alias("hub_n"))).alias(f"h{i}") for i in range(HUBS)]
+    hubs = member.groupBy("bucket").agg(*best).select("bucket", F.explode(F.array_distinct(F.array(*(F.struct(f"h{i}.hub", f"h{i}.hub_n") for i in range(HUBS))))).alias("hub")).select("bucket", "hub.*")
+    pairs = buckets.join(hubs, "bucket").where("node <> hub").where(_near("n", "hub_n")).select("node", "hub").distinct()
+    x, y = (bits.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in ("node", "hub"))
+    pairs = pairs.join(x, "node").join(y.join(hubs.select("hub").distinct(), "hub", "left_semi"), "hub").where(_alike("n_node", "bits_node", "n_hub", "bits_hub"))
+    pairs = pairs.withColumn("apart", _apart("bits_node", "bits_hub") / (F.col("n_node") + F.col("n_hub")))
+    likeliest = pairs.groupBy("node").agg(F.min_by("hub", F.struct("apart", "hub")).alias("hub"))
+    among = pairs.join(hubs.select(F.col("hub").alias("node")).distinct(), "node", "left_semi").select("node", "hub")
+    return likeliest.unionAll(among).select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
+
+
+def _labelled(docs: DataFrame, step: Steps, often: float = 1 / 8000, least_often: int = 16, very: float = 1 / 400, per_part: int = 1_000_000) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """doc_id, n, digest of every document; node and component of those that link; digest, first document, n, n_copies of every set; sets that were read."""
     spark = docs.sparkSession
-    profile = materialize(docs.mapInArrow(_profile(often), _PROFILE), "profile")
-    rows = profile.where("times is null").select("doc_id", "n", "digest", "holder")
-    total = rows.where("holder = doc_id").agg(F.count("*").alias("docs"), F.sum("n").alias("tokens")).first()
+    profile = step(docs.mapInArrow(_profile(often), _PROFILE), "profile")
+    rows = profile.where("times is null").select("doc_id", "n", "digest")
+    own = rows.where("digest is not null")
+    groups = step(own.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"), F.count("*").alias("n_copies")), "groups")
+    total = groups.agg(F.count("*").alias("docs"), F.sum("n").alias("tokens")).first()
     bound = max(least_often, often * total.docs)
     times = profile.where("times is not null").groupBy("token").agg(F.sum("times").alias("times")).where(F.col("times") >= bound)
-    frequent = np.sort(np.asarray(times.select("token").toArrow().column(0).to_numpy(), np.int64).view(np.uint64))
-    shared = spark.sparkContext.broadcast(frequent)
+    found = times.select("token", (F.col("times") >= max(bound, very * total.docs)).alias("very")).toArrow()
+    frequent = np.asarray(found.column(0).to_numpy(), np.int64).view(np.uint64)
+    order = np.argsort(frequent)
+    marks = _marks(groups.select(F.col("first").alias("doc_id")))
+    shared = spark.sparkContext.broadcast((frequent[order], np.asarray(found.column(1).to_numpy(zero_copy_only=False), bool)[order], marks))
     parts = max(8, -(-int((total.tokens or 0) * (DEN - NUM) / DEN + total.docs) // per_part))
     postings = docs.mapInArrow(_postings(shared, parts), _POSTINGS)
-    buckets = materialize(postings.groupBy("part").applyInArrow(_buckets, _BUCKETS), "buckets")
+    buckets = step(postings.groupBy("part").applyInArrow(_buckets, _BUCKETS), "buckets")
     release(spark)
 
-    # what a star can't promise by the tokens shared in its buckets is left to the second part
-    star = buckets.where(F.col("node") != F.col("hub")).where(_near("n", "hub_n")).groupBy("node", "hub", "n", "hub_n", "paired").agg(F.sum("times").alias("shared"))
-    bits = profile.where("holder = doc_id").select("doc_id", "bits", "n")
-    star = star.where(F.col("paired") | _possible("n", "hub_n"))
-    star = star.join(bits.select(F.col("doc_id").alias("node"), F.col("n").alias("n_x"), F.col("bits").alias("x")), "node").join(bits.select(F.col("doc_id").alias("hub"), F.col("n").alias("n_y"), F.col("bits").alias("y")), "hub")
-    star = star.where(_alike("n_x", "x", "n_y", "y")).select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v")).distinct()
-    links = _verify(star, docs)
-    own = rows.where("holder is not null")
-    groups = own.groupBy("digest").agg(F.min("holder").alias("first"), F.max("n").alias("n"), F.count("*").alias("n_copies"))
-    same = own.where("doc_id <> holder").select(F.col("doc_id").alias("u"), F.col("holder").alias("v"))
-    apart = own.where("doc_id = holder").join(groups.drop("n"), "digest").where("holder <> first").select(F.col("holder").alias("u"), F.col("first").alias("v"))
-    first = components(links.unionAll(same).unionAll(apart))
+    bits = profile.where("digest is not null").select(F.col("doc_id").alias("node"), "n", "bits")
+    star = step(_stars(buckets, bits), "pairs")
+    sets = _sets_of(star.select(F.col("u").alias("doc_id")).unionAll(star.select(F.col("v").alias("doc_id"))).distinct(), docs, None, step)
+    links = _verify(star, sets, step)
+    step.drop(star)
+    same = own.join(groups.select("digest", "first"), "digest").where("doc_id <> first").select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
+    first = components(links.unionAll(same), step=step)
 
     # members of one bucket in different components
-    member = buckets.select("bucket", "times", "node", "n", "paired").join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    member = buckets.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = member.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    member = member.join(mixed, "bucket", "left_semi").groupBy("bucket", "node", "n", "paired", "component").agg(F.sum("times").alias("times"))
-    member = materialize(member.join(bits.withColumnRenamed("doc_id", "node"), ["node", "n"]), "mixed")
-    a = member.select("bucket", "times", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "paired", "component", "bits")))
-    b = member.select(F.col("bucket").alias("_bucket"), *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "paired", "component", "bits")))
+    member = member.join(mixed, "bucket", "left_semi").groupBy("bucket", "node", "n", "combined", "component").agg(F.sum("times").alias("times"))
+    member = step(member.join(bits.distinct(), ["node", "n"]), "mixed")
+    a = member.select("bucket", "times", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "combined", "component", "bits")))
+    b = member.select(F.col("bucket").alias("_bucket"), *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "combined", "component", "bits")))
     pairs = a.join(b, (F.col("bucket") == F.col("_bucket")) & (F.col("component_a") < F.col("component_b")) & _near("n_a", "n_b") & _alike("n_a", "bits_a", "n_b", "bits_b"))
-    pairs = pairs.groupBy("node_a", "node_b", "n_a", "n_b").agg(F.sum("times").alias("shared"), F.max(F.col("paired_a") & F.col("paired_b")).alias("paired"))
-    pairs = pairs.where(F.col("paired") | _possible("n_a", "n_b")).select(F.col("node_a").alias("u"), F.col("node_b").alias("v"))
-    more = _verify(pairs, docs)
+    pairs = pairs.groupBy("node_a", "node_b", "n_a", "n_b").agg(F.sum("times").alias("shared"), F.max(F.col("combined_a") & F.col("combined_b")).alias("combined"))
+    pairs = pairs.where(F.col("combined") | _possible("n_a", "n_b")).select(F.col("node_a").alias("u"), F.col("node_b").alias("v"))
+    pairs = step(pairs.distinct(), "pairs")
+    step.drop(buckets, member)
+    sets = _sets_of(pairs.select(F.col("u").alias("doc_id")).unionAll(pairs.select(F.col("v").alias("doc_id"))).distinct(), docs, sets, step)
+    more = _verify(pairs, sets, step)
     label = first
     if not more.isEmpty():
         c = first.select(F.col("node").alias("x"), F.col("component").alias("c"))
         ends = more.join(c, F.col("u") == F.col("x"), "left").select(F.coalesce("c", "u").alias("u"), "v")
         ends = ends.join(c, F.col("v") == F.col("x"), "left").select("u", F.coalesce("c", "v").alias("v"))
-        second = components(ends)
+        second = components(ends, step=step)
         known = first.unionAll(second.select("node", F.col("node").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
         label = known.join(second.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left").select("node", F.coalesce("top", "component").alias("component"))
-    return rows, label, groups
+    return rows, step(label, "label"), groups, sets
 
 
 def _component():
@@ -471,19 +505,22 @@ def join(docs: DataFrame, **options) -> DataFrame:
     docs: doc_id and text; other columns are ignored. Null or wordless texts have an empty set and link with nothing; a text of one to four words is one
     shingle. Rows of one doc_id are one node, of the links of all their texts; n_copies and n_links are of the row's own text, and count rows. A null doc_id has a size
     but no component and no links.
-    often=1 / 8000: the share of documents from which a token is frequent. There are at most mean set size / often of these, and only they are broadcast.
+    often=1 / 8000: the share of sets from which a token is frequent, very=1 / 400: from which it is very frequent. There are at most mean set size / often frequent ones,
+    and only they and a bitmap of 4 MB are broadcast.
     """
     docs = _narrow(docs)
-    rows, label, groups = _labelled(docs, **options)
-    groups = materialize(groups, "groups")
-    label = materialize(label, "label")
-    links = groups.join(_links(groups, label, docs), "digest", "left").select("digest", "n_copies", (F.coalesce("linked", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"))
-    out = rows.join(label, F.col("doc_id") == F.col("node"), "left").join(links, "digest", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), _component(), F.coalesce("n_copies", F.lit(1)).alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    with steps(docs.sparkSession) as step:
+        rows, label, groups, sets = _labelled(docs, step, **options)
+        found = _links(groups, label, docs, sets, step)
+        links = groups.join(found, "digest", "left").select("digest", "n_copies", (F.coalesce("linked", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"))
+        out = rows.join(label, F.col("doc_id") == F.col("node"), "left").join(links, "digest", "left")
+        return materialize(out.select("doc_id", F.col("n").alias("n_shingles"), _component(), F.coalesce("n_copies", F.lit(1)).alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "ngram-join")
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """docs without the documents whose component has a smaller doc_id; rows with a null doc_id stay."""
-    rows, label, _ = _labelled(_narrow(docs), **options)
-    gone = rows.join(label, F.col("doc_id") == F.col("node"), "left").select("doc_id", _component()).where("component_id <> doc_id").select("doc_id").distinct()
+    with steps(docs.sparkSession) as step:
+        rows, label, _, _ = _labelled(_narrow(docs), step, **options)
+        gone = rows.join(label, F.col("doc_id") == F.col("node"), "left").select("doc_id", _component()).where("component_id <> doc_id").select("doc_id").distinct()
+        gone = materialize(gone, "ngram-gone")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
