@@ -8,6 +8,7 @@ import functools
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tesserae.functions.udf import vectorized
 
@@ -15,6 +16,10 @@ from tesserae.functions.udf import vectorized
 WHITE = r"[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
+#: Fixed pattern: the words of a camelCase name.
+CAMEL = r".+?(?:(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])|$)"
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^{WHITE}+|{WHITE}+$", "")
 
@@ -45,7 +50,7 @@ def tokenize(c: Column) -> Column:
 
 def split_identifier(c: Column) -> Column:
     """snake_case at underscores, else camelCase before capitals; lower case."""
-    camel = F.regexp_extract_all(c, F.lit("(?s).+?(?:(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])|$)"), 0)
+    camel = F.regexp_extract_all(c, F.lit("(?s)" + CAMEL), 0)
     return lower_all(F.when(c.contains("_"), F.split(c, "_")).otherwise(camel))
 
 
@@ -172,6 +177,10 @@ def outcome(value: Column, error: Column | None = None) -> Column:
 #: Names of retrievers as shown, by what they contain, and colours of corpora.
 RETRIEVER_NAMES = (("all-mpnet-base-v2", "MPNet"), ("all-MiniLM-L12-v2", "MiniLM"), ("embeddinggemma", "gemma embedder"), ("static-retrieval", "static embedder"))
 CORPUS_COLOURS = (("signature", "red"), ("dep_sig", "blue"), ("repomap", "cyan"), ("code2doc", "green"))
+#: Parts of corpus names that go behind the name in brackets, and whole names as shown.
+CORPUS_SOURCES = ("dep_sig", "repomap")
+CORPUS_NAMES = (("code2doc_generated_readme", "code2doc_generated_readme (selected code)"), ("code2doc_files_summary", "code2doc_files_summary(selected code)"))
+CORPUS_WORDS = (("generation_context", "code summary"), ("dep_sig", "dependency signature"))
 
 
 def retriever_label(c: Column) -> Column:
@@ -190,16 +199,26 @@ def corpus_colour(c: Column) -> Column:
 
 def corpus_label(c: Column) -> Column:
     """A corpus's name as shown: which source it is of goes behind, in brackets."""
-    name = F.replace(c, F.lit("generation_context"), F.lit("code summary"))
-    shown = (
-        F.when(name.contains("dep_sig"), F.concat(F.replace(name, F.lit("dep_sig_"), F.lit("")), F.lit(" (dep_sig)")))
-        .when(name.contains("repomap"), F.concat(F.replace(name, F.lit("repomap_"), F.lit("")), F.lit(" (repomap)")))
-        .when(name == "code2doc_generated_readme", F.lit("code2doc_generated_readme (selected code)"))
-        .when(name == "code2doc_files_summary", F.lit("code2doc_files_summary(selected code)"))
-        .otherwise(name)
-    )
+    (first, first_shown), (last, last_shown) = CORPUS_WORDS
+    name = F.replace(c, F.lit(first), F.lit(first_shown))
+    shown = F
+    for part in CORPUS_SOURCES:
+        shown = shown.when(name.contains(part), F.concat(F.replace(name, F.lit(part + "_"), F.lit("")), F.lit(f" ({part})")))
+    for whole, as_shown in CORPUS_NAMES:
+        shown = shown.when(name == whole, F.lit(as_shown))
     colour = corpus_colour(c)
-    return F.when(colour.isNull(), c).otherwise(F.concat(F.lit("{\\color{"), colour, F.lit("} "), F.replace(shown, F.lit("dep_sig"), F.lit("dependency signature")), F.lit("}")))
+    text = F.replace(shown.otherwise(name), F.lit(last), F.lit(last_shown))
+    return F.when(colour.isNull(), c).otherwise(F.concat(F.lit("{\\color{"), colour, F.lit("} "), text, F.lit("}")))
+
+
+def round_nested(c: Column, kind: T.DataType, digits: int = 3, compat: bool = True) -> Column:
+    """Numbers rounded, in maps and structs at any depth too. compat: below the top three digits whatever is asked for, as the original does."""
+    below = 3 if compat else digits
+    if isinstance(kind, T.StructType):
+        return F.struct(*(round_nested(c[f.name], f.dataType, below, compat).alias(f.name) for f in kind))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(c, lambda _, v: round_nested(v, kind.valueType, below, compat))
+    return F.round(c.cast("double"), digits) if isinstance(kind, T.NumericType) else c
 
 
 def concat_columns(df: DataFrame, columns: list[str], target: str, separator: str = " ") -> DataFrame:

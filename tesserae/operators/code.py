@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.functions.text import CAMEL
 from tesserae.functions.udf import vectorized
 from tesserae.schemas import EDGES, MATCH
 
@@ -88,8 +89,7 @@ class Analysis(ast.NodeVisitor):
     def _import(self, plain: bool, module: str | None, a: ast.alias) -> None:
         self.imports.append((module, a.name, a.asname))
         self.plain.append(plain)
-        if a.asname:
-            self._alias[a.asname] = a.name
+        self._alias[a.asname or a.name] = a.name
 
     def edges(self, repo: str, path: str) -> Iterator[tuple[str, str, str]]:
         """(source, target, type) in the fixed order of types."""
@@ -97,7 +97,9 @@ class Analysis(ast.NodeVisitor):
         yield from ((path, c, "file-class") for c in sorted(self.classes))
         yield from ((path, f, "file-function") for f in sorted(self.functions))
         targets = [".".join(x for x in (m, n) if x) for m, n, _ in self.imports]
-        yield from ((path, t, "file-import") for t in sorted(targets))
+        # by module, name and alias, a plain import's name being its module
+        keys = [(n, "", a or "") if plain else (m or "", n, a or "") for (m, n, a), plain in zip(self.imports, self.plain)]
+        yield from ((path, targets[i], "file-import") for i in sorted(range(len(keys)), key=keys.__getitem__))
         yield from ((a, b, "inheritance") for a, b in sorted(self.inheritance))
         yield from ((a, b, "class-method") for a, b in sorted(self.methods))
         yield from ((a, b, "function-function") for a, b in sorted(self.calls))
@@ -176,6 +178,7 @@ def module_corpus(files: DataFrame) -> DataFrame:
     return found.groupBy("repo").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("imports")))).alias("imports"))
 
 
+#: Fixed pattern: lines of signatures.
 _SIGNATURE = re.compile(r"(\s+ def|class) (.*:$)", re.M)
 
 
@@ -293,7 +296,7 @@ def names_by_prefix(c: Column, keyword_: str) -> Column:
     return F.transform(lines, lambda x: F.regexp_extract(x, rf"^\s*{keyword_}\s+(\w+)", 1))
 
 
-_CAMEL = re.compile(r".+?(?:(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])|$)", re.S)
+_CAMEL = re.compile(CAMEL, re.S)
 
 
 def _tokens(source: str) -> list[str]:
@@ -305,16 +308,37 @@ def _tokens(source: str) -> list[str]:
 name_tokens = _udf(_tokens, "array<string>")
 
 
+#: The parts of a node in which legacy calls are looked for.
+_LEGACY_PARTS = {
+    ast.Call: ("args",), ast.BinOp: ("left", "right"), ast.Expr: ("value",), ast.Assign: ("value",), ast.While: ("test", "orelse", "body"),
+    ast.If: ("test", "orelse", "body"), ast.For: ("target", "body", "iter"), ast.Try: ("body",),
+}
+
+
+def _legacy_units(node: ast.AST) -> Iterator[ast.AST]:
+    """Functions and classes that stand in a module or in bodies of other statements, but not in each other."""
+    if isinstance(node, (ast.FunctionDef, ast.ClassDef)):
+        yield node
+    else:
+        for child in getattr(node, "body", []):
+            yield from _legacy_units(child)
+
+
 def _legacy_calls(source: str) -> list[dict]:
-    """Calls of each function or class at any depth, by the last part of their names."""
+    """What each unit calls, by the last part of the name: only in the statements and expressions of _LEGACY_PARTS, whose attributes count as calls too. Of units with one name the last one counts."""
+    units = {u.name: u for u in _legacy_units(ast.parse(source))}
     out = []
-    for unit in ast.walk(ast.parse(source)):
-        if isinstance(unit, (ast.FunctionDef, ast.ClassDef)):
-            called = set()
-            for node in ast.walk(unit):
-                if isinstance(node, ast.Call) and isinstance(node.func, (ast.Name, ast.Attribute)):
-                    called.add(node.func.id if isinstance(node.func, ast.Name) else node.func.attr)
-            out += [{"source": unit.name, "target": c} for c in sorted(called)]
+    for name, unit in units.items():
+        called, todo = set(), list(unit.body)
+        while todo:
+            node = todo.pop()
+            named = node.func if isinstance(node, ast.Call) else node if isinstance(node, ast.Attribute) else None
+            if isinstance(named, (ast.Name, ast.Attribute)):
+                called.add(named.id if isinstance(named, ast.Name) else named.attr)
+            for part in _LEGACY_PARTS.get(type(node), ()):
+                child = getattr(node, part)
+                todo += child if isinstance(child, list) else [child]
+        out += [{"source": name, "target": c} for c in sorted(called)]
     return out
 
 
@@ -346,3 +370,25 @@ def legacy_edges(files: DataFrame, labelled: bool = False, per_repo: int | None
     place = F.array_position(F.array(*map(F.lit, ("root-repo", "repo-file", "file-function", "function-function"))), F.col("edge_type"))
     w = Window.partitionBy("source", "destination").orderBy(place, "repo")
     return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+def postprocess_edges(edges: DataFrame, described: bool = False, papers: DataFrame | None = None, most: int = 1000) -> DataFrame:
+    """Legacy edges without those from the root; described: (source, description) in their place; papers (repo, tasks): with a repo-repo edge for each pair of repos that share a task."""
+    from tesserae.operators import relational as R
+
+    rows = edges.where("source <> '<ROOT>'")
+    if described:
+        rows = R.descriptions(rows.na.drop().select("source", F.col("destination").alias("target")), most)
+    if papers is not None:
+        pairs = R.co_occurring_pairs(papers, "repo", "tasks").select(F.col("a").alias("source"), F.col("b").alias("destination"), F.lit("repo-repo").alias("edge_type"))
+        rows = R.union_all([pairs, rows])
+    return rows.na.drop(subset=["source"])
+
+
+def papers_with_imports(papers: DataFrame, files: DataFrame) -> DataFrame:
+    """papers (repo, …) with imports, the public ones of the modules that the repo's files import, as text; a repo once, and only those with files."""
+    from tesserae.functions.text import public_modules
+    from tesserae.operators.relational import first_of_group
+
+    first = first_of_group(papers, ["repo"], [F.col(c) for c in papers.columns if c != "repo"]) if len(papers.columns) > 1 else papers.distinct()
+    return first.join(module_corpus(files).select("repo", public_modules(F.col("imports")).alias("imports")), "repo")

@@ -81,3 +81,55 @@ def file_dataset(edges: DataFrame, repos: DataFrame, least: int = 0) -> DataFram
     n = F.sum(F.size("functions")).over(Window.partitionBy("repo"))
     files = files.withColumn("_n", n).where(F.col("_n") > least).drop("_n")
     return files.join(repos.select("repo", F.explode("tasks").alias("task")), "repo").distinct()
+
+
+def save_model(model, path: str) -> None:
+    """A fitted model in MLlib's format, over what is there."""
+    model.write().overwrite().save(path)
+
+
+def load_word2vec(path: str):
+    from pyspark.ml.feature import Word2VecModel
+
+    return Word2VecModel.load(path)
+
+
+def hyperbolic_components(df: DataFrame, n: int) -> DataFrame:
+    """Multidimensional scaling of hyperbolic distances: rows (id, distances) to all ids in one order, whose -cosh is reduced to n principal components."""
+    rows = df.withColumn("embedding", F.transform("distances", lambda x: -F.cosh(x.cast("double"))))
+    return principal_components(rows, n).drop("embedding")
+
+
+def walks(edges: DataFrame, per_node: int = 4, length: int = 8, seed: int = 0) -> DataFrame:
+    """(node, walk, path): seeded random walks over the edges from each node, a join for each step; a walk ends where no edge leaves."""
+    out = edges.groupBy(F.col("source").alias("_at")).agg(F.array_sort(F.collect_set("target")).alias("_next"))
+    now = edges.select(F.col("source").alias("node")).union(edges.select("target")).distinct()
+    now = now.select("node", F.explode(F.sequence(F.lit(0), F.lit(per_node - 1))).alias("walk"), F.array("node").alias("path"))
+    for step in range(1, length):
+        ahead = now.join(out, F.element_at("path", -1) == F.col("_at"), "left")
+        pick = F.get("_next", F.pmod(F.xxhash64(F.lit(seed), F.lit(step), "node", "walk"), F.size("_next")).cast("int"))
+        now = ahead.select("node", "walk", F.when(F.col("_next").isNull(), F.col("path")).when(F.size("path") < step, F.col("path")).otherwise(F.array_append("path", pick)).alias("path"))
+    return now
+
+
+def node_vectors(edges: DataFrame, size: int = 32, seed: int = 0, **options) -> DataFrame:
+    """(word, vector) of each node by word2vec over random walks."""
+    paths = walks(edges, seed=seed, **options).select(F.array_join("path", "\x01").alias("_p"))
+    return vectors(train_word2vec(paths, "_p", size=size, least=1, seed=seed, tokens=lambda c: F.split(c, "\x01")))
+
+
+def nearest_nodes(df: DataFrame, queries: DataFrame, k: int, key: str = "word") -> DataFrame:
+    """(query, key, distance): the k rows nearest to each query by Euclidean distance of `vector`, itself left out.
+
+    By products: the nearest have the highest q.x - |x| ** 2 / 2, which is a product of vectors one longer.
+    """
+    from tesserae.operators.retrieval import dense
+
+    half = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x / 2)
+    longer = df.select(F.col(key).alias("doc_id"), F.concat(F.col("vector").cast("array<double>"), F.array(-half)).alias("embedding"))
+    asked = queries.select(F.col(key).alias("query_id"), F.concat(F.col("vector").cast("array<double>"), F.array(F.lit(1.0))).alias("embedding"))
+    found = dense(longer, asked, k + 1, normalise=False).where("query_id <> doc_id")
+    size = queries.select(F.col(key).alias("query_id"), (2 * half).alias("_s"))
+    near = found.join(size, "query_id").select(F.col("query_id").alias("query"), F.col("doc_id").alias(key), F.sqrt(F.greatest(F.col("_s") - 2 * F.col("score"), F.lit(0.0))).alias("distance"))
+    w = Window.partitionBy("query").orderBy("distance", key)
+    return near.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")

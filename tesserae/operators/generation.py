@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from tesserae.functions.text import file_block, file_lines
 
+#: Headings of the sections of a prompt for tags, the last of the target's.
+SECTION_HEADINGS = ("## repository", "## files", "## tags", "## 3 tags")
+
 Generator = Callable[[list[str]], list[str]]
 
 
@@ -62,12 +65,13 @@ def few_shot_prompt(context: Column, target: Column, instruction: str) -> Column
 
 def tagged_prompt(context: Column, name: Column, content: Column) -> Column:
     """Examples (array of struct<name, content, true_text>) as sections of a document, and the target's sections up to its open list of tags."""
+    first, second, tags, asked = SECTION_HEADINGS
 
-    def block(name: Column, content: Column, tags: str) -> Column:
-        return F.concat(F.lit("## repository\n"), name, F.lit("\n## files\n"), content, F.lit(f"\n## {tags}\n["))
+    def block(name: Column, content: Column, heading: str) -> Column:
+        return F.concat(F.lit(f"{first}\n"), name, F.lit(f"\n{second}\n"), content, F.lit(f"\n{heading}\n["))
 
-    shown = F.transform(context, lambda c: F.concat(block(c["name"], c["content"], "tags"), c["true_text"], F.lit("]")))
-    return F.array_join(F.concat(shown, F.array(block(name, content, "3 tags"))), "\n")
+    shown = F.transform(context, lambda c: F.concat(block(c["name"], c["content"], tags), c["true_text"], F.lit("]")))
+    return F.array_join(F.concat(shown, F.array(block(name, content, asked))), "\n")
 
 
 def with_context(shots: DataFrame, records: DataFrame, fields: list[str]) -> DataFrame:
@@ -103,6 +107,21 @@ def readmes(summaries: DataFrame, generator: Generator = echo, flat: bool = Fals
     return out.select("repo_name", "answer", "context_history", "filenames", "n_files", error.alias("error"))
 
 
+def signature_summaries(signatures: DataFrame) -> DataFrame:
+    """The same as file_summaries() from dependency signatures (repo, dependency_signature), whose files are those of the section repo-file."""
+    section = F.regexp_extract("dependency_signature", r"(?:^|\n)repo-file:\n([^\n]*)", 1)
+    names = F.filter(F.split(section, ", "), lambda x: x != "")
+    return signatures.select(F.col("repo").alias("repo_name"), names.alias("filenames"), F.size(names).alias("n_files"), F.col("dependency_signature").alias("text"))
+
+
+def readme_variants(files: DataFrame, maps: DataFrame, signatures: DataFrame, most: int = 10, generator: Generator = echo, code: str = "content") -> DataFrame:
+    """(variant, repo_name, answer, …): texts from selected code, repository maps and dependency signatures, each by a summary first and flat: six for each repo that has all."""
+    from tesserae.operators.relational import union_all
+
+    summaries = {"code": file_summaries(files, most, code), "map": map_summaries(maps), "signature": signature_summaries(signatures)}
+    return union_all([readmes(s, generator, flat).withColumn("variant", F.lit(f"{name}_{'flat' if flat else 'summary'}")) for name, s in summaries.items() for flat in (False, True)])
+
+
 def typed_tags(answer: Column) -> Column:
     """The list `tasks` of a JSON answer; null if it isn't one."""
     return F.from_json(answer, "tasks array<string>")["tasks"]

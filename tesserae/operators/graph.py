@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.operators.relational import degrees, recode
-from tesserae.plans.durable import checkpoint
+from tesserae.plans.durable import Steps, materialize
 
 #: The sections of a dependency signature.
 SECTIONS = ("repo-file", "file-import", "file-class", "file-function")
@@ -47,20 +47,27 @@ def pagerank(edges: DataFrame, **options) -> DataFrame:
     return edges.select("repo_name", "source", "target").groupBy("repo_name").applyInPandas(rank, f"repo_name {kind}, node string, centrality_score double")
 
 
-def pagerank_global(edges: DataFrame, steps: int = 20, damping: float = 0.85) -> DataFrame:
-    """(node, rank) after a fixed number of steps over all edges, by joins; each is made durable, as the next reads it twice."""
-    pairs = edges.select("source", "target").distinct()
+def pagerank_global(edges: DataFrame, steps: int = 100, damping: float = 0.85, tolerance: float = 1e-6, article: bool = False) -> DataFrame:
+    """(node, rank) over all edges, by joins, until the change in sum is below n * tolerance or after so many steps. Each step is made durable, as the next reads it twice, and the last one goes.
+
+    article: rank spread over a node's edges plus the mean number of edges, which takes weight from nodes with few; what isn't spread is lost, so ranks don't add up to 1.
+    """
+    step = Steps(edges.sparkSession)
+    pairs = step(edges.select("source", "target").distinct(), "pairs")
     out = pairs.groupBy("source").agg(F.count("*").alias("out"))
     nodes = pairs.select(F.col("source").alias("node")).union(pairs.select(F.col("target").alias("node"))).distinct()
-    n = nodes.count()
-    ranks = nodes.join(out, nodes["node"] == out["source"], "left").select("node", "out", F.lit(1.0 / max(n, 1)).alias("rank"))
-    links = pairs.join(out, "source").withColumnRenamed("source", "node")
+    size = nodes.join(out, nodes["node"] == out["source"], "left").agg(F.count("*").alias("n"), F.sum(F.coalesce("out", F.lit(0))).alias("m")).first()
+    n, extra = max(size.n, 1), (size.m or 0) / max(size.n, 1) if article else 0.0
+    ranks = step(nodes.join(out, nodes["node"] == out["source"], "left").select("node", "out", F.lit(1.0 / n).alias("rank"), F.lit(0.0).alias("change")), "ranks")
     for _ in range(steps):
         loose = ranks.where("out is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("_loose"))
-        sent = links.join(ranks.select("node", "rank"), "node").groupBy("target").agg(F.sum(F.col("rank") / F.col("out")).alias("_in"))
-        new = damping * (F.coalesce("_in", F.lit(0.0)) + F.col("_loose") / n) + (1 - damping) / n
-        ranks = ranks.join(sent, ranks["node"] == sent["target"], "left").join(F.broadcast(loose)).select("node", "out", new.alias("rank"))
-        ranks = checkpoint(ranks)
+        sent = pairs.join(ranks.where("out is not null").select(F.col("node").alias("source"), (F.col("rank") / (F.col("out") + extra)).alias("_sent")), "source").groupBy("target").agg(F.sum("_sent").alias("_in"))
+        new = damping * (F.coalesce("_in", F.lit(0.0)) + (F.lit(0.0) if article else F.col("_loose") / n)) + (1 - damping) / n
+        old, ranks = ranks, step(ranks.join(sent, ranks["node"] == sent["target"], "left").join(F.broadcast(loose)).select("node", "out", new.alias("rank"), F.abs(new - F.col("rank")).alias("change")), "ranks")
+        step.drop(old)
+        if (ranks.agg(F.sum("change")).first()[0] or 0.0) < n * tolerance:
+            break
+    step.drop(pairs)
     return ranks.select("node", "rank")
 
 
@@ -95,12 +102,23 @@ def centralities(edges: DataFrame, top: dict[str, int | None] | list[str], k: in
     top a map: that many (None: all) nodes for each edge type, with edge_type. top a list: the k highest among nodes of these types, without edge_type. Both ends of an edge
     qualify. Ties keep the order in which edges come (ordinal, source before target), then the name's.
     """
-    scores = METHODS[method](edges).join(node_metadata(edges), ["repo_name", "node"])
     types = list(top)
     by = ["repo_name", "edge_type"] if isinstance(top, dict) else ["repo_name"]
-    nodes = _ends(edges).where(F.col("edge_type").isin(types)).groupBy(*by, "node").agg(F.min("place").alias("place"))
+    # one row for each node and type of its edges: metadata and order come from these, and edges are read once for them
+    ends = _ends(edges).groupBy("repo_name", "node", "edge_type").agg(F.min("place").alias("place"), F.collect_set("role").alias("roles"))
+    meta = ends.groupBy("repo_name", "node").agg(
+        F.array_join(F.array_sort(F.collect_set("edge_type")), ",").alias("node_edge_type"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("roles")))), ",").alias("node_role"),
+        F.collect_list(F.struct("edge_type", "place")).alias("_types"),
+    )
+    scored = METHODS[method](edges).join(meta, ["repo_name", "node"])
+    wanted = F.filter("_types", lambda t: t["edge_type"].isin(types))
+    columns = ["repo_name", "node", "centrality_score", "node_edge_type", "node_role"]
+    if isinstance(top, dict):
+        ranked = scored.select(*columns, F.inline(wanted))
+    else:
+        ranked = scored.select(*columns, F.array_min(F.transform(wanted, lambda t: t["place"])).alias("place")).where("place is not null")
     w = Window.partitionBy(*by).orderBy(F.desc("centrality_score"), "place", "node")
-    ranked = nodes.join(scores, ["repo_name", "node"]).withColumn("_r", F.row_number().over(w))
+    ranked = ranked.withColumn("_r", F.row_number().over(w))
     if isinstance(top, dict):
         most = F.create_map(*(x for t in types for x in (F.lit(t), F.lit(top[t]).cast("int"))))[F.col("edge_type")]
         ranked = ranked.where(most.isNull() | (F.col("_r") <= most))
@@ -141,17 +159,19 @@ def expanded_signatures(df: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame, limit: int = 50) -> DataFrame:
     """(node, component) of the undirected graph: the smallest reachable node, by repeated minima, each made durable."""
-    both = checkpoint(edges.select("source", "target").union(edges.select("target", "source")).distinct())
-    labels = both.select(F.col("source").alias("node"), F.col("source").alias("component")).distinct()
+    step = Steps(edges.sparkSession)
+    both = step(edges.select("source", "target").union(edges.select("target", "source")).distinct(), "edges")
+    labels = step(both.select(F.col("source").alias("node"), F.col("source").alias("component"), F.col("source").alias("_old")).distinct(), "labels")
     for _ in range(limit):
         near = both.join(labels, F.col("target") == F.col("node")).groupBy("source").agg(F.min("component").alias("_m"))
         new = labels.join(near, labels["node"] == near["source"], "left").select("node", F.least("component", F.coalesce("_m", "component")).alias("component"), F.col("component").alias("_old"))
         # a step on: the component of the component
         jump = new.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
-        new = checkpoint(new.join(jump, F.col("component") == F.col("_n")).select("node", F.col("_c").alias("component"), "_old"))
-        labels = new.select("node", "component")
-        if new.where("component <> _old").isEmpty():
-            return labels
+        last, labels = labels, step(new.join(jump, F.col("component") == F.col("_n")).select("node", F.col("_c").alias("component"), "_old"), "labels")
+        step.drop(last)
+        if labels.where("component <> _old").isEmpty():
+            step.drop(both)
+            return labels.select("node", "component")
     raise ArithmeticError(f"components not settled in {limit} steps")
 
 
@@ -178,7 +198,7 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, limit: int = 20) -> Dat
     front = reached
     for step in range(1, limit + 2):
         new = front.join(both, F.col("node") == F.col("a")).select("source", F.col("b").alias("node")).distinct().join(reached.select("source", "node"), ["source", "node"], "left_anti")
-        front = checkpoint(new.withColumn("distance", F.lit(step)))
+        front = materialize(new.withColumn("distance", F.lit(step)), "front")
         if front.isEmpty():
             return reached
         reached = reached.unionAll(front)

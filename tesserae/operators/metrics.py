@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.functions.text import sanitize_generated
 from tesserae.functions.udf import vectorized
 from tesserae.operators import relational as R
-from tesserae.operators.retrieval import terms
+from tesserae.operators.retrieval import cosine, terms, top_k
+from tesserae.operators.stats import correlation_table
 
 KS = (1, 5, 10, 25)
 
@@ -136,20 +141,36 @@ def rouge_n(df: DataFrame, key: str, reference: str, generated: str, n: int, tar
     return df.join(both, key, "left").withColumn(target, F.coalesce(2.0 * F.col("_both") / F.nullif(size, F.lit(0)), F.lit(0.0))).drop("_both")
 
 
-def _common(a: list[str], b: list[str]) -> set[int]:
+def _numbers(*texts) -> list[np.ndarray]:
+    """The words of the texts as numbers."""
+    known: dict[str, int] = {}
+    return [np.array([known.setdefault(w, len(known)) for w in t], np.int64) for t in texts]
+
+
+def _common_length(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the longest common subsequence, by one bit a place of a: a row of the table in a few operations on one long number."""
+    where: dict[int, int] = {}
+    for i, x in enumerate(a.tolist()):
+        where[x] = where.get(x, 0) | 1 << i
+    row = every = (1 << len(a)) - 1
+    for y in b.tolist():
+        met = row & where.get(y, 0)
+        row = ((row + met) | (row - met)) & every
+    return len(a) - row.bit_count()
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> set[int]:
     """Places of a in one longest common subsequence of a and b."""
-    rows = [[0] * (len(b) + 1)]
-    for x in a:
-        last, row = rows[-1], [0]
-        for j, y in enumerate(b):
-            row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
-        rows.append(row)
+    table = np.zeros((len(a) + 1, len(b) + 1), np.int32)
+    for i, x in enumerate(a):
+        # a row is the running maximum of what a match here or the row above gives
+        table[i + 1, 1:] = np.maximum.accumulate(np.where(b == x, table[i, :-1] + 1, table[i, 1:]))
     i, j, out = len(a), len(b), set()
     while i and j:
         if a[i - 1] == b[j - 1]:
             out.add(i - 1)
             i, j = i - 1, j - 1
-        elif rows[i - 1][j] >= rows[i][j - 1]:
+        elif table[i - 1, j] >= table[i, j - 1]:
             i -= 1
         else:
             j -= 1
@@ -163,7 +184,7 @@ def _f(hits: int, n: int, m: int) -> float:
 @vectorized("double")
 def rouge_l(a: pd.Series, b: pd.Series) -> pd.Series:
     """F-score of the longest common subsequence of two arrays of words."""
-    return pd.Series([_f(len(_common(list(x), list(y))), len(x), len(y)) if x is not None and y is not None else None for x, y in zip(a, b)], dtype="float64")
+    return pd.Series([_f(_common_length(*_numbers(x, y)), len(x), len(y)) if x is not None and y is not None else None for x, y in zip(a, b)], dtype="float64")
 
 
 @vectorized("double")
@@ -171,21 +192,16 @@ def rouge_lsum(a: pd.Series, b: pd.Series) -> pd.Series:
     """F-score of the union, for each line of the reference, of its common subsequences with the other's lines; arrays of arrays of words."""
 
     def score(x, y) -> float:
-        left: dict[str, int] = {}
-        for line in y:
-            for w in line:
-                left[w] = left.get(w, 0) + 1
-        own: dict[str, int] = {}
-        for line in x:
-            for w in line:
-                own[w] = own.get(w, 0) + 1
+        lines = _numbers(*x, *y)
+        ours, theirs = lines[: len(x)], lines[len(x) :]
+        n = 1 + max((int(a.max()) for a in lines if len(a)), default=-1)
+        own, left = (np.bincount(np.concatenate([np.zeros(0, np.int64), *some]), minlength=n) for some in (ours, theirs))
         hits = 0
-        for line in x:
-            line = list(line)
-            for i in sorted(set().union(*(_common(line, list(o)) for o in y)) if len(y) else set()):
-                if own[line[i]] > 0 and left.get(line[i], 0) > 0:
+        for line in ours:
+            for i in sorted(set().union(*(_common(line, o) for o in theirs))):
+                if own[line[i]] > 0 and left[line[i]] > 0:
                     hits, own[line[i]], left[line[i]] = hits + 1, own[line[i]] - 1, left[line[i]] - 1
-        return _f(hits, sum(map(len, x)), sum(map(len, y)))
+        return _f(hits, sum(map(len, ours)), sum(map(len, theirs)))
 
     return pd.Series([score(x, y) if x is not None and y is not None else None for x, y in zip(a, b)], dtype="float64")
 
@@ -199,19 +215,22 @@ def jaccard(a: Column, b: Column) -> Column:
 def word_edits(a: pd.Series, b: pd.Series) -> pd.Series:
     """Levenshtein distance of two arrays of words."""
 
-    def distance(x, y) -> int:
-        row = list(range(len(y) + 1))
+    def distance(x: np.ndarray, y: np.ndarray) -> int:
+        steps = np.arange(len(y) + 1)
+        row = steps
         for i, p in enumerate(x, 1):
-            last, row = row, [i]
-            for j, q in enumerate(y, 1):
-                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (p != q)))
-        return row[-1]
+            best = np.concatenate([[i], np.minimum(row[1:] + 1, row[:-1] + (y != p))])
+            # an insertion costs one for each place to the right
+            row = np.minimum.accumulate(best - steps) + steps
+        return int(row[-1])
 
-    return pd.Series([distance(x, y) if x is not None and y is not None else None for x, y in zip(a, b)])
+    return pd.Series([distance(*_numbers(x, y)) if x is not None and y is not None else None for x, y in zip(a, b)])
 
 
-def generation_metrics(df: DataFrame, key: str = "repo", reference: str = "reference", generated: str = "generated") -> DataFrame:
-    """df with rouge1, rouge2, rougeL, rougeLsum, jaccard_lst and edit_word of the generated text."""
+def generation_metrics(df: DataFrame, key: str = "repo", reference: str = "reference", generated: str = "generated", embed: Callable[[Column], Column] | None = None) -> DataFrame:
+    """df with rouge1, rouge2, rougeL, rougeLsum, jaccard_lst and edit_word of the generated text; with embed, a function from a text column to a vector column, also similarity, their cosine."""
+    if embed is not None:
+        df = df.withColumn("similarity", cosine(embed(F.col(reference)), embed(F.col(generated))))
     for n in (1, 2):
         df = rouge_n(df, key, reference, generated, n, f"rouge{n}")
     a, b = terms(F.col(reference)), terms(F.col(generated))
@@ -236,3 +255,47 @@ def long_metrics(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFram
 def from_generations(df: DataFrame, column: str = "records") -> DataFrame:
     """Rows of a map generation -> list of structs, flat, with the generation."""
     return df.select(F.explode(column).alias("generation", "_r")).select("generation", F.explode("_r").alias("_s")).select("generation", "_s.*")
+
+
+def postprocess_generations(records: DataFrame) -> DataFrame:
+    """repo, tasks, true_tasks, generated_text, prompt_info, generation, input_text of records with prompt_info (struct<name, true_text, …>), generated_text (a list, of which the first counts), input_text, generation."""
+    text = F.get("generated_text", F.lit(0))
+    return records.select(
+        F.col("prompt_info.name").alias("repo"), sanitize_generated(text, F.col("input_text")).alias("tasks"), F.col("prompt_info.true_text").alias("true_tasks"),
+        text.alias("generated_text"), "prompt_info", "generation", "input_text",
+    )
+
+
+def per_query_with_generation(generated: DataFrame, ir: DataFrame, task: str = "true_tasks", clipped: str | None = None) -> DataFrame:
+    """query and the means of both tables' numeric columns: those of the generated rows that have the query among their tasks, and those of the query's retrieval. clipped: a column whose infinities become its
+    largest finite value."""
+    rows = R.clip_infinite(generated, clipped) if clipped else generated
+    names, scores = R.numeric_columns(generated), [c for c in R.numeric_columns(ir) if c != "query"]
+    own = mean_by(rows.select(F.explode(task).alias("query"), *names), ["query"], names)
+    return own.join(mean_by(ir, ["query"], scores), "query")
+
+
+def experiment_grid(search: DataFrame, qrels: DataFrame, queries_: DataFrame, columns: dict[str, list[str]], retrievers: dict, k: int = 100) -> DataFrame:
+    """Per-query measures of every column configuration with every retriever, as one long table (columns, retriever, query_id, …). search: doc_id and text columns; a document's text is its columns line by line."""
+    found = []
+    for name, cs in columns.items():
+        docs = search.select("doc_id", F.concat_ws("\n", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cs)).alias("text"))
+        for retriever, f in retrievers.items():
+            found.append(top_k(f(docs, queries_), k).select(F.lit(name).alias("columns"), F.lit(retriever).alias("retriever"), "query_id", "doc_id", "score"))
+    return per_query(R.union_all(found), qrels, by=["columns", "retriever"])
+
+
+def by_generation(evaluated: DataFrame, evaluate: Callable[[DataFrame], DataFrame], generations: list, column: str = "generation") -> DataFrame:
+    """evaluate() of each generation's rows, tagged with it, as one table."""
+    return R.union_all([evaluate(evaluated.where(F.col(column) == g)).withColumn(column, F.lit(g)) for g in generations])
+
+
+def report(ir: DataFrame, generated: DataFrame, task: str = "true_tasks", by: str | None = None) -> dict[str, DataFrame]:
+    """Tables of an experiment: summaries of either's numeric columns, and rank correlations of retrieval measures with generation measures over queries."""
+    measures, made = [c for c in R.numeric_columns(ir) if c != by], [c for c in R.numeric_columns(generated) if c != by]
+
+    def summary(df: DataFrame, names: list[str]) -> DataFrame:
+        return R.union_all([R.describe(df, c, [by] if by else None).withColumn("metric", F.lit(c)) for c in names])
+
+    merged = per_query_with_generation(generated, ir, task)
+    return {"ir": summary(ir, measures), "generation": summary(generated, made), "correlations": correlation_table(merged, measures, made)}

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tesserae.operators import ranks
+
 # filters
 
 
@@ -89,11 +91,21 @@ def common_keys(tables: list[DataFrame], column: str) -> DataFrame:
     return functools.reduce(lambda a, b: a.join(b, column, "left_semi"), [t.select(column).where(F.col(column).isNotNull()).distinct() for t in tables])
 
 
-def co_occurring_pairs(df: DataFrame, key: str, items: str) -> DataFrame:
-    """(a, b), a < b, of keys whose lists share an item: each unordered pair once."""
-    long = df.select(key, F.explode(items).alias("_i")).distinct()
-    other = long.select(F.col(key).alias("b"), "_i")
-    return long.withColumnRenamed(key, "a").join(other, "_i").where("a < b").select("a", "b").distinct()
+def co_occurring_pairs(df: DataFrame, key: str, items: str, block: int = 256) -> DataFrame:
+    """(a, b), a < b, of keys whose lists share an item: each unordered pair once.
+
+    The keys of an item are dealt to blocks of about `block`, and each pair of blocks is a unit of work of its own, so that a hot item is spread over many tasks; its pairs, which are the
+    result, stay the square of its keys.
+    """
+    long = df.select(F.col(key).alias("a"), F.explode(items).alias("_i")).distinct()
+    size = long.groupBy("_i").agg(F.ceil(F.count("*") / block).cast("int").alias("_k"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    dealt = long.join(size, "_i").withColumn("_b", F.pmod(F.xxhash64("a"), F.col("_k")).cast("int"))
+    cell = F.transform(F.sequence(F.lit(0), F.col("_k") - 1), lambda o: F.struct(F.least("_b", o).alias("x"), F.greatest("_b", o).alias("y")))
+    dealt = dealt.select("a", "_i", "_b", F.inline(cell).alias("_x", "_y"))
+    other = dealt.select(F.col("a").alias("b"), "_i", F.col("_b").alias("_c"), "_x", "_y")
+    # within a cell of two blocks only pairs across them: those within a block have a cell of their own
+    pairs = dealt.join(other, ["_i", "_x", "_y"]).where("a < b and (_x = _y or _b <> _c)")
+    return pairs.select("a", "b").distinct()
 
 
 def stack_relations(df: DataFrame, id_column: str, relation: str, values: list[str], relations: list[str] | None = None) -> DataFrame:
@@ -190,10 +202,12 @@ def first_of_group(df: DataFrame, by: list[str], order: list[Column]) -> DataFra
 
 def describe(df: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
     """count, mean, std, min, quartiles (exact, interpolated) and max."""
-    c = F.col(column)
-    q = F.percentile(c, [0.25, 0.5, 0.75])
-    out = df.groupBy(*(by or [])).agg(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), q.alias("_q"), F.max(c).alias("max"))
-    return out.select(*(by or []), "count", "mean", "std", "min", *(F.col("_q")[i].alias(f"p{p}") for i, p in enumerate((25, 50, 75))), "max")
+    by, c = by or [], F.col(column)
+    sums = df.groupBy(*by).agg(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"))
+    q = ranks.quantiles(df, column, [0.25, 0.5, 0.75], by, "_q")
+    # without groups one row on either side
+    out = ranks.beside(sums, q, by, "left") if by else sums.join(F.broadcast(q), how="left")
+    return out.select(*by, "count", "mean", "std", "min", *(F.col("_q")[i].alias(f"p{p}") for i, p in enumerate((25, 50, 75))), "max")
 
 
 def unique_in_order(df: DataFrame, column: str, order: str) -> DataFrame:
@@ -260,28 +274,25 @@ def first_hit(ranked: Column, wanted: Column) -> Column:
 
 def quantile_split(df: DataFrame, column: str, q: float, side: str = "low", strict: bool = False) -> DataFrame:
     """Rows up to (low) or beyond (high) the interpolated quantile: low is <= (strict: <), high is > (strict=False: >=)."""
-    edge = df.agg(F.percentile(column, q).alias("_q"))
-    c, e = F.col(column), F.col("_q")
+    edge = ranks.quantiles(df, column, [q], target="_q")
+    c, e = F.col(column), F.col("_q")[0]
     test = (c < e if strict else c <= e) if side == "low" else (c > e if strict else c >= e)
     return df.join(F.broadcast(edge)).where(test).drop("_q")
 
 
 def quantile_bins(df: DataFrame, column: str, bins: int = 10, target: str = "bin") -> DataFrame:
     """Bins between interpolated quantiles, the upper edge inside: ties share a bin."""
-    edges = df.agg(F.percentile(column, [i / bins for i in range(1, bins)]).alias("_e"))
+    edges = ranks.quantiles(df, column, [i / bins for i in range(1, bins)], target="_e")
     at = F.size(F.filter(F.col("_e"), lambda e: e < F.col(column)))
     return df.join(F.broadcast(edges)).withColumn(target, at).drop("_e")
 
 
 def borda(df: DataFrame, metrics: list[str], target: str = "borda") -> DataFrame:
-    """Sum over the metrics of how many rows are worse, ties counted half."""
-    score: Column = F.lit(0.0)
-    for m in metrics:
-        w = Window.orderBy(m)
-        worse = F.rank().over(w) - 1
-        ties = F.count("*").over(Window.partitionBy(m)) - 1
-        score = score + worse + ties / 2
-    return df.withColumn(target, score)
+    """Sum over the metrics of how many rows are worse, ties counted half; null is worse than any value."""
+    for i, m in enumerate(metrics):
+        df = ranks.with_rank(df, m, f"_rank{i}", nulls=True)
+    score = sum((F.col(f"_rank{i}") - 1 for i in range(len(metrics))), F.lit(0.0))
+    return df.withColumn(target, score).drop(*(f"_rank{i}" for i in range(len(metrics))))
 
 
 # sets
@@ -304,6 +315,23 @@ def merge_scores(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b).groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
 
 
+def columns_without(df: DataFrame, other: DataFrame) -> DataFrame:
+    """df without the columns that `other` has too."""
+    return df.select(*(c for c in df.columns if c not in other.columns))
+
+
+def by_position(left: DataFrame, right: DataFrame, left_order: str, right_order: str) -> DataFrame:
+    """Columns side by side: the i-th row of one by its order beside the i-th of the other; position from 0. Orders are unique; rows without a partner are left out."""
+    a = left.join(integer_ranks(left, left_order), left_order)
+    b = right.join(integer_ranks(right, right_order), right_order)
+    return join_suffixed(a, b, "position", "_right")
+
+
+def integer_ranks(df: DataFrame, order: str) -> DataFrame:
+    """(order, position): place of each distinct value from 0."""
+    return ranks.running(df, order, measures={"n": F.lit(1) * F.count_distinct(order)}).select(order, F.col("n_before").alias("position"))
+
+
 def per_key(left: DataFrame, right: DataFrame, key: str, test: Callable, schema: str) -> DataFrame:
     """test(left rows, right rows) of each key as pandas frames, for tests that SQL has no form for."""
     return left.groupBy(key).cogroup(right.groupBy(key)).applyInPandas(test, schema)

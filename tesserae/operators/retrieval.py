@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import functools
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions.text import tokenize
+from tesserae.plans.durable import materialize
 
 
 def terms(c: Column) -> Column:
@@ -18,13 +23,17 @@ def terms(c: Column) -> Column:
 def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75, tokens: Callable[[Column], Column] = terms, by: list[str] | None = None) -> DataFrame:
     """Scores of all (query, document) that share a term; `by`: columns that tell corpora apart, searched each by itself.
 
-    Only postings of query terms are kept, by a semi-join before counts are joined; documents' lengths and the mean come from all.
+    Texts are split once: the postings of query terms, found by a semi-join before anything is counted, and a row for each document's length are made durable, and all sums come from that table.
     """
     by = by or []
     q = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
-    base = docs.select(*by, "doc_id", tokens(F.col("text")).alias("_t")).withColumn("dl", F.size("_t"))
-    totals = base.groupBy(*by).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    tf = base.select(*by, "doc_id", "dl", F.explode("_t").alias("term")).join(q.select("term").distinct(), "term", "left_semi").groupBy(*by, "doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    base = docs.select(*by, "doc_id", tokens(F.coalesce(F.col("text"), F.lit(""))).alias("_t")).select("*", F.size("_t").alias("dl"))
+    # the empty term, which no text has, stands for the document
+    wanted = q.select("term").union(docs.sparkSession.range(1).select(F.lit(""))).distinct()
+    found = base.select(*by, "doc_id", "dl", F.explode(F.array_append("_t", F.lit(""))).alias("term")).join(wanted, "term", "left_semi")
+    found = materialize(found.groupBy(*by, "doc_id", "dl", "term").agg(F.count("*").alias("tf")), "postings")
+    totals = found.where("term = ''").groupBy(*by).agg(F.sum("tf").alias("n"), (F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).alias("avgdl"))
+    tf = found.where("term <> ''")
     df = tf.groupBy(*by, "term").agg(F.count("*").alias("df"))
     stats = df.join(totals, by) if by else df.join(F.broadcast(totals))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -46,22 +55,123 @@ def unit(c: Column) -> Column:
     return F.transform(c, lambda x: x.cast("double") / norm)
 
 
-def dense(docs: DataFrame, queries: DataFrame, k: int, normalise: bool = True, most_queries: int = 10_000) -> DataFrame:
-    """The k highest of each query by cosine (or dot) product of `embedding`, exactly; ties by doc_id.
+#: Bytes of query vectors that are sent to every task at once.
+QUERY_BYTES = 1 << 26
 
-    All documents are scored against a stated query set. It is sent to every task if it has at most most_queries rows, else the sides are shuffled in blocks.
+
+def _flat(column: pa.Array) -> np.ndarray:
+    """Rows of a column of equally long vectors."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
+
+
+def _products(normalise: bool):
+    """Scores of single vectors."""
+
+    def unit(column: pa.Array) -> np.ndarray:
+        rows = _flat(column)
+        return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True)) if normalise else rows
+
+    def prepare(queries: pa.Array):
+        q = unit(queries)
+        return lambda column: q @ unit(column).T
+
+    return prepare
+
+
+def _best_products(queries: pa.Array):
+    """Scores of lists of vectors: for each of the query's its highest product with one of the document's, summed."""
+    q, starts = _flat(queries.flatten()), np.cumsum([0, *(len(x) for x in queries)])[:-1]
+
+    def scores(column: pa.Array) -> np.ndarray:
+        at = np.cumsum([0, *(len(x) for x in column)])[:-1]
+        return np.add.reduceat(np.maximum.reduceat(q @ _flat(column.flatten()).T, at, axis=1), starts, axis=0)
+
+    return scores
+
+
+def _search(docs: DataFrame, queries: pa.Table, k: int, prepare, chunk: int = 1024) -> DataFrame:
+    """Of each task's documents (doc_id, vectors) the k highest of each query (query_id, vectors), scored in chunks: no more rows leave the task. prepare: query vectors -> (document vectors -> scores by query and document)."""
+    from pyspark.sql.pandas.types import from_arrow_schema
+
+    kinds = {"query_id": queries.schema.field("query_id").type, "doc_id": docs.select("doc_id").limit(0).toArrow().schema.field("doc_id").type}
+    schema = pa.schema([*kinds.items(), ("score", pa.float64())])
+    shared = docs.sparkSession.sparkContext.broadcast(queries)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value.combine_chunks()
+        if not table.num_rows:
+            return
+        ids, score = table.column(0).chunk(0), prepare(table.column(1).chunk(0))
+        least, held, size = np.full(len(ids), -np.inf), [], 0
+
+        def best() -> pa.Table:
+            rows = pa.concat_tables(held)
+            rows = rows.take(pc.sort_indices(rows, [("q", "ascending"), ("score", "descending"), ("doc_id", "ascending")]))
+            of = rows.column("q").to_numpy()
+            rank = np.arange(len(of)) - np.searchsorted(of, of)
+            full = rank == k - 1
+            least[of[full]] = rows.column("score").to_numpy()[full]
+            return rows.filter(pa.array(rank < k))
+
+        for batch in batches:
+            for lo in range(0, batch.num_rows, chunk):
+                part = batch.slice(lo, chunk)
+                scores = score(part.column(1))
+                i, j = np.nonzero(scores >= least[:, None])
+                held.append(pa.table({"q": i, "doc_id": part.column(0).take(pa.array(j)), "score": scores[i, j]}))
+                size += len(i)
+                if size > 4 * k * len(ids) + (1 << 16):
+                    held = [best()]
+                    size = held[0].num_rows
+        if held:
+            rows = best()
+            yield from pa.table([ids.take(rows.column("q").combine_chunks()), rows.column("doc_id"), rows.column("score")], schema=schema).to_batches(max_chunksize=10_000)
+
+    return docs.mapInArrow(run, from_arrow_schema(schema))
+
+
+def _blocks(queries: DataFrame, size: Column, most_bytes: int) -> list[pa.Table]:
+    """The stated query set in blocks of at most about so many bytes."""
+    total = queries.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    n = max(1, -(-total // most_bytes))
+    return [(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b) if n > 1 else queries).toArrow() for b in range(n)]
+
+
+def dense(docs: DataFrame, queries: DataFrame, k: int, normalise: bool = True, most_bytes: int = QUERY_BYTES) -> DataFrame:
+    """The k highest of each query by cosine (or dot) product of `embedding`, exactly; ties by doc_id. Rows without a vector are left out.
+
+    All documents are scored against a stated query set, in blocks of at most about most_bytes of query vectors, each of which every task gets and one scan answers.
     """
-    vector = unit if normalise else (lambda c: c)
-    q = queries.select("query_id", vector(F.col("embedding")).alias("_q"))
-    d = docs.select("doc_id", vector(F.col("embedding")).alias("_d"))
-    n = q.limit(most_queries + 1).count()
-    if n <= most_queries:
-        pairs = d.join(F.broadcast(q.withColumn("_one", F.lit(1))), F.lit(1) == F.col("_one"))
-    else:
-        blocks = -(-q.count() // most_queries)
-        q = q.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-        pairs = d.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(q, "_b")
-    return top_k(pairs.select("query_id", "doc_id", dot(F.col("_q"), F.col("_d")).alias("score")), k)
+    vector = F.col("embedding")
+    queries, docs = (df.select(key, "embedding").where(vector.isNotNull()) for df, key in ((queries, "query_id"), (docs, "doc_id")))
+    parts = [_search(docs, q, k, _products(normalise)) for q in _blocks(queries, F.size(vector).cast("long") * 8, most_bytes)]
+    return top_k(functools.reduce(DataFrame.unionAll, parts), k)
+
+
+def late_interaction(docs: DataFrame, queries: DataFrame, k: int, most_bytes: int = QUERY_BYTES) -> DataFrame:
+    """The k highest of each query by token vectors, `vectors` on both sides: for each of the query's the highest dot product with one of the document's, summed. Rows without vectors are left out."""
+    vectors = F.col("vectors")
+    queries, docs = (df.select(key, "vectors").where(F.size(vectors) > 0) for df, key in ((queries, "query_id"), (docs, "doc_id")))
+    parts = [_search(docs, q, k, _best_products, chunk=64) for q in _blocks(queries, F.size(vectors).cast("long") * F.size(vectors[0]) * 8, most_bytes)]
+    return top_k(functools.reduce(DataFrame.unionAll, parts), k)
+
+
+def nearest_others(df: DataFrame, key: str, k: int, most_bytes: int = QUERY_BYTES) -> DataFrame:
+    """(key, other, score, top_similarity): for each row the k others nearest by cosine of `embedding`, and the highest similarity. All rows are queries against all, in blocks."""
+    rows = df.select(F.col(key).alias("doc_id"), "embedding")
+    found = dense(rows, rows.withColumnRenamed("doc_id", "query_id"), k + 1, most_bytes=most_bytes).where("query_id <> doc_id")
+    # without itself k are left, or k + 1 where ties put it outside
+    kept = top_k(found, k)
+    top = F.max("score").over(Window.partitionBy("query_id"))
+    return kept.select(F.col("query_id").alias(key), F.col("doc_id").alias("other"), "score", top.alias("top_similarity"))
+
+
+def similarity_top(results: DataFrame, k: int, side: str = "row") -> DataFrame:
+    """The k highest scores of each row (query) or column (document) of a similarity table."""
+    by, other = ("query_id", "doc_id") if side == "row" else ("doc_id", "query_id")
+    w = Window.partitionBy(by).orderBy(F.desc("score"), other)
+    return results.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
 def top_k(results: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:
@@ -113,6 +223,12 @@ def tfidf_cosine(docs: DataFrame, queries: DataFrame, tokens: Callable[[Column],
     return both.join(dn, ["grp", "doc_id"]).join(qn, ["grp", "query_id"]).select("grp", "query_id", "doc_id", (F.col("s") / (F.col("dn") * F.col("qn"))).alias("score"))
 
 
+def recall_at(results: DataFrame, wanted: DataFrame, k: int = 100) -> DataFrame:
+    """The share of queries (query_id, doc_id in `wanted`) whose document is among their k highest."""
+    hits = wanted.join(top_k(results, k).select("query_id", "doc_id", F.lit(1).alias("hit")), ["query_id", "doc_id"], "left")
+    return hits.agg(F.count("*").alias("queries"), F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
+
+
 def mean_vector(df: DataFrame, by: list[str], column: str = "embedding") -> DataFrame:
     """The mean of a group's vectors, element by element."""
     long = df.select(*by, F.posexplode(column).alias("pos", "x")).groupBy(*by, "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))

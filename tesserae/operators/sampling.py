@@ -34,14 +34,19 @@ def sample_tasks(repos: DataFrame, n: int, least: int, most: int, digest=shake)
     return deterministic_sample(R.value_counts(repos, "tasks").where(F.col("count").between(least, most)), "task", n, digest)
 
 
-def sample_repos(repos: DataFrame, n: int, least: int, digest=shake) -> DataFrame:
-    """Rows of the repos that are among the n first by digest of some task with at least `least` repos."""
-    long = repos.select("repo", F.explode("tasks").alias("task")).distinct()
-    size = F.count("*").over(Window.partitionBy("task"))
-    chosen = sample_per_group(long.withColumn("_n", size).where(F.col("_n") >= least), "task", "repo", n, digest)
+def sample_repos(repos: DataFrame, tasks: DataFrame, per_task: int, least_tasks: int = 1, digest=shake) -> DataFrame:
+    """Rows of the repos that are, for some of the `tasks`, among the per_task first by digest of the repos that have it and whose own list holds least_tasks or more; of fewer repos all are taken."""
+    usable = R.with_list_size(repos, "tasks", least_tasks)
+    long = usable.select("repo", F.explode("tasks").alias("task")).distinct().join(tasks.select("task").distinct(), "task", "left_semi")
+    chosen = sample_per_group(long, "task", "repo", per_task, digest)
     return repos.join(chosen.select("repo").distinct(), "repo", "left_semi")
 
 
+def sample_rows(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
+    """n rows drawn by a seeded digest of the key."""
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(n)
+
+
 def greedy_sample(repos: DataFrame, least_repos: int, per_task: int, most_per_task: int) -> DataFrame:
     """(task, repo, position) taken task by task from the rarest (ties by name).
 
@@ -136,26 +141,31 @@ def sample_queries(df: DataFrame, query: str, by: str, size: float) -> DataFrame
     return df.withColumns({"_r": F.row_number().over(w), "_n": n}).where(F.col("_r") <= F.ceil(F.col("_n") * size)).drop("_r", "_n")
 
 
+def _draw(seed: int, *columns: str) -> Column:
+    """A number from 0 to 2 ** 32 - 1 by a seeded digest."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(c).cast("string") for c in columns))), 1, 8), 16, 10).cast("long")
+
+
 def few_shot_context(repos: DataFrame, shots: int, seed: int = 0) -> DataFrame:
     """(repo, position, context): `shots` other repos for each, by numbers drawn from a seeded digest, without meeting all pairs."""
     ids = R.integer_ids(repos, "repo")
     n = ids.agg(F.count("*").alias("n"))
-    step = F.pmod(F.xxhash64(F.lit(seed), F.col("repo")), F.greatest(F.col("n") - 1, F.lit(1)))
     # distinct places on the ring of the others: a start and a stride of one
-    drawn = ids.join(F.broadcast(n)).select("repo", "id", "n", F.explode(F.sequence(F.lit(0), F.lit(shots - 1))).alias("position"), step.alias("s")).where("position < n - 1")
+    drawn = ids.join(F.broadcast(n)).select("repo", "id", "n", F.explode(F.sequence(F.lit(0), F.lit(shots - 1))).alias("position"), _draw(seed, "repo").alias("s")).where("position < n - 1")
     drawn = drawn.withColumn("at", F.pmod(F.col("id") + 1 + F.pmod(F.col("s") + F.col("position"), F.col("n") - 1), F.col("n")))
     return drawn.join(ids.select(F.col("id").alias("at"), F.col("repo").alias("context")), "at").select("repo", "position", "context")
 
 
 def task_of_another_area(rows: DataFrame, areas: DataFrame, seed: int = 0) -> DataFrame:
     """rows (repo, task) with other_task, a task of an area that isn't the row's task's. One number is drawn for each row among the tasks outside."""
+    # a row for each distinct task of an area
     numbered = areas.select("area", "task").distinct().withColumn("_i", F.row_number().over(Window.orderBy("area", "task")) - 1)
     span = numbered.groupBy("area").agg(F.min("_i").alias("_lo"), F.count("*").alias("_k"))
     total = numbered.agg(F.count("*").alias("_n"))
     own = areas.groupBy("task").agg(F.min("area").alias("area"))
     placed = rows.join(own, "task").join(span, "area").join(F.broadcast(total)).where("_n > _k")
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col("repo"), F.col("task")), F.col("_n") - F.col("_k"))
-    placed = placed.withColumn("_d", draw).withColumn("_i", F.when(F.col("_d") < F.col("_lo"), F.col("_d")).otherwise(F.col("_d") + F.col("_k")))
+    placed = placed.withColumn("_d", F.pmod(_draw(seed, "repo", "task"), F.col("_n") - F.col("_k")))
+    placed = placed.withColumn("_i", F.when(F.col("_d") < F.col("_lo"), F.col("_d")).otherwise(F.col("_d") + F.col("_k")))
     return placed.join(numbered.select("_i", F.col("task").alias("other_task")), "_i").select("repo", "task", "other_task")
 
 
@@ -196,3 +206,34 @@ def area_tasks(areas: DataFrame) -> DataFrame:
 
 def titles_by_task(papers: DataFrame) -> DataFrame:
     return papers.select(F.explode("tasks").alias("task"), "title").groupBy("task").agg(F.array_sort(F.collect_set("title")).alias("titles"))
+
+
+def frequent_queries(qrels: DataFrame, least: int) -> DataFrame:
+    """Judgements of the queries that have `least` results or more."""
+    return qrels.join(qrels.groupBy("query_id").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select("query_id"), "query_id", "left_semi")
+
+
+def relevance(results: DataFrame) -> DataFrame:
+    """(query_id, results): a map document -> 1 for each query."""
+    return results.select("query_id", "doc_id").distinct().groupBy("query_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("doc_id", F.lit(1).alias("rel"))))).alias("results"))
+
+
+def filter_queries(qrels: DataFrame, test: Column) -> DataFrame:
+    return qrels.where(test)
+
+
+def small_tasks_dropped(papers: DataFrame, least: int, column: str = "least_common_task") -> DataFrame:
+    """Rows whose value of the column occurs `least` times or more."""
+    kept = papers.groupBy(column).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select(column)
+    return papers.join(kept, column, "left_semi")
+
+
+def with_features(papers: DataFrame, nodes: DataFrame, edges: DataFrame, least: int) -> DataFrame:
+    """Papers (repo, tasks, least_common_task, readme, abstract) whose repo, or its name behind the slash, is a node, with dependency_records, the texts of its edges' targets; only tasks
+    that occur `least` times or more, and only rows whose least common task does."""
+    names = nodes.select(F.col("node").alias("_n")).distinct()
+    own = papers.select("repo", F.explode(F.array("repo", F.split_part("repo", F.lit("/"), F.lit(2)))).alias("_n")).join(names, "_n", "left_semi").select("repo").distinct()
+    rows = papers.join(own, "repo", "left_semi").na.drop(subset=["readme", "abstract"])
+    records = R.descriptions(edges, 1000).select(F.col("source").alias("repo"), F.col("description").alias("dependency_records"))
+    rows = small_tasks_dropped(R.with_list_size(rows.join(records, "repo"), "tasks", 1), least)
+    return R.keep_members(rows, "tasks", R.value_counts(rows, "tasks").where(F.col("count") >= least), "task", "repo")

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import os
+import uuid
+
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +27,7 @@ def read(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame
     if bare.endswith(".json"):
         return reader.option("multiLine", True).json(path)
     if bare.endswith(".feather"):
-        return read_feather(spark, [path])
+        return read_feather(spark, [path], schema)
     raise ValueError(f"no reader for {path}: .parquet, .csv, .json, .jsonl or .feather")
 
 
@@ -33,19 +38,45 @@ def read_feather(spark: SparkSession, paths: list[str], schema: str | None = Non
 
     raw = spark.read.format("binaryFile").load(paths).select("content")
 
+    if schema is None:
+        from pyspark.sql import types as T
+        from pyspark.sql.pandas.types import from_arrow_schema
+
+        def kinds(batches):
+            for batch in batches:
+                for content in batch.column(0):
+                    yield pa.RecordBatch.from_pydict({"schema": [from_arrow_schema(pa.ipc.open_file(pa.BufferReader(content.as_buffer())).schema).json()]})
+
+        # of all files: columns that some lack are null there
+        fields: dict[str, T.StructField] = {}
+        for r in raw.mapInArrow(kinds, "schema string").distinct().orderBy("schema").collect():
+            for f in T.StructType.fromJson(json.loads(r.schema)):
+                if fields.setdefault(f.name, f).dataType != f.dataType:
+                    raise ValueError(f"{f.name} is {f.dataType.simpleString()} in one file and {fields[f.name].dataType.simpleString()} in another")
+        schema = T.StructType(list(fields.values()))
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    wanted = to_arrow_schema(schemas.struct(schema) if isinstance(schema, str) else schema)
+
     def parse(batches):
         for batch in batches:
             for content in batch.column(0):
-                yield from feather.read_table(pa.BufferReader(content.as_buffer())).to_batches(max_chunksize=10_000)
-
-    if schema is None:
-        from pyspark.sql.pandas.types import from_arrow_schema
+                for b in feather.read_table(pa.BufferReader(content.as_buffer())).to_batches(max_chunksize=10_000):
+                    yield pa.RecordBatch.from_arrays([b.column(f.name).cast(f.type) if f.name in b.schema.names else pa.nulls(b.num_rows, f.type) for f in wanted], schema=wanted)
 
-        head = raw.limit(1).toArrow().column(0)[0].as_buffer()
-        schema = from_arrow_schema(feather.read_table(pa.BufferReader(head)).schema)
     return raw.mapInArrow(parse, schema)
 
 
+def read_all(spark: SparkSession, paths: list[str], keys: list[str] = ()) -> DataFrame:
+    """Files of several paths, by the ending of each, as one table without null keys; columns that some lack are null there."""
+    from tesserae.operators.relational import union_all
+
+    feathers = [p for p in paths if p.endswith(".feather")]
+    parts = [read(spark, p) for p in paths if p not in feathers] + ([read_feather(spark, feathers)] if feathers else [])
+    df = union_all(parts)
+    return df.na.drop(subset=list(keys)) if keys else df
+
+
 def python_files(spark: SparkSession, path: str) -> DataFrame:
     """python_files by repo; rows without content or repo are dropped."""
     df = schemas.require(read(spark, path), schemas.PYTHON_FILES)
@@ -136,7 +167,11 @@ def align_by_repo(first: DataFrame, *others: DataFrame, key: str = "repo") -> li
 
 
 def write(df: DataFrame, path: str, partition_by: list[str] = (), mode: str = "overwrite") -> None:
-    """By ending: .parquet, .csv, .json or .jsonl. An empty table gives an empty dataset with its schema."""
+    """By ending: .parquet, .csv, .json, .jsonl or .feather. An empty table gives an empty dataset with its schema."""
+    if path.endswith(".feather"):
+        if partition_by:
+            raise ValueError("feather files aren't partitioned")
+        return write_feather(df, path, mode)
     w = df.write.mode(mode)
     w = w.partitionBy(*partition_by) if partition_by else w
     if path.endswith(".parquet"):
@@ -146,7 +181,48 @@ def write(df: DataFrame, path: str, partition_by: list[str] = (), mode: str = "o
     elif path.endswith((".json", ".jsonl")):
         w.json(path)
     else:
-        raise ValueError(f"no writer for {path}: .parquet, .csv, .json or .jsonl")
+        raise ValueError(f"no writer for {path}: .parquet, .csv, .json, .jsonl or .feather")
+
+
+def write_feather(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """A folder of Arrow files, one for each partition that has rows, written by the tasks through Arrow's file systems (local or mounted, HDFS, object stores). mode: overwrite, or error if there is something.
+
+    Each attempt of a task writes a file of its own; only those of attempts that succeeded stay, so lost executors and repeated tasks leave nothing behind.
+    """
+    import pyarrow as pa
+    from pyarrow import fs as stores
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    uri = path if "://" in path else f"file://{os.path.abspath(path)}"
+    kind = to_arrow_schema(df.schema)
+
+    def put(name: str, batches) -> int:
+        store, root = stores.FileSystem.from_uri(uri)
+        store.create_dir(root, recursive=True)
+        n = 0
+        with store.open_output_stream(f"{root}/{name}") as sink, pa.ipc.new_file(sink, kind) as w:
+            for b in batches:
+                w.write_batch(pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(b.columns, kind)], schema=kind))
+                n += b.num_rows
+        return n
+
+    def save(batches):
+        name = f"part-{TaskContext.get().partitionId():05}-{uuid.uuid4().hex}.feather"
+        yield pa.RecordBatch.from_pydict({"name": [name], "n": pa.array([put(name, batches)], pa.int64())})
+
+    store, root = stores.FileSystem.from_uri(uri)
+    if store.get_file_info(root).type != stores.FileType.NotFound:
+        if mode != "overwrite":
+            raise FileExistsError(path)
+        store.delete_dir(root)
+    # a name for each partition
+    kept = {r.name for r in df.mapInArrow(save, "name string, n long").collect() if r.n}
+    if not kept:
+        kept = {"part-00000.feather"}
+        put(*kept, [])
+    for f in store.get_file_info(stores.FileSelector(root)):
+        if f.base_name not in kept:
+            store.delete_file(f.path)
 
 
 def word_vectors(df: DataFrame, word: str = "word", vector: str = "vector") -> DataFrame:
