@@ -6,13 +6,14 @@ tier by hash. If two sets share at least o tokens, the prefix of either must hol
 by k-combinations it takes k - 1 tokens more of that class. So a document's prefix is extended until what its classes give, rare tokens plus each class's tokens less k - 1,
 exceeds |x| - o. Documents of fewer than `short` tokens, whose prefixes hold no class, are indexed singly. Sizes fall into regimes; near a border a document is indexed in both.
 
-Candidates are not all pairs of a bucket. Each bucket has a few hubs, members that share the most signatures with others; each other member is tried against the hub that its
-bitmap (parities of hashed tokens, of which sets that differ in d tokens differ in d bits at most) is nearest to, and what links is joined to
-components. Then only members of different components are paired, and only if their shared prefix tokens and their bitmaps leave a similarity of the threshold possible;
-those are verified too. So components cost no more than their members.
-
-Every link lies within a component, so the links are counted there: the different sets of a component form blocks of bounded size, each pair of blocks whose sizes
-can link is one unit of work, and in it all overlaps are found as products of 0/1 matrices. Numbers leave it, not pairs; the work grows with the square of a component, as its links do.
+Candidates are not all pairs of a bucket. Each bucket has a few hubs, members that share the most signatures with others; each other member is held against these by
+bitmaps (parities of hashed tokens, of which sets that differ in d tokens differ in d bits at most), and what may link is joined to clusters. Then members of different clusters are
+held against each other in the same way, if their shared prefix tokens leave a similarity of the threshold possible, and clusters that may link become one. So every link lies within a
+cluster, and up to here no set was moved.
+
+The different sets of a cluster form blocks of bounded size, each pair of blocks whose sizes can link is a cell, and in it all overlaps are found as products of 0/1 matrices: how many
+documents each set links with, and which sets are connected. Numbers leave a cell, not pairs; connections of cells are joined to components. Most clusters are one cell. The work of larger ones grows with the square
+of their sets, as their links do; where links needn't be counted, these are verified by hubs and cross pairs alone, which grows with their members.
 """
 
 from __future__ import annotations
@@ -288,26 +289,22 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([c[i] for i in keep], pa.int64()) for c in (u, v)], names=["u", "v"])
 
 
-def _sets_of(ids: DataFrame, docs: DataFrame, known: DataFrame | None, step: Steps) -> DataFrame:
-    """(id, tokens, digest) of the documents of these ids, and by chance of a few more; known: sets that needn't be read again."""
-    if known is not None:
-        ids = ids.join(known.select(F.col("id").alias("doc_id")), "doc_id", "left_anti")
-        if ids.isEmpty():
-            return known
+def _sets_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, tokens, digest) of the documents of these ids, and by chance of a few more; a document may have several texts."""
     shared = docs.sparkSession.sparkContext.broadcast(_marks(ids))
-    # a document may have several texts
-    new = docs.mapInArrow(_tokens(shared), "id long, tokens binary, digest binary")
-    new = step(new if known is None else new.join(known.select("id").distinct(), "id", "left_anti"), "sets")
-    return new if known is None else known.unionAll(new)
+    return docs.mapInArrow(_tokens(shared), "id long, tokens binary, digest binary")
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, step: Steps) -> DataFrame:
+def _verify(pairs: DataFrame, docs: DataFrame, step: Steps) -> DataFrame:
     """(u, v) of the pairs that link. v: the side of fewer documents."""
+    pairs = step(pairs, "pairs")
+    sets = step(_sets_of(pairs.select(F.col("u").alias("doc_id")).unionAll(pairs.select(F.col("v").alias("doc_id"))).distinct(), docs), "sets")
     few = sets.join(pairs.select(F.col("v").alias("id")).distinct(), "id", "left_semi")
     left = pairs.join(sets.select(F.col("id").alias("u"), F.col("tokens").alias("a")), "u")
     both = left.join(few.select(F.col("id").alias("v"), F.col("tokens").alias("b")), "v").select("u", "v", "a", "b")
     found = step(both.mapInArrow(_linked, "u long, v long").distinct(), "links")
-    release(pairs.sparkSession)
+    step.drop(pairs, sets)
+    release(docs.sparkSession)
     return found
 
 
@@ -358,30 +355,50 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
+_FOUND = "digest binary, linked long, first long, least long"
+
+
+def _connected(linked: np.ndarray, left: np.ndarray, right: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Of the sets on either side (right: None, if it is the same) the smallest number that links reach."""
+    both, top = left.copy(), np.iinfo(np.int64).max
+    other = both if right is None else right.copy()
+    while True:
+        new = np.minimum(both, np.where(linked, other, top).min(axis=1, initial=top))
+        far = new if right is None else np.minimum(other, np.where(linked.T, new, top).min(axis=1, initial=top))
+        if (new == both).all() and (far == other).all():
+            return new, far
+        both, other = new, far
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (cell, right, digest, n_copies, tokens) ordered by cell: of each set how many documents across the cell link with it; a cell of one side is compared with itself."""
+    """Rows (cell, right, digest, first, n_copies, tokens) ordered by cell: of each set that links across the cell how many documents it links with, and the smallest document that links reach within the
+    cell. A cell of one side is compared with itself."""
 
-    def cell(rows: list[tuple]) -> Iterator[tuple[bytes, int]]:
+    def cell(rows: list[tuple]) -> Iterator[tuple]:
+        rows = list({(r[1], r[2]): r for r in rows}.values())
         sides = [[r for r in rows if r[1] == side] for side in (False, True)]
         own = not sides[1]
         left, right = sides[0], sides[0] if own else sides[1]
         if not left or len(rows) < 2:
             return
-        sets = [[np.frombuffer(r[4], "<u8") for r in x] for x in ((left,) if own else (left, right))]
+        sets = [[np.frombuffer(r[5], "<u8") for r in x] for x in ((left,) if own else (left, right))]
         shared = overlaps(sets[0], sets[-1])
         size = np.array([len(x) for x in sets[0]])[:, None] + np.array([len(x) for x in sets[-1]])
         linked = DEN * shared >= NUM * (size - shared)
         if own:
             np.fill_diagonal(linked, False)
-        for x, times in ((left, linked @ np.array([r[3] for r in right], np.int64)), *(() if own else ((right, linked.T @ np.array([r[3] for r in left], np.int64)),))):
-            yield from ((r[2], n) for r, n in zip(x, times.tolist()) if n)
+        first = [np.array([r[3] for r in x], np.int64) for x in (left, right)]
+        least = _connected(linked, first[0], None if own else first[1])
+        for x, least_x, times in zip((left, right), least, (linked @ np.array([r[4] for r in right], np.int64), None if own else linked.T @ np.array([r[4] for r in left], np.int64))):
+            if times is not None:
+                yield from ((r[2], n, r[3], m) for r, n, m in zip(x, times.tolist(), least_x.tolist()) if n)
 
-    def batch(out: list[tuple[bytes, int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.binary()), pa.array([r[1] for r in out], pa.int64())], names=["digest", "linked"])
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64() if i else pa.binary()) for i in range(4)], names=_FOUND.replace(",", "").split()[::2])
 
     held: list[tuple] = []
     for b in batches:
-        out: list[tuple[bytes, int]] = []
+        out: list[tuple] = []
         for row in zip(*(c.to_pylist() for c in b.columns)):
             if held and held[0][0] != row[0]:
                 out += cell(held)
@@ -393,13 +410,12 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch(list(cell(held)))
 
 
-def _links(groups: DataFrame, label: DataFrame, docs: DataFrame, known: DataFrame, step: Steps) -> DataFrame:
-    """(digest, linked): documents of other sets that link with each set. groups: digest, first, n, n_copies; label: node, component; known: sets; sets that nothing links with are left out."""
-    own = groups.join(label, F.col("first") == F.col("node"), "left").select("digest", "first", "n", "n_copies", F.coalesce("component", "first").alias("component"))
-    whole = own.groupBy("component").agg(F.count("*").alias("sets"), F.sum("n").alias("all")).where("sets > 1")
-    # sizes that link differ by a factor of DEN / NUM at most: by less than one kind
-    kind = F.when((F.col("sets") <= BLOCK) & (F.col("all") <= BLOCK_TOKENS), 0).otherwise(F.floor(F.ln("n") / math.log(1.04 * DEN / NUM)) + 1).cast("int")
-    own = step(own.join(whole, "component").withColumn("kind", kind).drop("sets", "all"), "members")
+#: Rows that are broadcast, of about 100 bytes.
+FEW = 100_000
+
+
+def _cells(own: DataFrame, docs: DataFrame, step: Steps) -> DataFrame:
+    """(digest, linked, first, least) of the sets that link, a row for each cell. own: digest, first, n, n_copies, component, kind of the sets of clusters."""
     blocks = own.groupBy("component", "kind").agg(F.count("*").alias("sets"), F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks"))
     at = own.join(blocks.drop("sets"), ["component", "kind"]).withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")).drop("blocks")
     at = at.withColumn("step", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn("other", F.col("kind") + F.col("step"))
@@ -407,11 +423,11 @@ def _links(groups: DataFrame, label: DataFrame, docs: DataFrame, known: DataFram
     at = at.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     right = (F.col("step") < 0) | ((F.col("step") == 0) & (F.col("block") > F.col("to")))
     ends = [F.when(right, F.col(b)).otherwise(F.col(a)) for a, b in (("kind", "other"), ("block", "to"), ("other", "kind"), ("to", "block"))]
-    cells = at.select(F.concat_ws("-", "component", *ends).alias("cell"), right.alias("right"), "digest", "n_copies")
-    sets = _sets_of(own.select(F.col("first").alias("doc_id")), docs, known, step)
-    sets = sets.join(own.select(F.col("first").alias("id"), "digest"), ["id", "digest"], "left_semi").drop("id").dropDuplicates(["digest"])
-    work = cells.join(sets, "digest").select("cell", "right", "digest", "n_copies", "tokens").repartition("cell").sortWithinPartitions("cell")
-    found = step(work.mapInArrow(_counted, "digest binary, linked long").groupBy("digest").agg(F.sum("linked").alias("linked")), "counts")
+    cells = step(at.select(F.concat_ws("-", "component", *ends).alias("cell"), right.alias("right"), "digest", "first", "n_copies"), "cells")
+    sets = _sets_of(cells.select(F.col("first").alias("doc_id")).distinct(), docs).withColumnRenamed("id", "first")
+    few = cells.limit(FEW + 1).count() <= FEW
+    work = sets.join(F.broadcast(cells) if few else cells, ["first", "digest"]).select("cell", "right", "digest", "first", "n_copies", "tokens")
+    found = step(work.repartition("cell").sortWithinPartitions("cell").mapInArrow(_counted, _FOUND), "counts")
     release(docs.sparkSession)
     return found
 
@@ -421,24 +437,50 @@ HUBS = 3
 
 
 def _stars(buckets: DataFrame, bits: DataFrame) -> DataFrame:
-    """(u, v): each member of a bucket with the likeliest of its hubs, and hubs with each other. Hubs are those that share the most signatures, and two drawn from those that
-    share nearly as many; in overlapping buckets they are mostly the same. bits: node, bits."""
+    """(u, v, apart, hub): members of a bucket with those of its hubs that they may link with by their bitmaps, the share of bits in which they differ, and whether u is a hub too. Hubs are those that share
+    the most signatures, and two drawn from those that share nearly as many; in overlapping buckets they are mostly the same. bits: node, n, bits."""
     weight = buckets.groupBy("node").agg(F.sum("times").alias("weight"))
     member = buckets.join(weight, "node")
     nearly = F.floor(F.log2("weight") * 4)
     best = [F.max(F.struct(F.when(F.lit(i == 0), F.col("weight")).otherwise(nearly).alias("w"), F.xxhash64(F.lit(i), "node").alias("h"), F.col("node").alias("hub"), F.col("n").alias("hub_n"))).alias(f"h{i}") for i in range(HUBS)]
     hubs = member.groupBy("bucket").agg(*best).select("bucket", F.explode(F.array_distinct(F.array(*(F.struct(f"h{i}.hub", f"h{i}.hub_n") for i in range(HUBS))))).alias("hub")).select("bucket", "hub.*")
     pairs = buckets.join(hubs, "bucket").where("node <> hub").where(_near("n", "hub_n")).select("node", "hub").distinct()
+    every = hubs.select("hub").distinct()
     x, y = (bits.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in ("node", "hub"))
-    pairs = pairs.join(x, "node").join(y.join(hubs.select("hub").distinct(), "hub", "left_semi"), "hub").where(_alike("n_node", "bits_node", "n_hub", "bits_hub"))
-    pairs = pairs.withColumn("apart", _apart("bits_node", "bits_hub") / (F.col("n_node") + F.col("n_hub")))
-    likeliest = pairs.groupBy("node").agg(F.min_by("hub", F.struct("apart", "hub")).alias("hub"))
-    among = pairs.join(hubs.select(F.col("hub").alias("node")).distinct(), "node", "left_semi").select("node", "hub")
-    return likeliest.unionAll(among).select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
+    pairs = pairs.join(y.join(every, "hub", "left_semi"), "hub").join(x, "node").where(_alike("n_node", "bits_node", "n_hub", "bits_hub"))
+    pairs = pairs.select("node", "hub", (_apart("bits_node", "bits_hub") / (F.col("n_node") + F.col("n_hub"))).alias("apart"))
+    pairs = pairs.join(every.select(F.col("hub").alias("node"), F.lit(True).alias("_hub")), "node", "left")
+    return pairs.select(F.col("node").alias("u"), F.col("hub").alias("v"), "apart", F.coalesce("_hub", F.lit(False)).alias("hub"))
+
+
+def _cross(buckets: DataFrame, bits: DataFrame, label: DataFrame, step: Steps) -> DataFrame:
+    """(u, v) of the members of one bucket in different components that may link by shared prefix tokens and bitmaps. label: node, component."""
+    member = buckets.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = member.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
+    member = member.join(mixed, "bucket", "left_semi").groupBy("bucket", "node", "n", "combined", "component").agg(F.sum("times").alias("times"))
+    member = step(member.join(bits, ["node", "n"]), "mixed")
+    a = member.select("bucket", "times", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "combined", "component", "bits")))
+    b = member.select(F.col("bucket").alias("_bucket"), *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "combined", "component", "bits")))
+    pairs = a.join(b, (F.col("bucket") == F.col("_bucket")) & (F.col("component_a") < F.col("component_b")) & _near("n_a", "n_b") & _alike("n_a", "bits_a", "n_b", "bits_b"))
+    pairs = pairs.groupBy("node_a", "node_b", "n_a", "n_b").agg(F.sum("times").alias("shared"), F.max(F.col("combined_a") & F.col("combined_b")).alias("combined"))
+    pairs = pairs.where(F.col("combined") | _possible("n_a", "n_b")).select(F.col("node_a").alias("u"), F.col("node_b").alias("v"))
+    pairs = step(pairs.distinct(), "pairs")
+    step.drop(member)
+    return pairs
 
 
-def _labelled(docs: DataFrame, step: Steps, often: float = 1 / 8000, least_often: int = 16, very: float = 1 / 400, per_part: int = 1_000_000) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """doc_id, n, digest of every document; node and component of those that link; digest, first document, n, n_copies of every set; sets that were read."""
+def _by_hubs(nodes: DataFrame, star: DataFrame, buckets: DataFrame, bits: DataFrame, docs: DataFrame, step: Steps) -> DataFrame:
+    """(u, v): links that connect the nodes as all their links do. Each is verified with its likeliest hub, hubs with each other, and then members of different components."""
+    star = star.join(nodes.select(F.col("node").alias("u")), "u", "left_semi")
+    likeliest = star.groupBy("u").agg(F.min_by("v", F.struct("apart", "v")).alias("v"))
+    links = _verify(likeliest.unionAll(star.where("hub").select("u", "v")).distinct(), docs, step)
+    label = components(links, step=step)
+    pairs = _cross(buckets.join(nodes, "node", "left_semi"), bits, label, step)
+    return links.unionAll(_verify(pairs, docs, step))
+
+
+def _labelled(docs: DataFrame, step: Steps, counts: bool = True, often: float = 1 / 8000, least_often: int = 16, very: float = 1 / 400, per_part: int = 1_000_000) -> tuple[DataFrame, ...]:
+    """doc_id, n, digest of every document; node and component of those that link; digest, first document, n, n_copies of every set; digest, linked (with counts: documents of other sets that it links with)."""
     spark = docs.sparkSession
     profile = step(docs.mapInArrow(_profile(often), _PROFILE), "profile")
     rows = profile.where("times is null").select("doc_id", "n", "digest")
@@ -458,36 +500,27 @@ def _labelled(docs: DataFrame, step: Steps, often: float = 1 / 8000, least_often
     release(spark)
 
     bits = profile.where("digest is not null").select(F.col("doc_id").alias("node"), "n", "bits")
+    bits = step(bits.join(buckets.select("node").distinct(), "node", "left_semi").distinct(), "bits")
     star = step(_stars(buckets, bits), "pairs")
-    sets = _sets_of(star.select(F.col("u").alias("doc_id")).unionAll(star.select(F.col("v").alias("doc_id"))).distinct(), docs, None, step)
-    links = _verify(star, sets, step)
-    step.drop(star)
-    same = own.join(groups.select("digest", "first"), "digest").where("doc_id <> first").select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
-    first = components(links.unionAll(same), step=step)
-
-    # members of one bucket in different components
-    member = buckets.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = member.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    member = member.join(mixed, "bucket", "left_semi").groupBy("bucket", "node", "n", "combined", "component").agg(F.sum("times").alias("times"))
-    member = step(member.join(bits.distinct(), ["node", "n"]), "mixed")
-    a = member.select("bucket", "times", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "combined", "component", "bits")))
-    b = member.select(F.col("bucket").alias("_bucket"), *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "combined", "component", "bits")))
-    pairs = a.join(b, (F.col("bucket") == F.col("_bucket")) & (F.col("component_a") < F.col("component_b")) & _near("n_a", "n_b") & _alike("n_a", "bits_a", "n_b", "bits_b"))
-    pairs = pairs.groupBy("node_a", "node_b", "n_a", "n_b").agg(F.sum("times").alias("shared"), F.max(F.col("combined_a") & F.col("combined_b")).alias("combined"))
-    pairs = pairs.where(F.col("combined") | _possible("n_a", "n_b")).select(F.col("node_a").alias("u"), F.col("node_b").alias("v"))
-    pairs = step(pairs.distinct(), "pairs")
-    step.drop(buckets, member)
-    sets = _sets_of(pairs.select(F.col("u").alias("doc_id")).unionAll(pairs.select(F.col("v").alias("doc_id"))).distinct(), docs, sets, step)
-    more = _verify(pairs, sets, step)
-    label = first
-    if not more.isEmpty():
-        c = first.select(F.col("node").alias("x"), F.col("component").alias("c"))
-        ends = more.join(c, F.col("u") == F.col("x"), "left").select(F.coalesce("c", "u").alias("u"), "v")
-        ends = ends.join(c, F.col("v") == F.col("x"), "left").select("u", F.coalesce("c", "v").alias("v"))
-        second = components(ends, step=step)
-        known = first.unionAll(second.select("node", F.col("node").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
-        label = known.join(second.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left").select("node", F.coalesce("top", "component").alias("component"))
-    return rows, step(label, "label"), groups, sets
+    near = components(star.select("u", "v"), step=step)
+    cross = _cross(buckets, bits, near, step)
+    # clusters of candidates, also where a document isn't the first of its set
+    same = step(own.join(groups.select("digest", "first"), "digest").where("doc_id <> first").select(F.col("doc_id").alias("u"), F.col("first").alias("v")), "same")
+    edges = near.select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(cross)
+    touched = edges.select("u").union(edges.select("v")).distinct()
+    cluster = components(edges.unionAll(same.join(touched, "u", "left_semi")), step=step)
+    held = groups.join(cluster, F.col("first") == F.col("node")).drop("node")
+    whole = held.groupBy("component").agg(F.count("*").alias("sets"), F.sum("n").alias("all")).where("sets > 1")
+    # sizes that link differ by a factor of DEN / NUM at most: by less than one kind
+    kind = F.when((F.col("sets") <= BLOCK) & (F.col("all") <= BLOCK_TOKENS), 0).otherwise(F.floor(F.ln("n") / math.log(1.04 * DEN / NUM)) + 1).cast("int")
+    held = step(held.join(whole, "component").withColumn("kind", kind).drop("sets", "all"), "members")
+    found = _cells(held if counts else held.where("kind = 0"), docs, step)
+    links = found.where("first <> least").select(F.col("first").alias("u"), F.col("least").alias("v"))
+    if not counts and not held.where("kind > 0").isEmpty():
+        nodes = step(cluster.join(held.where("kind > 0").select("component").distinct(), "component", "left_semi").select("node"), "nodes")
+        links = links.unionAll(_by_hubs(nodes, star, buckets, bits, docs, step))
+    label = components(links.unionAll(same), step=step)
+    return rows, label, groups, found.groupBy("digest").agg(F.sum("linked").alias("linked"))
 
 
 def _component():
@@ -510,8 +543,7 @@ def join(docs: DataFrame, **options) -> DataFrame:
     """
     docs = _narrow(docs)
     with steps(docs.sparkSession) as step:
-        rows, label, groups, sets = _labelled(docs, step, **options)
-        found = _links(groups, label, docs, sets, step)
+        rows, label, groups, found = _labelled(docs, step, **options)
         links = groups.join(found, "digest", "left").select("digest", "n_copies", (F.coalesce("linked", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"))
         out = rows.join(label, F.col("doc_id") == F.col("node"), "left").join(links, "digest", "left")
         return materialize(out.select("doc_id", F.col("n").alias("n_shingles"), _component(), F.coalesce("n_copies", F.lit(1)).alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "ngram-join")
@@ -520,7 +552,7 @@ def join(docs: DataFrame, **options) -> DataFrame:
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """docs without the documents whose component has a smaller doc_id; rows with a null doc_id stay."""
     with steps(docs.sparkSession) as step:
-        rows, label, _, _ = _labelled(_narrow(docs), step, **options)
+        rows, label, _, _ = _labelled(_narrow(docs), step, counts=False, **options)
         gone = rows.join(label, F.col("doc_id") == F.col("node"), "left").select("doc_id", _component()).where("component_id <> doc_id").select("doc_id").distinct()
         gone = materialize(gone, "ngram-gone")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
