@@ -1,12 +1,14 @@
+import functools
+import random
 import re
 from collections import Counter
 
 import pyarrow as pa
 import pytest
 
-from tesserae.llm import licenses, quality_rules
+from tesserae.llm import licenses, quality_rules, textvec
 
-APACHE = licenses.TEMPLATES[4][1]
+APACHE = max((t for x, t in licenses.TEMPLATES if x == "apache-2.0"), key=len)
 TEXTS = [None, "", "MIT License", "mit, license! MIT-LICENSE", "apache license " * 5000, "the GNU General  Public\nLicense x general public license", "é MIT license ü", "of the and to the in of the", "This work is licensed under the GNU General Public License, version 3.\nfoo bar", "Licensed under CC BY-NC 4.0.\nfoo", "x " + APACHE[:200] + " noise words here " + APACHE[200:] + " y", "mit", "license mit"]
 
 
@@ -38,7 +40,93 @@ def test_automaton_matching_statistics():
         assert n == max((k for k in range(i + 2) if tuple(words[i + 1 - k : i + 1]) in subs), default=0)
         if n:
             m = words[i + 1 - n : i + 1]
-            assert {(t, e) for t, x in enumerate(texts) for e in range(n, len(x) + 1) if x[e - n : e] == m} == sam.ends[v]
+            assert {(t, e) for t, x in enumerate(texts) for e in range(n, len(x) + 1) if x[e - n : e] == m} == set(sam.ends(v))
+            for k in range(1, n + 1):
+                m = words[i + 1 - k : i + 1]
+                assert {(t, e) for t, x in enumerate(texts) for e in range(k, len(x) + 1) if x[e - k : e] == m} == set(sam.ends(sam.suffix(v, k)))
+
+
+def brute_chain(words, template, k=4, gap=16):
+    """The most template words that a chain covers: matches from all pairs of places, chained without windows or order."""
+    found = []
+    for a in range(len(words)):
+        for b in range(len(template)):
+            if words[a] == template[b] and not (a and b and words[a - 1] == template[b - 1]):
+                n = 0
+                while a + n < len(words) and b + n < len(template) and words[a + n] == template[b + n]:
+                    n += 1
+                if n >= k:
+                    found.append((a, b, n))
+
+    @functools.cache
+    def ending(j):
+        a, b, n = found[j]
+        best = n
+        for i, (x, y, m) in enumerate(found):
+            if x + m < a + n and y + m < b + n and a - (x + m) <= gap:
+                cut = max(0, x + m - a, y + m - b)
+                if cut < n:
+                    best = max(best, ending(i) + n - cut)
+        return best
+
+    return max((ending(j) for j in range(len(found))), default=0)
+
+
+def edited(r, words):
+    """Words changed, put in, taken out, quoted again."""
+    out = list(words)
+    for _ in range(r.choice([0, 1, 2, 4, 8])):
+        i = r.randrange(len(out))
+        what = r.randrange(4)
+        if what == 0:
+            out[i] = "changed"
+        elif what == 1:
+            out[i:i] = ["put", "in"][: r.randint(1, 2)]
+        elif what == 2:
+            del out[i : i + r.randint(1, 3)]
+        else:
+            j = r.randrange(max(1, len(out) - 6))
+            out[i:i] = out[j : j + 6]
+    return out
+
+
+def test_chains_are_the_best_ones():
+    r = random.Random(5)
+    scanner = licenses.Scanner()
+    texts = []
+    for _, t in licenses.TEMPLATES:
+        texts.append(" ".join([*edited(r, t.split()), "x", *(r.choice(licenses.TEMPLATES)[1].split()[: r.randint(0, 9)])]))
+    bsd = next(t for x, t in licenses.TEMPLATES if x == "bsd").split()
+    texts.append(" ".join(w if i not in (24, 30, 38, 49) else "other" for i, w in enumerate(bsd)))
+    for text in texts:
+        ((_, _, buf, offs),) = textvec.chunks(pa.array([text]))
+        number, _, runs = scanner.runs(buf, offs)
+        places, base, spans, score = scanner.document(number, runs)
+        words = text.split()
+        share = {i: brute_chain(words, t.split()) / len(t.split()) for i, (_, t) in enumerate(licenses.TEMPLATES)}
+        assert abs(score - max(share.values())) < 1e-12, text
+        full = {licenses.TEMPLATES[i][0] for i, x in share.items() if x >= 0.6}
+        assert {s[0] for s in spans} <= full, text
+        for missing in full - {s[0] for s in spans}:  # only where another wording stands
+            assert any(x < max(s[3] for s in spans) + 1e-12 for i, x in share.items() if licenses.TEMPLATES[i][0] == missing), text
+        assert all(0 <= a <= b < len(words) for _, a, b, _ in spans)
+
+
+def test_the_wording_that_stands_there_prevails():
+    scanner = licenses.Scanner()
+    chains = [(20, 0, 9, 8), (21, 0, 9, 9), (22, 2, 5, 4), (23, 30, 40, 2)]
+    scanner.texts = {20: [0] * 9, 21: [0] * 9, 22: [0] * 4, 23: [0] * 9}
+    assert scanner.prevailing(chains) == [(21, 0, 9, 9)]
+
+
+def test_copies_and_edits_of_licences(spark):
+    """What a greedy chain loses: repeated clauses with changed words, words put in, earlier words quoted again. And a long text of many copies."""
+    gpl = next(t for x, t in licenses.TEMPLATES if x == "gpl-notice")
+    bsd = next(t for x, t in licenses.TEMPLATES if x == "bsd")
+    rows = [(1, bsd.replace("must retain the above", "must keep the said", 1)), (2, gpl.replace("the gnu general public license as", "the well known gnu general public license as")), (3, APACHE[:300] + " in compliance with the license you " + APACHE[300:]), (4, "Licensed under the MIT license. " * 4000), (3, APACHE)]
+    got = sorted(((r.doc_id, set(r.labels.split(",")), len(r.spans)) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=lambda x: (x[0], x[2]))
+    assert "bsd" in got[0][1] and "gpl-notice" in got[1][1] and all("apache-2.0" in x[1] for x in got if x[0] == 3) and len(got) == 5
+    assert got[-1][1] >= {"mit", "mit-notice"} and got[-1][2] == 4000
 
 
 def brute_rules(text):
