@@ -1,8 +1,8 @@
 """Lines that stand in many documents, dropped everywhere. DataFrame functions only.
 
-Each document's distinct line keys are hashed where it is and exploded; hashes are counted with map-side sums, those over the threshold meet
-the documents' hashes again, and each document gets the list of its own hashes that go. Its lines are then filtered in place and joined by position. Two 64-bit
-hashes stand for a key, 128 bits in all.
+Texts are split once: every line with a key becomes a row of its document, place and hash, and these rows, which hold no text, are made durable. Hashes are counted with
+map-side sums; of those in enough rows the distinct documents are counted exactly, which deals a frequent hash out by its documents. The rows whose hash goes are found again by these few hashes, each
+document gets its list of places that go, and its lines are joined by position without them. Two 64-bit hashes stand for a key, 128 bits in all.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.llm.common import fresh, materialize
+
 SPACE = " \t\n\x0b\x0c\r"
 
 
@@ -27,23 +29,41 @@ def _hash(line: Column) -> Column:
     return F.when(F.length(key) > 0, F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit(7), key).alias("b")))
 
 
+#: Hashes that are broadcast, of 16 bytes; more are joined by shuffles.
+FEW = 200_000
+
+
+def _among(rows: DataFrame, keys: DataFrame, name: str) -> DataFrame:
+    """Rows whose key is among `keys`."""
+    few = keys.limit(FEW + 1).count() <= FEW
+    return rows.join(F.broadcast(keys) if few else keys, name, "left_semi")
+
+
 def dedup(docs: DataFrame, min_docs: int = 10) -> DataFrame:
     """docs with text replaced by what is left, and n_lines and n_dropped.
 
     docs: doc_id and text (null or empty: one empty line), and any other columns but n_lines and n_dropped, which are replaced; columns of docs keep
-    their places. Every row counts as a document; rows of one doc_id share what is dropped, which no text can tell, as a key goes everywhere or nowhere.
-    A null doc_id is a document too.
+    their places. A document is a doc_id: its rows count once for a key, and rows with a null doc_id don't count; what goes goes from every row. No rows: no rows.
     """
-    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    lines = F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n", -1)
-    keys = docs.select(F.col("doc_id").alias("_id"), F.explode(F.array_compact(F.array_distinct(F.transform(lines, _hash)))).alias("_key"))
-    common = keys.groupBy("_key").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_docs).select("_key")
-    gone = keys.join(common, "_key", "left_semi").groupBy("_id").agg(F.collect_set("_key").alias("_gone"))
-    joined = docs.select(*names).join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    left = F.when(F.col("_gone").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("_gone"), _hash(x)), F.lit(False))))
-    kept = joined.withColumn("_left", left).withColumn("n_lines", F.size(lines).cast("long"))
-    kept = kept.withColumn("n_dropped", F.col("n_lines") - F.size("_left")).withColumn("text", F.array_join("_left", "\n"))
-    return kept.select(*names, "n_lines", "n_dropped")
+    names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
+    docs = docs.select(*(F.col(f"`{c}`") for c in names))
+    lines, one, two, gone, doc, key, place, kept = fresh(docs, "_lines", "_one", "_two", "_gone", "_doc", "_key", "_place", "_kept")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    # rows of one doc_id with one text lose the same places, so these three tell rows apart
+    docs = docs.withColumns({one: F.xxhash64(text), two: F.xxhash64(F.lit(7), text)})
+    keys = docs.select(F.col("doc_id").alias(doc), one, two, F.posexplode(F.transform(F.split(text, "\n", -1), _hash)).alias(place, key))
+    keys = materialize(keys.where(F.col(key).isNotNull()), "lines")
+    often = keys.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select(key)
+    found = materialize(_among(keys, materialize(often, "often"), key), "found")
+    common = found.select(key, doc).distinct().groupBy(key).agg(F.count(doc).alias("n")).where(F.col("n") >= min_docs).select(key)
+    places = _among(found, materialize(common, "common"), key).groupBy(doc, one, two).agg(F.collect_set(place).alias(gone))
+    places = places.withColumnsRenamed({one: f"{one}_of", two: f"{two}_of"})
+    joined = docs.join(places, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(one) == F.col(f"{one}_of")) & (F.col(two) == F.col(f"{two}_of")), "left")
+    joined = joined.withColumn(lines, F.split(text, "\n", -1))
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone)), lambda i: F.col(lines)[i])
+    out = joined.withColumn(kept, F.when(F.col(gone).isNull(), text).otherwise(F.array_join(left, "\n")))
+    columns = [F.col(kept).alias(c) if c.lower() == "text" else F.col(f"`{c}`") for c in names]
+    return out.select(*columns, F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_dropped"))
 
 
 def digest(docs: DataFrame, min_docs: int = 10) -> DataFrame:

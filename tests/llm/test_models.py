@@ -93,6 +93,19 @@ def test_line_dedup(spark):
     assert line_dedup.digest(df.limit(0)).count() == 0
 
 
+def test_line_dedup_counts_documents(spark):
+    """Rows of one doc_id are one document, null ids are none, and names that the operator uses inside may be columns."""
+    rows = [(1, "same\nown", "x")] * 12 + [(None, "null line\nsame\nmany", "x")] * 12 + [(100 + i, f"many\ntext {i}\n many", "y") for i in range(10)] + [(7, "word " * 200_000 + "\nMANY", "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _key string").selectExpr("*", "1 as _doc", "2 as _gone", "3 as _id", "4 as _place", "5 as _one").repartition(3)
+    for few in (0, line_dedup.FEW):
+        line_dedup.FEW = few
+        got = line_dedup.dedup(df).collect()
+        assert line_dedup.dedup(df).columns == [*df.columns, "n_lines", "n_dropped"] and len(got) == len(rows)
+        assert Counter((r.doc_id, r.text[:40], r.n_lines, r.n_dropped, r._gone) for r in got) == Counter(
+            [(1, "same\nown", 2, 0, 2)] * 12 + [(None, "null line\nsame", 3, 1, 2)] * 12 + [(100 + i, f"text {i}", 3, 2, 2) for i in range(10)] + [(7, ("word " * 8), 2, 1, 2)]
+        )
+
+
 # mixing
 
 
