@@ -156,8 +156,8 @@ _POSTINGS = "part int, nodes binary, sizes binary, counts binary, signatures bin
 
 
 def _postings(shared, parts: int, flush: int = 1 << 20):
-    """Signatures of the marked documents, by part of the hash range: documents, their sizes (negative if combinations are among them), signatures of each. shared: frequent tokens,
-    whether they are very frequent, marks."""
+    """Signatures of the marked documents, by part of the hash range: documents, their sizes, signatures of each. shared: frequent tokens, whether they are very frequent,
+    marks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, often, marks = shared.value
@@ -197,8 +197,8 @@ def _postings(shared, parts: int, flush: int = 1 << 20):
             for doc, a, b in zip(ids.to_pylist(), at[:-1].tolist(), at[1:].tolist()):
                 if doc is None or a == b:
                     continue
-                sig, combined = signatures(h[a:b], hit[a:b], very[a:b])
-                held.append((doc, a - b if combined else b - a, sig))
+                sig, _ = signatures(h[a:b], hit[a:b], very[a:b])
+                held.append((doc, b - a, sig))
                 size += len(sig)
             if size >= flush:
                 yield from rows()
@@ -208,7 +208,7 @@ def _postings(shared, parts: int, flush: int = 1 << 20):
     return run
 
 
-_BUCKETS = "bucket long, times int, node long, n long, combined boolean"
+_BUCKETS = "bucket long, times int, node long, n long"
 
 
 def _buckets(table: pa.Table) -> pa.Table:
@@ -226,7 +226,7 @@ def _buckets(table: pa.Table) -> pa.Table:
     sig, node, size = sig[many], node[many], size[many]
     names = _BUCKETS.replace(",", "").split()[::2]
     if not len(sig):
-        return pa.table({n: pa.array([], t) for n, t in zip(names, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()))})
+        return pa.table({n: pa.array([], t) for n, t in zip(names, (pa.int64(), pa.int32(), pa.int64(), pa.int64()))})
     begin = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
     count = np.diff(np.append(begin, len(sig)))
     whole = textvec.mix(np.add.reduceat(textvec.mix(node.astype(np.uint64)), begin) ^ count.astype(np.uint64))
@@ -234,7 +234,7 @@ def _buckets(table: pa.Table) -> pa.Table:
     count = count[first]
     rows = np.repeat(begin[first] - (np.cumsum(count) - count), count) + np.arange(count.sum())
     node, size = node[rows], size[rows]
-    return pa.table({"bucket": np.repeat(whole, count).view(np.int64), "times": np.repeat(times, count).astype(np.int32), "node": node, "n": np.abs(size), "combined": size < 0})
+    return pa.table({"bucket": np.repeat(whole, count).view(np.int64), "times": np.repeat(times, count).astype(np.int32), "node": node, "n": size})
 
 
 #: Slots of the bitmap of wanted documents.
@@ -324,10 +324,14 @@ def _alike(n_a: str, bits_a: str, n_b: str, bits_b: str):
     return _apart(bits_a, bits_b) <= size - 2 * F.ceil(size * NUM / (NUM + DEN))
 
 
-def _possible(a: str, b: str):
-    """Whether `shared` prefix tokens and what may be common after the prefixes reach the overlap that the threshold asks for."""
+def _possible(a: str, b: str, shared):
+    """Whether so many shared signatures leave the overlap possible that the threshold asks for.
+
+    Of a set's prefix, whose classes give one token more than |x| less its least overlap, the o tokens that a pair must share leave out |x| - o at most. Each shared token adds a shared signature but
+    for the k - 1 of a class that the prefix was extended by: so o less the least overlap, plus one, must be shared, by that of the two whose prefix ends first.
+    """
     after = F.greatest(*(F.ceil(F.col(c) * NUM / DEN) - 1 for c in (a, b)))
-    return F.col("shared") + after >= F.ceil((F.col(a) + F.col(b)) * NUM / (NUM + DEN))
+    return shared + after >= F.ceil((F.col(a) + F.col(b)) * NUM / (NUM + DEN))
 
 
 #: Sets and tokens of a block, and the columns of a matrix.
@@ -444,7 +448,9 @@ def _stars(buckets: DataFrame, bits: DataFrame) -> DataFrame:
     nearly = F.floor(F.log2("weight") * 4)
     best = [F.max(F.struct(F.when(F.lit(i == 0), F.col("weight")).otherwise(nearly).alias("w"), F.xxhash64(F.lit(i), "node").alias("h"), F.col("node").alias("hub"), F.col("n").alias("hub_n"))).alias(f"h{i}") for i in range(HUBS)]
     hubs = member.groupBy("bucket").agg(*best).select("bucket", F.explode(F.array_distinct(F.array(*(F.struct(f"h{i}.hub", f"h{i}.hub_n") for i in range(HUBS))))).alias("hub")).select("bucket", "hub.*")
-    pairs = buckets.join(hubs, "bucket").where("node <> hub").where(_near("n", "hub_n")).select("node", "hub").distinct()
+    # what is shared in other buckets than the hub's isn't counted here, so as much again is allowed for; the exact test is left to the members of different clusters
+    pairs = buckets.join(hubs, "bucket").where("node <> hub").where(_near("n", "hub_n")).groupBy("node", "hub", "n", "hub_n").agg(F.sum("times").alias("shared"))
+    pairs = pairs.where(_possible("n", "hub_n", 2 * F.col("shared"))).select("node", "hub").distinct()
     every = hubs.select("hub").distinct()
     x, y = (bits.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in ("node", "hub"))
     pairs = pairs.join(y.join(every, "hub", "left_semi"), "hub").join(x, "node").where(_alike("n_node", "bits_node", "n_hub", "bits_hub"))
@@ -457,13 +463,13 @@ def _cross(buckets: DataFrame, bits: DataFrame, label: DataFrame, step: Steps) -
     """(u, v) of the members of one bucket in different components that may link by shared prefix tokens and bitmaps. label: node, component."""
     member = buckets.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = member.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    member = member.join(mixed, "bucket", "left_semi").groupBy("bucket", "node", "n", "combined", "component").agg(F.sum("times").alias("times"))
+    member = member.join(mixed, "bucket", "left_semi").groupBy("bucket", "node", "n", "component").agg(F.sum("times").alias("times"))
     member = step(member.join(bits, ["node", "n"]), "mixed")
-    a = member.select("bucket", "times", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "combined", "component", "bits")))
-    b = member.select(F.col("bucket").alias("_bucket"), *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "combined", "component", "bits")))
+    a = member.select("bucket", "times", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "component", "bits")))
+    b = member.select(F.col("bucket").alias("_bucket"), *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "component", "bits")))
     pairs = a.join(b, (F.col("bucket") == F.col("_bucket")) & (F.col("component_a") < F.col("component_b")) & _near("n_a", "n_b") & _alike("n_a", "bits_a", "n_b", "bits_b"))
-    pairs = pairs.groupBy("node_a", "node_b", "n_a", "n_b").agg(F.sum("times").alias("shared"), F.max(F.col("combined_a") & F.col("combined_b")).alias("combined"))
-    pairs = pairs.where(F.col("combined") | _possible("n_a", "n_b")).select(F.col("node_a").alias("u"), F.col("node_b").alias("v"))
+    pairs = pairs.groupBy("node_a", "node_b", "n_a", "n_b").agg(F.sum("times").alias("shared"))
+    pairs = pairs.where(_possible("n_a", "n_b", F.col("shared"))).select(F.col("node_a").alias("u"), F.col("node_b").alias("v"))
     pairs = step(pairs.distinct(), "pairs")
     step.drop(member)
     return pairs

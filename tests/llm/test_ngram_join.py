@@ -93,6 +93,24 @@ def test_prefixes_share_a_signature(sizes):
         assert a & b
 
 
+@pytest.mark.parametrize("sizes", [(16, 20), (60, 75), (130, 140), (500, 620), (2000, 2300)])
+def test_shared_signatures_reach_their_bound(sizes):
+    """Of sets that link, in all tiers of tokens, at least as many as the filter asks for."""
+    r = np.random.default_rng(sum(sizes))
+    for _ in range(60):
+        n, m = int(r.integers(*sizes)), int(r.integers(*sizes))
+        need = -(-80 * (n + m) // 180)
+        if need > min(n, m):
+            continue
+        pool = np.unique(r.integers(0, 2**63, 4 * max(n, m)).astype(np.uint64) * np.uint64(2))
+        r.shuffle(pool)
+        x, y = np.sort(pool[:n]), np.sort(np.concatenate([pool[:need], pool[n : n + m - need]]))
+        tier = r.choice([0, 1, 2], len(pool), p=r.dirichlet([0.5, 0.5, 0.5]))
+        level = dict(zip(pool.tolist(), tier.tolist()))
+        a, b = (set(ngram_join.signatures(s, *(np.array([level[t] >= k for t in s.tolist()]) for k in (1, 2)))[0].tolist()) for s in (x, y))
+        assert len(a & b) + max(-(-80 * n // 100), -(-80 * m // 100)) - 1 >= need
+
+
 def test_components(spark):
     r = random.Random(3)
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, 300 + i) for i in range(200)] + [(r.randint(1000, 1200), r.randint(1000, 1200)) for _ in range(120)]
