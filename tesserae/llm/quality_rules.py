@@ -1,8 +1,8 @@
 """Quality rules as a short-circuit cascade.
 
-Rules see whole chunks of documents as arrays. On a sample of the documents the cost of each rule and the share it rejects are
-measured, with each later rule on what the chosen ones left; the cascade then runs them by rejections per cost, each only on
-documents that no earlier one rejected. The order changes the time, never the verdict: a document is kept if no rule rejects it.
+Rules see whole chunks of documents as arrays. On a sample of the documents, in chunks as the run has them and with the base measures made, as they are given out for every document, the further
+cost of each rule and the share it rejects are measured, with each later rule on what the chosen ones left; the cascade then runs them by rejections per cost, each only on
+documents that no earlier one rejected. The order changes the time and which rule is named, never the verdict: a document is kept if no rule rejects it.
 """
 
 from __future__ import annotations
@@ -55,9 +55,9 @@ def _repeated(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Chunk:
     """Documents of one chunk; measures are made on first use."""
 
-    def __init__(self, buf: np.ndarray, offs: np.ndarray):
+    def __init__(self, buf: np.ndarray, offs: np.ndarray, got: dict[str, np.ndarray] | None = None):
         self.buf, self.offs = buf, offs
-        self._got: dict[str, np.ndarray] = {}
+        self._got: dict[str, np.ndarray] = got or {}
 
     def __getattr__(self, name: str):
         if name.startswith("_"):
@@ -67,11 +67,14 @@ class Chunk:
         return self._got[name]
 
     def take(self, rows: np.ndarray) -> Chunk:
-        """A chunk of some documents, without what was measured."""
+        """A chunk of some documents, with what was measured of each."""
         size = np.diff(self.offs)[rows]
         offs = np.concatenate([[0], np.cumsum(size)])
         at = np.repeat(self.offs[:-1][rows] - offs[:-1], size) + np.arange(offs[-1])
-        return Chunk(self.buf[at], offs)
+        return Chunk(self.buf[at], offs, {k: v[rows] for k, v in self._got.items() if k.startswith("n_") or k == "word_chars"})
+
+    def copy(self) -> Chunk:
+        return Chunk(self.buf, self.offs, dict(self._got))
 
     def _make_hasher(self):
         return textvec.Hasher(self.buf)
@@ -101,6 +104,9 @@ class Chunk:
         kept = np.concatenate([[0], np.cumsum(full)])
         return self.hasher(start[full], end[full]), kept[first]
 
+    def _make_n_lines(self):
+        return np.diff(self.lines[1])
+
     def _make_n_dup_lines(self):
         h, at = self.lines
         return _within(_repeated(h, at)[1], at)
@@ -153,70 +159,108 @@ RULES = (
     Rule("repeated_windows", lambda c: 100 * c.n_repeat_words > 30 * c.n_words),
     Rule("symbols", lambda c: 10 * c.n_symbols > 3 * c.n_words),
     Rule("word_length", lambda c: (c.word_chars < 2 * c.n_words) | (c.word_chars > 20 * c.n_words)),
-    Rule("duplicate_lines", lambda c: 2 * c.n_dup_lines > np.diff(c.lines[1])),
+    Rule("duplicate_lines", lambda c: 2 * c.n_dup_lines > c.n_lines),
     Rule("upper_case", lambda c: 2 * c.n_upper > c.n_letters),
     Rule("no_letters", lambda c: 10 * c.n_wordless > 3 * c.n_words),
     Rule("one_word", lambda c: 4 * c.n_top_word > c.n_words),
 )
 
 
-def plan(sample: list[str], rules: tuple[Rule, ...] = RULES) -> list[tuple[Rule, float, float]]:
-    """Rules by rejections per second on the sample, each measured on what the chosen ones before it leave: (rule, rejected share, seconds a document)."""
-    left, rest, out = np.arange(len(sample)), list(rules), []
-    whole = next((Chunk(buf, offs) for _, _, buf, offs in textvec.chunks(pa.array(sample, pa.string()), 1 << 40)), None)
+_BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+class _Left:
+    """A chunk in the cascade: the documents that no rule rejected. It is cut down when half of what it holds is gone."""
+
+    def __init__(self, chunk: Chunk):
+        self.kept = np.ones(len(chunk.offs) - 1, bool)
+        self.rows, self.now = np.arange(len(self.kept)), chunk
+
+    def narrow(self) -> bool:
+        """Whether any are left."""
+        left = self.kept[self.rows]
+        if 2 * left.sum() < len(left):
+            self.rows = self.rows[left]
+            self.now = self.now.take(np.flatnonzero(left))
+        return bool(left.any())
+
+    def reject(self, rule: Rule) -> np.ndarray:
+        """The documents that the rule is the first to reject."""
+        bad = self.rows[rule.rejects(self.now) & self.kept[self.rows]]
+        self.kept[bad] = False
+        return bad
+
+
+def _chunks(texts) -> Iterator[Chunk]:
+    """Chunks with the base measures, as the run makes them."""
+    for _, _, buf, offs in textvec.chunks(texts):
+        c = Chunk(buf, offs)
+        for k in _BASE:
+            getattr(c, k)
+        yield c
+
+
+def plan(sample: list[str], rules: tuple[Rule, ...] = RULES, readings: int = 3) -> list[tuple[Rule, float, float]]:
+    """Rules by rejections per second on the sample, each measured on what the chosen ones before it leave, as the median of some readings: (rule, rejected share, seconds a document)."""
+    parts, rest, out = [_Left(c) for c in _chunks(pa.array(sample, pa.string()))], list(rules), []
     while rest:
-        tried = []
+        live, tried = [p for p in parts if p.narrow()], []
+        n = sum(int(p.kept[p.rows].sum()) for p in live)
         for rule in rest:
-            if whole is None or not len(left):
-                tried.append((0.0, rule, 0.0, 0.0, None))
-                continue
-            chunk, t = whole.take(left), time.perf_counter()
-            bad = rule.rejects(chunk)
-            cost = (time.perf_counter() - t) / len(left)
-            tried.append((bad.mean() / max(cost, 1e-12), rule, float(bad.mean()), cost, bad))
-        _, rule, share, cost, bad = max(tried, key=lambda x: x[0])
+            share, cost = 0.0, 0.0
+            if n:
+                times = []
+                for _ in range(readings):
+                    copies, began = [p.now.copy() for p in live], time.perf_counter()
+                    bad = [rule.rejects(c) for c in copies]
+                    times.append(time.perf_counter() - began)
+                share, cost = sum(int((b & p.kept[p.rows]).sum()) for b, p in zip(bad, live)) / n, sorted(times)[readings // 2] / n
+            tried.append((share / max(cost, 1e-12), rule, share, cost))
+        _, rule, share, cost = max(tried, key=lambda x: x[0])
         out.append((rule, share, cost))
         rest.remove(rule)
-        left = left if bad is None else left[~bad]
+        for p in live:
+            p.reject(rule)
     return out
 
 
 def cascade(chunk: Chunk, rules: list[Rule]) -> np.ndarray:
-    """Which documents no rule rejects. A rule runs on those that are left; the chunk is cut down when half of it is gone."""
-    kept = np.ones(len(chunk.offs) - 1, bool)
-    rows, now = np.arange(len(kept)), chunk
-    for rule in rules:
-        if not kept[rows].any():
+    """For each document the place of the first rule that rejects it, -1 if none does. A rule runs on those that are left."""
+    left, by = _Left(chunk), np.full(len(chunk.offs) - 1, -1)
+    for i, rule in enumerate(rules):
+        if not left.narrow():
             break
-        if 2 * kept[rows].sum() < len(rows):
-            rows = rows[kept[rows]]
-            now = chunk.take(rows)
-        kept[rows] &= ~rule.rejects(now)
-    return kept
+        by[left.reject(rule)] = i
+    return by
 
 
-_COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+def sample_of(rows: DataFrame, n: int, sample_rows: int, sample_chars: int) -> list[str]:
+    """At most sample_rows texts by a hash of their ids, of each sample_chars characters at most, from its middle."""
+    every = max(1, n // max(1, sample_rows))
+    piece = F.substring("text", F.greatest(F.floor((F.length("text") - sample_chars) / 2), F.lit(0)).cast("int") + 1, F.lit(sample_chars))
+    return [r[0] for r in rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select(piece).limit(sample_rows).collect()]
 
 
-def score(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 1000) -> DataFrame:
-    """doc_id, the base measures, base_failed and kept of every document.
+def score(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 1000, sample_chars: int = 4000) -> DataFrame:
+    """doc_id, the base measures, base_failed, kept, and rejected_by (the rule that rejected it first in the run's order; null if kept) of every document.
 
     docs: doc_id and text (null: no words, so it fails the base and isn't kept); other columns are ignored, repeated rows are judged each by
-    itself. sample_rows bounds the sample on which rules are ordered; the verdicts don't depend on it.
+    itself. sample_rows and sample_chars bound the sample on which rules are ordered; the verdicts don't depend on it.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    n = rows.count()
-    every = max(1, n // max(1, sample_rows))
-    sample = [r.text for r in rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).limit(sample_rows).collect()]
-    order = [r for r, _, _ in plan(sample, rules)]
+    order = [r for r, _, _ in plan(sample_of(rows, rows.count(), sample_rows, sample_chars), rules)]
+    names = pa.array([r.name for r in order], pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, buf, offs in textvec.chunks(batch.column(1)):
-                c = Chunk(buf, offs)
-                base = {k: getattr(c, k) for k in _COLUMNS}
+            done = 0
+            for c in _chunks(batch.column(1)):
+                n = len(c.offs) - 1
                 failed = (c.n_words < 20) | (100 * c.n_repeat_words > 30 * c.n_words)
-                columns = {"doc_id": batch.column(0).slice(lo, hi - lo), **{k: pa.array(v, pa.int64()) for k, v in base.items()}}
-                yield pa.RecordBatch.from_pydict(columns | {"base_failed": pa.array(failed), "kept": pa.array(cascade(c, order) & ~failed)})
+                columns = {"doc_id": batch.column(0).slice(done, n), **{k: pa.array(getattr(c, k), pa.int64()) for k in _BASE}}
+                by = cascade(c, order)
+                named = names.take(pa.array(by, mask=by < 0))
+                done += n
+                yield pa.RecordBatch.from_pydict(columns | {"base_failed": pa.array(failed), "kept": pa.array((by < 0) & ~failed), "rejected_by": named})
 
-    return rows.mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean")
+    return rows.mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, rejected_by string")

@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -145,6 +146,31 @@ def brute_rules(text):
 RULE_TEXTS = [None, "", "a b c", "one two\n\n \none two\none two \n", "x " * 30, "wörd é 🙂 " * 12, " ".join(f"w{i}" for i in range(50)), (" ".join(f"w{i}" for i in range(20)) + "\n") * 3, "a* b# |c <d> $%& e", "\x0b\x0c\x85\xa0", "ABC DEF! " * 3 + " ".join(f"K{i}" for i in range(30))]
 
 
+def brute_kept(text):
+    """All rules in plain Python."""
+    n, chars, symbols, dup, repeated = brute_rules(text)
+    text = text or ""
+    words, letters = re.findall(r"[^\x20\x09-\x0D]+", text), [c for c in text if c.isascii() and c.isalpha() or ord(c) >= 128]
+    full = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    wordless = sum(not re.search(r"[A-Za-z\x80-\U0010ffff]", w) for w in words)
+    bad = {
+        "few_words": n < 20, "repeated_windows": 100 * repeated > 30 * n, "symbols": 10 * symbols > 3 * n, "word_length": chars < 2 * n or chars > 20 * n, "duplicate_lines": 2 * dup > len(full),
+        "upper_case": 2 * sum("A" <= c <= "Z" for c in text) > len(letters), "no_letters": 10 * wordless > 3 * n, "one_word": 4 * max(Counter(words).values(), default=0) > n,
+    }
+    return {k for k, v in bad.items() if v}
+
+
+def test_verdicts_against_plain_rules(spark):
+    r = random.Random(3)
+    parts = ["word", "Ünï", "ABC", "#", "12", "a", "x" * 25, "the", "\n", "dup line here\n", "|", "🙂"]
+    rows = [(i, " ".join(r.choice(parts[: r.randint(1, 12)]) + r.choice(["", str(r.randint(0, 400))]) for _ in range(r.choice([5, 30, 60, 200])))) for i in range(300)] + list(enumerate(RULE_TEXTS, 1000)) + [(5000, "lorem ipsum " * 100_000)]
+    got = quality_rules.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = {d: brute_kept(t) for d, t in rows}
+    assert len(got) == len(rows) and 20 < sum(r.kept for r in got) < 280
+    for x in got:
+        assert x.kept == (not want[x.doc_id]) and (x.rejected_by in want[x.doc_id] if want[x.doc_id] else x.rejected_by is None), x
+
+
 def test_rules(spark):
     df = spark.createDataFrame([*enumerate(RULE_TEXTS), (6, RULE_TEXTS[6]), (None, "a")], "doc_id long, text string").selectExpr("*", "1 as kept").repartition(2)
     got = quality_rules.score(df).collect()
@@ -168,8 +194,13 @@ def test_order_does_not_change_verdicts(seed):
     texts = [t or "" for t in RULE_TEXTS] * 3
     ((_, _, buf, offs),) = textvec.chunks(pa.array(texts), 1 << 40)
     rules = list(quality_rules.RULES)
-    want = quality_rules.cascade(quality_rules.Chunk(buf, offs), rules)
+    want = quality_rules.cascade(quality_rules.Chunk(buf, offs), rules) < 0
+    assert (want == ~np.any([r.rejects(quality_rules.Chunk(buf, offs)) for r in rules], axis=0)).all()
     random.Random(seed).shuffle(rules)
-    assert (quality_rules.cascade(quality_rules.Chunk(buf, offs), rules) == want).all()
+    by = quality_rules.cascade(quality_rules.Chunk(buf, offs), rules)
+    assert ((by < 0) == want).all()
+    for i, r in enumerate(rules):  # the first in order that rejects
+        assert (r.rejects(quality_rules.Chunk(buf, offs))[by == i]).all() and not r.rejects(quality_rules.Chunk(buf, offs))[(by > i) | (by < 0)].any()
     planned = quality_rules.plan(texts)
+    assert [x for x in planned if x[1] > 0] == planned[: sum(x[1] > 0 for x in planned)]  # what rejects nothing comes last
     assert {r.name for r, _, _ in planned} == {r.name for r in quality_rules.RULES}
