@@ -93,22 +93,23 @@ def predict(model: Model, texts: list[str | None], sizes: Sizes | None = None) -
 
 
 def sample(docs: DataFrame, labels: DataFrame, rows_per_class: int = 1500, max_chars: int = 40_000) -> list[tuple[str, int]]:
-    """At most rows_per_class labelled texts of each class, none longer than max_chars, by a digest's order: what a fit may see.
+    """One labelled text of at most rows_per_class documents of each class, by a digest's order: what a fit may see. Of a longer text max_chars from its middle.
 
-    Rows of a doc_id with crc32 modulo 3 of 1 are held out; labels other than 0 and 1 and null ids or texts are passed over.
+    Rows of a doc_id with crc32 modulo 3 of 1 are held out; labels other than 0 and 1 and null ids or texts are passed over. Of several texts of a doc_id the first by digest counts.
     """
     spark = docs.sparkSession
     marked = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int").alias("y")).where(F.col("y").isin(0, 1) & ~held_out("doc_id"))
-    known = docs.select(F.col("doc_id").cast("long"), "text").where(F.col("text").isNotNull() & (F.length("text") <= max_chars)).select("doc_id")
-    marked = marked.groupBy("doc_id").agg(F.min("y").alias("y")).join(known, "doc_id", "left_semi").withColumn("o", F.md5(F.col("doc_id").cast("string")))
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
+    marked = marked.groupBy("doc_id").agg(F.min("y").alias("y")).join(texts.select("doc_id"), "doc_id", "left_semi").withColumn("o", F.md5(F.col("doc_id").cast("string")))
     marked = materialize(marked, "labels")
     found = {r.y: r["count"] for r in marked.groupBy("y").count().collect()}
     chosen = [r for y in found for r in marked.where((F.col("y") == y) & about("doc_id", rows_per_class, found[y])).orderBy("o").limit(rows_per_class).collect()]
     if not chosen:
         return []
     few = F.broadcast(spark.createDataFrame([(r.doc_id, r.y, r.o) for r in chosen], "doc_id long, y int, o string"))
-    got = docs.select(F.col("doc_id").cast("long"), "text").join(few, "doc_id").where(F.length("text") <= max_chars).collect()
-    return [(r.text, r.y) for r in sorted(got, key=lambda r: (r.o, r.text))]
+    piece = F.substring("text", F.greatest(F.floor((F.length("text") - max_chars) / 2), F.lit(0)).cast("int") + 1, F.lit(max_chars))
+    got = texts.join(few, "doc_id").select("y", "o", piece.alias("text"), F.md5("text").alias("d")).groupBy("y", "o").agg(F.min_by("text", "d").alias("text")).collect()
+    return [(r.text, r.y) for r in sorted(got, key=lambda r: r.o)]
 
 
 def held_out(column: str):
