@@ -2,8 +2,7 @@
 
 The documents of a source, in an order by digest, form blocks. With weight w, its share of the sum, block j (from 1) of a source is released at slot floor((j - 1) / w), is due by slot
 ceil(j / w), and the earliest deadline among the released blocks takes each slot; then after any number of slots each source has had its weighted share to less than one
-block, as long as none is used up. Weights are exact fractions, so this holds for the given weights over any number of slots. Only inside the first period of
-slots_per_source slots a source is the order that of the whole blocks that the exact plan gives it, to less than two blocks; at its end the exact state is reached, and no error is carried on.
+block, as long as none is used up. Weights are exact fractions, so no error builds up.
 The blocks that exist are planned on the driver as part of the query plan, in time by their number (a block is some documents) and in
 memory by the number of sources and CHUNK slots; each block finds its slot by a join with the plan. A source that is used up leaves its slots empty, and the others close up in their order.
 """
@@ -19,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import shared_path
+from tesserae.llm.common import fresh, shared_path
 
 CHUNK = 1 << 20  # blocks of the plan that the driver holds at once
 DIGITS = 3  # of the digest that deal a source's documents to 16 ** DIGITS runs, of which each is sorted by itself
@@ -42,46 +41,24 @@ class _Earliest:
         self.pending, self.ready = [(0, -(-self._total // c), str(s), 0, s) for s, c in part.items()], []
         heapq.heapify(self.pending)
 
-    def run(self, blocks: dict | None = None, slots: int | None = None) -> Iterator[tuple]:
-        """Until the blocks, if given, or so many slots are used up."""
-        if blocks is not None:
-            self.pending, self.ready = [x for x in self.pending if x[3] < blocks[x[4]]], [x for x in self.ready if x[2] < blocks[x[4]]]
-            heapq.heapify(self.pending)
-            heapq.heapify(self.ready)
-        while (self.pending or self.ready) and (slots is None or self.slot < slots):
+    def run(self, blocks: dict) -> Iterator[tuple]:
+        """Until the blocks are used up."""
+        while self.pending or self.ready:
             if not self.ready:
                 self.slot = max(self.slot, self.pending[0][0])
             while self.pending and self.pending[0][0] <= self.slot:
                 release, deadline, name, j, s = heapq.heappop(self.pending)
                 heapq.heappush(self.ready, (deadline, name, j, release, s))
             deadline, name, j, release, s = heapq.heappop(self.ready)
-            if blocks is None or j + 1 < blocks[s]:
-                k = j + 1
+            if (k := j + 1) < blocks[s]:
                 heapq.heappush(self.pending, (k * self._total // self._part[s], -(-(k + 1) * self._total // self._part[s]), name, k, s))
             yield s, j, self.slot, release, deadline
             self.slot += 1
 
 
-def shares(weights: dict, period: int) -> dict:
-    """Whole blocks of each source in the first period, in sum the period: those that the exact weights give it, rounded up or down."""
-    out = dict.fromkeys(weights, 0)
-    for s, *_ in _Earliest(_parts(weights)).run(slots=period):
-        out[s] += 1
-    return out
-
-
-def schedule(blocks: dict) -> list[tuple]:
-    """(source, block of the period from 0, slot, release, deadline) of one period, by earliest deadline first; blocks: source -> number of them."""
-    return list(_Earliest({s: c for s, c in blocks.items() if c}).run(blocks))
-
-
-def plan(weights: dict, blocks: dict, period: int) -> Iterator[tuple]:
+def plan(weights: dict, blocks: dict) -> Iterator[tuple]:
     """(source, its block from 0, slot, release, deadline) of all blocks in the order of slots; blocks: source -> number of them."""
-    exact, first = _Earliest(_parts({s: weights[s] for s in blocks})), dict.fromkeys(blocks, 0)
-    for s, *_ in exact.run(slots=period):
-        first[s] += 1
-    yield from (x for x in schedule(first) if x[1] < blocks[x[0]])
-    yield from exact.run(blocks)
+    yield from _Earliest(_parts({s: weights[s] for s in blocks})).run(blocks)
 
 
 def temperature(counts: dict, power: float = 0.5) -> dict:
@@ -92,23 +69,16 @@ def temperature(counts: dict, power: float = 0.5) -> dict:
 _OWN = ("block", "slot", "release", "deadline", "position")
 
 
-def _named(docs: DataFrame) -> DataFrame:
-    """docs with _src, a key for the source that is never null."""
-    return docs.drop(*_OWN).withColumn("_src", F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")))
-
-
-_PLAN = "_src string, block long, slot long, release long, deadline long, _start long"
-
-
-def _planned(spark: SparkSession, weights: dict, counts: dict, block: int, period: int) -> DataFrame:
-    """plan() as rows, with the documents of the blocks before each."""
-    schema = pa.schema([(c.split()[0], pa.string() if c.endswith("string") else pa.int64()) for c in _PLAN.split(", ")])
+def _planned(spark: SparkSession, weights: dict, counts: dict, block: int, columns: list[str]) -> DataFrame:
+    """plan() as rows (source, block, slot, release, deadline, documents of the blocks before), named as told."""
+    schema = pa.schema([(c, pa.int64() if i else pa.string()) for i, c in enumerate(columns)])
+    kinds = ", ".join(f"`{c}` {'long' if i else 'string'}" for i, c in enumerate(columns))
     rows, start, path = [], 0, None
 
     def frame() -> DataFrame:
-        return spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema), _PLAN) if rows else spark.createDataFrame([], _PLAN)
+        return spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema), kinds) if rows else spark.createDataFrame([], kinds)
 
-    for s, j, *when in plan(weights, {s: -(-n // block) for s, n in counts.items()}, period):
+    for s, j, *when in plan(weights, {s: -(-n // block) for s, n in counts.items()}):
         if len(rows) == CHUNK:
             path = path or shared_path(spark, "mixing")
             frame().write.mode("append").parquet(path)
@@ -116,42 +86,64 @@ def _planned(spark: SparkSession, weights: dict, counts: dict, block: int, perio
         rows.append((s, j, *when, start))
         start += min(block, counts[s] - block * j)
     last = frame()
-    return spark.read.schema(_PLAN).parquet(path).unionAll(last) if path else F.broadcast(last)
+    return spark.read.schema(kinds).parquet(path).unionAll(last) if path else F.broadcast(last)
+
 
+def mix(docs: DataFrame, weights: dict | None = None, block: int = 16, power: float = 0.5) -> DataFrame:
+    """docs with their place in the mixture: block (of the source, from 0), slot, release, deadline (in slots), position (from 0, without gaps).
 
-def _place(docs: DataFrame, weights: dict | None, block: int, power: float, slots_per_source: int) -> DataFrame:
-    """docs with _rank in the source, block, slot, release, deadline, and _start, the place of the block's first document."""
-    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    docs = _named(docs).withColumn("_digest", digest).withColumn("_run", F.conv(F.substring("_digest", 1, DIGITS), 16, 10).cast("int"))
-    runs = docs.groupBy("_src", "_run").agg(F.count("*").alias("_n"))
-    counts = {r._src: r.n for r in runs.groupBy("_src").agg(F.sum("_n").alias("n")).collect()}
+    docs: doc_id, source and any columns but those five, which are replaced. A null source is a source of its own; a null doc_id counts as
+    the empty string in the digest; ties in the digest are ordered by doc_id, and rows that tie in both take neighbouring places in any order.
+    weights: of the sources, above 0, by default by temperature(); sources without one are given the least weight. No documents: no rows.
+    """
+    names = [c for c in docs.columns if c.lower() not in _OWN]
+    docs = docs.select(*(F.col(f"`{c}`") for c in names))
+    src, digest, run, rank, n, before, part, start = fresh(docs, "_src", "_digest", "_run", "_rank", "_n", "_before", "_block", "_start")
+    docs = docs.withColumns({src: F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")), digest: F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))})
+    docs = docs.withColumn(run, F.conv(F.substring(digest, 1, DIGITS), 16, 10).cast("int"))
+    runs = docs.groupBy(src, run).agg(F.count("*").alias(n))
+    counts = {r[0]: r[1] for r in runs.groupBy(src).agg(F.sum(n)).collect()}
     if weights is None:
         weights = temperature(counts, power)
     else:
         given = {"n" if s is None else f"s{s}": w for s, w in weights.items()}
         weights = {s: given.get(s, min(given.values())) for s in counts}
     # rank within a run, plus the documents of the runs before: no task sees a whole source
-    before = Window.partitionBy("_src").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = runs.select("_src", "_run", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    own = Window.partitionBy("_src", "_run").orderBy("_digest", "doc_id")
-    ranked = docs.withColumn("_rank", F.row_number().over(own) - 1).join(offsets, ["_src", "_run"])
-    ranked = ranked.withColumn("_rank", F.col("_rank") + F.col("_before")).withColumn("block", F.floor(F.col("_rank") / block))
+    above = Window.partitionBy(src).orderBy(run).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = runs.select(src, run, F.coalesce(F.sum(n).over(above), F.lit(0)).alias(before))
+    own = Window.partitionBy(src, run).orderBy(digest, "doc_id")
+    ranked = docs.withColumn(rank, F.row_number().over(own) - 1).join(offsets, [src, run])
+    ranked = ranked.withColumn(rank, F.col(rank) + F.col(before)).withColumn(part, F.floor(F.col(rank) / block))
     # a plan of more than a chunk is in the shared folder and isn't broadcast
-    return ranked.join(_planned(docs.sparkSession, weights, counts, block, slots_per_source * len(counts)), ["_src", "block"])
-
-
-def mix(docs: DataFrame, weights: dict | None = None, block: int = 16, power: float = 0.5, slots_per_source: int = 64) -> DataFrame:
-    """docs with their place in the mixture: block (of the source, from 0), slot, release, deadline (in slots), position (from 0, without gaps).
-
-    docs: doc_id, source and any columns but those five, which are replaced. A null source is a source of its own; a null doc_id counts as
-    the empty string in the digest; ties in the digest are ordered by doc_id, and rows that tie in both take neighbouring places in any order.
-    weights: of the sources, above 0, by default by temperature(); sources without one are given the least weight. No documents: no rows.
-    """
-    out = _place(docs, weights, block, power, slots_per_source).withColumn("position", F.col("_start") + F.col("_rank") - F.col("block") * block)
-    return out.select(*[c for c in docs.columns if c not in _OWN], *_OWN)
+    placed = ranked.join(_planned(docs.sparkSession, weights, counts, block, [src, part, "slot", "release", "deadline", start]), [src, part])
+    return placed.select(*(F.col(f"`{c}`") for c in names), F.col(part).alias("block"), "slot", "release", "deadline", (F.col(start) + F.col(rank) - F.col(part) * block).alias("position"))
 
 
 def ordered(docs: DataFrame, **options) -> DataFrame:
-    """docs, the same columns, in mixed order."""
-    options = {"weights": None, "block": 16, "power": 0.5, "slots_per_source": 64} | options
-    return _place(docs, **options).orderBy("slot", "_rank").select(*docs.columns)
+    """docs, the same columns, in mixed order. Options are those of mix()."""
+    place, *own = fresh(docs, "_position", *(f"_own_{i}" for i in range(len(docs.columns))))
+    names = docs.columns
+    # columns that mix() would replace travel under other names
+    kept = {c: o for c, o in zip(names, own) if c.lower() in _OWN}
+    mixed = mix(docs.withColumnsRenamed(kept), **options).withColumnRenamed("position", place)
+    return mixed.orderBy(place).select(*(F.col(f"`{kept.get(c, c)}`").alias(c) for c in names))
+
+
+#: The same in DuckDB's SQL, from a table documents, with mix()'s defaults: weights are square roots, exact in units of 2 ** -52.
+SQL = """
+WITH RECURSIVE src AS (SELECT coalesce('s' || source, 'n') AS s, count(*) AS docs, (pow(count(*)::DOUBLE, 0.5) * 4503599627370496)::HUGEINT AS c FROM documents GROUP BY 1),
+tot AS (SELECT sum(c)::HUGEINT AS t FROM src),
+plan AS (
+  SELECT 0::HUGEINT AS slot, NULL::STRUCT(deadline HUGEINT, s VARCHAR, j HUGEINT, release HUGEINT) AS pick, 0::HUGEINT AS place, list(struct_pack(s := s, c := c, n := ((docs + 15) // 16)::HUGEINT, j := 0::HUGEINT)) AS st FROM src
+  UNION ALL
+  SELECT place + 1, pick, place, list_transform(st, lambda x: struct_pack(s := x.s, c := x.c, n := x.n, j := x.j + (CASE WHEN x.s = pick.s THEN 1 ELSE 0 END)::HUGEINT))
+  FROM (SELECT st, place, list_sort(list_filter(cand, lambda x: x.release <= place))[1] AS pick
+    FROM (SELECT st, cand, greatest(slot, list_min(list_transform(cand, lambda x: x.release))) AS place
+      FROM (SELECT slot, st, list_transform(list_filter(st, lambda x: x.j < x.n), lambda x: struct_pack(deadline := ((x.j + 1) * t + x.c - 1) // x.c, s := x.s, j := x.j, release := (x.j * t) // x.c)) AS cand FROM plan, tot) AS a
+      WHERE len(cand) > 0) AS b) AS d
+),
+blocks AS (SELECT pick.s AS s, pick.j::BIGINT AS block, place::BIGINT AS slot, pick.release::BIGINT AS release, pick.deadline::BIGINT AS deadline, least(16, docs - 16 * pick.j)::BIGINT AS size FROM plan JOIN src ON src.s = pick.s WHERE pick IS NOT NULL),
+starts AS (SELECT *, sum(size) OVER (ORDER BY slot) - size AS start FROM blocks),
+ranked AS (SELECT doc_id, source, coalesce('s' || source, 'n') AS s, row_number() OVER (PARTITION BY source ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id) - 1 AS r FROM documents)
+SELECT doc_id, source, block, slot, release, deadline, (start + r - 16 * block)::BIGINT AS position FROM ranked JOIN starts ON starts.s = ranked.s AND block = r // 16
+"""

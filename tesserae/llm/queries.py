@@ -48,4 +48,4 @@ def op10_mixing(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_token_files, op3_license_scan, op4_ngram_join, op5_quality_rules, op6_fingerprints, op7_quality_classifier, op8_language, op9_line_dedup, op10_mixing)}
-SQL: dict[str, str] = {"op9_line_dedup": line_dedup.SQL}
+SQL: dict[str, str] = {"op9_line_dedup": line_dedup.SQL, "op10_mixing": mixing.SQL}

@@ -109,26 +109,21 @@ def test_line_dedup_counts_documents(spark):
 # mixing
 
 
-def test_schedule_keeps_every_share_within_a_block():
+def test_plan_keeps_every_share_within_a_block():
     r = random.Random(2)
     for _ in range(30):
         w = {f"s{i}": r.choice([0.01, 1, 1, 5, 20 * r.random() + 0.1]) for i in range(r.randint(1, 12))}
-        part = mixing.shares(w, 64 * len(w))
-        plan = mixing.schedule(part)
-        period = sum(part.values())
-        assert period == 64 * len(w) and [p[2] for p in plan] == list(range(period))
-        done = Counter()
-        for s, j, slot, release, deadline in plan:
-            assert release <= slot < deadline and j == done[s]
+        total, done, n = sum(map(Fraction, w.values())), Counter(), 64 * len(w)
+        for i, (s, j, slot, release, deadline) in zip(range(n), mixing.plan(w, {s: n for s in w})):
+            assert slot == i and release <= slot < deadline and j == done[s]
             done[s] += 1
-            assert all(abs(done[x] - part[x] * (slot + 1) / period) < 1 for x in part)
-        assert done == Counter(part)
+            assert all(abs(done[x] - Fraction(w[x]) * (slot + 1) / total) < 1 for x in w)
 
 
 def test_mix(spark):
     r = random.Random(1)
     rows = [(i, r.choice(["a"] * 8 + ["b", "c", None])) for i in range(1500)] + [(None, "a"), (7, "a"), (7, "a")]
-    df = spark.createDataFrame(rows, "doc_id long, source string").selectExpr("*", "'x' as slot", "3 as _n").repartition(3)
+    df = spark.createDataFrame(rows, "doc_id long, source string").selectExpr("*", "'x' as slot", "3 as _n", "4 as _src", "5 as _position", "6 as release").repartition(3)
     got = mixing.mix(df).orderBy("position").collect()
     assert [g.position for g in got] == list(range(len(rows)))
     assert [(g.slot, g.source or "") for g in got] == sorted((g.slot, g.source or "") for g in got)
@@ -137,17 +132,23 @@ def test_mix(spark):
         own = [g for g in got if g.source == s]
         key = [(hashlib.md5(("" if g.doc_id is None else str(g.doc_id)).encode()).hexdigest()) for g in own]
         assert key == sorted(key) and [g.block for g in own] == [i // 16 for i in range(len(own))]
-    plan = mixing.shares(mixing.temperature({"n" if s is None else f"s{s}": n for s, n in counts.items()}), 64 * len(counts))
-    total = sum(plan.values())
-    ends = min(-(-n // 16) * total // plan["n" if s is None else f"s{s}"] for s, n in counts.items()) - total // 8
-    for t in range(1, ends):
+    weights = mixing.temperature(counts)
+    total = sum(weights.values())
+    ends = min(-(-n // 16) * total / weights[s] for s, n in counts.items())
+    for t in range(1, int(ends)):
         for s in counts:
             done = len({g.block for g in got if g.source == s and g.slot < t})
-            assert abs(done - plan["n" if s is None else f"s{s}"] * t / total) < 1
+            assert abs(done - weights[s] * t / total) < 1
     assert mixing.mix(df.limit(0)).count() == 0
     out = mixing.ordered(df)
     assert out.columns == df.columns and out.count() == len(rows)
     assert [x.doc_id for x in out.collect() if x.doc_id != 7] == [g.doc_id for g in got if g.doc_id != 7]
+    con = duckdb.connect()
+    documents = df.where("doc_id is not null and doc_id <> 7").select("doc_id", "source").toPandas()
+    con.register("documents", documents)
+    same = mixing.mix(spark.createDataFrame(documents, "doc_id long, source string"))
+    want = con.sql(f"SELECT {', '.join(same.columns)} FROM ({mixing.SQL})").fetchall()
+    assert sorted(map(tuple, same.collect()), key=lambda r: r[0]) == sorted(want, key=lambda r: r[0])
     given = mixing.mix(df, weights={"a": 1, "b": 5}).orderBy("position").collect()
     assert Counter(g.source for g in given) == counts and Counter(g.source for g in given[:64])["b"] > 16
 
@@ -156,11 +157,11 @@ def test_plan_keeps_the_given_weights_over_many_periods():
     r = random.Random(6)
     for w in ({"a": 1e6, "b": 1}, {"hot": 50.0, **{f"t{i}": 0.01 for i in range(30)}}, *({f"s{i}": r.random() + 0.01 for i in range(7)} for _ in range(5))):
         total, done, n = sum(map(Fraction, w.values())), Counter(), 20_000
-        for i, (s, j, slot, release, deadline) in zip(range(n), mixing.plan(w, {s: n for s in w}, 64 * len(w))):
+        for i, (s, j, slot, release, deadline) in zip(range(n), mixing.plan(w, {s: n for s in w})):
             assert slot == i and j == done[s] and (release <= slot < deadline)
             done[s] += 1
             if i % 7 == 0 or i > n - 50:
-                assert all(abs(done[x] - Fraction(w[x]) * (slot + 1) / total) < (1 if slot + 1 >= 64 * len(w) else 2) for x in w)
+                assert all(abs(done[x] - Fraction(w[x]) * (slot + 1) / total) < 1 for x in w)
 
 
 def test_mix_keeps_weights_and_long_plans(spark, monkeypatch):

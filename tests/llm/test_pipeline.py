@@ -77,15 +77,12 @@ def test_pipeline(spark, tmp_path):
     assert {d.doc_id: d.text for d in order} == {k: v[1] for k, v in want.items()}
     assert all(d.n_chars == len(d.text) for d in order)
     counts = Counter(d.source for d in order)
-    plan = mixing.shares(mixing.temperature({"n" if s is None else f"s{s}": n for s, n in counts.items()}), 64 * len(counts))
-    slots = defaultdict(list)
-    for s, _, slot, _, _ in mixing.schedule(plan):
-        slots[s].append(slot)
+    keyed = {"n" if s is None else f"s{s}": n for s, n in counts.items()}
+    slots = {(s, j): slot for s, j, slot, _, _ in mixing.plan(mixing.temperature(keyed), {s: -(-n // 16) for s, n in keyed.items()})}
     place, done = [], Counter()
     for d in order:
         s = "n" if d.source is None else f"s{d.source}"
-        b = done[s] // 16
-        place.append(sum(plan.values()) * (b // plan[s]) + slots[s][b % plan[s]])
+        place.append(slots[s, done[s] // 16])
         done[s] += 1
     assert place == sorted(place)
     tok = tokens.encoder(tokens.default_path())._tok
