@@ -1,9 +1,9 @@
 """Language by a bidirectional gated recurrent network over bytes, in numpy.
 
-The network reads a word's bytes (with a space at either side) forwards and backwards and labels every position with log-probabilities of the
-languages; a document's are the mean over all its positions. Words are its sequences: the states start anew at each, and a word of over
-`longest` bytes is read in pieces. Equal words so have equal labels, and each is read once for the time it is remembered. Training is by
-backpropagation through time with Adam on a bounded sample.
+The network reads a text's bytes forwards and backwards and labels every position with log-probabilities of the
+languages. A long text is read in windows of `window` bytes, each with `context` more bytes at either side, which the states run over before and after but whose labels belong to the neighbouring window; so every
+position is labelled once, with what stands around it. A document's log-probabilities are the mean over all its positions, sharpened by a factor that is fitted on texts that training has not seen.
+Training is by backpropagation through time with Adam on pieces of a bounded sample.
 """
 
 from __future__ import annotations
@@ -12,12 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import about
-
-LONGEST = 24
+WINDOW, CONTEXT = 448, 32
 UNKNOWN = "und"
 
 
@@ -53,7 +52,7 @@ class Direction:
     def backward(self, x: np.ndarray, mask: np.ndarray, tape: list, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Gradients of w, u, b from those of the states."""
         n = self.h
-        gw, gu, gb = np.zeros_like(self.w), np.zeros_like(self.u), np.zeros_like(self.b)
+        gu, gb, steps = np.zeros_like(self.u), np.zeros_like(self.b), []
         carry = np.zeros_like(grad[0])
         for t in range(len(x) - 1, -1, -1):
             state, z, r, reset, c = tape[t]
@@ -64,16 +63,22 @@ class Direction:
             dr = dreset * state * r * (1 - r)
             da = np.concatenate([dz, dr, dc], axis=1)
             carry = d * (1 - m * (1 - z)) + dreset * r + da[:, : 2 * n] @ self.u[:, : 2 * n].T
-            np.add.at(gw, x[t], da)
+            steps.append(da)
             gu[:, : 2 * n] += state.T @ da[:, : 2 * n]
             gu[:, 2 * n :] += reset.T @ dc
             gb += da.sum(axis=0)
+        # sums by byte
+        byte, rows = x[::-1].reshape(-1), np.concatenate(steps)
+        order = np.argsort(byte, kind="stable")
+        used, at = np.unique(byte[order], return_index=True)
+        gw = np.zeros_like(self.w)
+        gw[used] = np.add.reduceat(rows[order], at, axis=0)
         return gw, gu, gb
 
 
 class Network:
     def __init__(self, langs: list[str], hidden: int = 16, seed: int = 1, params: dict[str, np.ndarray] | None = None):
-        self.langs, r = langs, np.random.default_rng(seed)
+        self.langs, self.sharpness, r = langs, 8.0, np.random.default_rng(seed)
         self.p = params or {
             **{f"w{d}": r.normal(0, 0.3, (256, 3 * hidden)).astype(np.float32) for d in "fb"},
             **{f"u{d}": r.normal(0, hidden**-0.5, (hidden, 3 * hidden)).astype(np.float32) for d in "fb"},
@@ -105,12 +110,15 @@ class Network:
         g["wb"], g["ub"], g["bb"] = Direction(self.p, "b").backward(x[::-1], mask[::-1], bt, back[::-1, :, n:])
         return float(-(logp[:, np.arange(len(y)), y] * mask).sum() / total), g
 
-    def train(self, words: list[bytes], y: np.ndarray, steps: int = 1200, batch: int = 256, rate: float = 0.01, seed: int = 2) -> float:
+    def train(self, pieces: list[bytes], y: np.ndarray, steps: int = 400, batch: int = 192, rate: float = 0.015, seed: int = 2) -> float:
         r, m, v, mean = np.random.default_rng(seed), {k: 0.0 for k in self.p}, {k: 0.0 for k in self.p}, 0.0
         of = [np.flatnonzero(y == i) for i in range(len(self.langs))]
         for step in range(1, steps + 1):
-            pick = np.concatenate([r.choice(o, max(1, batch // len(of))) for o in of if len(o)])
-            loss, g = self.gradients(*arrays([words[i] for i in pick]), y[pick])
+            # as many of each language, and of so many languages that they do not fit, some
+            some = [o for o in of if len(o)]
+            some = [some[i] for i in r.choice(len(some), batch, replace=False)] if len(some) > batch else some
+            pick = np.concatenate([r.choice(o, max(1, batch // len(some))) for o in some])
+            loss, g = self.gradients(*arrays([pieces[i] for i in pick]), y[pick])
             mean += 0.02 * (loss - mean)
             for k in self.p:
                 m[k] = 0.9 * m[k] + 0.1 * g[k]
@@ -119,16 +127,44 @@ class Network:
                 self.p[k] = (self.p[k] - now * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
         return mean
 
-    def words(self, words: list[bytes], batch: int = 4096) -> np.ndarray:
-        """Of each word the sums of its positions' log-probabilities, and last their number."""
-        out = np.zeros((len(words), len(self.langs) + 1), np.float32)
-        order = sorted(range(len(words)), key=lambda i: len(words[i]))
-        for lo in range(0, len(order), batch):
-            some = order[lo : lo + batch]
-            x, mask = arrays([words[i] for i in some])
-            out[some, :-1] = (self.labels(x, mask)[0] * mask[:, :, None]).sum(axis=0)
-            out[some, -1] = mask.sum(axis=0)
-        return out
+    def sums(self, x: np.ndarray, size: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Of each window the sums of the log-probabilities of its places from lo to hi. x: time x window bytes, by falling size, so that at every time those that have a byte come first."""
+        n, h, total = len(size), self.p["uf"].shape[0], np.zeros((len(size), len(self.langs)), np.float32)
+        live = (n - np.searchsorted(size[::-1], np.arange(len(x)), "right")).tolist()
+
+        def step(name: str, t: int, state: np.ndarray) -> np.ndarray:
+            a = tables[name][x[t, : len(state)]]
+            gates = state @ halves[name][0]
+            gates += a[:, : 2 * h]
+            np.negative(gates, out=gates)
+            np.exp(gates, out=gates)
+            gates += 1
+            np.reciprocal(gates, out=gates)
+            z, r = gates[:, :h], gates[:, h:]
+            r *= state
+            c = r @ halves[name][1]
+            c += a[:, 2 * h :]
+            np.tanh(c, out=c)
+            c -= state
+            c *= 1 - z
+            return state + c
+
+        tables = {d: self.p[f"w{d}"] + self.p[f"b{d}"] for d in "fb"}
+        halves = {d: (np.ascontiguousarray(self.p[f"u{d}"][:, : 2 * h]), np.ascontiguousarray(self.p[f"u{d}"][:, 2 * h :])) for d in "fb"}
+        state, ahead = np.zeros((n, h), np.float32), []
+        for t in range(len(x)):
+            state = step("f", t, state[: live[t]])
+            ahead.append(state @ self.p["v"][:h] + self.p["c"])
+        state = np.zeros((0, h), np.float32)
+        for t in range(len(x) - 1, -1, -1):
+            # windows that end here begin with nothing read
+            state = step("b", t, np.concatenate([state, np.zeros((live[t] - len(state), h), np.float32)]))
+            logits = ahead[t] + state @ self.p["v"][h:]
+            logits -= logits.max(axis=1, keepdims=True)
+            logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
+            inside = (lo[: live[t]] <= t) & (t < hi[: live[t]])
+            total[: live[t]] += logits * inside[:, None]
+        return total
 
 
 def arrays(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -138,72 +174,111 @@ def arrays(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(x.T), (np.arange(x.shape[1])[:, None] < size).astype(np.float32)
 
 
-def pieces(word: str) -> list[bytes]:
-    w = b" " + word.encode() + b" "
-    return [w[i : i + LONGEST] for i in range(0, len(w), LONGEST)]
+def windows(sizes: np.ndarray, window: int, context: int) -> tuple[np.ndarray, ...]:
+    """Of texts of these sizes each window's text, first byte, bytes, and the places in it, from and to, that are its own."""
+    count = -(-sizes // window)
+    text = np.repeat(np.arange(len(sizes)), count)
+    own = (np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)) * window
+    begin = np.maximum(own - context, 0)
+    end = np.minimum(own + window + context, sizes[text])
+    return text, begin, end - begin, own - begin, np.minimum(own + window, sizes[text]) - begin
 
 
 class Labeller:
-    """Language and score of whole texts; remembers at most `limit` words."""
-
-    def __init__(self, network: Network, limit: int = 300_000, sharpness: float = 8.0):
-        self._net, self._limit, self._sharp = network, limit, sharpness
-        self._number: dict[str, int] = {}
-        self._sums = np.zeros((0, len(network.langs) + 1), np.float32)
-
-    def _learn(self, texts: list[list[str]]) -> None:
-        if len(self._number) > self._limit:
-            self._number, self._sums = {}, self._sums[:0]
-        new = list(set().union(*texts) - self._number.keys())
-        if new:
-            parts = [pieces(w) for w in new]
-            count = np.fromiter(map(len, parts), np.int64, len(parts))
-            got = self._net.words([p for ps in parts for p in ps])
-            self._number.update(zip(new, range(len(self._number), len(self._number) + len(new))))
-            self._sums = np.concatenate([self._sums, np.add.reduceat(got, np.cumsum(count) - count, axis=0)])
+    """Language and score of whole texts."""
+
+    def __init__(self, network: Network, window: int = WINDOW, context: int = CONTEXT, batch: int = 2048):
+        # every language is a number for each byte of a batch
+        self._net, self._window, self._context, self._batch = network, window, context, max(32, min(batch, 16_384 // len(network.langs)))
+
+    def means(self, texts: list[bytes]) -> np.ndarray:
+        """Mean log-probabilities over all positions of each text; 0 for an empty one."""
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        out = np.zeros((len(texts), len(self._net.langs)))
+        buf, base = np.frombuffer(b"".join(texts) + b"\0" * (self._window + 2 * self._context), np.uint8), np.cumsum(sizes) - sizes
+        text, begin, size, lo, hi = windows(sizes, self._window, self._context)
+        order = np.argsort(-size, kind="stable")
+        for at in range(0, len(order), self._batch):
+            some = order[at : at + self._batch]
+            x = buf[(base[text[some]] + begin[some]) + np.arange(size[some[0]])[:, None]]
+            np.add.at(out, text[some], self._net.sums(x, size[some], lo[some], hi[some]))
+        return out / np.maximum(sizes, 1)[:, None]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        split = [(t or "").split() for t in texts]
-        self._learn(split)
-        langs, scores, get = [], [], self._number.__getitem__
-        for text, words in zip(texts, split):
-            if not words or not (any("a" <= c <= "z" or "A" <= c <= "Z" for c in text[:64]) or any(map(str.isalpha, text))):
-                langs.append(UNKNOWN)
-                scores.append(0.0)
-                continue
-            total = self._sums[np.fromiter(map(get, words), np.int64, len(words))].sum(axis=0, dtype=np.float64)
-            mean = self._sharp * total[:-1] / total[-1]
-            p = np.exp(mean - mean.max())
-            langs.append(self._net.langs[int(p.argmax())])
-            scores.append(float(p.max() / p.sum()))
-        return langs, scores
+        known = [bool(t) and (any("a" <= c <= "z" or "A" <= c <= "Z" for c in t[:64]) or any(map(str.isalpha, t))) for t in texts]
+        mean = self._net.sharpness * self.means([t.encode() if k else b"" for t, k in zip(texts, known)])
+        p = np.exp(mean - mean.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        best = p.argmax(axis=1)
+        return [self._net.langs[i] if k else UNKNOWN for i, k in zip(best.tolist(), known)], [float(q[i]) if k else 0.0 for q, i, k in zip(p, best.tolist(), known)]
+
+
+def calibrate(network: Network, texts: list[bytes], y: np.ndarray) -> float:
+    """The factor of mean log-probabilities under which these texts' languages are likeliest, between 1 and 64."""
+    means = Labeller(network).means(texts)
+
+    def loss(s: float) -> float:
+        z = s * (means - means.max(axis=1, keepdims=True))
+        return float(np.mean(np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(y)), y]))
+
+    return min((2 ** (k / 4) for k in range(25)), key=loss) if len(texts) else 8.0
 
 
 def held_out(column: str):
     return F.coalesce(F.crc32(F.col(column).cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, rows_per_lang: int = 300, words_per_text: int = 200, max_chars: int = 40_000, max_langs: int = 200, **training) -> Network | None:
-    """A network learnt from at most rows_per_lang texts of each of the max_langs most frequent languages; None without any.
-
-    Texts come in the order of a digest, from documents whose crc32 modulo 4 is not 2 with a language and 1 to max_chars characters; words_per_text words, evenly
-    spread over the text, are taken of each.
-    """
-    rows = docs.select(F.col("doc_id").cast("long"), "lang", "text").where(F.col("doc_id").isNotNull() & ~held_out("doc_id") & F.col("lang").isNotNull() & F.length("text").between(1, max_chars))
-    found = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()}
-    langs = list(found)
-    words, y = [], []
-    for i, lang in enumerate(langs):
-        for r in rows.where((F.col("lang") == lang) & about("doc_id", rows_per_lang, found[lang])).select("text", F.md5(F.col("doc_id").cast("string")).alias("o")).orderBy("o").limit(rows_per_lang).collect():
-            some = r.text.split()
-            for w in some[:: max(1, len(some) // words_per_text)]:
-                for p in pieces(w):
-                    words.append(p)
-                    y.append(i)
-    if not words:
+def pieces(text: str, size: int, most: int) -> list[bytes]:
+    """At most so many pieces of `size` bytes, evenly spread over the text and cut inside no code point at their beginning."""
+    raw = text.encode()
+    if len(raw) <= size:
+        return [raw] if raw else []
+    n = min(most, len(raw) // size)
+    out = []
+    for i in range(n):
+        at = (len(raw) - size) * i // max(n - 1, 1)
+        while at and raw[at] & 0xC0 == 0x80:
+            at -= 1
+        out.append(raw[at : at + size])
+    return out
+
+
+def sample(docs: DataFrame, rows: int, rows_per_lang: int, max_chars: int) -> list[tuple[str, str]]:
+    """(language, text) of at most rows_per_lang documents of each language, and about `rows` in all unless there are more languages, by a digest's order; of a longer text max_chars from its middle."""
+    known = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    known = known.where(F.col("doc_id").isNotNull() & ~held_out("doc_id") & F.col("lang").isNotNull() & (F.length("text") > 0))
+    # a row for each language
+    count = known.groupBy("lang").agg(F.count("*").alias("n"))
+    langs = count.count()
+    each = max(1, min(rows_per_lang, -(-rows // max(langs, 1))))
+    million = 1_000_000
+    drawn = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(million)) < F.ceil(F.least(F.lit(1.0), F.lit(3.0 * each) / F.col("n")) * million)
+    piece = F.substring("text", F.greatest(F.floor((F.length("text") - max_chars) / 2), F.lit(0)).cast("int") + 1, F.lit(max_chars))
+    some = known.join(F.broadcast(count) if langs <= 100_000 else count, "lang").where(drawn).select("lang", F.md5(F.col("doc_id").cast("string")).alias("o"), piece.alias("text"))
+    first = some.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("o", "text"))).where(F.col("r") <= each)
+    return [(r.lang, r.text) for r in first.orderBy("lang", "r").collect()]
+
+
+def fit(docs: DataFrame, rows: int = 6000, rows_per_lang: int = 300, max_chars: int = 4000, size: int = 64, per_text: int = 12, **training) -> Network | None:
+    """A network learnt from the sample, of every language that has a text in it; None without any. Every fifth text only calibrates the pooled score."""
+    got = sample(docs, rows, rows_per_lang, max_chars)
+    langs = sorted({l for l, _ in got})
+    number, learn, y, check, z = {l: i for i, l in enumerate(langs)}, [], [], [], []
+    seen: dict[str, int] = {}
+    for lang, text in got:
+        seen[lang] = seen.get(lang, 0) + 1
+        if seen[lang] % 5 == 0:
+            check.append(text.encode())
+            z.append(number[lang])
+        else:
+            for p in pieces(text, size, per_text):
+                learn.append(p)
+                y.append(number[lang])
+    if not learn:
         return None
     network = Network(langs)
-    network.train(words, np.array(y), **training)
+    network.train(learn, np.array(y), **training)
+    network.sharpness = calibrate(network, check, np.array(z, np.int64))
     return network
 
 
@@ -215,13 +290,23 @@ def identify(docs: DataFrame, network: Network | None = None, **bounds) -> DataF
     """
     network = network or fit(docs, **bounds)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    shared = docs.sparkSession.sparkContext.broadcast(None if network is None else (network.langs, network.p))
+    shared = docs.sparkSession.sparkContext.broadcast(None if network is None else (network.langs, network.p, network.sharpness))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = Labeller(Network(shared.value[0], params=shared.value[1])) if shared.value else None
+        labeller = None
+        if shared.value:
+            net = Network(shared.value[0], params=shared.value[1])
+            net.sharpness = shared.value[2]
+            labeller = Labeller(net)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
+            size, lo = 0, 0
+            sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0).to_pylist()
+            for i, n in enumerate(sizes, 1):
+                size += n
+                if size < 1 << 20 and i < len(sizes):
+                    continue
+                part, size = batch.slice(lo, i - lo), 0
+                lo = i
                 texts = part.column(1).to_pylist()
                 langs, scores = labeller.predict(texts) if labeller else ([UNKNOWN] * len(texts), [0.0] * len(texts))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
