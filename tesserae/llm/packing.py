@@ -3,9 +3,9 @@
 A piece of length n belongs to class k = capacity // n, the reciprocal-capacity class (capacity / (k + 1), capacity / k], and
 a bin of class k takes exactly k pieces of that class, whatever they are. So a worker fills its bins without knowing of others.
 Documents may be cut: a remainder that would leave more than `slack` of its class's bin empty gives up its largest reciprocal
-part capacity // (k + 1) and goes on with what is left. Bins that a worker can't fill hand their pieces to further rounds
-over groups of 64 partitions and of 4096, and what is left then, less than one bin a class and group, is packed by decreasing length in one task;
-its size depends on the number of classes and groups, not on the documents.
+part capacity // (k + 1) and goes on with what is left, but no cut leaves a piece below `floor` ids. Bins that a worker can't fill hand their pieces to further rounds,
+each over groups of 8 of the groups before (more, if there were over 7 rounds otherwise), until one group is left: less than one bin a class comes from each group, so what a task sees depends on the number of classes and not
+on the documents. What is left in the end is packed by decreasing length.
 
 pack_in_order() keeps an order: consecutive places form windows, each packed by itself, and sequences are numbered by window and within it by their first piece.
 """
@@ -31,14 +31,14 @@ _SCHEMA = pa.schema([(c.split()[0], pa.int64()) for c in _COLUMNS.split(", ")])
 
 
 @functools.lru_cache(maxsize=1 << 16)
-def cut(n: int, capacity: int, slack: float) -> tuple[int, ...]:
-    """Lengths of the pieces of n ids, in order; all but full ones are shorter than the capacity."""
+def cut(n: int, capacity: int, slack: float, floor: int = 1) -> tuple[int, ...]:
+    """Lengths of the pieces of n ids, in order; all but full ones are shorter than the capacity. What is left after the full ones is cut into no piece below floor ids."""
     out = [capacity] * (n // capacity)
     n %= capacity
     while n:
         k = capacity // n
         part = capacity // (k + 1)
-        if k * n >= (1 - slack) * capacity or part == 0:
+        if k * n >= (1 - slack) * capacity or part < floor or n - part < floor:
             out.append(n)
             break
         out.append(part)
@@ -117,7 +117,11 @@ def _rounds(level: int, bits: int | None, capacity: int):
     return pack
 
 
-def pack(docs: DataFrame, capacity: int = 4096, end_id: int = 2, slack: float = 0.01, tokenizer: str | None = None) -> DataFrame:
+#: Ids of the smallest piece that a cut may leave.
+FLOOR = 64
+
+
+def pack(docs: DataFrame, capacity: int = 4096, end_id: int = 2, slack: float = 0.01, tokenizer: str | None = None, floor: int = FLOOR) -> DataFrame:
     """Pack the token ids of every text into sequences of at most `capacity` ids.
 
     docs: doc_id (any integer, null and repeated ids allowed: every row is packed by itself) and text (null as empty); other
@@ -138,7 +142,7 @@ def pack(docs: DataFrame, capacity: int = 4096, end_id: int = 2, slack: float =
                 for i in range(len(bounds) - 1):
                     a, n = bounds[i], bounds[i + 1] - bounds[i]
                     start = 0
-                    for size in cut(n, capacity, slack):
+                    for size in cut(n, capacity, slack, floor):
                         bins.add((ids_of[lo + i], start, size, zlib.crc32(flat[a + start : a + start + size]), n, None, None, part))
                         start += size
             yield from bins.flush(20_000)
@@ -147,7 +151,9 @@ def pack(docs: DataFrame, capacity: int = 4096, end_id: int = 2, slack: float =
 
     first = materialize(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(local, _COLUMNS), "packing")
     rounds, rest = [first], first
-    for level, bits in ((1, 6), (2, 12), (3, None)):
+    most = rest.agg(F.max("part")).first()[0] or 0
+    by = max(3, -(-most.bit_length() // 6))
+    for level, bits in enumerate([*range(by, most.bit_length(), by), None], 1):
         group = F.shiftright("part", bits) if bits else F.lit(0)
         rest = rest.where("sequence_id is null").groupBy(group.alias("g")).applyInArrow(_rounds(level, bits, capacity), _COLUMNS)
         rest = materialize(rest, "packing") if bits else rest
@@ -158,7 +164,7 @@ def pack(docs: DataFrame, capacity: int = 4096, end_id: int = 2, slack: float =
 _CUT = "array<struct<start: long, length: long, crc: long, tokens: long>>"
 
 
-def pieces(docs: DataFrame, capacity: int = 4096, end_id: int = 2, slack: float = 0.01, tokenizer: str | None = None) -> DataFrame:
+def pieces(docs: DataFrame, capacity: int = 4096, end_id: int = 2, slack: float = 0.01, tokenizer: str | None = None, floor: int = FLOOR) -> DataFrame:
     """Of each row of docs (doc_id, source, text) its doc_id, source and `pieces`, as pack() cuts them; no text or ids, so that it can be put in order at little cost."""
     path = tokenizer or default_path()
     kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("start", "length", "crc", "tokens")]))
@@ -171,7 +177,7 @@ def pieces(docs: DataFrame, capacity: int = 4096, end_id: int = 2, slack: float
                 bounds, out = offs.tolist(), []
                 for a, b in zip(bounds[:-1], bounds[1:]):
                     start, own = 0, []
-                    for size in cut(b - a, capacity, slack):
+                    for size in cut(b - a, capacity, slack, floor):
                         own.append({"start": start, "length": size, "crc": zlib.crc32(flat[a + start : a + start + size]), "tokens": b - a})
                         start += size
                     out.append(own)
