@@ -128,25 +128,26 @@ def compare(docs: DataFrame, buckets_per_partition: int = 4) -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     count = n * buckets_per_partition
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    got = rows.agg(F.percentile_approx("doc_id", [i / count for i in range(1, count)], 10 * count).alias("at"), F.min("doc_id").alias("least"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
+    # of the rows with a null id the first by text comes after the last document
+    first = F.min_by(F.md5(F.coalesce("text", F.lit(""))), F.when(F.col("doc_id").isNull(), F.struct(F.col("text").isNotNull().alias("a"), F.col("text").alias("b"))))
+    got = rows.agg(F.percentile_approx("doc_id", [i / count for i in range(1, count)], 10 * count).alias("at"), F.min("doc_id").alias("least"), F.count_if(F.col("doc_id").isNull()).alias("nulls"), first.alias("first")).first()
     bounds = np.array(sorted({*(got["at"] or [])} - {got["least"]}), np.int64)
-    least, nulls = got["least"], got["nulls"]
-
-    @F.pandas_udf("array<struct<bucket: int, ahead: boolean>>")
-    def deal(ids: pd.Series) -> pd.Series:
-        out = []
-        for x in ids:
-            null = x is None or x is pd.NA or x != x
-            b = 0 if null else int(np.searchsorted(bounds, x, "right"))
-            to = [{"bucket": b, "ahead": False}]
-            if null or (not nulls and x == least):
-                to.append({"bucket": len(bounds), "ahead": True})
-            elif b and bounds[b - 1] == x:
-                to.append({"bucket": b - 1, "ahead": True})
-            out.append(to)
-        return pd.Series(out)
-
-    dealt = rows.select(F.inline(deal(F.col("doc_id").cast("string").cast("long")) if not nulls else deal("doc_id")), "doc_id", "text")
+    least, nulls, first = got["least"], got["nulls"], got["first"]
+
+    @F.pandas_udf("struct<bucket: int, begins: boolean>")
+    def place(ids: pd.Series) -> pd.DataFrame:
+        x = ids.to_numpy(np.int64)
+        bucket = np.searchsorted(bounds, x, "right")
+        begins = (bucket > 0) & (bounds[np.maximum(bucket - 1, 0)] == x) if len(bounds) else np.zeros(len(x), bool)
+        return pd.DataFrame({"bucket": bucket.astype(np.int32), "begins": begins})
+
+    # null ids are in the first bucket, as is whatever stands for them here
+    at = rows.withColumn("at", place(F.coalesce("doc_id", F.lit(least if least is not None else 0))))
+    null = F.col("doc_id").isNull()
+    leads = null & (F.md5(F.coalesce("text", F.lit(""))) == first) if nulls else F.col("doc_id") == least
+    own = F.struct(F.col("at.bucket").alias("bucket"), F.lit(False).alias("ahead"))
+    more = F.when(leads, F.struct(F.lit(len(bounds)).cast("int").alias("bucket"), F.lit(True).alias("ahead"))).when(~null & F.col("at.begins"), F.struct((F.col("at.bucket") - 1).alias("bucket"), F.lit(True).alias("ahead")))
+    dealt = at.select(F.inline(F.array_compact(F.array(own, more))), "doc_id", "text")
     ordered = dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "ahead", F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
     return ordered.mapInArrow(_compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
