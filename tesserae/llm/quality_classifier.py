@@ -116,21 +116,22 @@ def held_out(column: str):
     return F.coalesce(F.crc32(F.col(column).cast("string")) % 3 == 1, F.lit(False))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with score (0 to 1) and predicted (0 or 1) after its columns, which they replace; null texts count as empty."""
-    names = [c for c in docs.columns if c not in ("score", "predicted")]
+def score(docs: DataFrame, model: Model, targets: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """docs with score (0 to 1) and predicted (0 or 1), or other names, after its columns, of which they replace those of their names; null texts count as empty."""
+    names = [c for c in docs.columns if c.lower() not in targets]
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    docs = docs.select(*names)
+    docs = docs.select(*(F.col(f"`{c}`") for c in names))
+    text = [c.lower() for c in names].index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         sizes = Sizes(m.good, m.bad, m.level) if m.constant is None else None
         for batch in batches:
-            s = predict(m, batch.column(names.index("text")).to_pylist(), sizes)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*names, "score", "predicted"])
+            s = predict(m, batch.column(text).to_pylist(), sizes)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*names, *targets])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(targets[0], T.DoubleType()), T.StructField(targets[1], T.IntegerType())])
     return docs.mapInArrow(run, schema)
 
 

@@ -229,6 +229,38 @@ def test_gradients():
             assert abs((loss[0] - loss[1]) / 2e-4 - g[k][at]) < 2e-3 + 0.05 * abs(g[k][at])
 
 
+def slow_labels(net, text):
+    """Log-probabilities of every place of one sequence, byte by byte."""
+
+    def read(name, some):
+        w, u, b = (net.p[f"{k}{name}"].astype(float) for k in "wub")
+        h, state, out = u.shape[0], np.zeros(u.shape[0]), []
+        for x in some:
+            a = w[x] + b
+            z, r = (1 / (1 + np.exp(-(a[k * h : (k + 1) * h] + state @ u[:, k * h : (k + 1) * h]))) for k in (0, 1))
+            c = np.tanh(a[2 * h :] + (r * state) @ u[:, 2 * h :])
+            state = z * state + (1 - z) * c
+            out.append(state)
+        return out
+
+    both = [np.concatenate(p) for p in zip(read("f", text), read("b", text[::-1])[::-1])]
+    logits = np.array(both) @ net.p["v"] + net.p["c"]
+    return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+
+
+def test_every_position_is_labelled_once_in_its_context():
+    r = random.Random(8)
+    net = langid.Network(["a", "b", "c"], hidden=6, seed=4)
+    texts = [bytes(r.randrange(256) for _ in range(n)) for n in (0, 1, 9, 10, 11, 25, 64, 3, 10)]
+    got = langid.Labeller(net, window=10, context=4, batch=3).means(texts)
+    for t, g in zip(texts, got):
+        total = np.zeros(3)
+        for at in range(0, len(t), 10):
+            begin = max(0, at - 4)
+            total += slow_labels(net, t[begin : at + 14])[at - begin : at - begin + 10].sum(axis=0)
+        assert np.abs(g - total / max(len(t), 1)).max() < 1e-4
+
+
 def test_language(spark):
     r = random.Random(1)
     syllables = {"en": ["the", "ing", "wh", "sh", "ow"], "de": ["ung", "sch", "ein", "ö", "ich"], "fr": ["eau", "ois", "que", "é", "tion"]}
