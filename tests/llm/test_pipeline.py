@@ -125,3 +125,22 @@ def test_stages_on_no_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, str(tmp_path)).count() == 0
+
+
+def test_stages_keep_columns_of_any_name_and_odd_rows(spark, tmp_path):
+    docs, labels = fixture()
+    docs = [*docs[:120], (3, *docs[3][1:]), (3, *docs[3][1:]), (None, docs[4][1], "en", None, 1), (5000, "tionly inged " * 60_000, "en", "b", 0), (5001, None, None, None, None)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    names = ("position", "slot", "block", "score", "predicted", "n_lines", "n_dropped", "_id", "_key", "_src", "n", "component_id", "release")
+    now = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", *(f"cast({i} as int) `{c}`" for i, c in enumerate(names))).repartition(3)
+    schema = now.schema
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, now, str(tmp_path))
+        assert [(f.name, f.dataType) for f in out.schema] == [(f.name, f.dataType) for f in schema], name
+        rows = out.collect()
+        assert rows and all([r[c] for c in names] == list(range(len(names))) for r in rows), name
+        now = spark.createDataFrame(rows, schema)
+    kept = Counter(r.doc_id for r in rows)
+    assert kept[3] in (0, 3) and kept[None] <= 1
+    packed = corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path)).collect()
+    assert Counter(r.doc_id for r in packed if r.start == 0) == kept
