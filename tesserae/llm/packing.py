@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import materialize
+from tesserae.llm.common import materialize, trimmed
 from tesserae.llm.tokens import default_path, encoder
 
 _COLUMNS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, part long"
@@ -38,9 +38,12 @@ def cut(n: int, capacity: int, slack: float, floor: int = 1) -> tuple[int, ...]:
     while n:
         k = capacity // n
         part = capacity // (k + 1)
-        if k * n >= (1 - slack) * capacity or part < floor or n - part < floor:
-            out.append(n)
-            break
+        if k * n >= (1 - slack) * capacity or part == 0:
+            return (*out, n)
+        if part < floor or n - part < floor:
+            # the smallest piece that may be left, if the rest then fills its bins better than the whole
+            first = n - floor
+            return (*out, first, floor) if first >= floor and capacity // first * first > k * n else (*out, n)
         out.append(part)
         n -= part
     return tuple(out)
@@ -149,7 +152,7 @@ def pack(docs: DataFrame, capacity: int = 4096, end_id: int = 2, slack: float =
         bins.rows += bins.rest()
         yield from bins.flush(0)
 
-    first = materialize(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(local, _COLUMNS), "packing")
+    first = materialize(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(trimmed(local), _COLUMNS), "packing")
     rounds, rest = [first], first
     most = rest.agg(F.max("part")).first()[0] or 0
     by = max(3, -(-most.bit_length() // 6))
@@ -184,7 +187,7 @@ def pieces(docs: DataFrame, capacity: int = 4096, end_id: int = 2, slack: float
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(out)), batch.column(1).slice(lo, len(out)), pa.array(out, kind)], names=["doc_id", "source", "pieces"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))
-    return materialize(rows.mapInArrow(local, f"doc_id long, source string, pieces {_CUT}"), "packing")
+    return materialize(rows.mapInArrow(trimmed(local), f"doc_id long, source string, pieces {_CUT}"), "packing")
 
 
 def pack_in_order(placed: DataFrame, capacity: int = 4096, window: int = 2048) -> DataFrame:

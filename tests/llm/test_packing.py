@@ -95,3 +95,13 @@ def test_files_odd(spark):
     assert shard.document(1).tolist() == list(range(100, 300)) and shard.slice(130, 140).tolist() == list(range(130, 140))
     with pytest.raises(ValueError):
         pfor.Reader(f.getvalue()[:-1])
+
+
+def test_cuts_leave_no_shreds():
+    spare = whole = 0
+    for n in [*range(1, 4097), 9000, 50_001]:
+        cut = packing.cut(n, 4096, 0.01, 64)
+        assert sum(cut) == n and min(cut) >= min(64, n % 4096 or 4096)
+        spare += sum((4096 - 4096 // x * x) / (4096 // x) for x in cut)
+        whole += n
+    assert spare < 0.01 * whole
