@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import math
 import tempfile
@@ -9,6 +10,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,6 +77,22 @@ def steps(spark: SparkSession) -> Iterator[Steps]:
         out.drop()
 
 
+def trimmed(run):
+    """The function from batches to batches, which in the end gives the memory it has freed back to the system: Python workers live on between stages, beside other tasks."""
+
+    def go(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # not every C library has it
+                pass
+
+    return go
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete shuffle files of queries that have ended."""
     gc.collect()

@@ -16,6 +16,8 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.llm.common import trimmed
+
 WINDOW, CONTEXT = 448, 32
 UNKNOWN = "und"
 
@@ -311,4 +313,4 @@ def identify(docs: DataFrame, network: Network | None = None, **bounds) -> DataF
                 langs, scores = labeller.predict(texts) if labeller else ([UNKNOWN] * len(texts), [0.0] * len(texts))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double").select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+    return rows.mapInArrow(trimmed(run), "doc_id long, lang_pred string, score double").select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm import textvec
-from tesserae.llm.common import Steps, materialize, release, steps
+from tesserae.llm.common import Steps, materialize, release, steps, trimmed
 from tesserae.llm.components import components
 
 #: Similarity NUM / DEN.
@@ -275,9 +275,16 @@ def _tokens(shared):
     return run
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Few rows at a time: sets are long."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of pairs with both sets those that link."""
-    for batch in batches:
+    for batch in _slices(batches):
         u, v, left, right = (c.to_pylist() for c in batch.columns)
         keep = []
         for i, (a, b) in enumerate(zip(left, right)):
@@ -292,7 +299,7 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
     """(id, tokens, digest) of the documents of these ids, and by chance of a few more; a document may have several texts."""
     shared = docs.sparkSession.sparkContext.broadcast(_marks(ids))
-    return docs.mapInArrow(_tokens(shared), "id long, tokens binary, digest binary")
+    return docs.mapInArrow(trimmed(_tokens(shared)), "id long, tokens binary, digest binary")
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, step: Steps) -> DataFrame:
@@ -302,7 +309,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, step: Steps) -> DataFrame:
     few = sets.join(pairs.select(F.col("v").alias("id")).distinct(), "id", "left_semi")
     left = pairs.join(sets.select(F.col("id").alias("u"), F.col("tokens").alias("a")), "u")
     both = left.join(few.select(F.col("id").alias("v"), F.col("tokens").alias("b")), "v").select("u", "v", "a", "b")
-    found = step(both.mapInArrow(_linked, "u long, v long").distinct(), "links")
+    found = step(both.mapInArrow(trimmed(_linked), "u long, v long").distinct(), "links")
     step.drop(pairs, sets)
     release(docs.sparkSession)
     return found
@@ -401,7 +408,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64() if i else pa.binary()) for i in range(4)], names=_FOUND.replace(",", "").split()[::2])
 
     held: list[tuple] = []
-    for b in batches:
+    for b in _slices(batches):
         out: list[tuple] = []
         for row in zip(*(c.to_pylist() for c in b.columns)):
             if held and held[0][0] != row[0]:
@@ -431,7 +438,7 @@ def _cells(own: DataFrame, docs: DataFrame, step: Steps) -> DataFrame:
     sets = _sets_of(cells.select(F.col("first").alias("doc_id")).distinct(), docs).withColumnRenamed("id", "first")
     few = cells.limit(FEW + 1).count() <= FEW
     work = sets.join(F.broadcast(cells) if few else cells, ["first", "digest"]).select("cell", "right", "digest", "first", "n_copies", "tokens")
-    found = step(work.repartition("cell").sortWithinPartitions("cell").mapInArrow(_counted, _FOUND), "counts")
+    found = step(work.repartition("cell").sortWithinPartitions("cell").mapInArrow(trimmed(_counted), _FOUND), "counts")
     release(docs.sparkSession)
     return found
 
@@ -488,7 +495,7 @@ def _by_hubs(nodes: DataFrame, star: DataFrame, buckets: DataFrame, bits: DataFr
 def _labelled(docs: DataFrame, step: Steps, counts: bool = True, often: float = 1 / 8000, least_often: int = 16, very: float = 1 / 400, per_part: int = 1_000_000) -> tuple[DataFrame, ...]:
     """doc_id, n, digest of every document; node and component of those that link; digest, first document, n, n_copies of every set; digest, linked (with counts: documents of other sets that it links with)."""
     spark = docs.sparkSession
-    profile = step(docs.mapInArrow(_profile(often), _PROFILE), "profile")
+    profile = step(docs.mapInArrow(trimmed(_profile(often)), _PROFILE), "profile")
     rows = profile.where("times is null").select("doc_id", "n", "digest")
     own = rows.where("digest is not null")
     groups = step(own.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"), F.count("*").alias("n_copies")), "groups")
@@ -501,7 +508,7 @@ def _labelled(docs: DataFrame, step: Steps, counts: bool = True, often: float =
     marks = _marks(groups.select(F.col("first").alias("doc_id")))
     shared = spark.sparkContext.broadcast((frequent[order], np.asarray(found.column(1).to_numpy(zero_copy_only=False), bool)[order], marks))
     parts = max(8, -(-int((total.tokens or 0) * (DEN - NUM) / DEN + total.docs) // per_part))
-    postings = docs.mapInArrow(_postings(shared, parts), _POSTINGS)
+    postings = docs.mapInArrow(trimmed(_postings(shared, parts)), _POSTINGS)
     buckets = step(postings.groupBy("part").applyInArrow(_buckets, _BUCKETS), "buckets")
     release(spark)
 

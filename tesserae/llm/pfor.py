@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import materialize, shared_path
+from tesserae.llm.common import materialize, shared_path, trimmed
 from tesserae.llm.tokens import default_path, encoder
 
 MAGIC, BLOCK = b"PFR1", 128
@@ -211,7 +211,7 @@ def write(docs: DataFrame, folder: str, end_id: int = 1, tokenizer: str | None =
             yield pa.RecordBatch.from_pydict({"first_id": pa.array([first], pa.int64()), "shard": [name], "n_docs": [n], "n_ids": [writer.ids]})
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(save, _MANIFEST)
+    return rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(trimmed(save), _MANIFEST)
 
 
 def read(manifest: DataFrame, folder: str) -> DataFrame:
@@ -235,7 +235,7 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
     # one row a shard: the window over all of them holds as many rows as there are files
     before = Window.orderBy(F.asc_nulls_first("first_id"), "shard").rowsBetween(Window.unboundedPreceding, -1)
     placed = manifest.select("shard", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
-    return placed.repartition(max(1, manifest.count())).mapInArrow(load, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.repartition(max(1, manifest.count())).mapInArrow(trimmed(load), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, **options) -> DataFrame:

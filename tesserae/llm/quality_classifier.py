@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tesserae.llm.common import about, materialize
+from tesserae.llm.common import about, materialize, trimmed
 
 
 @dataclass(frozen=True)
@@ -132,7 +132,7 @@ def score(docs: DataFrame, model: Model, targets: tuple[str, str] = ("score", "p
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*names, *targets])
 
     schema = T.StructType([*docs.schema.fields, T.StructField(targets[0], T.DoubleType()), T.StructField(targets[1], T.IntegerType())])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, **bounds) -> DataFrame:

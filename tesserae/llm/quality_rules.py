@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm import textvec
+from tesserae.llm.common import trimmed
 
 _LINE = np.ones(256, bool)
 _LINE[10] = False
@@ -263,4 +264,4 @@ def score(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 1
                 done += n
                 yield pa.RecordBatch.from_pydict(columns | {"base_failed": pa.array(failed), "kept": pa.array((by < 0) & ~failed), "rejected_by": named})
 
-    return rows.mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, rejected_by string")
+    return rows.mapInArrow(trimmed(run), "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, rejected_by string")

@@ -38,7 +38,7 @@ _LETTER[97:123] = True
 class Encoder:
     """encode(bytes, offsets) -> flat uint32 ids, int64 offsets. Remembers `limit` to 2 * `limit` words."""
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 150_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -147,7 +147,7 @@ class Encoder:
             ends = ends + np.arange(len(ends))
         return ids.astype(np.uint32, copy=False), ends
 
-    def encode_column(self, texts: pa.Array, end_id: int | None = None, limit: int = 1 << 23, step: int = 1 << 18):
+    def encode_column(self, texts: pa.Array, end_id: int | None = None, limit: int = 1 << 21, step: int = 1 << 18):
         """(first row, row after the last, ids, offsets) of runs of texts, null as empty; end_id: an id put after each text's own.
 
         Words are found and hashed in steps that fit the processor's cache, and looked up for `limit` bytes at once.
