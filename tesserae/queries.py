@@ -221,10 +221,10 @@ def j7_semi(t):
     return relational.filter_in([t.customer.select("c_custkey")], "c_custkey", keys)[0]
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 450000)")
 @tables
 def j8_anti(t):
-    return relational.except_keys(t.customer.select("c_custkey"), t.orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    return relational.except_keys(t.customer.select("c_custkey"), t.orders.where("o_totalprice > 450000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
 @query("WITH l AS (SELECT DISTINCT l_suppkey AS k, l_partkey AS i FROM lineitem) SELECT DISTINCT x.k AS a, y.k AS b FROM l x JOIN l y ON x.i = y.i AND x.k < y.k")
@@ -594,10 +594,22 @@ def x3_sample_repos(t):
     return sampling.sample_repos(repos, relational.top_values(repos, "tasks", 15), 10, 8, digest=lambda c: F.md5(c.cast("string"))).select("repo")
 
 
-@query()
+def _greedy(least: int, per: int, most: int, where: str = "TRUE") -> str:
+    """The greedy sample as table expressions: own (repo, tasks) and sampled (task, repo, position). A step of the recursion takes one task, with the counts so far in a map."""
+    return f"""{TC}, own AS (SELECT repo, list(task ORDER BY task) AS tasks FROM rt GROUP BY 1 HAVING {where}),
+ord AS (SELECT task, row_number() OVER (ORDER BY count(*), task) AS i FROM rt WHERE repo IN (SELECT repo FROM own) GROUP BY 1 HAVING count(*) >= {least}),
+g AS (SELECT 0::BIGINT AS i, NULL::VARCHAR AS task, []::BIGINT[] AS chosen, MAP {{}}::MAP(VARCHAR, BIGINT) AS given UNION ALL
+SELECT i, task, chosen, map_concat(given, map_from_entries(list_transform(list_distinct(flat), lambda x: struct_pack(k := x, v := coalesce(given[x], 0) + len(list_filter(flat, lambda y: y = x))))))
+FROM (SELECT c.*, coalesce((SELECT flatten(list(tasks)) FROM own WHERE list_contains(c.chosen, repo)), []) AS flat
+FROM (SELECT b.i, b.task, b.given, CASE WHEN len(b.found) >= {least} THEN b.found[1:{per}] ELSE [] END AS chosen
+FROM (SELECT ord.i, ord.task, g.given, coalesce((SELECT list(own.repo ORDER BY own.repo) FROM own WHERE list_contains(own.tasks, ord.task) AND len(list_filter(own.tasks, lambda x: coalesce(g.given[x], 0) > {most})) = 0), []) AS found
+FROM g JOIN ord ON ord.i = g.i + 1) b) c) d),
+sampled AS (SELECT task, unnest(chosen) AS repo, (generate_subscripts(chosen, 1) - 1)::INT AS position FROM g WHERE task IS NOT NULL)"""
+
+
+@query(f"WITH RECURSIVE {_greedy(10, 10, 20)} SELECT task, repo, position FROM sampled")
 @tables
 def x4_greedy_sample(t):
-    """Sequential over tasks; tests hold it against a loop."""
     return sampling.greedy_sample(t.repos(), 10, 10, 20)
 
 
@@ -610,7 +622,7 @@ def x7_random_score(t):
     return out.select("task", "count", F.round("random_score", 9).alias("random_score"))
 
 
-@query()
+@query(f"WITH RECURSIVE {_greedy(3, 5, 100, 'count(*) <= 10')}, picked AS (SELECT * FROM own WHERE repo IN (SELECT repo FROM sampled)), ct AS (SELECT task, count(*) AS n FROM (SELECT unnest(tasks) AS task FROM picked) GROUP BY 1), valid AS (SELECT task FROM sampled UNION SELECT task FROM ct WHERE n >= 3), total AS (SELECT count(*) AS t FROM picked), kept AS (SELECT list(task) AS l FROM ct, total WHERE task IN (SELECT task FROM valid) AND CASE WHEN t - n < 10 THEN 1.0 ELSE 1 - (SELECT exp(sum(ln((t - n - i) / (t - i)))) FROM range(10) s(i)) END < 0.99) SELECT repo, array_to_string(q, ' ') AS query_tasks FROM (SELECT repo, list_filter(tasks, lambda x: list_contains(l, x)) AS q FROM picked, kept) WHERE len(q) >= 1")
 @tables
 def x8_sample_pipeline(t):
     repos = t.repos()
@@ -1104,10 +1116,12 @@ def l5_prompts(t):
     return t.supplier.select("s_suppkey", generation.tagged_prompt(context, F.col("s_name"), F.col("s_nationkey").cast("string")).alias("prompt"))
 
 
-@query()
+@query(f"WITH {_S} SELECT r AS repo_name, '```' AS answer, least(count(*), 10)::INT AS n_files, '' AS error FROM s GROUP BY 1")
 @tables
 def l1_readmes(t):
-    return generation.readmes(generation.file_summaries(t.sources(), 10)).select("repo_name", "answer", "n_files", "error")
+    """The offline generator gives a prompt's last line back."""
+    got = generation.readmes(generation.file_summaries(t.sources(), 10))
+    return got.select("repo_name", "answer", "n_files", F.coalesce("error", F.lit("")).alias("error"))
 
 
 @query()
