@@ -167,7 +167,7 @@ def within(queries: DataFrame, prints: DataFrame, radius: int = 3) -> DataFrame:
     def tables(df: DataFrame, name: str) -> DataFrame:
         df = df.select(F.col("fingerprint").alias(name)).where(F.col(name).isNotNull()).distinct()
         blocks = F.array(*(F.conv(F.substring(name, a + 1, b - a), 16, -10).cast("long") for a, b in cuts))
-        return df.select(*(half(name, at).alias(f"{name}_{at}") for at in (1, 17)), F.posexplode(blocks).alias("table", "block"))
+        return df.select(*(half(name, at).alias(f"{name}_{at}") for at in (1, 17)), blocks.alias(f"{name}_blocks"), F.posexplode(blocks).alias("table", "block"))
 
     def half(name: str, at: int):
         return F.conv(F.substring(name, at, 16), 16, -10).cast("long")
@@ -178,6 +178,9 @@ def within(queries: DataFrame, prints: DataFrame, radius: int = 3) -> DataFrame:
     asked = tables(queries, "query").join(near, "table").withColumn("block", F.col("block").bitwiseXOR(F.col("mask"))).drop("mask")
     pairs = asked.join(tables(prints, "fingerprint"), ["table", "block"])
     distance = sum((F.bit_count(F.col(f"query_{at}").bitwiseXOR(F.col(f"fingerprint_{at}"))) for at in (1, 17)), F.lit(0))
+    # a pair counts in the first table that it meets in
+    for t in range(m):
+        pairs = pairs.where((F.col("table") <= t) | (F.bit_count(F.col("query_blocks")[t].bitwiseXOR(F.col("fingerprint_blocks")[t])) > flips))
     return pairs.where(distance <= radius).select(whole("query"), whole("fingerprint"), distance.alias("distance")).distinct()
 
 
