@@ -7,7 +7,7 @@ import gc
 import math
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
@@ -111,6 +111,12 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def byte_words(part_of_word: Callable[[int], bool]) -> Callable[[bytes], list[bytes]]:
+    """A function from UTF-8 to the words in it, A-Z lower-cased: runs of bytes that belong to words, all beyond ASCII or none of them."""
+    table = bytes(ord(chr(b).lower()) if part_of_word(b) and b < 128 else b if part_of_word(b) else 32 for b in range(256))
+    return lambda text: text.translate(table).split()
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

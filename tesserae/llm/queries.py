@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tesserae.llm import langid, licenses, line_dedup, mixing, ngram_join, packing, pfor, quality_classifier, quality_rules, simhash
+from tesserae.llm import decontaminate, divergence, langid, licenses, line_dedup, mixing, ngram_join, packing, pfor, quality_classifier, quality_rules, simhash, vector_codes
 from tesserae.llm.common import documents
 
 
@@ -47,5 +47,17 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix(documents(spark, sf_dir).select("doc_id", "source"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_token_files, op3_license_scan, op4_ngram_join, op5_quality_rules, op6_fingerprints, op7_quality_classifier, op8_language, op9_line_dedup, op10_mixing)}
-SQL: dict[str, str] = {"op9_line_dedup": line_dedup.SQL, "op10_mixing": mixing.SQL}
+def op11_vector_codes(spark, sf_dir):
+    return vector_codes.report(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_source_divergence(spark, sf_dir):
+    return divergence.audit(documents(spark, sf_dir))
+
+
+def op13_decontamination(spark, sf_dir):
+    return decontaminate.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_token_files, op3_license_scan, op4_ngram_join, op5_quality_rules, op6_fingerprints, op7_quality_classifier, op8_language, op9_line_dedup, op10_mixing, op11_vector_codes, op12_source_divergence, op13_decontamination)}
+SQL: dict[str, str] = {"op9_line_dedup": line_dedup.SQL, "op10_mixing": mixing.SQL, "op11_vector_codes": vector_codes.SQL, "op12_source_divergence": divergence.SQL, "op13_decontamination": decontaminate.SQL}
