@@ -475,12 +475,6 @@ def w4_central_nodes(t):
 _UNIT = "u AS (SELECT vec_id, list_transform(d, lambda x: x / sqrt(list_dot_product(d, d))) AS d FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS d FROM embeddings))"
 
 
-@query(f"WITH {_UNIT}, s AS (SELECT a.vec_id AS vec_id, b.vec_id AS other, list_dot_product(a.d, b.d) AS score FROM u a, u b WHERE a.vec_id <> b.vec_id) SELECT vec_id, other, round(score, 6) AS score, round(max(score) OVER (PARTITION BY vec_id), 6) AS top_similarity FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, other) <= 3")
-@tables
-def r9_nearest_others(t):
-    return retrieval.nearest_others(t.embeddings, "vec_id", 3).select("vec_id", "other", F.round("score", 6).alias("score"), F.round("top_similarity", 6).alias("top_similarity"))
-
-
 @query("WITH d AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS term FROM documents), q AS (SELECT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS term FROM benchmark), w AS (SELECT doc_id, term, count(*)::DOUBLE AS w FROM d GROUP BY 1, 2), v AS (SELECT item_id, term, count(*)::DOUBLE AS v FROM q GROUP BY 1, 2) SELECT item_id AS query_id, doc_id, sum(v * w) AS score FROM v JOIN w USING (term) GROUP BY 1, 2")
 @tables
 def r3_sparse_dot(t):

@@ -131,11 +131,12 @@ def _search(docs: DataFrame, queries: pa.Table, k: int, prepare, chunk: int = 10
     return docs.mapInArrow(run, from_arrow_schema(schema))
 
 
-def _blocks(queries: DataFrame, size: Column, most_bytes: int) -> list[pa.Table]:
-    """The stated query set in blocks of at most about so many bytes."""
+def _blocks(queries: DataFrame, size: Column, most_bytes: int) -> Iterator[pa.Table]:
+    """The stated query set in blocks of at most about so many bytes, of which the driver holds one at a time; for all rows against all see nearest.py."""
     total = queries.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
     n = max(1, -(-total // most_bytes))
-    return [(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b) if n > 1 else queries).toArrow() for b in range(n)]
+    for b in range(n):
+        yield (queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b) if n > 1 else queries).toArrow()
 
 
 def dense(docs: DataFrame, queries: DataFrame, k: int, normalise: bool = True, most_bytes: int = QUERY_BYTES) -> DataFrame:
@@ -157,16 +158,6 @@ def late_interaction(docs: DataFrame, queries: DataFrame, k: int, most_bytes: in
     return top_k(functools.reduce(DataFrame.unionAll, parts), k)
 
 
-def nearest_others(df: DataFrame, key: str, k: int, most_bytes: int = QUERY_BYTES) -> DataFrame:
-    """(key, other, score, top_similarity): for each row the k others nearest by cosine of `embedding`, and the highest similarity. All rows are queries against all, in blocks."""
-    rows = df.select(F.col(key).alias("doc_id"), "embedding")
-    found = dense(rows, rows.withColumnRenamed("doc_id", "query_id"), k + 1, most_bytes=most_bytes).where("query_id <> doc_id")
-    # without itself k are left, or k + 1 where ties put it outside
-    kept = top_k(found, k)
-    top = F.max("score").over(Window.partitionBy("query_id"))
-    return kept.select(F.col("query_id").alias(key), F.col("doc_id").alias("other"), "score", top.alias("top_similarity"))
-
-
 def similarity_top(results: DataFrame, k: int, side: str = "row") -> DataFrame:
     """The k highest scores of each row (query) or column (document) of a similarity table."""
     by, other = ("query_id", "doc_id") if side == "row" else ("doc_id", "query_id")

@@ -10,6 +10,7 @@ import pandas as pd
 import pytest
 
 import tesserae.more_queries  # noqa: F401  it registers more
+import tesserae.search_queries  # noqa: F401  and so does it
 from tesserae.queries import QUERIES, SQL
 
 DIR = "/root/testdata/sf0.001"
