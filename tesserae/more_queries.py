@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.functions import text as X
-from tesserae.operators import code, embedding, generation, graph, metrics, relational, retrieval, sampling, stats
+from tesserae.operators import code, distances, embedding, generation, graph, metrics, relational, retrieval, sampling, stats
 from tesserae.plans import flows
 from tesserae.plans.durable import shared_path
 from tesserae.queries import _LEGACY, _S, EDGES, RANKED, REL, RES, RT, query, tables
@@ -355,11 +355,13 @@ def f20_reciprocal(t):
     return t.customer.select("c_custkey", F.round(X.reciprocal(F.col("c_nationkey")), 9).alias("r"))
 
 
-@query("SELECT * FROM (VALUES ('bm25', 'BM25'), ('x/all-mpnet-base-v2', 'MPNet'), ('some_model', 'some model')) v(retriever, label)")
+@query("SELECT event_type, count(*) AS n, CASE event_type WHEN 'click' THEN 'BM25' WHEN 'view' THEN 'MPNet' ELSE 'some ' || replace(event_type, '_', ' ') END AS label FROM events GROUP BY 1")
 @tables
 def f22_labels(t):
-    df = t._spark.createDataFrame([("bm25",), ("x/all-mpnet-base-v2",), ("some_model",)], "retriever string")
-    return df.select("retriever", X.retriever_label(F.col("retriever")).alias("label"))
+    """Types of events stand for retrievers."""
+    kind = F.col("event_type")
+    name = F.when(kind == "click", F.lit("bm25")).when(kind == "view", F.lit("x/all-mpnet-base-v2")).otherwise(F.concat(F.lit("some_"), kind))
+    return t.events.withColumn("retriever", name).groupBy("event_type", X.retriever_label(F.col("retriever")).alias("label")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT s_suppkey, 'a/s' || s_suppkey || '.py b.py' AS names FROM supplier")
@@ -461,7 +463,7 @@ def g13_subgraph(t):
 def g14_shortest_paths(t):
     e = t.supplier.select(F.concat(F.lit("s"), "s_suppkey").alias("source"), F.concat(F.lit("n"), "s_nationkey").alias("target"))
     e = e.union(t.nation.select(F.concat(F.lit("n"), "n_nationkey"), F.concat(F.lit("r"), "n_regionkey")))
-    return graph.shortest_paths(e, t.region.select(F.concat(F.lit("r"), "r_regionkey").alias("node")))
+    return distances.shortest_paths(e, t.region.select(F.concat(F.lit("r"), "r_regionkey").alias("node")))
 
 
 @query(f"WITH {EDGES}, deg AS (SELECT repo_name, node, count(*)::DOUBLE AS centrality_score FROM (SELECT DISTINCT repo_name, source, target, source AS node FROM e UNION ALL SELECT DISTINCT repo_name, source, target, target FROM e) GROUP BY 1, 2), first AS (SELECT repo_name, node, min(place) AS place FROM (SELECT repo_name, source AS node, 2 * ordinal AS place, edge_type FROM e UNION ALL SELECT repo_name, target, 2 * ordinal + 1, edge_type FROM e) WHERE edge_type IN ('A', 'N') GROUP BY 1, 2) SELECT repo_name, node, centrality_score FROM deg JOIN first USING (repo_name, node) QUALIFY row_number() OVER (PARTITION BY repo_name ORDER BY centrality_score DESC, place, node) <= 7")
@@ -553,11 +555,13 @@ def r13_by_generation(t):
 # measures
 
 
-@query("SELECT count(DISTINCT s_suppkey) * 2 AS rows, true AS same FROM supplier")
+@query("WITH c AS (SELECT s_suppkey AS d, 'a' AS c FROM supplier UNION ALL SELECT s_suppkey, 'b' FROM supplier UNION ALL SELECT c_custkey, 'c' FROM customer WHERE c_nationkey < 12), g AS (SELECT d, count(DISTINCT c) AS c, count(*) AS r FROM c GROUP BY 1) SELECT sum(r)::BIGINT AS rows, count(*) AS documents, count(*) FILTER (WHERE c = 3) AS in_all, count(*) = count(*) FILTER (WHERE c = 3) AS same FROM g")
 @tables
 def c5_same_documents(t):
+    """Two corpora of suppliers, and one of customers, whose keys are partly the same."""
     corpus = metrics.corpora(t.supplier.withColumnRenamed("s_suppkey", "repo"), {"name": ["s_name"], "all": ["s_name", "s_nationkey"]})
-    return corpus.agg(F.count("*").alias("rows")).withColumn("same", F.lit(metrics.same_documents(corpus)))
+    third = metrics.corpora(t.customer.where("c_nationkey < 12").withColumnRenamed("c_custkey", "repo"), {"customers": ["c_name"]})
+    return metrics.documents_in_all(corpus.unionByName(third))
 
 
 @query(f"WITH {RT}, n AS (SELECT repo FROM rt GROUP BY 1 HAVING count(*) <= 6) SELECT 'only' AS corpus, repo AS doc_id, 'o' || repo AS text FROM n")
@@ -701,22 +705,35 @@ def l9_typed_tags(t):
     return t.supplier.select("s_suppkey", F.array_join(generation.typed_tags(answer), ";").alias("tags"))
 
 
-@query()
+_WORDS = "SELECT p_partkey, len(list_filter(regexp_split_to_array(p_name, '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> ''))::INT AS words, 8::INT AS size, 0.0::DOUBLE AS gap FROM part"
+
+
+def _gap(df: DataFrame, other: DataFrame) -> DataFrame:
+    """The largest difference of a component of two tables' embeddings (p_partkey, embedding), with the number of words."""
+    both = df.join(other.select("p_partkey", F.col("embedding").alias("_e")), "p_partkey")
+    gap = F.array_max(F.zip_with("embedding", "_e", lambda x, y: F.abs(x - y)))
+    return both.select("p_partkey", F.size(X.tokenize(F.col("p_name"))).alias("words"), F.size("embedding").alias("size"), (F.round(F.coalesce(gap, F.lit(0.0)), 6) + 0.0).alias("gap"))
+
+
+@query(_WORDS)
 @tables
 def k7_saved_model(t):
-    """Vectors of a model saved and loaded again; as trained, so not in SQL."""
+    """A model saved and loaded again gives the vectors that it gave before."""
     docs = t.part.select("p_partkey", "p_name")
-    model = embedding.train_word2vec(docs, "p_name", size=8, least=2)
+    model = embedding.train_word2vec(docs, "p_name", size=8, least=1)
     path = shared_path(t._spark, "model")
     embedding.save_model(model, path)
-    return embedding.embed(embedding.load_word2vec(path), docs, "p_name").select("p_partkey", F.size("embedding").alias("size"))
+    return _gap(embedding.embed(embedding.load_word2vec(path), docs, "p_name"), embedding.embed(model, docs, "p_name"))
 
 
-@query("SELECT p_partkey, 8::INT AS size FROM part")
+@query(_WORDS)
 @tables
 def e2_embedded_texts(t):
+    """A text's vector is the mean of its words' vectors."""
     docs = t.part.select("p_partkey", "p_name")
-    return embedding.embed(embedding.train_word2vec(docs, "p_name", size=8, least=1), docs, "p_name").select("p_partkey", F.size("embedding").alias("size"))
+    model = embedding.train_word2vec(docs, "p_name", size=8, least=1)
+    words = docs.select("p_partkey", F.explode(X.tokenize(F.col("p_name"))).alias("word")).join(embedding.vectors(model).withColumnRenamed("vector", "embedding"), "word")
+    return _gap(embedding.embed(model, docs, "p_name"), retrieval.mean_vector(words, ["p_partkey"]))
 
 
 @query(f"WITH {_LEGACY} SELECT repo, source AS file, string_agg(DISTINCT destination, ' ' ORDER BY destination) AS functions, 't' || repo AS task FROM le WHERE edge_type = 'file-function' GROUP BY 1, 2, 4")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions.text import tokenize
+from tesserae.operators import ranks
 from tesserae.operators.retrieval import dot
 
 
@@ -70,9 +71,12 @@ def principal_components(df: DataFrame, n: int) -> DataFrame:
 
 
 def batch_offsets(df: DataFrame, items: str, order: str, by: list[str] | None = None) -> DataFrame:
-    """df with start: how many items the rows before hold."""
-    w = Window.partitionBy(*(by or [])).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("start", F.coalesce(F.sum(F.size(items)).over(w), F.lit(0)))
+    """df with start: how many items the rows before hold. Without `by` sums go by ranges of the order, so that no task has all rows; rows of one order then start at one place."""
+    if by:
+        w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumn("start", F.coalesce(F.sum(F.size(items)).over(w), F.lit(0)))
+    sums = ranks.running(df, order, measures={"n": F.sum(F.size(items))})
+    return ranks.beside(df, sums.select(order, F.col("n_before").alias("start")), [order], "left")
 
 
 def file_dataset(edges: DataFrame, repos: DataFrame, least: int = 0) -> DataFrame:
@@ -101,14 +105,18 @@ def hyperbolic_components(df: DataFrame, n: int) -> DataFrame:
 
 
 def walks(edges: DataFrame, per_node: int = 4, length: int = 8, seed: int = 0) -> DataFrame:
-    """(node, walk, path): seeded random walks over the edges from each node, a join for each step; a walk ends where no edge leaves."""
-    out = edges.groupBy(F.col("source").alias("_at")).agg(F.array_sort(F.collect_set("target")).alias("_next"))
+    """(node, walk, path): seeded random walks over the edges from each node, a join for each step; a walk ends where no edge leaves. Each node's edges are numbered, and a walk finds the one it draws by its number, so the
+    edges of a node are never in one row."""
+    pairs = edges.select(F.col("source").alias("_at"), F.col("target").alias("_to")).distinct()
+    out = pairs.withColumn("_i", F.row_number().over(Window.partitionBy("_at").orderBy("_to")) - 1)
+    degree = pairs.groupBy("_at").agg(F.count("*").alias("_n"))
     now = edges.select(F.col("source").alias("node")).union(edges.select("target")).distinct()
     now = now.select("node", F.explode(F.sequence(F.lit(0), F.lit(per_node - 1))).alias("walk"), F.array("node").alias("path"))
     for step in range(1, length):
-        ahead = now.join(out, F.element_at("path", -1) == F.col("_at"), "left")
-        pick = F.get("_next", F.pmod(F.xxhash64(F.lit(seed), F.lit(step), "node", "walk"), F.size("_next")).cast("int"))
-        now = ahead.select("node", "walk", F.when(F.col("_next").isNull(), F.col("path")).when(F.size("path") < step, F.col("path")).otherwise(F.array_append("path", pick)).alias("path"))
+        here = now.withColumn("_at", F.element_at("path", -1)).join(degree, "_at", "left")
+        drawn = here.withColumn("_i", F.pmod(F.xxhash64(F.lit(seed), F.lit(step), "node", "walk"), "_n").cast("int"))
+        ahead = drawn.join(out, ["_at", "_i"], "left")
+        now = ahead.select("node", "walk", F.when(F.col("_to").isNull() | (F.size("path") < step), F.col("path")).otherwise(F.array_append("path", F.col("_to"))).alias("path"))
     return now
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.operators.relational import degrees, recode
-from tesserae.plans.durable import Steps, materialize
+from tesserae.plans.durable import Steps
 
 #: The sections of a dependency signature.
 SECTIONS = ("repo-file", "file-import", "file-class", "file-function")
@@ -191,20 +191,6 @@ def prune(edges: DataFrame, least: int = 2) -> DataFrame:
     return edges.join(kept, edges["source"] == kept["node"], "left_semi").join(kept, edges["target"] == kept["node"], "left_semi")
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, limit: int = 20) -> DataFrame:
-    """(source, node, distance) of the undirected graph from each of the sources, breadth first, a join for each step, until none is new; ArithmeticError if `limit` steps don't get there."""
-    both = edges.select(F.col("source").alias("a"), F.col("target").alias("b")).union(edges.select("target", "source")).distinct()
-    reached = sources.select(F.col("node").alias("source"), "node", F.lit(0).alias("distance")).distinct()
-    front = reached
-    for step in range(1, limit + 2):
-        new = front.join(both, F.col("node") == F.col("a")).select("source", F.col("b").alias("node")).distinct().join(reached.select("source", "node"), ["source", "node"], "left_anti")
-        front = materialize(new.withColumn("distance", F.lit(step)), "front")
-        if front.isEmpty():
-            return reached
-        reached = reached.unionAll(front)
-    raise ArithmeticError(f"nodes more than {limit} steps from a source")
-
-
 def typed_histogram(edges: DataFrame) -> DataFrame:
     return edges.groupBy("edge_type").agg(F.count("*").alias("count"))
 

@@ -41,10 +41,16 @@ def corpora(repos: DataFrame, columns: dict[str, list[str]], most_tasks: int | N
     return repos.select(F.col("repo").alias("doc_id"), F.explode(each).alias("e")).select("e.corpus", "doc_id", F.col("doc_id").alias("title"), "e.text")
 
 
+def documents_in_all(corpus: DataFrame) -> DataFrame:
+    """(rows, documents, in_all, same): how many documents there are, how many of them stand in every corpus, and whether all do."""
+    n = corpus.agg(F.count_distinct("corpus").alias("n"))
+    by_doc = corpus.groupBy("doc_id").agg(F.count_distinct("corpus").alias("c"), F.count("*").alias("r")).join(F.broadcast(n))
+    return by_doc.agg(F.coalesce(F.sum("r"), F.lit(0)).alias("rows"), F.count("*").alias("documents"), F.count_if(F.col("c") == F.col("n")).alias("in_all")).withColumn("same", F.col("documents") == F.col("in_all"))
+
+
 def same_documents(corpus: DataFrame) -> bool:
     """Whether all corpora have the same documents."""
-    n = corpus.agg(F.count_distinct("corpus").alias("n"))
-    return corpus.groupBy("doc_id").agg(F.count_distinct("corpus").alias("c")).join(F.broadcast(n)).where("c <> n").isEmpty()
+    return documents_in_all(corpus).first().same
 
 
 # retrieval
@@ -241,6 +247,17 @@ def generation_metrics(df: DataFrame, key: str = "repo", reference: str = "refer
     return df.withColumns({"rougeL": rouge_l(a, b), "rougeLsum": rouge_lsum(lines(reference), lines(generated)), "jaccard_lst": jaccard(a, b), "edit_word": word_edits(a, b)})
 
 
+def run_evaluation(df: DataFrame, vectors: DataFrame | None = None, key: str = "repo", reference: str = "reference", generated: str = "generated", generation: str = "generation") -> DataFrame:
+    """generation_metrics() of each generation's rows, with vectors (word, vector) also bertscore_precision, bertscore_recall and bertscore_f1 from token vectors, the best rougeL first."""
+    from tesserae.operators.transport import token_match
+
+    own = F.concat_ws("\0", F.col(key).cast("string"), F.col(generation).cast("string"))
+    out = generation_metrics(df.withColumn("_key", own), "_key", reference, generated).drop("_key")
+    if vectors is not None:
+        out = token_match(out, reference, generated, vectors).withColumnsRenamed({c: f"bertscore_{c}" for c in ("precision", "recall", "f1")})
+    return out.orderBy(F.desc("rougeL"), key, generation)
+
+
 def per_task(metrics: DataFrame, tasks: str = "tasks") -> DataFrame:
     """Means of the numeric columns over the rows of each task."""
     names = R.numeric_columns(metrics)

@@ -46,8 +46,17 @@ def keep_members(df: DataFrame, column: str, allowed: DataFrame, key: str, id_co
 
 
 def forward_fill(df: DataFrame, column: str, order: str, by: list[str] | None = None) -> DataFrame:
-    w = Window.partitionBy(*(by or [])).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(column, F.last(column, ignorenulls=True).over(w))
+    """Nulls replaced by the last value before in the order. Without `by`, ranges of the order are filled each by itself, and what they begin with comes from the last value of those before, so that no task has all rows."""
+    if by:
+        w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn(column, F.last(column, ignorenulls=True).over(w))
+    parts = max(2, min(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    bounds = df.agg(F.percentile_approx(F.col(order).cast("double"), [i / parts for i in range(1, parts)], 100 * parts).alias("_bounds"))
+    placed = df.join(F.broadcast(bounds)).withColumn("_range", F.coalesce(F.size(F.filter("_bounds", lambda b: b < F.col(order).cast("double"))), F.lit(0))).drop("_bounds")
+    ends = placed.groupBy("_range").agg(F.max_by(column, F.when(F.col(column).isNotNull(), F.col(order))).alias("_end"))
+    before = ends.select("_range", F.last("_end", ignorenulls=True).over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    own = F.last(column, ignorenulls=True).over(Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return placed.withColumn(column, own).join(F.broadcast(before), "_range").withColumn(column, F.coalesce(column, "_before")).select(*df.columns)
 
 
 def numeric_columns(df: DataFrame) -> list[str]:

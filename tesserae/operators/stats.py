@@ -200,16 +200,12 @@ def permutation_test(df: DataFrame, value: str, group: str, first, second, by: l
 
 
 def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
-    """chi2 and degrees of freedom of the contingency table of two columns."""
-    cells = df.groupBy(a, b).agg(F.count("*").alias("o"))
-    rows = cells.groupBy(a).agg(F.sum("o").alias("r"))
-    columns = cells.groupBy(b).agg(F.sum("o").alias("c"))
-    total = cells.agg(F.sum("o").alias("n"))
-    # all cells, empty ones too: as many as there are kinds, not rows
-    grid = rows.join(columns).join(cells, [a, b], "left").join(total)
-    e = F.col("r") * F.col("c") / F.col("n")
-    o = F.coalesce("o", F.lit(0))
-    return grid.agg(F.sum((o - e) * (o - e) / e).alias("chi2"), ((F.count_distinct(a) - 1) * (F.count_distinct(b) - 1)).alias("dof"))
+    """chi2 and degrees of freedom of the contingency table of two columns. Over the observed cells only, as the sum over all is n * (sum of o² / (r * c) - 1)."""
+    cells = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count("*").alias("o"))
+    rows, columns = cells.groupBy(a).agg(F.sum("o").alias("r")), cells.groupBy(b).agg(F.sum("o").alias("c"))
+    o = F.col("o").cast("double")
+    share = cells.join(rows, a).join(columns, b).agg(F.sum(o * o / (F.col("r") * F.col("c").cast("double"))).alias("s"), F.sum("o").alias("n"), F.count_distinct(a).alias("_a"), F.count_distinct(b).alias("_b"))
+    return share.select((F.col("n") * (F.col("s") - 1)).alias("chi2"), ((F.col("_a") - 1) * (F.col("_b") - 1)).alias("dof"))
 
 
 def proportions_chi_square(df: DataFrame, successes: str, trials: str) -> DataFrame:
@@ -260,12 +256,12 @@ def group_differences(df: DataFrame, by: list[str], mark: Column, metrics: list[
 
 
 def compare_describes(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
-    """(statistic, a, b, difference, relative) of two tables' describe()."""
+    """(statistic, a, b, difference, relative) of two tables' describe(); relative to the first."""
     from tesserae.operators.relational import describe
 
     names = ["count", "mean", "std", "min", "p25", "p50", "p75", "max"]
     x, y = (describe(d, column).select(*(F.col(n).cast("double").alias(n) for n in names)).unpivot([], names, "statistic", v) for d, v in ((a, "a"), (b, "b")))
-    return x.join(y, "statistic").select("statistic", "a", "b", (F.col("a") - F.col("b")).alias("difference"), ((F.col("a") - F.col("b")) / F.col("b")).alias("relative"))
+    return x.join(y, "statistic").select("statistic", "a", "b", (F.col("a") - F.col("b")).alias("difference"), F.try_divide(F.col("a") - F.col("b"), F.col("a")).alias("relative"))
 
 
 def token_price(df: DataFrame, text: str, price: float, tokens=None) -> DataFrame:

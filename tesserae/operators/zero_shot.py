@@ -19,16 +19,15 @@ from tesserae.operators.retrieval import _flat
 LABEL_BYTES = 1 << 26
 
 
-def fit(rows: DataFrame, x: str = "x", y: str = "y", ridge: float = 1.0) -> np.ndarray:
-    """The map W, width of x by width of y, that makes the sum of (xW - y)² + ridge * W² least. Rows with a null vector are left out; without rows W is 0-sized. Vectors of a column have one width."""
+def gram(rows: DataFrame, x: str, y: str) -> np.ndarray:
+    """The sum over the rows of the outer products of two vectors, width of x by width of y; rows with a null vector are left out, without rows it is 0-sized."""
     known = rows.select(F.col(x).cast("array<double>").alias("x"), F.col(y).cast("array<double>").alias("y")).where(F.col("x").isNotNull() & F.col("y").isNotNull())
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
             if batch.num_rows:
-                left, right = _flat(batch.column(0)), _flat(batch.column(1))
-                part = left.T @ np.hstack([left, right])
+                part = _flat(batch.column(0)).T @ _flat(batch.column(1))
                 total = part if total is None else total + part
         if total is not None:
             yield pa.record_batch([pa.array(range(len(total)), pa.int32()), pa.array(total.tolist(), pa.list_(pa.float64()))], ["i", "row"])
@@ -37,10 +36,17 @@ def fit(rows: DataFrame, x: str = "x", y: str = "y", ridge: float = 1.0) -> np.n
     merged = made.groupBy("i", "j").agg(F.sum("v").alias("v")).toPandas()
     if not len(merged):
         return np.zeros((0, 0))
-    n, m = merged["i"].max() + 1, merged["j"].max() + 1
-    gram = np.zeros((n, m))
-    gram[merged["i"], merged["j"]] = merged["v"]
-    return np.linalg.solve(gram[:, :n] + ridge * np.eye(n), gram[:, n:])
+    out = np.zeros((merged["i"].max() + 1, merged["j"].max() + 1))
+    out[merged["i"], merged["j"]] = merged["v"]
+    return out
+
+
+def fit(rows: DataFrame, x: str = "x", y: str = "y", ridge: float = 1.0) -> np.ndarray:
+    """The map W, width of x by width of y, that makes the sum of (xW - y)² + ridge * W² least. Rows with a null vector are left out; without rows W is 0-sized. Vectors of a column have one width."""
+    known = rows.select(F.col(x).cast("array<double>").alias("x"), F.col(y).cast("array<double>").alias("y")).where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    both = gram(known.select("x", F.concat("x", "y").alias("xy")), "x", "xy")
+    n = len(both)
+    return np.linalg.solve(both[:, :n] + ridge * np.eye(n), both[:, n:]) if n else both
 
 
 def predict(rows: DataFrame, weights: np.ndarray, x: str = "x", into: str = "predicted") -> DataFrame:

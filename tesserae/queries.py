@@ -1056,11 +1056,14 @@ def z6_kolmogorov_smirnov(t):
     return stats.kolmogorov_smirnov(t.lineitem, "l_quantity", "l_returnflag", "A", "R").select(F.round("d", 9).alias("d"), "n1", "n2", F.round("p", 6).alias("p"))
 
 
-@query()
+@query("SELECT event_type, round(avg(value) FILTER (WHERE user_id % 2 = 0) - avg(value) FILTER (WHERE user_id % 2 = 1), 6) AS difference, true AS p_is_a_share FROM events GROUP BY 1")
 @tables
 def z7_permutation_test(t):
+    """The observed difference, and whether p is one of the values that 200 rounds can give; tests hold p against plain shufflings."""
     e = t.events.withColumn("g", F.col("user_id") % 2)
-    return stats.permutation_test(e, "value", "g", 0, 1, ["event_type"], rounds=200)
+    got = stats.permutation_test(e, "value", "g", 0, 1, ["event_type"], rounds=200)
+    hits = F.col("p") * 201
+    return got.select("event_type", F.round("difference", 6).alias("difference"), ((hits >= 0.999) & (hits <= 201.001) & (F.abs(hits - F.round(hits)) < 1e-6)).alias("p_is_a_share"))
 
 
 @query("WITH c AS (SELECT l_returnflag AS a, l_linestatus AS b, count(*) AS o FROM lineitem GROUP BY 1, 2), r AS (SELECT a, sum(o) AS r FROM c GROUP BY 1), k AS (SELECT b, sum(o) AS c FROM c GROUP BY 1), n AS (SELECT sum(o) AS n FROM c) SELECT round(sum((coalesce(o, 0) - r * c / n) * (coalesce(o, 0) - r * c / n) / (r * c / n)), 6) AS chi2, (count(DISTINCT r.a) - 1) * (count(DISTINCT k.b) - 1) AS dof FROM r CROSS JOIN k CROSS JOIN n LEFT JOIN c ON c.a = r.a AND c.b = k.b")

@@ -1,12 +1,17 @@
-"""Registered queries of the stored index, exact neighbours and matching of unseen labels, with their DuckDB SQL."""
+"""Registered queries of the stored index, neighbours, unseen labels, distances, node vectors, transport and paged sources, with their DuckDB SQL."""
 
 from __future__ import annotations
 
+import os
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.operators import nearest, text_index, zero_shot
+from tesserae.functions.text import tokenize
+from tesserae.operators import code, distances, embedding, metrics, nearest, relational, spectral, stats, text_index, transport, zero_shot
 from tesserae.plans.durable import shared_path
-from tesserae.queries import _TERMS, query, tables
+from tesserae.queries import _LEGACY, _TERMS, query, tables
+from tesserae.sources import files, paged
 
 # the stored index
 
@@ -71,3 +76,190 @@ def r14_unseen_labels(t):
     weights = zero_shot.fit(h.join(F.broadcast(labels), "label").where(~unseen))
     found = zero_shot.match(h.where(unseen), weights, labels.where(unseen), 2, "vec_id")
     return found.join(h.select("vec_id", F.col("label").alias("own")), "vec_id").select("vec_id", "label", "own", F.round("score", 6).alias("score"), "place")
+
+
+# distances and node vectors: suppliers, nations and regions, which are all joined to each other
+
+_GRAPH = "u AS (SELECT 's' || s_suppkey AS a, 'n' || s_nationkey AS b FROM supplier UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION SELECT 'r' || x.r_regionkey, 'r' || y.r_regionkey FROM region x, region y WHERE x.r_regionkey < y.r_regionkey), e AS MATERIALIZED (SELECT a, b FROM u UNION SELECT b, a FROM u)"
+
+
+def _graph(t, suppliers: bool = True) -> DataFrame:
+    key = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
+    up = t.nation.select(key("n", "n_nationkey").alias("source"), key("r", "n_regionkey").alias("target"))
+    x, y = (t.region.select(F.col("r_regionkey").alias(c)) for c in "xy")
+    across = x.join(y, F.col("x") < F.col("y")).select(key("r", "x").alias("source"), key("r", "y").alias("target"))
+    low = t.supplier.select(key("s", "s_suppkey").alias("source"), key("n", "s_nationkey").alias("target"))
+    return up.unionByName(across).unionByName(low) if suppliers else up.unionByName(across)
+
+
+_WALK = "w(source, node, distance) AS (SELECT DISTINCT a, a, 0 FROM e UNION SELECT source, e.b, distance + 1 FROM w JOIN e ON e.a = w.node WHERE distance < 5), d AS (SELECT source, node, min(distance)::INT AS distance FROM w GROUP BY 1, 2)"
+
+
+def _all_pairs(t) -> DataFrame:
+    edges = _graph(t)
+    return distances.shortest_paths(edges, edges.select(F.col("source").alias("node")).union(edges.select("target")).distinct())
+
+
+@query(f"WITH RECURSIVE {_GRAPH}, {_WALK} SELECT source, count(*) AS nodes, sum(distance)::BIGINT AS total, max(distance) AS farthest FROM d GROUP BY 1")
+@tables
+def g14_all_pairs(t):
+    """Distances between all nodes, summed up by source."""
+    return _all_pairs(t).groupBy("source").agg(F.count("*").alias("nodes"), F.sum("distance").alias("total"), F.max("distance").alias("farthest"))
+
+
+@query(f"WITH RECURSIVE {_GRAPH}, {_WALK} SELECT source, node, distance::SMALLINT AS distance FROM d WHERE source IN ('r0', 'n3', 'n17')")
+@tables
+def k11_distance_matrix(t):
+    """Rows of the stored matrix of all distances."""
+    path = shared_path(t._spark, "matrix")
+    distances.write_distances(_all_pairs(t), path)
+    return distances.read_distances(t._spark, path, ["r0", "n3", "n17"])
+
+
+_NATIONS = "u AS (SELECT 'n' || n_nationkey AS a, 'r' || n_regionkey AS b FROM nation UNION SELECT 'r' || x.r_regionkey, 'r' || y.r_regionkey FROM region x, region y WHERE x.r_regionkey < y.r_regionkey), e AS MATERIALIZED (SELECT a, b FROM u UNION SELECT b, a FROM u)"
+
+
+@query(f"WITH RECURSIVE {_NATIONS}, {_WALK} SELECT x.source AS a, y.source AS b, round(sqrt(sum(pow(cosh(x.distance) - cosh(y.distance), 2))), 4) AS gap FROM d x JOIN d y ON x.node = y.node AND x.source < y.source GROUP BY 1, 2")
+@tables
+def g15_hyperbolic_gaps(t):
+    """With a landmark for every node and all components, coordinates are as far apart as the rows of the full matrix."""
+    found = distances.hyperbolic_coordinates(_graph(t, suppliers=False), 30, 256)
+    x, y = (found.select(F.col("node").alias(c), F.col("components").alias(f"{c}_c")) for c in "ab")
+    gap = F.sqrt(F.aggregate(F.zip_with("a_c", "b_c", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v))
+    return x.join(y, F.col("a") < F.col("b")).select("a", "b", F.round(gap, 4).alias("gap"))
+
+
+@query(f"WITH {_GRAPH} SELECT a AS node, round(sqrt(count(*) / (SELECT count(*) FROM e)), 4) AS first FROM e GROUP BY 1")
+@tables
+def g16_spectral_vectors(t):
+    """The first eigenvector of a connected graph's normalised adjacency matrix is the root of the degrees."""
+    return spectral.spectral_vectors(_graph(t), 1, more=39, steps=6).select("node", F.round(F.col("vector")[0], 4).alias("first"))
+
+
+def _smoothing(heat: float, order: int) -> str:
+    import math
+
+    steps = ["m AS MATERIALIZED (SELECT a, b, 1 / sqrt(x.d * y.d) AS w FROM e JOIN g x USING (a) JOIN (SELECT a AS b, d FROM g) y USING (b))", "t0 AS (SELECT a AS node, coalesce(s_acctbal / 1000, 0.0) AS x FROM g LEFT JOIN supplier ON a = 's' || s_suppkey)", "t1 AS (SELECT a AS node, sum(w * x) AS x FROM m JOIN t0 ON node = b GROUP BY 1)"]
+    steps += [f"t{k} AS MATERIALIZED (SELECT p.node, 2 * p.x - q.x AS x FROM (SELECT a AS node, sum(w * x) AS x FROM m JOIN t{k - 1} ON node = b GROUP BY 1) p JOIN t{k - 2} q USING (node))" for k in range(2, order + 1)]
+    total = " + ".join(f"{math.exp(-heat) * spectral._bessel(k, heat) * (1 if k == 0 else 2)!r} * t{k}.x" for k in range(order + 1))
+    joins = " ".join(f"JOIN t{k} USING (node)" for k in range(1, order + 1))
+    return f"WITH {_GRAPH}, g AS MATERIALIZED (SELECT a, count(*) AS d FROM e GROUP BY 1), {', '.join(steps)} SELECT node, round({total}, 6) AS value FROM t0 {joins}"
+
+
+@query(_smoothing(0.7, 4))
+@tables
+def g16_smoothed_vectors(t):
+    """Balances of suppliers, spread over the graph."""
+    balances = t.supplier.select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("node"), F.array(F.col("s_acctbal") / 1000).alias("vector"))
+    return spectral.smoothed(_graph(t), balances, 1, heat=0.7, order=4).select("node", F.round(F.col("vector")[0], 6).alias("value"))
+
+
+# texts compared by the vectors of their words, which here are made of a word's length
+
+_PAIRS = "w AS (SELECT item_id AS id, len(word) AS x, count(*)::DOUBLE AS n FROM (SELECT item_id, unnest(list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0b\\f\\r]+'), lambda v: v <> '')) AS word FROM benchmark) GROUP BY 1, 2), p AS (SELECT id, x, n / sum(n) OVER (PARTITION BY id) AS w FROM w)"
+
+
+def _neighbouring(t) -> tuple[DataFrame, DataFrame]:
+    """Pairs of an item and the next one, and their words' vectors."""
+    items = t.benchmark.select("item_id", F.col("text").alias("a"))
+    pairs = items.join(t.benchmark.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("b")), "item_id")
+    return pairs, t.benchmark.select(F.explode(tokenize(F.col("text"))).alias("word")).distinct()
+
+
+@query(f"WITH {_PAIRS}, c AS (SELECT a.id, x, sum(s * w) AS g FROM (SELECT id, id AS own, 1 AS s FROM (SELECT DISTINCT id FROM p) UNION ALL SELECT id - 1, id, -1 FROM (SELECT DISTINCT id FROM p)) a JOIN p ON p.id = a.own GROUP BY 1, 2), r AS (SELECT id, abs(sum(g) OVER (PARTITION BY id ORDER BY x)) * (lead(x) OVER (PARTITION BY id ORDER BY x) - x) AS v FROM c) SELECT id AS item_id, round(sum(v), 6) AS wmd FROM r WHERE id IN (SELECT id FROM p) AND id + 1 IN (SELECT id FROM p) GROUP BY 1")
+@tables
+def m11_word_mover(t):
+    """In one dimension transport is the area between the distributions."""
+    pairs, words = _neighbouring(t)
+    vectors = words.select("word", F.array(F.length("word").cast("double")).alias("vector"))
+    return transport.word_mover(pairs, "a", "b", vectors).select("item_id", F.round("wmd", 6).alias("wmd"))
+
+
+@query(f"WITH {_PAIRS}, s AS (SELECT a.id, a.x, a.w, b.x AS y, b.w AS v, (a.x * b.x + 1) / sqrt((a.x * a.x + 1.0) * (b.x * b.x + 1.0)) AS c FROM p a JOIN p b ON b.id = a.id + 1), r AS (SELECT id, sum(w * m) AS recall FROM (SELECT id, x, any_value(w) AS w, max(c) AS m FROM s GROUP BY 1, 2) GROUP BY 1), q AS (SELECT id, sum(v * m) AS precision FROM (SELECT id, y, any_value(v) AS v, max(c) AS m FROM s GROUP BY 1, 2) GROUP BY 1) SELECT id AS item_id, round(precision, 6) AS bertscore_precision, round(recall, 6) AS bertscore_recall, round(2 * precision * recall / (precision + recall), 6) AS bertscore_f1 FROM r JOIN q USING (id)")
+@tables
+def m10_run_evaluation(t):
+    """Generated texts against references with all measures; here those from token vectors."""
+    pairs, words = _neighbouring(t)
+    vectors = words.select("word", F.array(F.length("word").cast("double"), F.lit(1.0)).alias("vector"))
+    rows = pairs.select("item_id", F.lit(0).alias("generation"), F.col("a").alias("reference"), F.col("b").alias("generated"))
+    got = metrics.run_evaluation(rows, vectors, "item_id")
+    return got.select("item_id", *(F.round(f"bertscore_{c}", 6).alias(f"bertscore_{c}") for c in ("precision", "recall", "f1")))
+
+
+# sources
+
+
+def _pages_of(path: str):
+    """A server of a table's rows in the order of page_id, for the paged source."""
+
+    def fetch(options: dict, page: int, per_page: int) -> list:
+        import pyarrow.parquet as pq
+
+        first, rows = (page - 1) * per_page, []
+        for batch in pq.ParquetFile(path).iter_batches(batch_size=per_page, columns=["page_id", "url"]):
+            if first < batch.num_rows:
+                rows += batch.slice(first, per_page - len(rows)).to_pylist()
+            first = max(0, first - batch.num_rows)
+            if len(rows) == per_page:
+                break
+        return rows
+
+    return fetch
+
+
+@query("SELECT page_id, url FROM pages")
+@tables
+def s8_paged_source(t):
+    """All rows of `pages`, page by page."""
+    t._spark.dataSource.register(paged.paged_source("pages_by_page", "page_id long, url string", _pages_of(f"{t._dir}/pages.parquet")))
+    return t._spark.read.format("pages_by_page").options(pages=-(-t.pages.count() // 100), per_page=100).load()
+
+
+@query("SELECT 'r/' || s_nationkey AS repo_name, 'r_' || s_nationkey || '/src/s' || s_suppkey || '.py' AS path, md5('x = ' || s_suppkey || chr(10)) AS digest FROM supplier WHERE s_suppkey % 5 <> 0")
+@tables
+def s10_python_directory(t):
+    """Files of suppliers, a fifth of them empty, beside such that aren't Python."""
+    root = shared_path(t._spark, "directory")
+
+    def write(batches):
+        for frame in batches:
+            for path, content in zip(frame["path"], frame["content"]):
+                where = os.path.join(root.removeprefix("file://"), path)
+                os.makedirs(os.path.dirname(where), exist_ok=True)
+                with open(where, "w") as f:
+                    f.write(content)
+            yield frame[["path"]]
+
+    name = F.concat(F.lit("r_"), F.col("s_nationkey").cast("string"), F.lit("/src/s"), F.col("s_suppkey").cast("string"))
+    rows = t.supplier.select(name.alias("n"), F.when(F.col("s_suppkey") % 5 != 0, F.concat(F.lit("x = "), F.col("s_suppkey").cast("string"), F.lit("\n"))).otherwise(F.lit("")).alias("content"))
+    rows = rows.select(F.explode(F.array(F.concat("n", F.lit(".py")), F.concat("n", F.lit(".txt")))).alias("path"), "content")
+    rows.mapInPandas(write, "path string").write.format("noop").mode("overwrite").save()
+    return files.python_directory(t._spark, root).select("repo_name", "path", F.md5("content").alias("digest"))
+
+
+# statistics and training data
+
+_DESCRIBE = " UNION ALL ".join(f"SELECT '{n}' AS statistic, {f} AS v, k FROM x GROUP BY k" for n, f in (("count", "count(q)::DOUBLE"), ("mean", "avg(q)"), ("std", "stddev_samp(q)"), ("min", "min(q)"), ("p25", "quantile_cont(q, 0.25)"), ("p50", "quantile_cont(q, 0.5)"), ("p75", "quantile_cont(q, 0.75)"), ("max", "max(q)")))
+
+
+@query(f"WITH x AS (SELECT l_returnflag AS k, l_extendedprice AS q FROM lineitem WHERE l_returnflag IN ('A', 'R')), s AS ({_DESCRIBE}) SELECT a.statistic, round(a.v - b.v, 4) AS difference, round((a.v - b.v) / a.v, 6) AS relative FROM s a JOIN s b ON a.statistic = b.statistic AND a.k = 'A' AND b.k = 'R'")
+@tables
+def z12_compare_describes(t):
+    a, b = (t.lineitem.where(F.col("l_returnflag") == k) for k in "AR")
+    return stats.compare_describes(a, b, "l_extendedprice").select("statistic", F.round("difference", 4).alias("difference"), F.round("relative", 6).alias("relative"))
+
+
+@query(f"WITH {_LEGACY}, f AS (SELECT repo, source AS file, string_agg(DISTINCT destination, ' ' ORDER BY destination) AS functions, count(DISTINCT destination) AS n FROM le WHERE edge_type = 'file-function' GROUP BY 1, 2) SELECT repo, file, functions, 't' || repo AS task FROM f QUALIFY sum(n) OVER (PARTITION BY repo) > 1")
+@tables
+def e10_repos_with_functions(t):
+    """Files of repos with more than one function."""
+    edges = code.legacy_edges(t.sources())
+    repos = edges.where("edge_type = 'root-repo'").select(F.col("destination").alias("repo"), F.array(F.concat(F.lit("t"), "destination")).alias("tasks"))
+    return embedding.file_dataset(edges, repos, least=1).select("repo", "file", F.array_join("functions", " ").alias("functions"), "task")
+
+
+@query("SELECT event_id, last_value(CASE WHEN event_type = 'purchase' OR event_id % 7 = 0 THEN value END IGNORE NULLS) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value FROM events")
+@tables
+def p9_fill_whole_table(t):
+    sparse = t.events.withColumn("value", F.when((F.col("event_type") == "purchase") | (F.col("event_id") % 7 == 0), F.col("value")))
+    return relational.forward_fill(sparse, "value", "event_id").select("event_id", "value")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tesserae import schemas
 from tesserae.functions import text as X
-from tesserae.operators import code, generation, graph, metrics, relational, retrieval, sampling, stats
+from tesserae.operators import code, distances, generation, graph, metrics, relational, retrieval, sampling, stats
 from tesserae.plans import flows
 from tesserae.sources import files
 
@@ -212,7 +212,7 @@ def test_signature_sections(spark):
 def test_components_and_paths(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y")], "source string, target string")
     assert {r.node: r.component for r in graph.components(e).collect()} == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x"}
-    got = {(r.source, r.node): r.distance for r in graph.shortest_paths(e, spark.createDataFrame([("a",)], "node string")).collect()}
+    got = {(r.source, r.node): r.distance for r in distances.shortest_paths(e, spark.createDataFrame([("a",)], "node string")).collect()}
     assert got == {("a", "a"): 0, ("a", "b"): 1, ("a", "c"): 2}
 
 
