@@ -7,23 +7,28 @@ each block, keyed by it and asked for all keys within `flips` bits of the query'
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm import textvec
-from tesserae.llm.common import materialize, trimmed
+from tesserae.llm.common import materialize, steps, trimmed
 
 BITS = 128
 #: Bits in which texts differ whose words were replaced down to a 5-shingle similarity of 0.8: on 89 texts of the tables, 14 takes in 95 to 100 % by length, 3 takes in 0 to 29 %.
 RADIUS = 14
 
+#: Blocks that are broadcast, of some 20 bytes.
+FEW = 200_000
+
 
 def fingerprints(buf: np.ndarray, offs: np.ndarray, step: int = 1 << 15) -> np.ndarray:
     """Rows of 16 bytes; all zero for a text without words."""
@@ -152,36 +157,108 @@ def compare(docs: DataFrame, buckets_per_partition: int = 4) -> DataFrame:
     return ordered.mapInArrow(trimmed(_compare), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
-def within(queries: DataFrame, prints: DataFrame, radius: int = 3) -> DataFrame:
-    """(query, fingerprint, distance) of all distinct fingerprints within the radius of each distinct query, itself included.
+def layout(radius: int, n: int) -> tuple[int, list[tuple[int, int]]]:
+    """How many bits a query's key may differ in, and the blocks as runs of hexadecimal digits, for n fingerprints: with m blocks one of them differs in `flips` bits at most if (flips + 1) * m > radius.
 
-    Both have a column fingerprint, 32 hexadecimal digits; null is ignored. The blocks are as even as whole digits allow, of about 24 bits at least.
+    Few flips mean few keys for a query but short blocks, which many unrelated fingerprints share; of all choices the one with the fewest keys and chance meetings together, so that blocks get longer with the logarithm of n.
     """
-    digits = BITS // 4
-    flips, m = next((f, radius // (f + 1) + 1) for f in range(radius + 1) if digits // (radius // (f + 1) + 1) >= 6)
-    cuts = [(i * digits // m, (i + 1) * digits // m) for i in range(m)]
+    digits, best = BITS // 4, None
+    for flips in range(radius + 1):
+        m = radius // (flips + 1) + 1
+        if m > digits:
+            continue
+        cuts = [(i * digits // m, (i + 1) * digits // m) for i in range(m)]
+        keys = [sum(math.comb(4 * (b - a), k) for k in range(flips + 1)) for a, b in cuts]
+        cost = sum(k * (1 + n / 16 ** (b - a)) for k, (a, b) in zip(keys, cuts))
+        if best is None or cost < best[0]:
+            best = cost, flips, cuts
+    return best[1], best[2]
+
+
+def _half(name: str, at: int):
+    return F.conv(F.substring(name, at, 16), 16, -10).cast("long")
+
+
+def _masks(spark: SparkSession, flips: int, cuts: list[tuple[int, int]]) -> DataFrame:
+    """The keys of a query: its block in each table with up to `flips` bits turned. As many as the radius makes them, whatever the data."""
     masks = [(t, sum(1 << i for i in at)) for t, (a, b) in enumerate(cuts) for k in range(flips + 1) for at in itertools.combinations(range(4 * (b - a)), k)]
-    # as many rows as keys of one query: bounded by the radius
-    near = F.broadcast(queries.sparkSession.createDataFrame([(t, x - (1 << 64) if x >> 63 else x) for t, x in masks], "table int, mask long"))
+    return F.broadcast(spark.createDataFrame([(t, x - (1 << 64) if x >> 63 else x) for t, x in masks], "table int, mask long"))
+
+
+def _blocks(name: str, cuts: list[tuple[int, int]]):
+    return F.array(*(F.conv(F.substring(name, a + 1, b - a), 16, -10).cast("long") for a, b in cuts))
+
+
+def _gap(a: str, b: str):
+    """Bits in which two fingerprints differ, each as two longs."""
+    return F.bit_count(F.col(f"{a}_1").bitwiseXOR(F.col(f"{b}_1"))) + F.bit_count(F.col(f"{a}_17").bitwiseXOR(F.col(f"{b}_17")))
+
+
+def within(queries: DataFrame, prints: DataFrame, radius: int = 3) -> DataFrame:
+    """(query, fingerprint, distance) of all distinct fingerprints within the radius of each distinct query, itself included: as many rows as there are such pairs. For numbers of neighbours see neighbours().
+
+    Both have a column fingerprint, 32 hexadecimal digits; null is ignored.
+    """
+    known = prints.select("fingerprint").where("fingerprint is not null").distinct()
+    flips, cuts = layout(radius, known.count())
 
     def tables(df: DataFrame, name: str) -> DataFrame:
         df = df.select(F.col("fingerprint").alias(name)).where(F.col(name).isNotNull()).distinct()
-        blocks = F.array(*(F.conv(F.substring(name, a + 1, b - a), 16, -10).cast("long") for a, b in cuts))
-        return df.select(*(half(name, at).alias(f"{name}_{at}") for at in (1, 17)), blocks.alias(f"{name}_blocks"), F.posexplode(blocks).alias("table", "block"))
-
-    def half(name: str, at: int):
-        return F.conv(F.substring(name, at, 16), 16, -10).cast("long")
+        return df.select(*(_half(name, at).alias(f"{name}_{at}") for at in (1, 17)), _blocks(name, cuts).alias(f"{name}_blocks"), F.posexplode(_blocks(name, cuts)).alias("table", "block"))
 
     def whole(name: str):
         return F.lower(F.concat(*(F.lpad(F.hex(f"{name}_{at}"), 16, "0") for at in (1, 17)))).alias(name)
 
-    asked = tables(queries, "query").join(near, "table").withColumn("block", F.col("block").bitwiseXOR(F.col("mask"))).drop("mask")
-    pairs = asked.join(tables(prints, "fingerprint"), ["table", "block"])
-    distance = sum((F.bit_count(F.col(f"query_{at}").bitwiseXOR(F.col(f"fingerprint_{at}"))) for at in (1, 17)), F.lit(0))
+    asked = tables(queries, "query").join(_masks(queries.sparkSession, flips, cuts), "table").withColumn("block", F.col("block").bitwiseXOR(F.col("mask"))).drop("mask")
+    pairs = asked.join(tables(known, "fingerprint"), ["table", "block"])
     # a pair counts in the first table that it meets in
-    for t in range(m):
+    for t in range(len(cuts)):
         pairs = pairs.where((F.col("table") <= t) | (F.bit_count(F.col("query_blocks")[t].bitwiseXOR(F.col("fingerprint_blocks")[t])) > flips))
-    return pairs.where(distance <= radius).select(whole("query"), whole("fingerprint"), distance.alias("distance")).distinct()
+    return pairs.where(_gap("query", "fingerprint") <= radius).select(whole("query"), whole("fingerprint"), _gap("query", "fingerprint").alias("distance")).distinct()
+
+
+#: Fingerprints of one block from which on they are a class.
+CROWD = 16
+
+
+def neighbours(queries: DataFrame, prints: DataFrame, radius: int, crowd: int = CROWD) -> DataFrame:
+    """(query, n): how many documents have a fingerprint within the radius of each distinct query's, itself included. queries: fingerprint; prints: fingerprint, n (its documents), a row for each fingerprint.
+
+    Fingerprints that share a block with `crowd` others form a class by the first such block, with the majority of their bits as its centre; each other one is a class by itself. Tables hold classes, so a group of near copies
+    is met once by a query, however large it is. By the triangle inequality a class's fingerprints at distance r from the centre are all within the radius of a query at distance d from it if d + r is, and none if |d - r| is
+    not; their numbers by r are counted beforehand, and only those in between are compared one by one.
+    """
+    spark = prints.sparkSession
+    with steps(spark) as step:
+        known = prints.where("fingerprint is not null")
+        flips, cuts = layout(radius, known.count())
+        rows = step(known.select(_half("fingerprint", 1).alias("x_1"), _half("fingerprint", 17).alias("x_17"), "n", _blocks("fingerprint", cuts).alias("blocks")), "prints")
+        keys = rows.select("x_1", "x_17", F.posexplode("blocks").alias("table", "block"))
+        # four times what chance puts into a block isn't a crowd yet
+        crowd = max(crowd, 4 * rows.count() // 16 ** min(b - a for a, b in cuts))
+        full = keys.groupBy("table", "block").agg(F.count("*").alias("_n")).where(F.col("_n") >= crowd).drop("_n")
+        full = F.broadcast(full) if full.limit(FEW + 1).count() <= FEW else full
+        # the class of a crowd is its block, in the form of a number
+        first = keys.join(full, ["table", "block"]).groupBy("x_1", "x_17").agg(F.min_by(F.xxhash64("table", "block"), F.struct("table", "block")).alias("class"))
+        placed = step(rows.join(first, ["x_1", "x_17"], "left").withColumn("crowd", F.col("class").isNotNull()).withColumn("class", F.coalesce("class", F.xxhash64(F.lit("alone"), "x_1", "x_17"))), "placed")
+
+        def majority(half: int):
+            bits = [F.when(2 * F.sum(F.shiftrightunsigned(f"x_{half}", b).bitwiseAND(F.lit(1))) > F.count("*"), F.lit(1 << b if b < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")) for b in range(64)]
+            return functools.reduce(lambda a, b: a.bitwiseOR(b), bits).alias(f"c_{half}")
+
+        centres = placed.where("crowd").groupBy("class").agg(majority(1), majority(17))
+        centres = step(centres.unionByName(placed.where("not crowd").select("class", F.col("x_1").alias("c_1"), F.col("x_17").alias("c_17"))).dropDuplicates(["class"]), "centres")
+        members = step(placed.join(centres, "class").withColumn("r", _gap("x", "c")).select("class", "r", "x_1", "x_17", "n", "blocks"), "members")
+        entries = members.select("class", F.posexplode("blocks").alias("table", "block")).distinct()
+        asked = queries.select("fingerprint").where("fingerprint is not null").distinct().select(F.col("fingerprint").alias("query"), _half("fingerprint", 1).alias("q_1"), _half("fingerprint", 17).alias("q_17"), F.posexplode(_blocks("fingerprint", cuts)).alias("table", "block"))
+        asked = asked.join(_masks(spark, flips, cuts), "table").withColumn("block", F.col("block").bitwiseXOR(F.col("mask"))).drop("mask")
+        met = asked.join(entries, ["table", "block"]).select("query", "q_1", "q_17", "class").distinct()
+        met = met.join(centres, "class").select("query", "q_1", "q_17", "class", _gap("q", "c").alias("d"))
+        shells = members.groupBy("class", "r").agg(F.sum("n").alias("n"))
+        near = step(met.join(shells, "class").where(F.abs(F.col("d") - F.col("r")) <= radius), "shells")
+        sure = near.where(F.col("d") + F.col("r") <= radius).select("query", "n")
+        open_ = near.where(F.col("d") + F.col("r") > radius).drop("n").join(members, ["class", "r"]).where(_gap("q", "x") <= radius).select("query", "n")
+        return materialize(sure.unionAll(open_).groupBy("query").agg(F.sum("n").alias("n")), "neighbours")
 
 
 def report(docs: DataFrame, radius: int = 3, every: int = 50) -> DataFrame:
@@ -189,6 +266,6 @@ def report(docs: DataFrame, radius: int = 3, every: int = 50) -> DataFrame:
     got = materialize(compare(docs), "simhash")
     asked = got.where(F.col("doc_id") % every == 0)
     size = got.groupBy("fingerprint").agg(F.count("*").alias("n"))
-    near = within(asked, got, radius).join(size, "fingerprint").groupBy("query").agg((F.sum("n") - 1).alias("n_within"))
+    near = neighbours(asked, size, radius).select("query", (F.col("n") - 1).alias("n_within"))
     found = asked.select("doc_id", "fingerprint").join(near, F.col("fingerprint") == F.col("query")).groupBy("doc_id").agg(F.max("n_within").alias("n_within"))
     return got.join(found, "doc_id", "left")

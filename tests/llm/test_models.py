@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter
@@ -42,6 +43,65 @@ def test_fingerprints(spark):
     assert got[10].fingerprint == got[12].fingerprint
 
 
+def plain_print(text):
+    """Votes word by word, in Python's integers."""
+    low = bytes(b + 32 if 65 <= b <= 90 else b for b in (text or "").encode())
+    times = Counter(w for w in low.replace(b"\t", b" ").replace(b"\n", b" ").replace(b"\x0b", b" ").replace(b"\x0c", b" ").replace(b"\r", b" ").split(b" ") if w)
+
+    def mix(h):
+        h = ((h ^ h >> 30) * 0xBF58476D1CE4E5B9) % 2**64
+        h = ((h ^ h >> 27) * 0x94D049BB133111EB) % 2**64
+        return h ^ h >> 31
+
+    votes = [0] * 128
+    for w, n in times.items():
+        h = sum(int(textvec._BYTE[b]) * pow(textvec._BASE, i, 2**64) for i, b in enumerate(w)) % 2**64
+        word = mix(h ^ len(w) * int(textvec._GRAM) % 2**64) >> 24
+        terms = mix(word).to_bytes(8, "little") + mix(word ^ 0x5851F42D4C957F2D).to_bytes(8, "little")
+        weight = round(64 * (1 + math.log(n)))
+        for i in range(128):
+            votes[i] += weight if terms[i // 8] >> (7 - i % 8) & 1 else -weight
+    return "".join(f"{int(''.join('1' if v > 0 else '0' for v in votes[i : i + 8]), 2):02x}" for i in range(0, 128, 8))
+
+
+def test_fingerprints_against_plain_votes():
+    g = random.Random(3)
+    texts = [None, "", "a", "A a\tB\nb", "ünd\x0bÜnd und", " ".join(g.choices([f"W{i}" for i in range(50)], k=400)), "x" * 70000, *(" ".join(g.choices("abcdefgh", k=g.randint(1, 30))) for _ in range(40))]
+    assert prints(texts) == [plain_print(t) for t in texts]
+
+
+def test_neighbours_by_class(spark):
+    g = random.Random(8)
+
+    def near(x, most):
+        return x ^ sum(1 << b for b in g.sample(range(128), g.randint(0, most)))
+
+    one, two = g.getrandbits(128), g.getrandbits(128)
+    fp = {*(near(one, 6) for _ in range(300)), *(near(two, 14) for _ in range(80)), *(near(near(one, 14), 2) for _ in range(40)), *(g.getrandbits(128) for _ in range(200))}
+    rows = [(f"{x:032x}", g.randint(1, 4)) for x in sorted(fp)]
+    df = spark.createDataFrame([*rows, (None, 1)], "fingerprint string, n long").repartition(4)
+    asked = df.where("pmod(hash(fingerprint), 3) = 0")
+    for radius, crowd in ((14, 3), (14, 16), (3, 4), (9, 10**6)):
+        got = {r.query: r.n for r in simhash.neighbours(asked, df, radius, crowd).collect()}
+        assert got == {q.fingerprint: sum(n for f, n in rows if (int(f, 16) ^ int(q.fingerprint, 16)).bit_count() <= radius) for q in asked.where("fingerprint is not null").collect()}
+
+
+def test_blocks_grow_with_the_number_of_fingerprints():
+    widths = []
+    for n in (10, 10**4, 10**6, 10**9, 10**12):
+        flips, cuts = simhash.layout(14, n)
+        assert (flips + 1) * len(cuts) > 14 and cuts[0][0] == 0 and cuts[-1][1] == 32 and all(a[1] == b[0] for a, b in zip(cuts, cuts[1:]))
+        widths.append(min(b - a for a, b in cuts))
+    assert widths == sorted(widths) and widths[0] < widths[-1]
+
+
+def test_a_very_long_text_among_others(spark):
+    long = " ".join(f"w{i % 5000}" for i in range(400_000))
+    df = spark.createDataFrame([(1, "short one"), (2, long), (3, None), (2, long)], "doc_id long, text string")
+    got = simhash.report(df, every=2).collect()
+    assert {(r.doc_id, r.fingerprint) for r in got} == set(zip((1, 2, 3), prints(["short one", long, None]))) and sorted(r.n_within for r in got if r.doc_id == 2) == [1, 1]
+
+
 def test_edited_copies_are_found(spark):
     r = random.Random(9)
     base = [[f"w{r.randint(0, 9000)}" for _ in range(n)] for n in (60, 100, 200, 400) for _ in range(5)]
