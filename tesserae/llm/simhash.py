@@ -26,6 +26,7 @@ BITS = 128
 #: Bits in which texts differ whose words were replaced down to a 5-shingle similarity of 0.8: on 89 texts of the tables, 14 takes in 95 to 100 % by length, 3 takes in 0 to 29 %.
 RADIUS = 14
 
+ALIKE = 256
 #: Blocks that are broadcast, of some 20 bytes.
 FEW = 200_000
 
@@ -160,7 +161,8 @@ def compare(docs: DataFrame, buckets_per_partition: int = 4) -> DataFrame:
 def layout(radius: int, n: int) -> tuple[int, list[tuple[int, int]]]:
     """How many bits a query's key may differ in, and the blocks as runs of hexadecimal digits, for n fingerprints: with m blocks one of them differs in `flips` bits at most if (flips + 1) * m > radius.
 
-    Few flips mean few keys for a query but short blocks, which many unrelated fingerprints share; of all choices the one with the fewest keys and chance meetings together, so that blocks get longer with the logarithm of n.
+    Few flips mean few keys for a query but short blocks, which many unrelated fingerprints share; of all choices the one with the fewest keys and meetings together, so that blocks get longer with the logarithm of n.
+    Texts of a language have common words, so unrelated fingerprints meet about ALIKE times as often as random ones.
     """
     digits, best = BITS // 4, None
     for flips in range(radius + 1):
@@ -169,7 +171,7 @@ def layout(radius: int, n: int) -> tuple[int, list[tuple[int, int]]]:
             continue
         cuts = [(i * digits // m, (i + 1) * digits // m) for i in range(m)]
         keys = [sum(math.comb(4 * (b - a), k) for k in range(flips + 1)) for a, b in cuts]
-        cost = sum(k * (1 + n / 16 ** (b - a)) for k, (a, b) in zip(keys, cuts))
+        cost = sum(k * (1 + ALIKE * n / 16 ** (b - a)) for k, (a, b) in zip(keys, cuts))
         if best is None or cost < best[0]:
             best = cost, flips, cuts
     return best[1], best[2]
@@ -179,6 +181,10 @@ def _half(name: str, at: int):
     return F.conv(F.substring(name, at, 16), 16, -10).cast("long")
 
 
+def _whole(name: str):
+    return F.lower(F.concat(*(F.lpad(F.hex(f"{name}_{at}"), 16, "0") for at in (1, 17))))
+
+
 def _masks(spark: SparkSession, flips: int, cuts: list[tuple[int, int]]) -> DataFrame:
     """The keys of a query: its block in each table with up to `flips` bits turned. As many as the radius makes them, whatever the data."""
     masks = [(t, sum(1 << i for i in at)) for t, (a, b) in enumerate(cuts) for k in range(flips + 1) for at in itertools.combinations(range(4 * (b - a)), k)]
@@ -206,15 +212,12 @@ def within(queries: DataFrame, prints: DataFrame, radius: int = 3) -> DataFrame:
         df = df.select(F.col("fingerprint").alias(name)).where(F.col(name).isNotNull()).distinct()
         return df.select(*(_half(name, at).alias(f"{name}_{at}") for at in (1, 17)), _blocks(name, cuts).alias(f"{name}_blocks"), F.posexplode(_blocks(name, cuts)).alias("table", "block"))
 
-    def whole(name: str):
-        return F.lower(F.concat(*(F.lpad(F.hex(f"{name}_{at}"), 16, "0") for at in (1, 17)))).alias(name)
-
     asked = tables(queries, "query").join(_masks(queries.sparkSession, flips, cuts), "table").withColumn("block", F.col("block").bitwiseXOR(F.col("mask"))).drop("mask")
     pairs = asked.join(tables(known, "fingerprint"), ["table", "block"])
     # a pair counts in the first table that it meets in
     for t in range(len(cuts)):
         pairs = pairs.where((F.col("table") <= t) | (F.bit_count(F.col("query_blocks")[t].bitwiseXOR(F.col("fingerprint_blocks")[t])) > flips))
-    return pairs.where(_gap("query", "fingerprint") <= radius).select(whole("query"), whole("fingerprint"), _gap("query", "fingerprint").alias("distance")).distinct()
+    return pairs.where(_gap("query", "fingerprint") <= radius).select(_whole("query").alias("query"), _whole("fingerprint").alias("fingerprint"), _gap("query", "fingerprint").alias("distance")).distinct()
 
 
 #: Fingerprints of one block from which on they are a class.
@@ -234,8 +237,6 @@ def neighbours(queries: DataFrame, prints: DataFrame, radius: int, crowd: int =
         flips, cuts = layout(radius, known.count())
         rows = step(known.select(_half("fingerprint", 1).alias("x_1"), _half("fingerprint", 17).alias("x_17"), "n", _blocks("fingerprint", cuts).alias("blocks")), "prints")
         keys = rows.select("x_1", "x_17", F.posexplode("blocks").alias("table", "block"))
-        # four times what chance puts into a block isn't a crowd yet
-        crowd = max(crowd, 4 * rows.count() // 16 ** min(b - a for a, b in cuts))
         full = keys.groupBy("table", "block").agg(F.count("*").alias("_n")).where(F.col("_n") >= crowd).drop("_n")
         full = F.broadcast(full) if full.limit(FEW + 1).count() <= FEW else full
         # the class of a crowd is its block, in the form of a number
@@ -250,15 +251,16 @@ def neighbours(queries: DataFrame, prints: DataFrame, radius: int, crowd: int =
         centres = step(centres.unionByName(placed.where("not crowd").select("class", F.col("x_1").alias("c_1"), F.col("x_17").alias("c_17"))).dropDuplicates(["class"]), "centres")
         members = step(placed.join(centres, "class").withColumn("r", _gap("x", "c")).select("class", "r", "x_1", "x_17", "n", "blocks"), "members")
         entries = members.select("class", F.posexplode("blocks").alias("table", "block")).distinct()
-        asked = queries.select("fingerprint").where("fingerprint is not null").distinct().select(F.col("fingerprint").alias("query"), _half("fingerprint", 1).alias("q_1"), _half("fingerprint", 17).alias("q_17"), F.posexplode(_blocks("fingerprint", cuts)).alias("table", "block"))
+        asked = queries.select("fingerprint").where("fingerprint is not null").distinct().select(_half("fingerprint", 1).alias("q_1"), _half("fingerprint", 17).alias("q_17"), F.posexplode(_blocks("fingerprint", cuts)).alias("table", "block"))
         asked = asked.join(_masks(spark, flips, cuts), "table").withColumn("block", F.col("block").bitwiseXOR(F.col("mask"))).drop("mask")
-        met = asked.join(entries, ["table", "block"]).select("query", "q_1", "q_17", "class").distinct()
-        met = met.join(centres, "class").select("query", "q_1", "q_17", "class", _gap("q", "c").alias("d"))
+        met = asked.join(entries, ["table", "block"]).select("q_1", "q_17", "class").distinct()
+        met = met.join(centres, "class").select("q_1", "q_17", "class", _gap("q", "c").alias("d"))
         shells = members.groupBy("class", "r").agg(F.sum("n").alias("n"))
         near = step(met.join(shells, "class").where(F.abs(F.col("d") - F.col("r")) <= radius), "shells")
-        sure = near.where(F.col("d") + F.col("r") <= radius).select("query", "n")
-        open_ = near.where(F.col("d") + F.col("r") > radius).drop("n").join(members, ["class", "r"]).where(_gap("q", "x") <= radius).select("query", "n")
-        return materialize(sure.unionAll(open_).groupBy("query").agg(F.sum("n").alias("n")), "neighbours")
+        sure = near.where(F.col("d") + F.col("r") <= radius).select("q_1", "q_17", "n")
+        open_ = near.where(F.col("d") + F.col("r") > radius).drop("n").join(members, ["class", "r"]).where(_gap("q", "x") <= radius).select("q_1", "q_17", "n")
+        summed = sure.unionAll(open_).groupBy("q_1", "q_17").agg(F.sum("n").alias("n"))
+        return materialize(summed.select(_whole("q").alias("query"), "n"), "neighbours")
 
 
 def report(docs: DataFrame, radius: int = 3, every: int = 50) -> DataFrame:
