@@ -12,7 +12,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import fresh, materialize
+from tesserae.llm.common import fresh, materialize, steps
 
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -52,11 +52,15 @@ def dedup(docs: DataFrame, min_docs: int = 10) -> DataFrame:
     # rows of one doc_id with one text lose the same places, so these three tell rows apart
     docs = docs.withColumns({one: F.xxhash64(text), two: F.xxhash64(F.lit(7), text)})
     keys = docs.select(F.col("doc_id").alias(doc), one, two, F.posexplode(F.transform(F.split(text, "\n", -1), _hash)).alias(place, key))
-    keys = materialize(keys.where(F.col(key).isNotNull()), "lines")
-    often = keys.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select(key)
-    found = materialize(_among(keys, materialize(often, "often"), key), "found")
-    common = found.select(key, doc).distinct().groupBy(key).agg(F.count(doc).alias("n")).where(F.col("n") >= min_docs).select(key)
-    places = _among(found, materialize(common, "common"), key).groupBy(doc, one, two).agg(F.collect_set(place).alias(gone))
+    with steps(docs.sparkSession) as step:
+        keys = step(keys.where(F.col(key).isNotNull()), "lines")
+        often = keys.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select(key)
+        found = step(_among(keys, step(often, "often"), key), "found")
+        step.drop(keys)
+        common = found.select(key, doc).distinct().groupBy(key).agg(F.count(doc).alias("n")).where(F.col("n") >= min_docs).select(key)
+        places = _among(found, step(common, "common"), key).groupBy(doc, one, two).agg(F.collect_set(place).alias(gone))
+        # the only table that the result is read from
+        places = materialize(places, "places")
     places = places.withColumnsRenamed({one: f"{one}_of", two: f"{two}_of"})
     joined = docs.join(places, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(one) == F.col(f"{one}_of")) & (F.col(two) == F.col(f"{two}_of")), "left")
     joined = joined.withColumn(lines, F.split(text, "\n", -1))

@@ -204,3 +204,11 @@ def test_order_does_not_change_verdicts(seed):
     planned = quality_rules.plan(texts)
     assert [x for x in planned if x[1] > 0] == planned[: sum(x[1] > 0 for x in planned)]  # what rejects nothing comes last
     assert {r.name for r, _, _ in planned} == {r.name for r in quality_rules.RULES}
+    assert [(r.name, *x) for r, *x in planned] == [(r.name, *x) for r, *x in quality_rules.plan(texts)] and all(x > 0 for _, share, x in planned if share)
+
+
+def test_two_runs_name_one_rule(spark):
+    r = random.Random(4)
+    df = spark.createDataFrame([(i, " ".join(r.choice(["word", "ABC", "#", "12", "a"]) for _ in range(r.choice([5, 30, 60])))) for i in range(400)] * 2, "doc_id long, text string")
+    runs = [sorted((tuple(x) for x in quality_rules.score(df.repartition(n), sample_rows=50).collect()), key=repr) for n in (2, 5)]
+    assert runs[0] == runs[1]
