@@ -59,7 +59,7 @@ def _combinations(size: int, k: int) -> np.ndarray:
 
 
 def signatures(h: np.ndarray, frequent: np.ndarray, very: np.ndarray | None = None) -> tuple[np.ndarray, bool]:
-    """Hashes under which a set is indexed, and whether combinations are among them. h: ascending; frequent, very: by token, very frequent ones being frequent."""
+    """Hashes under which a set is indexed, odd for combinations and even for single tokens, and whether combinations are among them. h: ascending; frequent, very: by token, very frequent ones being frequent."""
     n = len(h)
     need = n - least_overlap(n) + 1
     very = np.zeros(n, bool) if very is None else very
@@ -89,9 +89,14 @@ def signatures(h: np.ndarray, frequent: np.ndarray, very: np.ndarray | None = No
                 some, value = _combinations(size, times), np.uint64(0)
                 for j in range(times):
                     value = value * np.uint64(0xC2B2AE3D27D4EB4F) + rows[:, some[:, j]]
-                out.append(textvec.mix(value).reshape(-1) ^ salt)
-        out.append(single ^ salt)
-    return textvec.mix(np.concatenate(out)), combined
+                out.append(textvec.mix(textvec.mix(value).reshape(-1) ^ salt) | np.uint64(1))
+        out.append(textvec.mix(single ^ salt) & ~np.uint64(1))
+    return np.concatenate(out), combined
+
+
+def largest_partner(n: int, frequent: int) -> int:
+    """The size up to which a set of n tokens can link with one that shares none of its rare tokens: all that they share are among its frequent ones."""
+    return frequent * (NUM + DEN) // NUM - n
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
@@ -152,18 +157,18 @@ def _profile(often: float, flush: int = 1 << 22):
     return run
 
 
-_POSTINGS = "part int, nodes binary, sizes binary, counts binary, signatures binary"
+_POSTINGS = "part int, nodes binary, sizes binary, limits binary, counts binary, signatures binary"
 
 
 def _postings(shared, parts: int, flush: int = 1 << 20):
-    """Signatures of the marked documents, by part of the hash range: documents, their sizes, signatures of each. shared: frequent tokens, whether they are very frequent,
+    """Signatures of the marked documents, by part of the hash range: documents, their sizes and largest partners without a rare token in common, signatures of each. shared: frequent tokens, whether they are very frequent,
     marks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, often, marks = shared.value
         sieve = np.zeros(1 << 22, bool)
         sieve[frequent >> np.uint64(42)] = True
-        held: list[tuple[int, int, np.ndarray]] = []
+        held: list[tuple[int, int, np.ndarray, int]] = []
         size = 0
 
         def rows() -> Iterator[pa.RecordBatch]:
@@ -175,15 +180,15 @@ def _postings(shared, parts: int, flush: int = 1 << 20):
             order = np.argsort(part, kind="stable")
             sig, of = sig[order], of[order]
             ends = np.searchsorted(part[order], np.arange(parts + 1))
-            node, sizes = np.array([x[0] for x in held], "<i8"), np.array([x[1] for x in held], "<i8")
+            node, sizes, limits = (np.array([x[i] for x in held], "<i8") for i in (0, 1, 3))
             out = []
             for p in range(parts):
                 a, b = ends[p], ends[p + 1]
                 if b > a:
                     docs, counts = np.unique(of[a:b], return_counts=True)
-                    out.append((p, node[docs].tobytes(), sizes[docs].tobytes(), counts.astype("<u4").tobytes(), sig[a:b].tobytes()))
+                    out.append((p, node[docs].tobytes(), sizes[docs].tobytes(), limits[docs].tobytes(), counts.astype("<u4").tobytes(), sig[a:b].tobytes()))
             for lo in range(0, len(out), 64):
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i else pa.int32()) for i, c in enumerate(zip(*out[lo : lo + 64]))], names=["part", "nodes", "sizes", "counts", "signatures"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i else pa.int32()) for i, c in enumerate(zip(*out[lo : lo + 64]))], names=["part", "nodes", "sizes", "limits", "counts", "signatures"])
 
         for ids, h, at in _sets(_marked(batches, marks)):
             hit = sieve[h >> np.uint64(42)]
@@ -198,7 +203,7 @@ def _postings(shared, parts: int, flush: int = 1 << 20):
                 if doc is None or a == b:
                     continue
                 sig, _ = signatures(h[a:b], hit[a:b], very[a:b])
-                held.append((doc, b - a, sig))
+                held.append((doc, b - a, sig, largest_partner(b - a, int(hit[a:b].sum()))))
                 size += len(sig)
             if size >= flush:
                 yield from rows()
@@ -208,33 +213,37 @@ def _postings(shared, parts: int, flush: int = 1 << 20):
     return run
 
 
-_BUCKETS = "bucket long, times int, node long, n long"
+_BUCKETS = "bucket long, times int, node long, n long, most long, combined boolean"
 
 
 def _buckets(table: pa.Table) -> pa.Table:
-    """Of one part of the hash range the signatures that several documents have. Signatures with the same documents count as one bucket, `times` over."""
-    read = {c: [np.frombuffer(x, t) for x in table.column(c).to_pylist()] for c, t in (("nodes", "<i8"), ("sizes", "<i8"), ("counts", "<u4"), ("signatures", "<u8"))}
+    """Of one part of the hash range the signatures that several documents have. Signatures with the same documents count as one bucket, `times` over; it is combined if all of them are of combinations. most: the document's largest
+    partner without a rare token in common."""
+    read = {c: [np.frombuffer(x, t) for x in table.column(c).to_pylist()] for c, t in (("nodes", "<i8"), ("sizes", "<i8"), ("limits", "<i8"), ("counts", "<u4"), ("signatures", "<u8"))}
     cat = {c: np.concatenate(v) if v else np.zeros(0, np.int64) for c, v in read.items()}
     sig = cat["signatures"].astype(np.uint64)
-    node, size = np.repeat(cat["nodes"], cat["counts"]), np.repeat(cat["sizes"], cat["counts"])
+    of = np.repeat(np.arange(len(cat["nodes"])), cat["counts"])
     order = np.argsort(sig, kind="stable")
-    sig, node, size = sig[order], node[order], size[order]
+    sig, of = sig[order], of[order]
     same = sig[1:] == sig[:-1]
     many = np.zeros(len(sig), bool)
     many[1:] = same
     many[:-1] |= same
-    sig, node, size = sig[many], node[many], size[many]
-    names = _BUCKETS.replace(",", "").split()[::2]
+    sig, of = sig[many], of[many]
+    kinds = {"bucket": pa.int64(), "times": pa.int32(), "node": pa.int64(), "n": pa.int64(), "most": pa.int64(), "combined": pa.bool_()}
     if not len(sig):
-        return pa.table({n: pa.array([], t) for n, t in zip(names, (pa.int64(), pa.int32(), pa.int64(), pa.int64()))})
+        return pa.table({n: pa.array([], t) for n, t in kinds.items()})
+    node = cat["nodes"][of]
     begin = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
     count = np.diff(np.append(begin, len(sig)))
     whole = textvec.mix(np.add.reduceat(textvec.mix(node.astype(np.uint64)), begin) ^ count.astype(np.uint64))
-    whole, first, times = np.unique(whole, return_index=True, return_counts=True)
+    whole, first, back, times = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
+    combined = np.ones(len(whole), bool)
+    np.logical_and.at(combined, back, (sig[begin] & np.uint64(1)).astype(bool))
     count = count[first]
     rows = np.repeat(begin[first] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-    node, size = node[rows], size[rows]
-    return pa.table({"bucket": np.repeat(whole, count).view(np.int64), "times": np.repeat(times, count).astype(np.int32), "node": node, "n": size})
+    of = of[rows]
+    return pa.table({"bucket": np.repeat(whole, count).view(np.int64), "times": np.repeat(times, count).astype(np.int32), "node": cat["nodes"][of], "n": cat["sizes"][of], "most": cat["limits"][of], "combined": np.repeat(combined, count)})
 
 
 #: Slots of the bitmap of wanted documents.
@@ -466,17 +475,31 @@ def _stars(buckets: DataFrame, bits: DataFrame) -> DataFrame:
     return pairs.select(F.col("node").alias("u"), F.col("hub").alias("v"), "apart", F.coalesce("_hub", F.lit(False)).alias("hub"))
 
 
+def _meetings(member: DataFrame) -> DataFrame:
+    """Pairs of members of one bucket in different components, columns with _a and _b, whose sizes can link, and which can link without a rare token in common if the bucket is one of combinations.
+
+    Sets that share a rare token meet in its bucket; what others share are frequent tokens only, so for either of them the other one has at most `most` tokens. In a bucket a member meets only members of sizes that it can link
+    with: members of one passage that is too small a part of them meet nobody, however many they are.
+    """
+    sizes = member.groupBy("bucket").agg(F.collect_set("n").alias("_sizes")).withColumnRenamed("bucket", "_bucket_of")
+    a = member.select("bucket", "times", "combined", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "most", "component", "bits")))
+    fits = F.filter("_sizes", lambda s: (s * DEN >= F.col("n_a") * NUM) & (F.col("n_a") * DEN >= s * NUM) & (~F.col("combined") | (s <= F.col("most_a"))))
+    a = a.join(sizes, F.col("bucket") == F.col("_bucket_of")).withColumn("_size", F.explode(fits)).drop("_sizes", "_bucket_of")
+    b = member.select(F.col("bucket").alias("_bucket"), *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "most", "component", "bits")))
+    return a.join(b, (F.col("bucket") == F.col("_bucket")) & (F.col("_size") == F.col("n_b")) & (F.col("component_a") < F.col("component_b")) & (~F.col("combined") | (F.col("n_a") <= F.col("most_b"))))
+
+
 def _cross(buckets: DataFrame, bits: DataFrame, label: DataFrame, step: Steps) -> DataFrame:
     """(u, v) of the members of one bucket in different components that may link by shared prefix tokens and bitmaps. label: node, component."""
     member = buckets.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = member.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    member = member.join(mixed, "bucket", "left_semi").groupBy("bucket", "node", "n", "component").agg(F.sum("times").alias("times"))
+    member = member.join(mixed, "bucket", "left_semi").groupBy("bucket", "node", "n", "component").agg(F.sum("times").alias("times"), F.max("most").alias("most"), F.bool_and("combined").alias("combined"))
     member = step(member.join(bits, ["node", "n"]), "mixed")
-    a = member.select("bucket", "times", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "component", "bits")))
-    b = member.select(F.col("bucket").alias("_bucket"), *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "component", "bits")))
-    pairs = a.join(b, (F.col("bucket") == F.col("_bucket")) & (F.col("component_a") < F.col("component_b")) & _near("n_a", "n_b") & _alike("n_a", "bits_a", "n_b", "bits_b"))
-    pairs = pairs.groupBy("node_a", "node_b", "n_a", "n_b").agg(F.sum("times").alias("shared"))
-    pairs = pairs.where(_possible("n_a", "n_b", F.col("shared"))).select(F.col("node_a").alias("u"), F.col("node_b").alias("v"))
+    pairs = _meetings(member).where(_alike("n_a", "bits_a", "n_b", "bits_b"))
+    # of sets with a rare token in common not all meetings are here, and so not all that they share
+    alone = (F.col("n_b") <= F.col("most_a")) & (F.col("n_a") <= F.col("most_b"))
+    pairs = pairs.groupBy("node_a", "node_b", "n_a", "n_b").agg(F.sum("times").alias("shared"), F.bool_and(alone).alias("alone"))
+    pairs = pairs.where(~F.col("alone") | _possible("n_a", "n_b", F.col("shared"))).select(F.col("node_a").alias("u"), F.col("node_b").alias("v"))
     pairs = step(pairs.distinct(), "pairs")
     step.drop(member)
     return pairs

@@ -158,3 +158,28 @@ def test_links_of_null_and_repeated_ids(spark):
     t = " ".join(f"w{i}" for i in range(30))
     df = spark.createDataFrame([(None, t), (5, t), (5, t), (5, "other words"), (9, t + " x"), (7, None)], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.n_shingles, r.n_links) for r in ngram_join.join(df).collect()) == [(0, 26, 0), (5, 1, 0), (5, 26, 2), (5, 26, 2), (7, 0, 0), (9, 27, 2)]
+
+
+@pytest.mark.parametrize("own", [12, 16])
+def test_a_shared_passage_is_no_meeting(spark, monkeypatch, own):
+    """Documents that share a passage, which is too small a part of them for a link, are not held against each other pair by pair; copies among them are still found."""
+    met = []
+    meetings = ngram_join._meetings
+
+    def counted(member):
+        out = meetings(member)
+        met.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "_meetings", counted)
+    r = random.Random(6)
+    passage = " ".join(f"p{i}" for i in range(52))
+    for m in (300, 1200):
+        met.clear()
+        rows = [(i, f"{passage} {' '.join(f'o{i}x{j}' for j in range(own))}") for i in range(m)]
+        rows += [(m + i, rows[i][1] + f" more{i}") for i in range(0, 40)]  # one word more than another one: linked
+        rows += [(2 * m + i, " ".join(r.choices(passage.split(), k=30))) for i in range(20)]
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        got = {g.doc_id: g.component_id for g in ngram_join.join(df, per_part=2000).collect()}
+        assert got == {d: d - m if m <= d < m + 40 else d for d, _ in rows}
+        assert sum(met) <= 20 * m, (m, met)
