@@ -475,25 +475,35 @@ def _stars(buckets: DataFrame, bits: DataFrame) -> DataFrame:
     return pairs.select(F.col("node").alias("u"), F.col("hub").alias("v"), "apart", F.coalesce("_hub", F.lit(False)).alias("hub"))
 
 
+#: Members from which on a bucket is divided by sizes, and the factor between neighbouring cells of sizes.
+LARGE, RATIO = 256, 1.06
+
+
 def _meetings(member: DataFrame) -> DataFrame:
     """Pairs of members of one bucket in different components, columns with _a and _b, whose sizes can link, and which can link without a rare token in common if the bucket is one of combinations.
 
-    Sets that share a rare token meet in its bucket; what others share are frequent tokens only, so for either of them the other one has at most `most` tokens. In a bucket a member meets only members of sizes that it can link
-    with: members of one passage that is too small a part of them meet nobody, however many they are.
+    Sets that share a rare token meet in its bucket; what others share are frequent tokens only, so for either of them the other one has at most `most` tokens. In a large bucket of combinations a member meets only members of
+    sizes that it can link with: those of one passage that is too small a part of them meet nobody, however many they are.
     """
-    sizes = member.groupBy("bucket").agg(F.collect_set("n").alias("_sizes")).withColumnRenamed("bucket", "_bucket_of")
-    a = member.select("bucket", "times", "combined", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "most", "component", "bits")))
-    fits = F.filter("_sizes", lambda s: (s * DEN >= F.col("n_a") * NUM) & (F.col("n_a") * DEN >= s * NUM) & (~F.col("combined") | (s <= F.col("most_a"))))
-    a = a.join(sizes, F.col("bucket") == F.col("_bucket_of")).withColumn("_size", F.explode(fits)).drop("_sizes", "_bucket_of")
-    b = member.select(F.col("bucket").alias("_bucket"), *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "most", "component", "bits")))
-    return a.join(b, (F.col("bucket") == F.col("_bucket")) & (F.col("_size") == F.col("n_b")) & (F.col("component_a") < F.col("component_b")) & (~F.col("combined") | (F.col("n_a") <= F.col("most_b"))))
+
+    def cell(size):
+        return F.floor(F.ln(size) / math.log(RATIO)).cast("int")
+
+    divided = F.col("combined") & F.col("large")
+    low, high = cell(F.ceil(F.col("n") * NUM / DEN)), cell(F.least(F.floor(F.col("n") * DEN / NUM), F.col("most")))
+    cells = F.when(~divided, F.array(F.lit(-1))).when(F.col("most") * DEN >= F.col("n") * NUM, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+    names = ("node", "n", "most", "component", "bits")
+    a = member.withColumn("_cell", F.explode(cells)).select("bucket", "times", "combined", "_cell", *(F.col(c).alias(f"{c}_a") for c in names))
+    b = member.select(F.col("bucket").alias("_bucket"), F.when(divided, cell(F.col("n"))).otherwise(-1).alias("_own"), *(F.col(c).alias(f"{c}_b") for c in names))
+    alone = (F.col("n_a") <= F.col("most_b")) & (F.col("n_b") <= F.col("most_a"))
+    return a.join(b, (F.col("bucket") == F.col("_bucket")) & (F.col("_cell") == F.col("_own")) & (F.col("component_a") < F.col("component_b")) & _near("n_a", "n_b") & (~F.col("combined") | alone))
 
 
 def _cross(buckets: DataFrame, bits: DataFrame, label: DataFrame, step: Steps) -> DataFrame:
     """(u, v) of the members of one bucket in different components that may link by shared prefix tokens and bitmaps. label: node, component."""
     member = buckets.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = member.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    member = member.join(mixed, "bucket", "left_semi").groupBy("bucket", "node", "n", "component").agg(F.sum("times").alias("times"), F.max("most").alias("most"), F.bool_and("combined").alias("combined"))
+    mixed = member.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), (F.count("*") >= LARGE).alias("large")).where("lo <> hi").drop("lo", "hi")
+    member = member.join(mixed, "bucket").groupBy("bucket", "node", "n", "component", "large").agg(F.sum("times").alias("times"), F.max("most").alias("most"), F.bool_and("combined").alias("combined"))
     member = step(member.join(bits, ["node", "n"]), "mixed")
     pairs = _meetings(member).where(_alike("n_a", "bits_a", "n_b", "bits_b"))
     # of sets with a rare token in common not all meetings are here, and so not all that they share
