@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.llm import textvec
@@ -480,7 +480,7 @@ LARGE, RATIO = 256, 1.06
 
 
 def _meetings(member: DataFrame) -> DataFrame:
-    """Pairs of members of one bucket in different components, columns with _a and _b, whose sizes can link, and which can link without a rare token in common if the bucket is one of combinations.
+    """Pairs of members of one bucket in different components, columns with _a and _b, whose sizes can link, and which can link without a rare token in common if the bucket is a large one of combinations.
 
     Sets that share a rare token meet in its bucket; what others share are frequent tokens only, so for either of them the other one has at most `most` tokens. In a large bucket of combinations a member meets only members of
     sizes that it can link with: those of one passage that is too small a part of them meet nobody, however many they are.
@@ -492,11 +492,11 @@ def _meetings(member: DataFrame) -> DataFrame:
     divided = F.col("combined") & F.col("large")
     low, high = cell(F.ceil(F.col("n") * NUM / DEN)), cell(F.least(F.floor(F.col("n") * DEN / NUM), F.col("most")))
     cells = F.when(~divided, F.array(F.lit(-1))).when(F.col("most") * DEN >= F.col("n") * NUM, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
-    names = ("node", "n", "most", "component", "bits")
-    a = member.withColumn("_cell", F.explode(cells)).select("bucket", "times", "combined", "_cell", *(F.col(c).alias(f"{c}_a") for c in names))
+    names = ("node", "n", "most", "component", "hidden", "bits")
+    a = member.withColumn("_cell", F.explode(cells)).select("bucket", "times", divided.alias("_divided"), "_cell", *(F.col(c).alias(f"{c}_a") for c in names))
     b = member.select(F.col("bucket").alias("_bucket"), F.when(divided, cell(F.col("n"))).otherwise(-1).alias("_own"), *(F.col(c).alias(f"{c}_b") for c in names))
     alone = (F.col("n_a") <= F.col("most_b")) & (F.col("n_b") <= F.col("most_a"))
-    return a.join(b, (F.col("bucket") == F.col("_bucket")) & (F.col("_cell") == F.col("_own")) & (F.col("component_a") < F.col("component_b")) & _near("n_a", "n_b") & (~F.col("combined") | alone))
+    return a.join(b, (F.col("bucket") == F.col("_bucket")) & (F.col("_cell") == F.col("_own")) & (F.col("component_a") < F.col("component_b")) & _near("n_a", "n_b") & (~F.col("_divided") | alone))
 
 
 def _cross(buckets: DataFrame, bits: DataFrame, label: DataFrame, step: Steps) -> DataFrame:
@@ -504,12 +504,13 @@ def _cross(buckets: DataFrame, bits: DataFrame, label: DataFrame, step: Steps) -
     member = buckets.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = member.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), (F.count("*") >= LARGE).alias("large")).where("lo <> hi").drop("lo", "hi")
     member = member.join(mixed, "bucket").groupBy("bucket", "node", "n", "component", "large").agg(F.sum("times").alias("times"), F.max("most").alias("most"), F.bool_and("combined").alias("combined"))
-    member = step(member.join(bits, ["node", "n"]), "mixed")
+    # what a member shares in divided buckets isn't all seen
+    hidden = F.sum(F.when(F.col("large") & F.col("combined"), F.col("times")).otherwise(0)).over(Window.partitionBy("node", "n")).alias("hidden")
+    member = step(member.select("*", hidden).join(bits, ["node", "n"]), "mixed")
     pairs = _meetings(member).where(_alike("n_a", "bits_a", "n_b", "bits_b"))
-    # of sets with a rare token in common not all meetings are here, and so not all that they share
     alone = (F.col("n_b") <= F.col("most_a")) & (F.col("n_a") <= F.col("most_b"))
-    pairs = pairs.groupBy("node_a", "node_b", "n_a", "n_b").agg(F.sum("times").alias("shared"), F.bool_and(alone).alias("alone"))
-    pairs = pairs.where(~F.col("alone") | _possible("n_a", "n_b", F.col("shared"))).select(F.col("node_a").alias("u"), F.col("node_b").alias("v"))
+    pairs = pairs.groupBy("node_a", "node_b", "n_a", "n_b").agg(F.sum("times").alias("shared"), F.max(F.when(alone, 0).otherwise(F.least("hidden_a", "hidden_b"))).alias("unseen"))
+    pairs = pairs.where(_possible("n_a", "n_b", F.col("shared") + F.col("unseen"))).select(F.col("node_a").alias("u"), F.col("node_b").alias("v"))
     pairs = step(pairs.distinct(), "pairs")
     step.drop(member)
     return pairs
