@@ -476,7 +476,7 @@ def _stars(buckets: DataFrame, bits: DataFrame) -> DataFrame:
 
 
 #: Members from which on a bucket is divided by sizes, and the factor between neighbouring cells of sizes.
-LARGE, RATIO = 256, 1.06
+LARGE, RATIO = 1024, 1.12
 
 
 def _meetings(member: DataFrame) -> DataFrame:

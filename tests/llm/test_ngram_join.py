@@ -172,6 +172,7 @@ def test_a_shared_passage_is_no_meeting(spark, monkeypatch, own):
         return out
 
     monkeypatch.setattr(ngram_join, "_meetings", counted)
+    monkeypatch.setattr(ngram_join, "LARGE", 128)
     r = random.Random(6)
     passage = " ".join(f"p{i}" for i in range(52))
     for m in (300, 1200):
