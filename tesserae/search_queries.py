@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.functions.text import tokenize
-from tesserae.operators import code, distances, embedding, metrics, nearest, relational, spectral, stats, text_index, transport, zero_shot
+from tesserae.operators import code, distances, embedding, metrics, nearest, relational, spectral, stats, text_index, text_vectors, transport, zero_shot
 from tesserae.plans.durable import shared_path
 from tesserae.queries import _LEGACY, _TERMS, query, tables
 from tesserae.sources import files, paged
@@ -263,3 +263,62 @@ def e10_repos_with_functions(t):
 def p9_fill_whole_table(t):
     sparse = t.events.withColumn("value", F.when((F.col("event_type") == "purchase") | (F.col("event_id") % 7 == 0), F.col("value")))
     return relational.forward_fill(sparse, "value", "event_id").select("event_id", "value")
+
+
+# vectors of unseen words and of texts: a word's own vector is made of its length and its first letter's code
+
+_VECTOR = "[len(word) / 10, ascii(word) / 1000]"
+_ITEM_WORDS = "SELECT item_id, unnest(list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0b\\f\\r]+'), lambda v: v <> '')) AS word FROM benchmark"
+
+
+def _vectors_of(words: DataFrame) -> DataFrame:
+    return words.select("word", F.array(F.length("word") / 10.0, F.ascii("word") / 1000.0).alias("vector"))
+
+
+def _subwords(steps: int, buckets: int) -> str:
+    ctes = [
+        f"w AS MATERIALIZED (SELECT DISTINCT word, unnest([1, 2]) AS i, unnest({_VECTOR}) AS v FROM (SELECT DISTINCT word FROM ({_ITEM_WORDS})))",
+        "g AS (SELECT DISTINCT word, m[j : j + n - 1] AS g FROM (SELECT DISTINCT word, '<' || word || '>' AS m FROM w), (VALUES (3), (4)) t(n), LATERAL unnest(range(1, len(m) - n + 2)) u(j))",
+        f"c AS (SELECT word, ('0x' || md5(g)[1:8])::BIGINT % {buckets} AS bucket, count(*) AS n FROM g GROUP BY 1, 2)",
+        "p AS MATERIALIZED (SELECT word, bucket, n / sum(n) OVER (PARTITION BY word) AS share FROM c)",
+        "t AS MATERIALIZED (SELECT bucket, sum(share) AS total FROM p GROUP BY 1)",
+        "b0 AS (SELECT bucket, i, 0.0::DOUBLE AS b FROM t, (VALUES (1), (2)) k(i))",
+    ]
+    for k in range(steps):
+        ctes += [f"m{k} AS MATERIALIZED (SELECT word, i, sum(share * b) AS x FROM p JOIN b{k} USING (bucket) GROUP BY 1, 2)", f"b{k + 1} AS MATERIALIZED (SELECT bucket, i, b + x / total AS b FROM b{k} JOIN (SELECT bucket, i, sum(share * (v - x)) AS x FROM p JOIN m{k} USING (word) JOIN w USING (word, i) GROUP BY 1, 2) USING (bucket, i) JOIN t USING (bucket))"]
+    return f"WITH {', '.join(ctes)} SELECT word, round(max(CASE WHEN i = 1 THEN x END), 6) AS first, round(max(CASE WHEN i = 2 THEN x END), 6) AS second FROM (SELECT word, i, sum(share * b) AS x FROM p JOIN b{steps} USING (bucket) GROUP BY 1, 2) GROUP BY 1"
+
+
+@query(_subwords(3, 4096))
+@tables
+def e3_subword_vectors(t):
+    """Words put together again from the vectors of their n-grams."""
+    words = t.benchmark.select(F.explode(tokenize(F.col("text"))).alias("word")).distinct()
+    table = text_vectors.subword_vectors(_vectors_of(words), 2, 3, 4096, 3, 4)
+    made = text_vectors.compose(words, table, 2, 4096, 3, 4)
+    return made.select("word", *(F.round(F.col("vector")[i], 6).alias(c) for i, c in enumerate(("first", "second"))))
+
+
+def _paragraphs(steps: int, most: int) -> str:
+    sigma = "1 / (1 + exp(-(x * v.x0 + y * v.y0)))"
+    ctes = [
+        f"r AS MATERIALIZED (SELECT item_id, word, count(*) AS n FROM ({_ITEM_WORDS}) GROUP BY 1, 2)",
+        f"w AS MATERIALIZED (SELECT word, {_VECTOR}[1] AS x, {_VECTOR}[2] AS y, ('0x' || md5('0:' || word)[1:8])::BIGINT / 4294967296.0 AS h FROM (SELECT DISTINCT word FROM r))",
+        f"o AS MATERIALIZED (SELECT x, y, count(*) OVER () AS many FROM (SELECT * FROM w ORDER BY h, word LIMIT {most}))",
+        "v0 AS (SELECT item_id, 0.0::DOUBLE AS x0, 0.0::DOUBLE AS y0 FROM (SELECT DISTINCT item_id FROM r))",
+    ]
+    for k in range(steps):
+        own = f"(SELECT item_id, sum(n * (1 - {sigma}) * x) / sum(n) AS ax, sum(n * (1 - {sigma}) * y) / sum(n) AS ay FROM r JOIN w USING (word) JOIN v{k} v USING (item_id) GROUP BY 1)"
+        far = f"(SELECT item_id, sum(5 / many * {sigma} * x) AS bx, sum(5 / many * {sigma} * y) AS by_ FROM v{k} v, o GROUP BY 1)"
+        ctes.append(f"v{k + 1} AS MATERIALIZED (SELECT item_id, x0 + ax - bx AS x0, y0 + ay - by_ AS y0 FROM v{k} JOIN {own} USING (item_id) JOIN {far} USING (item_id))")
+    return f"WITH {', '.join(ctes)} SELECT item_id, round(x0, 6) AS first, round(y0, 6) AS second FROM v{steps}"
+
+
+@query(_paragraphs(4, 32))
+@tables
+def e4_paragraph_vectors(t):
+    """Vectors of the benchmark's texts, by steps against 32 other words."""
+    words = _vectors_of(t.benchmark.select(F.explode(tokenize(F.col("text"))).alias("word")).distinct())
+    docs = t.benchmark.select(F.col("item_id").alias("doc_id"), "text")
+    found = text_vectors.paragraph_vectors(docs, words, text_vectors.common_words(words, 32), steps=4)
+    return found.select(F.col("doc_id").alias("item_id"), *(F.round(F.col("vector")[i], 6).alias(c) for i, c in enumerate(("first", "second"))))
