@@ -175,7 +175,7 @@ def pieces(docs: DataFrame, capacity: int = 4096, end_id: int = 2, slack: float
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = encoder(path)
         for batch in batches:
-            for lo, _, flat, offs in tok.encode_column(batch.column(2), end_id):
+            for lo, _, flat, offs in tok.encode_column(batch.column(2), end_id, 1 << 20):
                 flat = np.ascontiguousarray(flat, "<u4")
                 bounds, out = offs.tolist(), []
                 for a, b in zip(bounds[:-1], bounds[1:]):
