@@ -345,3 +345,28 @@ def test_spans_and_hashes():
     h = textvec.Hasher(buf)(start, end)
     words = [w for t in texts for w in (t or "").split()]
     assert all((h[i] == h[j]) == (words[i] == words[j]) for i in range(len(h)) for j in range(len(h)))
+
+
+# the classifier's features against a plain loop
+
+
+def test_classifier_features_against_plain_zstandard(spark):
+    import zstandard
+
+    good, bad = [f"the river runs by the old town number {i} and people walk there" for i in range(300)], [f"BUY now!!! $$$ {i} click here click here win {i * 7}" for i in range(300)]
+    rows = [(i, t) for i, t in enumerate(good + bad)]
+    df = spark.createDataFrame([*rows, *rows[:20], (9000, None)], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i < 300)) for i in range(600)], "doc_id long, quality int")
+    model = quality_classifier.fit(quality_classifier.sample(df, labels))
+    one, two = (sorted((r.doc_id, r.text, r.score, r.predicted) for r in quality_classifier.score(df.where("text is not null").repartition(n), model).collect()) for n in (2, 5))
+    assert one == two and len(one) == 620  # repeated rows are scored each by itself, and alike
+    assert all(len({s for d, _, s, _ in one if d == i}) == 1 for i in range(20))
+    assert sum(p == int(d < 300) for d, _, _, p in one) >= 590
+    # the same score from plain calls: sizes by either dictionary and by none, and the regression written out
+    for _, text, got, _ in one[::37]:
+        data = text.encode()
+        by = [len(zstandard.ZstdCompressor(level=model.level, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False).compress(data)) for d in (model.good, model.bad)]
+        alone = len(zstandard.ZstdCompressor(level=model.level, write_content_size=False).compress(data))
+        d, q = (by[1] - by[0]) / max(alone, 1), math.log((alone + 16) / (len(data) + 16))
+        x = [(v - c) / s for v, c, s in zip((d, d * d, q, q * q, d * q), model.centre, model.scale)]
+        assert abs(got - 1 / (1 + math.exp(-sum(a * b for a, b in zip([*x, 1.0], model.weights))))) < 1e-9
