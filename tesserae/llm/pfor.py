@@ -203,7 +203,7 @@ def write(docs: DataFrame, folder: str, end_id: int = 1, tokenizer: str | None =
                 fs.create_dir(at, recursive=True)
                 name, first, n = f"{at}/shard-{task.partitionId():06d}-{task.taskAttemptId()}.pfr", doc_ids[0], 0
                 writer = Writer(fs.open_output_stream(name), percentile)
-            for lo, hi, ids, offs in encoder(path).encode_column(batch.column(1), end_id):
+            for lo, hi, ids, offs in encoder(path).encode_column(batch.column(1), end_id, 1 << 20):
                 writer.append(doc_ids[lo:hi], ids, offs)
                 n += hi - lo
         if writer is not None:
