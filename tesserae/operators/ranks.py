@@ -5,9 +5,15 @@ Rows are first summed up by value, which takes out hot values; ranges come from
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.functions.udf import vectorized
+
 MOST_RANGES = 64
 
 
@@ -46,6 +52,17 @@ def with_rank(df: DataFrame, column: str, target: str, by: list[str] | None = No
     return beside(df, ranks, [*by, column], "left")
 
 
+@vectorized("double")
+def _fused(lo: pd.Series, hi: pd.Series, share: pd.Series) -> pd.Series:
+    return pd.Series([float(Fraction(a) * Fraction(1 - w) + Fraction(b * w)) if math.isfinite(a) and math.isfinite(b) else None for a, b, w in zip(lo, hi, share)], dtype="float64")
+
+
+def _between(lo: Column, hi: Column, share: Column) -> Column:
+    """lo * (1 - share) + hi * share, of which the first product and the sum are rounded once, together, as DuckDB does: an edge may be a value of the column, so its last bit decides on which side all its rows are."""
+    finite = (F.abs(lo) < float("inf")) & (F.abs(hi) < float("inf"))
+    return F.when(finite, _fused(lo, hi, share)).otherwise(lo * (1 - share) + hi * share)
+
+
 def quantiles(df: DataFrame, column: str, at: list[float], by: list[str] | None = None, target: str = "quantiles") -> DataFrame:
     """(by, quantiles): the exact quantiles at these shares, interpolated linearly between neighbouring rows; groups without a value have no row."""
     by = by or []
@@ -59,4 +76,4 @@ def quantiles(df: DataFrame, column: str, at: list[float], by: list[str] | None
         place = F.lit(q) * (F.col("n_total") - 1)
         ends += [held(F.floor(place)).alias(f"_lo{i}"), held(F.ceil(place)).alias(f"_hi{i}"), F.max(place - F.floor(place)).alias(f"_w{i}")]
     found = values.groupBy(*by).agg(*ends)
-    return found.select(*by, F.array(*(F.col(f"_lo{i}") * (1 - F.col(f"_w{i}")) + F.col(f"_hi{i}") * F.col(f"_w{i}") for i in range(len(at)))).alias(target))
+    return found.select(*by, F.array(*(_between(F.col(f"_lo{i}"), F.col(f"_hi{i}"), F.col(f"_w{i}")) for i in range(len(at)))).alias(target))

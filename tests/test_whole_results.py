@@ -1,9 +1,12 @@
 """Results that once were cut, failed or came out otherwise than their SQL."""
 
+import random
+
+import duckdb
 from pyspark.sql import functions as F
 
 from tesserae import search_queries
-from tesserae.operators import code
+from tesserae.operators import code, ranks, relational
 from tesserae.queries import QUERIES
 
 
@@ -21,3 +24,20 @@ def test_described_edges_name_all_targets(spark):
     edges = spark.range(1500).select(F.lit("r").alias("source"), F.format_string("f%04d", "id").alias("destination"), F.lit("repo-file").alias("edge_type"), F.lit("r").alias("repo"))
     assert code.postprocess_edges(edges, described=True).first().description.split() == [f"f{i:04d}" for i in range(1500)]
     assert len(code.postprocess_edges(edges, described=True, most=10).first().description.split()) == 10
+
+
+def test_quantiles_to_the_last_bit(spark):
+    g = random.Random(5)
+    # in some groups all values are equal, so that the edges are values too
+    rows = [(k, round(g.expovariate(0.02), 2)) for k in range(60) for _ in range(g.randint(2, 60))]
+    rows += [(k, v) for k in range(60, 120) for v in [round(g.expovariate(0.02), 2)] for _ in range(g.randint(2, 60))]
+    df = spark.createDataFrame(rows, "k int, v double")
+    frame = df.toPandas()  # noqa: F841  DuckDB reads it
+    at = [i / 10 for i in range(1, 10)]
+    got = {r.k: r.quantiles for r in ranks.quantiles(df, "v", at, ["k"]).collect()}
+    assert got == dict(duckdb.sql(f"SELECT k, quantile_cont(v, {at}) FROM frame GROUP BY 1").fetchall())
+    one = df.where("k = 70")
+    bins = duckdb.sql(f"WITH q AS (SELECT unnest(quantile_cont(v, {at})) AS e FROM frame WHERE k = 70) SELECT DISTINCT (SELECT count(*) FROM q WHERE e < v) FROM frame WHERE k = 70").fetchall()
+    assert [tuple(r) for r in relational.quantile_bins(one, "v").select("bin").distinct().collect()] == bins
+    odd = spark.createDataFrame([(1, float("inf")), (1, 1.0), (2, float("nan")), (2, 2.0), (3, None)], "k int, v double")
+    assert {r.k: str(r.quantiles[0]) for r in ranks.quantiles(odd, "v", [0.5], ["k"]).collect()} == {1: "inf", 2: "nan"}
