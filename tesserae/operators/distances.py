@@ -46,6 +46,59 @@ def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
     return out
 
 
+class Matrix:
+    """Distances between all nodes of an undirected graph, whole, without a row for each pair.
+
+    Nodes with the same neighbours are one class: they are equally far from every other node, and two steps from each other. classes: (node, class, size); between: (source, node, distance) of the classes, each named by its
+    smallest node. So what is computed and stored grows with the square of the classes, not of the nodes.
+    """
+
+    def __init__(self, classes: DataFrame, between: DataFrame):
+        self.classes, self.between = classes, between
+
+    def write(self, path: str) -> None:
+        """Both tables sorted, in files of neighbouring nodes: a row of the matrix is read by a filter that Parquet's statistics answer."""
+        self.classes.repartitionByRange("class").sortWithinPartitions("class", "node").write.mode("overwrite").parquet(f"{path}/classes")
+        write_distances(self.between, f"{path}/between")
+
+    @classmethod
+    def read(cls, spark: SparkSession, path: str) -> Matrix:
+        return cls(spark.read.parquet(f"{path}/classes"), read_distances(spark, f"{path}/between"))
+
+    def rows(self, sources: list) -> DataFrame:
+        """(source, node, distance): all nodes that these can reach."""
+        asked = self.classes.where(F.col("node").isin(sources)).select(F.col("node").alias("asked"), F.col("class").alias("source"))
+        near = self.between.join(F.broadcast(asked), "source").select(F.col("asked").alias("source"), F.col("source").alias("own"), F.col("node").alias("class"), "distance")
+        met = near.join(self.classes.select("node", "class"), "class")
+        inside = F.when(F.col("source") == F.col("node"), 0).when(F.col("own") == F.col("class"), 2).otherwise(F.col("distance"))
+        return met.select("source", "node", inside.cast("int").alias("distance"))
+
+    def totals(self) -> DataFrame:
+        """(source, nodes, total, farthest) of every node: how many it can reach, itself included, the sum of the distances, and the largest."""
+        sizes = self.classes.select(F.col("class").alias("node"), "size").distinct()
+        met = self.between.join(sizes, "node")
+        own = F.col("source") == F.col("node")
+        total = F.when(own, 2 * (F.col("size") - 1)).otherwise(F.col("distance").cast("long") * F.col("size"))
+        far = F.when(own, F.when(F.col("size") > 1, 2).otherwise(0)).otherwise(F.col("distance").cast("int"))
+        summed = met.groupBy(F.col("source").alias("class")).agg(F.sum("size").alias("nodes"), F.sum(total).alias("total"), F.max(far).alias("farthest"))
+        return self.classes.select(F.col("node").alias("source"), "class").join(summed, "class").drop("class")
+
+
+def matrix(edges: DataFrame) -> Matrix:
+    """All distances of the undirected graph of these edges (source, target). Neighbours are compared by their number and two sums of 64-bit hashes. Null nodes are left out; one with edges to itself alone reaches itself."""
+    nodes = edges.select(F.col("source").alias("a"), F.col("target").alias("b")).union(edges.select("target", "source"))
+    both = materialize(nodes.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct(), "edges")
+    hashed = [F.sum(F.xxhash64(F.lit(seed), "b").cast("decimal(20, 0)")).alias(f"h{seed}") for seed in (1, 2)]
+    signed = both.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n"), *hashed)
+    least = signed.groupBy("n", "h1", "h2").agg(F.min("node").alias("class"), F.count("*").alias("size"))
+    alone = nodes.where("a IS NOT NULL").select(F.col("a").alias("node")).distinct().join(signed, "node", "left_anti").select("node", F.col("node").alias("class"), F.lit(1).cast("long").alias("size"))
+    classes = materialize(signed.join(least, ["n", "h1", "h2"]).select("node", "class", "size").union(alone), "classes")
+    # a shortest way between two classes may go by their smallest nodes alone
+    first = classes.where("node = class").select("node")
+    kept = both.join(first.withColumnRenamed("node", "a"), "a", "left_semi").join(first.withColumnRenamed("node", "b"), "b", "left_semi")
+    return Matrix(classes, shortest_paths(kept.select(F.col("a").alias("source"), F.col("b").alias("target")), first))
+
+
 def write_distances(distances: DataFrame, path: str) -> None:
     """A distance matrix as a table (source, node, distance), sorted by source, in files of neighbouring sources: a row of the matrix is read by a filter that Parquet's statistics answer."""
     distances.select("source", "node", F.col("distance").cast("short").alias("distance")).repartitionByRange("source").sortWithinPartitions("source", "node").write.mode("overwrite").parquet(path)

@@ -6,7 +6,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from tesserae import search_queries
-from tesserae.operators import code, ranks, relational
+from tesserae.operators import code, distances, ranks, relational
 from tesserae.queries import QUERIES
 
 
@@ -41,3 +41,20 @@ def test_quantiles_to_the_last_bit(spark):
     assert [tuple(r) for r in relational.quantile_bins(one, "v").select("bin").distinct().collect()] == bins
     odd = spark.createDataFrame([(1, float("inf")), (1, 1.0), (2, float("nan")), (2, 2.0), (3, None)], "k int, v double")
     assert {r.k: str(r.quantiles[0]) for r in ranks.quantiles(odd, "v", [0.5], ["k"]).collect()} == {1: "inf", 2: "nan"}
+
+
+def test_matrix_by_classes_of_equal_neighbours(spark, tmp_path):
+    g = random.Random(3)
+    edges = [(f"h{g.randrange(8)}", f"h{g.randrange(8)}") for _ in range(9)] + [(f"l{i}", f"h{i % 3}") for i in range(120)] + [(f"d{i}", f"h{h}") for i in range(6) for h in (0, 1)]
+    edges += [("x", "y"), ("o", "o"), (None, "h0"), ("z", None)]
+    df = spark.createDataFrame(edges, "source string, target string")
+    nodes = spark.createDataFrame(sorted((n,) for n in {n for e in edges[:-1] for n in e if n}), "node string")
+    plain = {(r.source, r.node): r.distance for r in distances.shortest_paths(df, nodes).where("source <> 'z' AND node <> 'z'").collect()}
+    whole = distances.matrix(df)
+    # the leaves of a hub are one class
+    assert whole.between.select("source").distinct().count() < 30
+    whole.write(str(tmp_path / "m"))
+    got = distances.Matrix.read(spark, str(tmp_path / "m")).rows([r.node for r in nodes.collect()])
+    assert {(r.source, r.node): r.distance for r in got.collect()} == plain
+    sums = {r.source: (r.nodes, r.total, r.farthest) for r in whole.totals().where("source <> 'z'").collect()}
+    assert sums == {s: (len(d), sum(d), max(d)) for s in {k[0] for k in plain} for d in [[v for k, v in plain.items() if k[0] == s]]}
