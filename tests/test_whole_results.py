@@ -6,7 +6,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from tesserae import search_queries
-from tesserae.operators import code, distances, ranks, relational
+from tesserae.operators import code, distances, ranks, relational, retrieval
 from tesserae.queries import QUERIES
 
 
@@ -58,3 +58,16 @@ def test_matrix_by_classes_of_equal_neighbours(spark, tmp_path):
     assert {(r.source, r.node): r.distance for r in got.collect()} == plain
     sums = {r.source: (r.nodes, r.total, r.farthest) for r in whole.totals().where("source <> 'z'").collect()}
     assert sums == {s: (len(d), sum(d), max(d)) for s in {k[0] for k in plain} for d in [[v for k, v in plain.items() if k[0] == s]]}
+
+
+def test_products_are_summed_up_where_documents_are(spark):
+    rows = [(d, f"t{(d * i) % 7}{i}", float(i)) for d in range(40) for i in range(6)]
+    docs, queries = spark.createDataFrame(rows, "doc_id long, term string, weight double"), spark.createDataFrame(rows[:90], "query_id long, term string, weight double")
+    got = retrieval.sparse_dot(docs, queries)
+    assert "hashpartitioning(query_id" not in got._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    for q, t, w in rows[:90]:
+        for d, u, x in rows:
+            if t == u:
+                want[q, d] = want.get((q, d), 0) + w * x
+    assert {(r.query_id, r.doc_id): r.score for r in got.collect()} == want
