@@ -30,7 +30,7 @@ def queries(repos: DataFrame, least: int, column: str = "query_tasks") -> DataFr
 def judgements(repos: DataFrame, qs: DataFrame, column: str = "tasks") -> DataFrame:
     """(query_id, doc_id, rel): a repo is relevant to a query among its tasks."""
     long = repos.select(F.col("repo").alias("doc_id"), F.explode(column).alias("query")).distinct()
-    return long.join(qs, "query").select("query_id", "doc_id", F.lit(1).alias("rel"))
+    return long.join(R.few(qs, "queries"), "query").select("query_id", "doc_id", F.lit(1).alias("rel"))
 
 
 def corpora(repos: DataFrame, columns: dict[str, list[str]], most_tasks: int | None = None) -> DataFrame:

@@ -171,7 +171,7 @@ def task_of_another_area(rows: DataFrame, areas: DataFrame, seed: int = 0) -> Da
 
 def biggest_tasks(papers: DataFrame, n: int) -> DataFrame:
     """Papers with one of the n most frequent tasks, and most_common_task: the list's element with the largest count, the first of equals."""
-    counts = R.value_counts(papers, "tasks")
+    counts = R.few(R.value_counts(papers, "tasks"), "counts")
     top = counts.orderBy(F.desc("count"), "task").limit(n)
     long = papers.select("paper", F.posexplode("tasks").alias("pos", "task")).join(counts, "task")
     most = R.first_of_group(long, ["paper"], [F.desc("count"), F.col("pos")]).select("paper", F.col("task").alias("most_common_task"))
@@ -181,7 +181,7 @@ def biggest_tasks(papers: DataFrame, n: int) -> DataFrame:
 def least_common_task(papers: DataFrame, least: int, compat: bool = True) -> DataFrame:
     """papers with least_common_task, of tasks counted more than `least` times; null without one. compat: the list's first such task, which is what the
     original gives, in place of the rarest."""
-    counts = R.value_counts(papers, "tasks").where(F.col("count") > least)
+    counts = R.few(R.value_counts(papers, "tasks").where(F.col("count") > least), "counts")
     long = papers.select("paper", F.posexplode("tasks").alias("pos", "task")).join(counts, "task")
     order = [F.col("pos")] if compat else [F.col("count"), F.col("pos")]
     return papers.join(R.first_of_group(long, ["paper"], order).select("paper", F.col("task").alias("least_common_task")), "paper", "left")

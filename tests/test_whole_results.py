@@ -6,8 +6,8 @@ import duckdb
 from pyspark.sql import functions as F
 
 from tesserae import search_queries
-from tesserae.operators import code, distances, ranks, relational, retrieval
-from tesserae.queries import QUERIES
+from tesserae.operators import code, distances, ranks, relational, retrieval, sampling
+from tesserae.queries import QUERIES, Tables
 
 
 def test_paged_source_reads_tables_of_several_files(spark, tmp_path):
@@ -71,3 +71,13 @@ def test_products_are_summed_up_where_documents_are(spark):
             if t == u:
                 want[q, d] = want.get((q, d), 0) + w * x
     assert {(r.query_id, r.doc_id): r.score for r in got.collect()} == want
+
+
+def test_repos_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(relational, "TASK_ROWS", 100)
+    t = Tables(spark, "/root/testdata/sf0.001")
+    repos = t.repos()
+    assert repos.rdd.getNumPartitions() == -(-t.lineitem.count() // 100)
+    # what is counted is sent, so repos stay where they lie
+    plan = sampling.least_common_task(repos.withColumnRenamed("repo", "paper"), 5)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(task" not in plan and "SortMergeJoin" not in plan.replace("SortMergeJoin [paper", "").replace("SortMergeJoin [l_partkey", "")
