@@ -1,5 +1,7 @@
 """Results that once were cut, failed or came out otherwise than their SQL."""
 
+import collections
+import math
 import random
 
 import duckdb
@@ -81,3 +83,28 @@ def test_repos_are_dealt_by_their_number(spark, monkeypatch):
     # what is counted is sent, so repos stay where they lie
     plan = sampling.least_common_task(repos.withColumnRenamed("repo", "paper"), 5)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(task" not in plan and "SortMergeJoin" not in plan.replace("SortMergeJoin [paper", "").replace("SortMergeJoin [l_partkey", "")
+
+
+def test_cosines_make_no_products_to_shuffle(spark, monkeypatch):
+    g = random.Random(7)
+    rows = [(f"g{i % 3}", i, " ".join(f"w{int(g.paretovariate(0.6))}" for _ in range(g.randint(0, 30)))) for i in range(150)] + [("g1", 200, None), (None, 201, "w1")]
+    docs = spark.createDataFrame(rows, "grp string, doc_id long, text string")
+    queries = docs.where("doc_id % 5 = 0").select("grp", F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
+    want = {}
+    vectors = {}
+    for grp in ("g0", "g1", "g2"):
+        tf = {i: collections.Counter((t or "").split()) for p, i, t in rows if p == grp}
+        df = collections.Counter(w for c in tf.values() for w in c)
+        for i, c in tf.items():
+            v = {w: n * (math.log((1 + len(tf)) / (1 + df[w])) + 1) for w, n in c.items()}
+            norm = math.sqrt(sum(x * x for x in v.values()))
+            vectors[grp, i] = {w: x / norm for w, x in v.items()}
+    for (p, q), a in vectors.items():
+        for (r, d), b in vectors.items():
+            if p == r and q % 5 == 0 and set(a) & set(b):
+                want[p, q, d] = round(sum(a[w] * b[w] for w in set(a) & set(b)), 9)
+    monkeypatch.setattr(retrieval, "DENSE_TERMS", 3)
+    for size in (500, 1 << 26):  # many blocks of queries, and one
+        got = retrieval.tfidf_cosine(docs, queries, most_bytes=size)
+        assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+        assert {(r.grp, r.query_id, r.doc_id): round(r.score, 9) for r in got.collect()} == want
