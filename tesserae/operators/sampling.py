@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from tesserae.functions.text import clean_task_name
 from tesserae.functions.udf import vectorized
 from tesserae.operators import relational as R
+from tesserae.plans.durable import materialize, steps
 
 
 @vectorized("string")
@@ -47,41 +49,81 @@ def sample_rows(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
     return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(n)
 
 
+#: Candidates of a task that a round of the greedy sample brings to its loop, in times of those that it needs.
+SPARE = 32
+
+
 def greedy_sample(repos: DataFrame, least_repos: int, per_task: int, most_per_task: int) -> DataFrame:
     """(task, repo, position) taken task by task from the rarest (ties by name).
 
     A repo is a candidate of a task if none of its tasks has been given more than most_per_task times; a task with least_repos candidates or more gets the
-    first per_task of them (by repo), and all their tasks count once more. A task's choice depends on the ones before it, so one task runs the loop, over
-    (task, repo, tasks) rows in its order and nothing else; it holds the counts, and the candidates of one task, at most per_task + least_repos of them.
+    first per_task of them (by repo), and all their tasks count once more. A task's choice depends on the ones before it, so one task runs the loop. It gets only the first
+    candidates of each task, SPARE times as many as are needed. Candidates only become fewer, so what it chooses from these is right as long as enough of them are left; where not, the loop stops before
+    that task, repos of tasks that have been given too often go, and the next round begins with it. The counts, a number for each task given, pass from round to round.
     """
-    long = repos.select("repo", F.array_sort(F.array_distinct("tasks")).alias("tasks")).select("repo", "tasks", F.explode("tasks").alias("task"))
-    counts = long.groupBy("task").agg(F.count("*").alias("_n"))
-    ordered = long.join(counts.where(F.col("_n") >= least_repos), "task").select("_n", "task", "repo", "tasks")
+    with steps(repos.sparkSession) as step:
+        rows = repos.select("repo", F.array_sort(F.array_distinct("tasks")).alias("tasks")).withColumn("_row", F.monotonically_increasing_id())
+        counts = R.value_counts(rows, "tasks").withColumn("_i", F.row_number().over(Window.orderBy("count", "task")) - 1)  # a row for each distinct task
+        counts = step(counts, "counts")
+        # tasks by their numbers in the order of the loop; null, which is nobody's turn but counts like a task, is -1
+        numbers = R.few(counts.select("task", "_i"), "numbers")
+        long = rows.select("repo", "_row", F.explode("tasks").alias("task")).join(numbers, "task", "left")
+        left = step(long.groupBy("repo", "_row").agg(F.array_sort(F.collect_list(F.coalesce("_i", F.lit(-1)))).alias("ids")).drop("_row"), "left")
+        first = counts.where(F.col("count") >= least_repos).agg(F.min("_i")).first()[0]
+        need, given, parts = max(per_task, least_repos), {}, []
+        kind = repos.schema["repo"].dataType.simpleString()
+        while first is not None:
+            turn = left.select("repo", "ids", F.explode("ids").alias("i")).where(F.col("i") >= first)
+            order = Window.partitionBy("i").orderBy("repo", "ids")
+            some = turn.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= SPARE * need + 1)
+            some = some.repartition(1).sortWithinPartitions("i", "repo", "ids").select("i", "repo", "ids")
+            chosen = step(some.mapInPandas(_loop(dict(given), least_repos, per_task, most_per_task, need, SPARE * need), f"i int, repo {kind}, position int, ids array<int>, stop int"), "chosen")
+            parts.append(materialize(chosen.where("stop IS NULL").join(counts.select(F.col("_i").alias("i"), "task"), "i").select("task", "repo", "position"), "sampled"))
+            before = {i for i, n in given.items() if n > most_per_task}
+            for r in chosen.select(F.explode("ids").alias("i")).groupBy("i").count().collect():
+                given[r.i] = given.get(r.i, 0) + r["count"]
+            full = [i for i, n in given.items() if n > most_per_task and i not in before]
+            first = chosen.agg(F.max("stop")).first()[0]
+            if full and first is not None:
+                left = step(left.where(~F.exists("ids", lambda x: x.isin(full))), "left")
+    return functools.reduce(DataFrame.unionAll, parts) if parts else repos.select(F.lit("").alias("task"), "repo", F.lit(0).alias("position")).limit(0)
+
+
+def _loop(given: dict[int, int], least: int, per: int, most: int, need: int, brought: int):
+    """Of candidates by task and repo the chosen ones, until a task of which more than `brought` came hasn't enough left: then a row with its number as `stop`."""
 
     def loop(frames):
-        given: dict[str, int] = {}
-        task, found = None, []
+        task, seen, found, stopped = None, 0, [], False
 
         def close():
-            if len(found) >= least_repos:
-                for i, (repo, tasks) in enumerate(found[:per_task]):
-                    for t in tasks:
+            nonlocal stopped
+            if task is None or stopped:
+                return
+            if len(found) < need and seen > brought:
+                stopped = True
+                yield None, None, None, None, task
+            elif len(found) >= least:
+                for i, (repo, ids) in enumerate(found[:per]):
+                    for t in ids:
                         given[t] = given.get(t, 0) + 1
-                    yield task, repo, i
+                    yield task, repo, i, ids, None
 
+        columns = ["i", "repo", "position", "ids", "stop"]
         for frame in frames:
             out = []
-            for t, repo, tasks in zip(frame["task"], frame["repo"], frame["tasks"]):
+            for t, repo, ids in zip(frame["i"], frame["repo"], frame["ids"]):
+                if stopped:
+                    break
                 if t != task:
                     out += close()
-                    task, found = t, []
-                if len(found) < max(per_task, least_repos) and all(given.get(x, 0) <= most_per_task for x in tasks):
-                    found.append((repo, list(tasks)))
-            yield pd.DataFrame(out, columns=["task", "repo", "position"])
-        yield pd.DataFrame(list(close()), columns=["task", "repo", "position"])
+                    task, seen, found = t, 0, []
+                seen += 1
+                if seen <= brought and len(found) < need and all(given.get(x, 0) <= most for x in ids):
+                    found.append((repo, list(ids)))
+            yield pd.DataFrame(out, columns=columns).astype({"i": "Int32", "position": "Int32", "stop": "Int32"})
+        yield pd.DataFrame(list(close()), columns=columns).astype({"i": "Int32", "position": "Int32", "stop": "Int32"})
 
-    kind = repos.schema["repo"].dataType.simpleString()
-    return ordered.repartition(1).sortWithinPartitions("_n", "task", "repo").mapInPandas(loop, f"task string, repo {kind}, position int")
+    return loop
 
 
 def add_valid_tasks(sampled: DataFrame, repos: DataFrame, least: int) -> DataFrame:
@@ -193,7 +235,7 @@ def task_table(papers: DataFrame, links: DataFrame, least: int) -> DataFrame:
     counts = R.value_counts(cleaned, "tasks").where(F.col("count") >= least)
     valid = R.keep_members(cleaned, "tasks", counts, "task", "paper", drop_empty=True)
     joined = links.join(valid, links["paper_title"] == valid["title"]).select("repo", "paper", "tasks")
-    best = R.first_of_group(joined, ["repo"], [F.desc(F.size("tasks")), F.col("paper")])
+    best = materialize(R.first_of_group(joined, ["repo"], [F.desc(F.size("tasks")), F.col("paper")]), "best")
     named = least_common_task(best.withColumn("paper", F.col("repo")), least).where("least_common_task is not null")
     return R.keep_members(named.select("repo", "tasks", "least_common_task"), "tasks", named.select("least_common_task"), "least_common_task", "repo")
 

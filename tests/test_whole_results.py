@@ -108,3 +108,36 @@ def test_cosines_make_no_products_to_shuffle(spark, monkeypatch):
         got = retrieval.tfidf_cosine(docs, queries, most_bytes=size)
         assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
         assert {(r.grp, r.query_id, r.doc_id): round(r.score, 9) for r in got.collect()} == want
+
+
+def test_greedy_sample_brings_few_candidates_to_one_task(spark, monkeypatch):
+    g = random.Random(11)
+    repos = [(r, [f"t{int(g.paretovariate(0.7)) % 40}" for _ in range(g.randint(0, 5))]) for r in range(3000)] + [(4000, None), (4001, ["t1", None]), (4002, [None])]
+    lists = [(r, sorted(set(ts or []), key=lambda t: (t is not None, t))) for r, ts in repos]
+    counts = collections.Counter(t for _, ts in lists for t in ts if t is not None)
+    given, want = collections.Counter(), set()
+    for task in sorted((t for t, n in counts.items() if n >= 3), key=lambda t: (counts[t], t)):
+        found = [(r, ts) for r, ts in lists if task in ts and all(given[t] <= 6 for t in ts)]
+        for i, (r, ts) in enumerate(found[:4] if len(found) >= 3 else []):
+            given.update(ts)
+            want.add((task, r, i))
+    brought, loop = spark.sparkContext.accumulator(0), sampling._loop
+
+    def counting(*options):
+        inner = loop(*options)
+
+        def go(frames):
+            def seen():
+                for f in frames:
+                    brought.add(len(f))
+                    yield f
+
+            yield from inner(seen())
+
+        return go
+
+    monkeypatch.setattr(sampling, "_loop", counting)
+    monkeypatch.setattr(sampling, "SPARE", 2)
+    got = sampling.greedy_sample(spark.createDataFrame(repos, "repo long, tasks array<string>"), 3, 4, 6)
+    assert {tuple(r) for r in got.collect()} == want
+    assert brought.value < sum(counts.values())
