@@ -152,7 +152,8 @@ def without_easy_tasks(counts: DataFrame, total: Column, most: float, k: int = 1
 
 def sample_pipeline(repos: DataFrame, code: DataFrame, most_tasks: int = 10, least_repos: int = 10, per_task: int = 10, most_per_task: int = 20, most_random: float = 0.3) -> DataFrame:
     """Repos with code and few enough tasks, sampled greedily, with their query tasks: all steps in order."""
-    usable = R.with_list_size(repos, "tasks", 0, most_tasks).join(code.select("repo").distinct(), "repo", "left_semi")
+    # every step below begins with these rows
+    usable = materialize(R.with_list_size(repos, "tasks", 0, most_tasks).join(code.select("repo").distinct(), "repo", "left_semi"), "usable")
     sampled = greedy_sample(usable, least_repos, per_task, most_per_task)
     tasks = add_valid_tasks(sampled, usable, least_repos)
     chosen = usable.join(sampled.select("repo").distinct(), "repo", "left_semi")
