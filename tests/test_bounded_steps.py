@@ -1,8 +1,10 @@
 """Steps whose cost once grew faster than their input."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tesserae.operators import sampling
+from tesserae.operators import nearest, sampling
 
 
 def test_sample_pipeline_makes_its_repos_once(spark):
@@ -18,3 +20,19 @@ def test_sample_pipeline_makes_its_repos_once(spark):
     got = sampling.sample_pipeline(repos, plain.select("repo"), least_repos=3, per_task=5, most_per_task=100, most_random=0.99)
     assert got.count() == sampling.sample_pipeline(plain, plain.select("repo"), least_repos=3, per_task=5, most_per_task=100, most_random=0.99).count() > 0
     assert passes.value == 300
+
+
+def test_blocks_of_two_groups_meet_in_one_task(spark):
+    g = np.random.default_rng(1)
+    x = g.normal(size=(12, 50, 4))
+    x /= np.linalg.norm(x, axis=2, keepdims=True)
+    blocks = pa.table({"block": list(range(12)), "ids": [[100 * b + i for i in range(50)] for b in range(12)], "vectors": [v.tobytes() for v in x], "bound": [[2.0] * 50] * 12})
+    meetings = pa.table({"pairs": [[{"x_block": a, "y_block": b} for a in range(12) for b in range(a, 12)]]})
+    got = nearest._meet(3)(blocks, meetings)
+    # k neighbours for a row, however many blocks its own meets
+    assert got.num_rows == 3 * 600 + 1 and got["compared"].to_pylist()[-1] == 600 * 599 // 2
+    flat, ids = x.reshape(600, 4), np.array([100 * (i // 50) + i % 50 for i in range(600)])
+    scores = flat @ flat.T
+    np.fill_diagonal(scores, -2)
+    want = {(int(ids[i]), int(ids[j])) for i in range(600) for j in np.argsort(-scores[i])[:3]}
+    assert {(a, b) for a, b in zip(got["a"].to_pylist(), got["b"].to_pylist()) if a is not None} == want
