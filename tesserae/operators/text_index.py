@@ -6,15 +6,19 @@ term and run what the term can add to a document's score. A search reads only th
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tesserae.operators.retrieval import terms
+from tesserae.operators.retrieval import FEW_ROWS, terms
 from tesserae.plans.durable import materialize, steps
 
 K1, B = 1.2, 0.75
+#: Pairs of a query and a document that a task of a search sums up, at most about.
+PAIRS = 1 << 21
 
 
 def _saturated(tf: Column, dl: Column, mean: Column | float, k1: float, b: float) -> Column:
@@ -51,24 +55,31 @@ class TextIndex:
         wanted = words.select("term").distinct().select("term", self._bucket())
         return self._table("bounds", self._asked(wanted)).join(wanted, ["bucket", "term"], "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
 
-    def _scores(self, wanted: DataFrame, buckets: list[int]) -> DataFrame:
-        """Scores of all documents of the wanted (query_id, bucket, term, run, weight)."""
-        found = self._table("postings", buckets).join(wanted, ["bucket", "term", "run"])
-        rows = found.select("query_id", "weight", F.explode(F.arrays_zip("docs", "tfs", "dls")).alias("p"))
+    def _found(self, name: str, weights: DataFrame, buckets: list[int], pairs: int) -> DataFrame:
+        """Rows of the query terms, dealt by run in so many parts that about PAIRS of `pairs` fall on each."""
+        wanted = weights.select("bucket", "term").distinct()
+        parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-pairs // PAIRS))
+        return self._table(name, buckets).join(F.broadcast(wanted) if weights.count() <= FEW_ROWS else wanted, ["bucket", "term"], "left_semi").repartition(parts, "run")
+
+    def _scores(self, weights: DataFrame, runs: DataFrame, buckets: list[int], queries: int) -> DataFrame:
+        """Scores of all documents of the runs (query_id, run). Postings are dealt by run, and sums are made where they lie."""
+        asked = runs.groupBy("run").agg(F.collect_set("query_id").alias("asked"))
+        found = self._found("postings", weights, buckets, self.n * queries).join(asked, "run").join(weights, ["bucket", "term"]).where(F.array_contains("asked", F.col("query_id")))
+        rows = found.select("query_id", "run", "weight", F.explode(F.arrays_zip("docs", "tfs", "dls")).alias("p"))
         add = F.col("weight") * _saturated(F.col("p.tfs"), F.col("p.dls"), self.mean_length, self.k1, self.b)
-        return rows.groupBy("query_id", F.col("p.docs").alias("doc_id")).agg(F.sum(add).alias("score"))
+        return rows.groupBy("query_id", "run", F.col("p.docs").alias("doc_id")).agg(F.sum(add).alias("score")).select("query_id", "doc_id", "score")
 
-    def _bounded(self, queries: DataFrame, step) -> tuple[DataFrame, DataFrame, list[int]]:
-        """(query_id, bucket, term, run, weight, most) and by query and run the highest score that a document can have."""
+    def _bounded(self, queries: DataFrame, step) -> tuple[DataFrame, DataFrame, list[int], int]:
+        """(query_id, bucket, term, weight), by query and run the highest score that a document can have, the directories of the terms, and the number of queries."""
         q = queries.select("query_id", F.explode(self.tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf")).select("query_id", "term", "qf", self._bucket())
         q = step(q, "query-terms")
-        buckets = self._asked(q)
-        bounds = self._table("bounds", buckets).join(q.select("bucket", "term").distinct(), ["bucket", "term"])
-        by_term = Window.partitionBy("bucket", "term")
-        df = F.sum("df").over(by_term)
-        found = bounds.withColumn("idf", F.log(1 + (self.n - df + 0.5) / (df + 0.5))).join(q, ["bucket", "term"])
-        found = step(found.select("query_id", "bucket", "term", "run", (F.col("idf") * F.col("qf")).alias("weight"), "best"), "bounds")
-        return found, found.groupBy("query_id", "run").agg(F.sum(F.col("weight") * F.col("best")).alias("most")), buckets
+        buckets, n = self._asked(q), q.select("query_id").distinct().count()
+        df = self._table("bounds", buckets).groupBy("bucket", "term").agg(F.sum("df").alias("df"))
+        idf = F.log(1 + (self.n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        weights = step(q.join(df, ["bucket", "term"]).select("query_id", "bucket", "term", (idf * F.col("qf")).alias("weight")), "weights")
+        weights = F.broadcast(weights) if weights.count() <= FEW_ROWS else weights
+        found = self._found("bounds", weights, buckets, 0).join(weights, ["bucket", "term"])
+        return weights, found.groupBy("query_id", "run").agg(F.sum(F.col("weight") * F.col("best")).alias("most")), buckets, n
 
     def search(self, queries: DataFrame, k: int, probe: int = 4, digits: int = 9, work: bool = False) -> DataFrame:
         """(query_id, doc_id, score): the k highest of each query (query_id, query), exactly those of bm25(); scores that agree to `digits` tie and go by doc_id.
@@ -77,21 +88,59 @@ class TextIndex:
         many runs hold a term of the query, and how many were scored. Null queries and such without a known term have no rows.
         """
         with steps(self.spark) as step:
-            found, most, buckets = self._bounded(queries, step)
+            weights, most, buckets, n = self._bounded(queries, step)
             most = step(most, "run-bounds")
             by_query = Window.partitionBy("query_id").orderBy(F.desc("most"), "run")
             first = most.withColumn("_r", F.row_number().over(by_query)).where(F.col("_r") <= probe).select("query_id", "run")
-            ranked = self._scores(found.join(first, ["query_id", "run"]), buckets).withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"))))
+            ranked = self._scores(weights, first, buckets, n).withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"))))
             least = ranked.where(F.col("_r") == k).select("query_id", F.col("score").alias("least"))
             kept = most.join(least, "query_id", "left").where(F.coalesce(F.col("least"), F.lit(0.0)) * (1 - 1e-9) <= F.col("most")).select("query_id", "run")
             if work:
                 out = most.groupBy("query_id").agg(F.count("*").alias("runs")).join(kept.groupBy("query_id").agg(F.count("*").alias("read")), "query_id")
             else:
                 order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", digits)), "doc_id")
-                out = self._scores(found.join(kept, ["query_id", "run"]), buckets).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r")
+                out = self._scores(weights, kept, buckets, n).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r")
             return materialize(out, "search")
 
 
+def _postings(run: int):
+    """Of documents (doc_id, terms) in order, the postings of each run of so many: of every term its documents, how often they have it, and their lengths. The null term has all documents of the run."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number, held = TaskContext.get().partitionId() << 33, []
+
+        def postings(docs: pa.Table) -> pa.RecordBatch:
+            docs = docs.combine_chunks()
+            ids, lists = docs.column(0).chunk(0), docs.column(1).chunk(0)
+            sizes = np.diff(lists.offsets.to_numpy())
+            coded = lists.flatten().dictionary_encode()
+            at, n = np.repeat(np.arange(len(ids)), sizes), len(ids)
+            pairs, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * n + at, return_counts=True)
+            # the null term comes last
+            of = np.concatenate([pairs % n, np.arange(n)])
+            term, first = np.unique(np.concatenate([pairs // n, np.full(n, len(coded.dictionary))]), return_index=True)
+            offsets = pa.array(np.append(first, len(of)), pa.int32())
+            values = (ids.take(pa.array(of)), pa.array(np.concatenate([tf, np.zeros(n, np.int64)]), pa.int32()), pa.array(sizes[of], pa.int32()))
+            names = pa.concat_arrays([coded.dictionary, pa.nulls(1, coded.dictionary.type)]).take(pa.array(term))
+            return pa.record_batch([names, pa.array(np.full(len(term), number)), *(pa.ListArray.from_arrays(offsets, v) for v in values)], ["term", "run", "docs", "tfs", "dls"])
+
+        for batch in batches:
+            lo = 0
+            while lo < batch.num_rows:
+                part = batch.slice(lo, run - sum(b.num_rows for b in held))
+                held.append(part)
+                lo += part.num_rows
+                if sum(b.num_rows for b in held) == run:
+                    yield postings(pa.Table.from_batches(held))
+                    number, held = number + 1, []
+        if held:
+            yield postings(pa.Table.from_batches(held))
+
+    return go
+
+
 def write(docs: DataFrame, path: str, order: list[str] | None = None, run: int = 1024, buckets: int = 64, k1: float = K1, b: float = B, tokens: Callable[[Column], Column] = terms) -> TextIndex:
     """Index docs (doc_id, text); doc_id is a key. order: columns that put like documents together, before doc_id, which makes bounds of runs tighter; run, a power of two: documents of a run at most; buckets: directories.
 
@@ -100,20 +149,17 @@ def write(docs: DataFrame, path: str, order: list[str] | None = None, run: int =
     if run < 1 or run & (run - 1):
         raise ValueError("run must be a power of two")
     spark, order = docs.sparkSession, [*(order or []), "doc_id"]
-    held = docs.select(*dict.fromkeys(order), tokens(F.coalesce("text", F.lit(""))).alias("_t")).repartitionByRange(*order).sortWithinPartitions(*order)
-    held = held.select("doc_id", F.size("_t").alias("dl"), F.floor(F.monotonically_increasing_id() / run).cast("long").alias("run"), "_t")
-    with steps(spark) as step:
-        held = step(held, "documents-of-runs")
-        stats = held.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("mean_length")).first()
-        counted = held.select("doc_id", "dl", "run", F.explode("_t").alias("term")).groupBy("run", "doc_id", "dl", "term").agg(F.count("*").cast("int").alias("tf"))
-        bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")
-        rows = counted.groupBy("term", "run").agg(F.array_sort(F.collect_list(F.struct("doc_id", "tf", "dl"))).alias("_p"))
-        rows = rows.select("term", "run", F.col("_p.doc_id").alias("docs"), F.col("_p.tf").alias("tfs"), F.col("_p.dl").alias("dls"), bucket)
-        rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "run").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/postings")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    held = docs.select(*dict.fromkeys(order), "text").repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", tokens(F.coalesce("text", F.lit(""))).alias("_t"))
+    rows = held.mapInArrow(_postings(run), f"term string, run long, docs array<{kind}>, tfs array<int>, dls array<int>")
+    rows = rows.withColumn("bucket", F.when(F.col("term").isNull(), -1).otherwise(F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")))
+    rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "run").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/postings")
+    written = spark.read.schema(rows.schema).parquet(f"{path}/postings")
+    stats = written.where("bucket = -1").select(F.explode("dls").alias("dl")).agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("mean_length")).first()
     mean = float(stats.mean_length) or 1.0
     best = F.array_max(F.zip_with("tfs", "dls", lambda tf, dl: _saturated(tf, dl, mean, k1, b)))
-    bounds = spark.read.schema(rows.schema).parquet(f"{path}/postings").select("term", "run", F.size("docs").cast("long").alias("df"), best.alias("best"), "bucket")
+    bounds = written.where("bucket >= 0").select("term", "run", F.size("docs").cast("long").alias("df"), best.alias("best"), "bucket")
     bounds.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "run").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/bounds")
     meta = "n long, mean_length double, buckets int, k1 double, b double, key string"
-    spark.createDataFrame([(stats.n, mean, buckets, float(k1), float(b), docs.schema["doc_id"].dataType.simpleString())], meta).coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
+    spark.createDataFrame([(stats.n, mean, buckets, float(k1), float(b), kind)], meta).coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
     return TextIndex(spark, path, tokens)

@@ -4,7 +4,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tesserae.operators import nearest, sampling
+from tesserae.operators import nearest, sampling, text_index
+from tesserae.plans.durable import shared_path, steps
 
 
 def test_sample_pipeline_makes_its_repos_once(spark):
@@ -36,3 +37,16 @@ def test_blocks_of_two_groups_meet_in_one_task(spark):
     np.fill_diagonal(scores, -2)
     want = {(int(ids[i]), int(ids[j])) for i in range(600) for j in np.argsort(-scores[i])[:3]}
     assert {(a, b) for a, b in zip(got["a"].to_pylist(), got["b"].to_pylist()) if a is not None} == want
+
+
+def test_search_sums_scores_where_postings_lie(spark):
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("a"), F.concat(F.lit("b"), F.col("id") % 9)).alias("text"))
+    queries = spark.createDataFrame([(1, "a b3"), (2, "b4 b5")], "query_id long, query string")
+    with steps(spark) as step:
+        index = text_index.write(docs, shared_path(spark, "index"), run=16, buckets=4)
+        weights, most, buckets, n = index._bounded(queries, step)
+        scores = index._scores(weights, most.select("query_id", "run"), buckets, n)
+        plan = scores._jdf.queryExecution().executedPlan().toString()
+        # runs are dealt, pairs of a query and a document aren't
+        assert "(run#" in plan and not any("doc_id" in line for line in plan.splitlines() if "Exchange" in line)
+        assert scores.where("query_id = 1").count() == 300
