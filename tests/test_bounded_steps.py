@@ -1,10 +1,12 @@
 """Steps whose cost once grew faster than their input."""
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tesserae.operators import nearest, sampling, text_index
+from tesserae.operators import graph, nearest, relational, sampling, text_index
 from tesserae.plans.durable import shared_path, steps
 
 
@@ -50,3 +52,38 @@ def test_search_sums_scores_where_postings_lie(spark):
         # runs are dealt, pairs of a query and a document aren't
         assert "(run#" in plan and not any("doc_id" in line for line in plan.splitlines() if "Exchange" in line)
         assert scores.where("query_id = 1").count() == 300
+
+
+def test_co_occurring_pairs_are_dealt_by_their_number(spark, monkeypatch):
+    df = spark.range(40).select(F.col("id").alias("k"), F.array(F.col("id") % 4, F.col("id") % 10 + 100).alias("l"))
+    want = sorted((a, b) for a in range(40) for b in range(a + 1, 40) if a % 4 == b % 4 or a % 10 == b % 10)
+    monkeypatch.setattr(relational, "MET_ROWS", 10)
+    # 4 items of 10 keys and 10 of 4
+    got = relational.co_occurring_pairs(df, "k", "l")
+    # 4 * 50 + 10 * 8 pairs
+    assert re.search(r"hashpartitioning\(_i#\d+L?, _x#\d+, _y#\d+, 28\)", got._jdf.queryExecution().executedPlan().toString())
+    assert sorted(map(tuple, got.collect())) == want
+
+
+def test_global_rank_steps_only_over_inner_edges(spark, monkeypatch):
+    rows = [("a", "b"), ("b", "c"), ("c", "a"), ("x", "a"), ("x", "y"), ("z", "b"), ("w", "c"), ("w", "y")]
+    names = sorted({n for r in rows for n in r})
+    out = {n: sum(r[0] == n for r in rows) for n in names}
+    written = {}
+
+    class Kept(graph.Steps):
+        def __call__(self, df, tag="step"):
+            got = super().__call__(df, tag)
+            written[tag] = got.count()
+            return got
+
+    monkeypatch.setattr(graph, "Steps", Kept)
+    for article in (False, True):
+        extra = len(rows) / len(names) if article else 0
+        x = dict.fromkeys(names, 1 / len(names))
+        for _ in range(6):
+            loose = 0 if article else sum(x[n] for n in names if not out[n])
+            x = {n: 0.85 * (sum(x[s] / (out[s] + extra) for s, t in rows if t == n) + loose / len(names)) + 0.15 / len(names) for n in names}
+        got = {r.node: r.rank for r in graph.pagerank_global(spark.createDataFrame(rows, "source string, target string"), steps=6, tolerance=0, article=article).collect()}
+        assert set(got) == set(names) and max(abs(got[n] - x[n]) for n in names) < 1e-12
+    assert written["inner-pairs"] == 3 and written["ranks"] == 4
