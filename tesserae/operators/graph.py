@@ -50,25 +50,36 @@ def pagerank(edges: DataFrame, **options) -> DataFrame:
 def pagerank_global(edges: DataFrame, steps: int = 100, damping: float = 0.85, tolerance: float = 1e-6, article: bool = False) -> DataFrame:
     """(node, rank) over all edges, by joins, until the change in sum is below n * tolerance or after so many steps. Each step is made durable, as the next reads it twice, and the last one goes.
 
+    Nodes without an edge towards them all have one rank, a number that the driver keeps; what their edges bring to each target in times of it is summed up once, so that steps have the other edges only.
+
     article: rank spread over a node's edges plus the mean number of edges, which takes weight from nodes with few; what isn't spread is lost, so ranks don't add up to 1.
     """
     step = Steps(edges.sparkSession)
     pairs = step(edges.select("source", "target").distinct(), "pairs")
-    out = pairs.groupBy("source").agg(F.count("*").alias("out"))
-    nodes = pairs.select(F.col("source").alias("node")).union(pairs.select(F.col("target").alias("node"))).distinct()
-    size = nodes.join(out, nodes["node"] == out["source"], "left").agg(F.count("*").alias("n"), F.sum(F.coalesce("out", F.lit(0))).alias("m")).first()
+    ends = pairs.select(F.col("source").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionAll(pairs.select("target", F.lit(0), F.lit(1)))
+    known = F.col("node").isNotNull()
+    nodes = ends.groupBy("node").agg(F.sum("o").alias("out"), F.max("i").alias("i")).select("node", F.when(known & (F.col("out") > 0), F.col("out")).alias("out"), (~known | (F.col("i") > 0)).alias("inner"))
+    nodes = step(nodes, "nodes")
+    size = nodes.agg(F.count("*").alias("n"), F.sum(F.coalesce("out", F.lit(0))).alias("m"), F.count_if(~F.col("inner")).alias("outer")).first()
     n, extra = max(size.n, 1), (size.m or 0) / max(size.n, 1) if article else 0.0
-    ranks = step(nodes.join(out, nodes["node"] == out["source"], "left").select("node", "out", F.lit(1.0 / n).alias("rank"), F.lit(0.0).alias("change")), "ranks")
+    leaving = pairs.join(nodes.select(F.col("node").alias("source"), "out", "inner"), "source")
+    given = leaving.where("not inner").groupBy("target").agg(F.sum(1 / (F.col("out") + extra)).alias("given"))
+    inner = step(leaving.where("inner").select("source", "target"), "inner-pairs")
+    start = nodes.where("inner").join(given, F.col("node") == F.col("target"), "left")
+    ranks = step(start.select("node", "out", F.coalesce("given", F.lit(0.0)).alias("given"), F.lit(1.0 / n).alias("rank"), F.lit(0.0).alias("change")), "ranks")
+    step.drop(pairs)
+    first = 1.0 / n
     for _ in range(steps):
-        loose = ranks.where("out is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("_loose"))
-        sent = pairs.join(ranks.where("out is not null").select(F.col("node").alias("source"), (F.col("rank") / (F.col("out") + extra)).alias("_sent")), "source").groupBy("target").agg(F.sum("_sent").alias("_in"))
-        new = damping * (F.coalesce("_in", F.lit(0.0)) + (F.lit(0.0) if article else F.col("_loose") / n)) + (1 - damping) / n
-        old, ranks = ranks, step(ranks.join(sent, ranks["node"] == sent["target"], "left").join(F.broadcast(loose)).select("node", "out", new.alias("rank"), F.abs(new - F.col("rank")).alias("change")), "ranks")
+        loose = 0.0 if article else ranks.where("out is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
+        sent = inner.join(ranks.where("out is not null").select(F.col("node").alias("source"), (F.col("rank") / (F.col("out") + extra)).alias("_sent")), "source").groupBy("target").agg(F.sum("_sent").alias("_in"))
+        new = damping * (F.coalesce("_in", F.lit(0.0)) + F.col("given") * first + loose / n) + (1 - damping) / n
+        old, ranks = ranks, step(ranks.join(sent, ranks["node"] == sent["target"], "left").select("node", "out", "given", new.alias("rank"), F.abs(new - F.col("rank")).alias("change")), "ranks")
         step.drop(old)
-        if (ranks.agg(F.sum("change")).first()[0] or 0.0) < n * tolerance:
+        last, first = first, damping * loose / n + (1 - damping) / n
+        if (ranks.agg(F.sum("change")).first()[0] or 0.0) + size.outer * abs(first - last) < n * tolerance:
             break
-    step.drop(pairs)
-    return ranks.select("node", "rank")
+    step.drop(inner)
+    return ranks.select("node", "rank").unionAll(nodes.where("not inner").select("node", F.lit(first).alias("rank")))
 
 
 def degree(edges: DataFrame) -> DataFrame:
