@@ -1,13 +1,15 @@
 """Steps whose cost once grew faster than their input."""
 
+import os
 import re
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tesserae.operators import graph, nearest, relational, sampling, text_index
+from tesserae.operators import graph, nearest, relational, retrieval, sampling, text_index
 from tesserae.plans.durable import shared_path, steps
+from tesserae.sources import files
 
 
 def test_sample_pipeline_makes_its_repos_once(spark):
@@ -87,3 +89,28 @@ def test_global_rank_steps_only_over_inner_edges(spark, monkeypatch):
         got = {r.node: r.rank for r in graph.pagerank_global(spark.createDataFrame(rows, "source string, target string"), steps=6, tolerance=0, article=article).collect()}
         assert set(got) == set(names) and max(abs(got[n] - x[n]) for n in names) < 1e-12
     assert written["inner-pairs"] == 3 and written["ranks"] == 4
+
+
+def test_scores_of_many_queries_come_in_small_products(spark):
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.array(F.cos("id"), F.sin("id")).alias("embedding"))
+    queries = docs.select(F.col("doc_id").alias("query_id"), "embedding").unionAll(docs.select(F.col("doc_id") + 2000, "embedding")).toArrow()
+    plain = retrieval._products(True)
+
+    def prepare(vectors):
+        score = plain(vectors)
+
+        def small(column):
+            assert len(vectors) * len(column) <= 1 << 20
+            return score(column)
+
+        return small
+
+    assert retrieval._search(docs.repartition(1), queries, 1, prepare).where("query_id % 2000 = doc_id").count() == 4000
+
+
+def test_feather_files_are_of_bounded_size(spark, tmp_path):
+    df = spark.range(48).select("id", F.repeat(F.lit("x"), 1_000_000).alias("text")).repartition(1)
+    files.write(df, f"{tmp_path}/f.feather")
+    sizes = [os.path.getsize(f"{tmp_path}/f.feather/{n}") for n in os.listdir(f"{tmp_path}/f.feather")]
+    assert len(sizes) >= 3 and max(sizes) < 18 << 20
+    assert files.read(spark, f"{tmp_path}/f.feather").agg(F.count_distinct("id"), F.sum(F.length("text"))).first()[:] == (48, 48_000_000)
