@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import uuid
@@ -13,6 +14,9 @@ from pyspark.sql import functions as F
 from tesserae import schemas
 from tesserae.functions.text import parse_list_literal
 
+#: Bytes of a feather file, which a task reads whole, unless a row has more.
+FILE_BYTES = 1 << 24
+
 
 def read(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """By ending: .parquet, .csv, .json, .jsonl (each with .gz too), .feather. ValueError for others."""
@@ -185,7 +189,7 @@ def write(df: DataFrame, path: str, partition_by: list[str] = (), mode: str = "o
 
 
 def write_feather(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """A folder of Arrow files, one for each partition that has rows, written by the tasks through Arrow's file systems (local or mounted, HDFS, object stores). mode: overwrite, or error if there is something.
+    """A folder of Arrow files of about FILE_BYTES at most, one or more for each partition that has rows, written by the tasks through Arrow's file systems (local or mounted, HDFS, object stores). mode: overwrite, or error if there is something.
 
     Each attempt of a task writes a file of its own; only those of attempts that succeeded stay, so lost executors and repeated tasks leave nothing behind.
     """
@@ -206,16 +210,41 @@ def write_feather(df: DataFrame, path: str, mode: str = "overwrite") -> None:
                 n += b.num_rows
         return n
 
+    def pieces(batches):
+        """Batches of FILE_BYTES or less, unless a row has more."""
+        for b in batches:
+            rows = max(1, b.num_rows * FILE_BYTES // max(b.nbytes, 1))
+            for lo in range(0, b.num_rows, rows):
+                part = b.slice(lo, rows)
+                if part.nbytes <= FILE_BYTES or part.num_rows == 1:
+                    yield part
+                else:
+                    half = part.num_rows // 2
+                    yield from pieces([part.slice(0, half), part.slice(half)])
+
     def save(batches):
-        name = f"part-{TaskContext.get().partitionId():05}-{uuid.uuid4().hex}.feather"
-        yield pa.RecordBatch.from_pydict({"name": [name], "n": pa.array([put(name, batches)], pa.int64())})
+        start, held, size = f"part-{TaskContext.get().partitionId():05}-{uuid.uuid4().hex}", [], 0
+        number = itertools.count()
+
+        def close():
+            name = f"{start}-{next(number):05}.feather"
+            return pa.RecordBatch.from_pydict({"name": [name], "n": pa.array([put(name, held)], pa.int64())})
+
+        for b in pieces(batches):
+            if held and size + b.nbytes > FILE_BYTES:
+                yield close()
+                held, size = [], 0
+            held.append(b)
+            size += b.nbytes
+        if held:
+            yield close()
 
     store, root = stores.FileSystem.from_uri(uri)
     if store.get_file_info(root).type != stores.FileType.NotFound:
         if mode != "overwrite":
             raise FileExistsError(path)
         store.delete_dir(root)
-    # a name for each partition
+    # a name for each file
     kept = {r.name for r in df.mapInArrow(save, "name string, n long").collect() if r.n}
     if not kept:
         kept = {"part-00000.feather"}
