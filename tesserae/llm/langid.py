@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tesserae.llm.common import trimmed
 
-WINDOW, CONTEXT = 448, 32
+WINDOW, CONTEXT = 960, 32
 UNKNOWN = "und"
 
 
@@ -131,14 +131,14 @@ class Network:
 
     def sums(self, x: np.ndarray, size: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """Of each window the sums of the log-probabilities of its places from lo to hi. x: time x window bytes, by falling size, so that at every time those that have a byte come first."""
-        n, h, total = len(size), self.p["uf"].shape[0], np.zeros((len(size), len(self.langs)), np.float32)
+        # a row for each language, along which numpy is quick
+        n, h, total = len(size), self.p["uf"].shape[0], np.zeros((len(self.langs), len(size)), np.float32)
         live = (n - np.searchsorted(size[::-1], np.arange(len(x)), "right")).tolist()
 
         def step(name: str, t: int, state: np.ndarray) -> np.ndarray:
             a = tables[name][x[t, : len(state)]]
             gates = state @ halves[name][0]
             gates += a[:, : 2 * h]
-            np.negative(gates, out=gates)
             np.exp(gates, out=gates)
             gates += 1
             np.reciprocal(gates, out=gates)
@@ -151,22 +151,29 @@ class Network:
             c *= 1 - z
             return state + c
 
-        tables = {d: self.p[f"w{d}"] + self.p[f"b{d}"] for d in "fb"}
-        halves = {d: (np.ascontiguousarray(self.p[f"u{d}"][:, : 2 * h]), np.ascontiguousarray(self.p[f"u{d}"][:, 2 * h :])) for d in "fb"}
+        # the gates' parts are negative, as their exponential is
+        sign = np.repeat(np.array([-1, 1], np.float32), [2 * h, h])
+        tables = {d: (self.p[f"w{d}"] + self.p[f"b{d}"]) * sign for d in "fb"}
+        ahead_of, behind = np.ascontiguousarray(self.p["v"][:h].T), np.ascontiguousarray(self.p["v"][h:].T)
+        halves = {d: (np.ascontiguousarray(-self.p[f"u{d}"][:, : 2 * h]), np.ascontiguousarray(self.p[f"u{d}"][:, 2 * h :])) for d in "fb"}
         state, ahead = np.zeros((n, h), np.float32), []
         for t in range(len(x)):
             state = step("f", t, state[: live[t]])
-            ahead.append(state @ self.p["v"][:h] + self.p["c"])
+            ahead.append(ahead_of @ state.T + self.p["c"][:, None])
         state = np.zeros((0, h), np.float32)
         for t in range(len(x) - 1, -1, -1):
             # windows that end here begin with nothing read
-            state = step("b", t, np.concatenate([state, np.zeros((live[t] - len(state), h), np.float32)]))
-            logits = ahead[t] + state @ self.p["v"][h:]
-            logits -= logits.max(axis=1, keepdims=True)
-            logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
+            if live[t] > len(state):
+                state = np.concatenate([state, np.zeros((live[t] - len(state), h), np.float32)])
+            state = step("b", t, state)
+            logits = ahead[t]
+            logits += behind @ state.T
+            logits -= logits.max(axis=0)
+            logits -= np.log(np.exp(logits).sum(axis=0))
             inside = (lo[: live[t]] <= t) & (t < hi[: live[t]])
-            total[: live[t]] += logits * inside[:, None]
-        return total
+            logits *= inside
+            total[:, : live[t]] += logits
+        return total.T
 
 
 def arrays(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -305,7 +312,7 @@ def identify(docs: DataFrame, network: Network | None = None, **bounds) -> DataF
             sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0).to_pylist()
             for i, n in enumerate(sizes, 1):
                 size += n
-                if size < 1 << 20 and i < len(sizes):
+                if size < 1 << 21 and i < len(sizes):
                     continue
                 part, size = batch.slice(lo, i - lo), 0
                 lo = i
