@@ -732,7 +732,10 @@ def e2_embedded_texts(t):
     """A text's vector is the mean of its words' vectors."""
     docs = t.part.select("p_partkey", "p_name")
     model = embedding.train_word2vec(docs, "p_name", size=8, least=1)
-    words = docs.select("p_partkey", F.explode(X.tokenize(F.col("p_name"))).alias("word")).join(embedding.vectors(model).withColumnRenamed("vector", "embedding"), "word")
+    split = docs.select("p_partkey", F.explode(X.tokenize(F.col("p_name"))).alias("word"))
+    words = split.join(embedding.vectors(model).withColumnRenamed("vector", "embedding"), "word")
+    # a text's words are few, so that its sums are made where they are dealt
+    words = relational.dealt(words, split.count(), "p_partkey")
     return _gap(embedding.embed(model, docs, "p_name"), retrieval.mean_vector(words, ["p_partkey"]))
 
 

@@ -11,11 +11,19 @@ from pyspark.sql import functions as F
 from tesserae.functions.text import tokenize
 from tesserae.operators import ranks
 from tesserae.operators.retrieval import dot
+from tesserae.plans.durable import steps
+
+#: Words that a task trains a word2vec model on, about.
+TASK_WORDS = 1 << 22
 
 
 def train_word2vec(df: DataFrame, text: str, size: int = 200, window: int = 5, least: int = 5, longest: int = 1000, seed: int = 0, tokens=tokenize):
-    """A word2vec model of the texts' words, sentences cut at `longest`."""
-    return Word2Vec(vectorSize=size, windowSize=window, minCount=least, maxSentenceLength=longest, seed=seed, inputCol="_w", outputCol="embedding").fit(df.select(tokens(F.col(text)).alias("_w")))
+    """A word2vec model of the texts' words, sentences cut at `longest`. It is trained on TASK_WORDS words a task, about, whose models are averaged; fewer are one task's."""
+    with steps(df.sparkSession) as step:
+        rows = step(df.select(tokens(F.col(text)).alias("_w")), "sentences")
+        words = rows.agg(F.sum(F.size("_w"))).first()[0] or 0
+        trainer = Word2Vec(vectorSize=size, windowSize=window, minCount=least, maxSentenceLength=longest, seed=seed, inputCol="_w", outputCol="embedding", numPartitions=max(1, -(-words // TASK_WORDS)))
+        return trainer.fit(rows)
 
 
 def embed(model, df: DataFrame, text: str, tokens=tokenize) -> DataFrame:

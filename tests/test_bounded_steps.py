@@ -1,5 +1,6 @@
 """Steps whose cost once grew faster than their input."""
 
+import math
 import os
 import re
 
@@ -7,7 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tesserae.operators import graph, nearest, relational, retrieval, sampling, text_index
+from tesserae import more_queries
+from tesserae.operators import embedding, graph, nearest, relational, retrieval, sampling, text_index
 from tesserae.plans.durable import shared_path, steps
 from tesserae.sources import files
 
@@ -114,3 +116,35 @@ def test_feather_files_are_of_bounded_size(spark, tmp_path):
     sizes = [os.path.getsize(f"{tmp_path}/f.feather/{n}") for n in os.listdir(f"{tmp_path}/f.feather")]
     assert len(sizes) >= 3 and max(sizes) < 18 << 20
     assert files.read(spark, f"{tmp_path}/f.feather").agg(F.count_distinct("id"), F.sum(F.length("text"))).first()[:] == (48, 48_000_000)
+
+
+def _records_shuffled(spark) -> int:
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    store = sc.statusStore()
+    stages = store.stageList(None, *(getattr(store, f"stageList$default${i}")() for i in range(2, 6)))
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_means_have_a_row_for_a_piece_of_a_vector(spark):
+    rows = [(i, [float(i * j) for j in range(20)]) for i in range(300)]
+    odd = [(300, None), (301, []), (302, [1.0, None]), (302, [3.0, None, 8.0]), (302, None), (None, [2.0]), (303, [None] * 9), (304, [float("nan"), 1.0])]
+    df = spark.createDataFrame(rows + odd, "g long, embedding array<double>").repartition(2)
+    before = _records_shuffled(spark)
+    got = {r.g: r.embedding for r in retrieval.mean_vector(df, ["g"]).collect()}
+    # the rows, and at most 3 pieces of each, twice
+    assert 300 < _records_shuffled(spark) - before <= 7 * len(rows + odd)
+    nan = got.pop(304)
+    assert math.isnan(nan[0]) and nan[1] == 1.0
+    assert got == dict(rows) | {302: [2.0, None, 8.0], None: [2.0], 303: [None] * 9}
+
+
+def test_embedded_texts_in_bounded_tasks(spark, monkeypatch):
+    parts, plain = [], embedding.Word2Vec
+    monkeypatch.setattr(embedding, "Word2Vec", lambda **options: parts.append(options["numPartitions"]) or plain(**options))
+    monkeypatch.setattr(embedding, "TASK_WORDS", 150)
+    monkeypatch.setattr(relational, "TASK_ROWS", 50)
+    got = more_queries.e2_embedded_texts(spark, "/root/testdata/sf0.001")
+    # 200 names of two words
+    assert parts == [3] and re.search(r"hashpartitioning\(p_partkey#\d+L?, 8\), REPARTITION_BY_NUM", got._jdf.queryExecution().executedPlan().toString())
+    assert {(r.words, r["size"], r.gap) for r in got.collect()} == {(2, 8, 0.0)} and got.count() == 200
