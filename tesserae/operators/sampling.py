@@ -231,14 +231,26 @@ def least_common_task(papers: DataFrame, least: int, compat: bool = True) -> Dat
 
 
 def task_table(papers: DataFrame, links: DataFrame, least: int) -> DataFrame:
-    """repo, tasks, least_common_task: tasks cleaned and counted, joined by title, a repo's paper with most tasks, then only tasks that are somebody's least."""
-    cleaned = papers.withColumn("tasks", F.transform("tasks", clean_task_name)).withColumn("paper", F.col("title"))
-    counts = R.value_counts(cleaned, "tasks").where(F.col("count") >= least)
-    valid = R.keep_members(cleaned, "tasks", counts, "task", "paper", drop_empty=True)
-    joined = links.join(valid, links["paper_title"] == valid["title"]).select("repo", "paper", "tasks")
-    best = materialize(R.first_of_group(joined, ["repo"], [F.desc(F.size("tasks")), F.col("paper")]), "best")
+    """repo, tasks, least_common_task: tasks cleaned and counted, joined by title, a repo's paper with most tasks, then only tasks that are somebody's least.
+
+    Names are cleaned once for each distinct task, papers are compared by the number of their tasks, and lists are made only for those that a repo has.
+    """
+    papers = materialize(papers.select("title", "tasks"), "papers")
+    names = R.value_counts(papers, "tasks", "name").withColumn("task", clean_task_name(F.col("name")))
+    names = names.withColumn("_n", F.sum("count").over(Window.partitionBy("task"))).where(F.col("_n") >= least)
+    names = R.few(names.select("name", "task"), "names")
+
+    def valid(some: DataFrame) -> DataFrame:
+        return some.select("title", F.posexplode("tasks").alias("_p", "name")).join(names, "name")
+
+    sizes = valid(papers).groupBy("title").agg(F.count("*").alias("_n"))
+    joined = links.join(sizes, links["paper_title"] == sizes["title"]).select("repo", "title", "_n")
+    chosen = materialize(R.first_of_group(joined, ["repo"], [F.desc("_n"), F.col("title")]).select("repo", "title"), "chosen")
+    lists = valid(papers.join(chosen.select("title"), "title", "left_semi")).groupBy("title").agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "task"))), lambda s: s["task"]).alias("tasks"))
+    best = materialize(chosen.join(lists, "title").select("repo", "tasks"), "best")
     named = least_common_task(best.withColumn("paper", F.col("repo")), least).where("least_common_task is not null")
-    return R.keep_members(named.select("repo", "tasks", "least_common_task"), "tasks", named.select("least_common_task"), "least_common_task", "repo")
+    named = materialize(named.select("repo", "tasks", "least_common_task"), "named")
+    return R.keep_members(named, "tasks", named.select("least_common_task"), "least_common_task", "repo")
 
 
 def area_tasks(areas: DataFrame) -> DataFrame:

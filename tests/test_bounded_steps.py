@@ -1,7 +1,9 @@
 """Steps whose cost once grew faster than their input."""
 
+import collections
 import math
 import os
+import random
 import re
 
 import numpy as np
@@ -148,3 +150,37 @@ def test_embedded_texts_in_bounded_tasks(spark, monkeypatch):
     # 200 names of two words
     assert parts == [3] and re.search(r"hashpartitioning\(p_partkey#\d+L?, 8\), REPARTITION_BY_NUM", got._jdf.queryExecution().executedPlan().toString())
     assert {(r.words, r["size"], r.gap) for r in got.collect()} == {(2, 8, 0.0)} and got.count() == 200
+
+
+def test_task_table_makes_its_papers_once(spark):
+    g = random.Random(3)
+    names = ["A-b", "a b", "12dC", "C", "D", "3D", "e", None, "rare"]
+    rows = [(f"t{i}", [g.choice(names[:8]) for _ in range(g.randint(0, 5))]) for i in range(120)]
+    rows += [("t3", ["D", "e", "D"]), (None, ["D"]), ("t4", None), ("t200", ["rare"]), ("t5", ["rare", "C"])]
+    pairs = [(f"t{g.randint(0, 130)}", g.randint(0, 39)) for _ in range(150)] + [("t1", None), ("t2", 50), ("t2", 51), (None, 52), ("t200", 53)]
+    passes = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for f in frames:
+            passes.add(len(f))
+            yield f
+
+    papers = spark.createDataFrame(rows, "title string, tasks array<string>").mapInPandas(counted, "title string, tasks array<string>")
+    got = sampling.task_table(papers, spark.createDataFrame(pairs, "paper_title string, repo long"), 5)
+
+    def clean(name):
+        return re.sub(r"\d+d", "", name).replace("-", " ").lower().strip()
+
+    counts = collections.Counter(clean(x) for _, l in rows for x in l or [] if x is not None)
+    lists = collections.defaultdict(list)
+    for title, l in rows:
+        lists[title] += [(i, clean(x)) for i, x in enumerate(l or []) if x is not None and counts[clean(x)] >= 5]
+    best = {}
+    for title, repo in pairs:
+        if title is not None and repo is not None and lists.get(title):
+            best[repo] = min(best.get(repo, (0, "")), (-len(lists[title]), title))
+    tasks = {repo: [x for _, x in sorted(lists[title])] for repo, (_, title) in best.items()}
+    often = {x for x, n in collections.Counter(x for l in tasks.values() for x in l).items() if n > 5}
+    first = {repo: next(x for x in l if x in often) for repo, l in tasks.items() if often & set(l)}
+    assert sorted((r.repo, r.tasks, r.least_common_task) for r in got.collect()) == sorted((repo, [x for x in tasks[repo] if x in first.values()], x) for repo, x in first.items()) and len(first) > 30
+    assert passes.value == len(rows)
