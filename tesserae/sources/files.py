@@ -16,6 +16,8 @@ from tesserae.functions.text import parse_list_literal
 
 #: Bytes of a feather file, which a task reads whole, unless a row has more.
 FILE_BYTES = 1 << 24
+#: Of CSV files: quotes are doubled, and nothing else is escaped; without the last option NUL would be.
+CSV = {"header": True, "escape": '"', "charToEscapeQuoteEscaping": '"'}
 
 
 def read(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -25,7 +27,8 @@ def read(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame
     if bare.endswith(".parquet"):
         return reader.parquet(path)
     if bare.endswith(".csv"):
-        return reader.options(header=True, multiLine=True, escape='"').csv(path)
+        # an empty field is null, and "" the empty text: what the parser takes null for must be no text
+        return reader.options(**CSV, multiLine=True, nullValue=uuid.uuid4().hex).csv(path)
     if bare.endswith(".jsonl"):
         return reader.json(path)
     if bare.endswith(".json"):
@@ -181,7 +184,8 @@ def write(df: DataFrame, path: str, partition_by: list[str] = (), mode: str = "o
     if path.endswith(".parquet"):
         w.parquet(path)
     elif path.endswith(".csv"):
-        w.options(header=True, escape='"').csv(path)
+        # white space at the ends is part of a text
+        w.options(**CSV, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
     elif path.endswith((".json", ".jsonl")):
         w.json(path)
     else:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tesserae import search_queries
 from tesserae.operators import code, distances, ranks, relational, retrieval, sampling
 from tesserae.queries import QUERIES, Tables
+from tesserae.sources import files
 
 
 def test_paged_source_reads_tables_of_several_files(spark, tmp_path):
@@ -22,6 +23,15 @@ def test_paged_source_reads_tables_of_several_files(spark, tmp_path):
     assert [len(fetch({}, p, 100)) for p in (1, 10, 11)] == [100, 100, 50]
 
 
+def test_csv_keeps_every_text(spark, tmp_path):
+    g = random.Random(3)
+    texts = [None, "", " ", "\n", *("".join(g.choice('ab ,"\\\n\r\t\0\u00e9') for _ in range(g.randint(1, 6))) for _ in range(2000))]
+    rows = {(i, t, texts[-i]) for i, t in enumerate(texts)}
+    path = f"{tmp_path}/t.csv"
+    files.write(spark.createDataFrame(list(rows), "id long, a string, b string"), path)
+    assert {tuple(r) for r in files.read(spark, path, "id long, a string, b string").collect()} == rows
+
+
 def test_described_edges_name_all_targets(spark):
     edges = spark.range(1500).select(F.lit("r").alias("source"), F.format_string("f%04d", "id").alias("destination"), F.lit("repo-file").alias("edge_type"), F.lit("r").alias("repo"))
     assert code.postprocess_edges(edges, described=True).first().description.split() == [f"f{i:04d}" for i in range(1500)]
