@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tesserae import search_queries
 from tesserae.operators import code, distances, ranks, relational, retrieval, sampling
-from tesserae.queries import QUERIES, Tables
+from tesserae.queries import QUERIES, SQL, Tables
 from tesserae.sources import files
 
 
@@ -32,6 +32,33 @@ def test_csv_keeps_every_text(spark, tmp_path):
     assert {tuple(r) for r in files.read(spark, path, "id long, a string, b string").collect()} == rows
 
 
+def test_means_are_added_up_in_order(spark):
+    g = random.Random(5)
+    rows = [(u, i, round(g.expovariate(0.02), 2)) for i in range(20_000) for u in (i % 25,)] + [(30, 1, None), (31, 2, None), (31, 1, 0.5), (None, 1, 1.5)]
+    want = {}
+    for u, _, v in sorted(rows, key=lambda r: r[1]):
+        s, n, k = want.get(u, (None, 0, 0))
+        want[u] = (s, n, k + 1) if v is None else ((s or 0.0) + v, n + 1, k + 1)
+    df = spark.createDataFrame(g.sample(rows, len(rows)), "u long, i long, v double").repartition(7)
+    got = relational.mean_in_order(df, ["u"], "v", ["i"])
+    assert {r.u: (r["mean"], r.n) for r in got.collect()} == {u: (s / n if n else None, k) for u, (s, n, k) in want.items()}
+
+
+def test_borda_of_means_between_two_rounded_ones(spark, tmp_path):
+    # means of eight cents are often between two thousandths, and the order of the sum decides; a table this small DuckDB adds up from the first row to the last
+    g = random.Random(8)
+    events = [(i, g.randrange(900), g.randrange(9) / 100 + 0.01) for i in range(7200)]
+    path = f"{tmp_path}/events.parquet"
+    duckdb.sql("CREATE TEMP TABLE events (event_id BIGINT, user_id BIGINT, value DOUBLE)")
+    try:
+        duckdb.executemany("INSERT INTO events VALUES (?, ?, ?)", events)
+        want = sorted(duckdb.sql(SQL["w12_borda"]).fetchall())
+    finally:
+        duckdb.sql("DROP TABLE events")
+    spark.createDataFrame(g.sample(events, len(events)), "event_id long, user_id long, value double").repartition(5).write.parquet(path)
+    assert sorted(map(tuple, QUERIES["w12_borda"](spark, str(tmp_path)).collect())) == want
+
+
 def test_described_edges_name_all_targets(spark):
     edges = spark.range(1500).select(F.lit("r").alias("source"), F.format_string("f%04d", "id").alias("destination"), F.lit("repo-file").alias("edge_type"), F.lit("r").alias("repo"))
     assert code.postprocess_edges(edges, described=True).first().description.split() == [f"f{i:04d}" for i in range(1500)]
