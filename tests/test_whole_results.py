@@ -147,6 +147,36 @@ def test_cosines_make_no_products_to_shuffle(spark, monkeypatch):
         assert {(r.grp, r.query_id, r.doc_id): round(r.score, 9) for r in got.collect()} == want
 
 
+def test_cosines_shuffle_no_postings(spark):
+    g = random.Random(9)
+    rows = [(f"g{i % 2}", i, " ".join(g.sample([f"w{k}" for k in range(300)], 200))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "grp string, doc_id long, text string")
+    queries = docs.where("doc_id % 50 = 0").select("grp", F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
+
+    def shuffled():
+        jvm, gateway = spark._jvm, spark.sparkContext._gateway
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+    old = shuffled()
+    assert retrieval.tfidf_cosine(docs, queries).count() == 8 * 200
+    # before, 80,000 postings three times
+    assert sum(n for stage, n in shuffled().items() if stage not in old) < 40_000
+
+
+def test_cosines_of_odd_documents(spark, tmp_path):
+    g = random.Random(10)
+    rows = [(i % 170, " ".join(f"W{int(g.paretovariate(0.6))}" for _ in range(g.randint(0, 20))), f"s{i % 3}") for i in range(200)]
+    rows += [(None, "W1 W2", "s1"), (None, "W1", "s1"), (50, "W1", None), (300, None, "s0"), (350, "", "s0"), (400, "W1", "s4")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
+    want = con.execute(SQL["r7_tfidf"]).fetchall()
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r[:3]: r[3] for r in map(tuple, QUERIES["r7_tfidf"](spark, str(tmp_path)).collect())}
+    assert got.keys() == {r[:3] for r in want} and all(abs(got[r[:3]] - r[3]) < 2e-6 for r in want)
+
+
 def test_greedy_sample_brings_few_candidates_to_one_task(spark, monkeypatch):
     g = random.Random(11)
     repos = [(r, [f"t{int(g.paretovariate(0.7)) % 40}" for _ in range(g.randint(0, 5))]) for r in range(3000)] + [(4000, None), (4001, ["t1", None]), (4002, [None])]
